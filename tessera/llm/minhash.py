@@ -7,12 +7,15 @@ bands of ``ROWS`` minima are candidates, but pairs within a band's bucket are no
 1. every member of a bucket is paired with one hub, the member that shares most buckets with others;
 2. where a bucket still spans several components, members are paired with up to ``HUBS`` more hubs of
    other components;
-3. where it still does, the pairs across components that weren't tested are tested, all of them.
+3. where it still does, signatures are compared in blocks inside the bucket, and every member is paired
+   with its ``NEAREST`` most similar members of other components;
+4. last, every pair across components whose signatures agree and that wasn't tested is tested.
 
 After each step the pairs are verified, first by signature (at least ``SIGNATURE`` of the minima agree),
 then on the full sets (100 * intersection >= ``PERCENT`` * union), and components are found anew. A
-group of near copies so costs about one test per document and bucket, and no link between two components
-is left untested once its pair shares a bucket.
+group of near copies so costs a few tests per document and bucket, and no link between two components
+is left untested once its pair shares a bucket. Blocks return the pairs that agree, each in the first
+band that it shares, not all pairs of a bucket; buckets of up to ``SMALL`` members are joined.
 
 Defined results: words are separated by space and U+0009 to U+000D, A-Z count as a-z; fewer than SHINGLE
 words are one shingle; null text or text without words has an empty set and links with nothing, as do
@@ -38,8 +41,12 @@ SHINGLE = 5
 BANDS, ROWS = 32, 4
 PERMUTATIONS = BANDS * ROWS
 PERCENT = 75
-SIGNATURE = 0.55
+SIGNATURE = 0.6
 HUBS = 8
+NEAREST = 6
+SMALL = 16
+#: Members of a bucket that are compared with others as one block.
+CHUNK = 512
 BLOCK = 1 << 22
 #: Ids whose texts are looked up by a broadcast; beyond, by a shuffled join.
 BROADCAST_IDS = 1_000_000
@@ -158,6 +165,39 @@ def _verified(pairs: DataFrame, signatures: DataFrame, texts: DataFrame) -> Data
     return full.mapInPandas(_linked, "a long, b long").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
 
 
+def _in_blocks(nearest: int | None):
+    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        band, low, high = int(key[1]), int(key[2]), int(key[3])
+        minima_of = np.frombuffer(b"".join(rows["signature"]), "<u4").reshape(len(rows), BANDS, ROWS)
+        ids, groups, chunk = (rows[c].to_numpy() for c in ("doc_id", "c", "chunk"))
+        i, j = np.nonzero(chunk == low)[0], np.nonzero(chunk == high)[0]
+        agree = np.zeros((len(i), len(j)), np.int16)
+        usable = groups[i][:, None] != groups[j][None, :]
+        for b in range(BANDS):
+            whole = np.ones(agree.shape, bool)
+            for r in range(ROWS):
+                same = minima_of[i, b, r][:, None] == minima_of[j, b, r][None, :]
+                agree += same
+                whole &= same
+            if b < band:
+                usable &= ~whole
+        agree[~usable] = 0
+        if low == high:
+            agree[ids[i][:, None] >= ids[j][None, :]] = 0
+        good = agree >= SIGNATURE * PERMUTATIONS
+        if nearest is not None:
+            near = np.zeros(good.shape, bool)
+            for a, n in ((agree, near), (agree.T, near.T)):
+                top = np.argsort(-a, axis=1)[:, :nearest]
+                np.put_along_axis(n, top, True, axis=1)
+            good &= near
+        x, y = np.nonzero(good)
+        u, v = ids[i[x]], ids[j[y]]
+        return pd.DataFrame({"a": np.minimum(u, v), "b": np.maximum(u, v)})
+
+    return compare
+
+
 def _pairs(left: str, right: str) -> list:
     return [F.least(left, right).alias("a"), F.greatest(left, right).alias("b")]
 
@@ -165,8 +205,8 @@ def _pairs(left: str, right: str) -> list:
 def _representative_links(documents: DataFrame, sketches: DataFrame) -> DataFrame:
     """component of every representative that is linked: node, component."""
     signatures = sketches.select("doc_id", "signature").distinct()
-    band = F.xxhash64("band", F.expr(f"substring(signature, {4 * ROWS} * band + 1, {4 * ROWS})"))
-    keys = signatures.withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))).select(band.alias("key"), "doc_id")
+    band_key = F.xxhash64("band", F.expr(f"substring(signature, {4 * ROWS} * band + 1, {4 * ROWS})"))
+    keys = signatures.withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))).select(band_key.alias("key"), "doc_id", "band")
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     buckets = cut(keys.join(sizes, "key"))
     weights = buckets.groupBy("doc_id").agg(F.sum("size").alias("weight"))
@@ -178,27 +218,54 @@ def _representative_links(documents: DataFrame, sketches: DataFrame) -> DataFram
     first = buckets.join(hubs, "key").where("doc_id != hub").select(*_pairs("doc_id", "hub")).distinct()
     tested = cut(first)
     links = cut(_verified(tested, signatures, texts))
-    for step in ("hubs", "all"):
+    for candidates in (_by_hubs, _by_nearest, _all_others):
         found = cut(components(links))
         state = buckets.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        state = state.select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
+        state = state.select("key", "band", "size", "doc_id", F.coalesce("component", "doc_id").alias("c"))
         spread = state.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
         state = cut(state.join(spread, "key"))
-        if step == "hubs":
-            slot = F.pmod(F.xxhash64("doc_id", "key"), F.lit(HUBS))
-            other = state.groupBy("key", slot.alias("slot")).agg(F.max(F.struct("doc_id", "c")).alias("o")).select("key", "o.doc_id", "o.c")
-        else:
-            other = state
-        other = other.select("key", F.col("doc_id").alias("hub"), F.col("c").alias("hub_c"))
-        order = F.col("doc_id") != F.col("hub") if step == "hubs" else F.col("doc_id") < F.col("hub")
-        more = state.join(other, (state["key"] == other["key"]) & (F.col("c") != F.col("hub_c")) & order)
-        more = cut(more.select(*_pairs("doc_id", "hub")).distinct().join(tested, ["a", "b"], "left_anti"))
+        more = cut(candidates(state, signatures).distinct().join(tested, ["a", "b"], "left_anti"))
         if not more.isEmpty():
             tested = tested.unionByName(more)
             links = cut(links.unionByName(_verified(more, signatures, texts)))
     return components(links)
 
 
+def _joined(state: DataFrame, other: DataFrame, ordered: bool) -> DataFrame:
+    order = F.col("doc_id") < F.col("hub") if ordered else F.col("doc_id") != F.col("hub")
+    met = state.select("key", "doc_id", "c").join(other, "key").where((F.col("c") != F.col("hub_c")) & order)
+    return met.select(*_pairs("doc_id", "hub"))
+
+
+def _by_hubs(state: DataFrame, signatures: DataFrame) -> DataFrame:
+    slot = F.pmod(F.xxhash64("doc_id", "key"), F.lit(HUBS))
+    other = state.groupBy("key", slot.alias("slot")).agg(F.max(F.struct("doc_id", "c")).alias("o"))
+    return _joined(state, other.select("key", F.col("o.doc_id").alias("hub"), F.col("o.c").alias("hub_c")), ordered=False)
+
+
+def _compared(state: DataFrame, signatures: DataFrame, nearest: int | None) -> DataFrame:
+    chunks = F.ceil(F.col("size") / CHUNK).cast("int")
+    dealt = state.where(F.col("size") > SMALL).withColumn("chunk", F.pmod(F.xxhash64("doc_id"), chunks).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    dealt = dealt.withColumn("low", F.least("chunk", "other")).withColumn("high", F.greatest("chunk", "other"))
+    return (
+        dealt.join(signatures, "doc_id")
+        .select("key", "band", "low", "high", "doc_id", "c", "chunk", "signature")
+        .groupBy("key", "band", "low", "high")
+        .applyInPandas(_in_blocks(nearest), "a long, b long")
+    )
+
+
+def _by_nearest(state: DataFrame, signatures: DataFrame) -> DataFrame:
+    return _compared(state, signatures, NEAREST)
+
+
+def _all_others(state: DataFrame, signatures: DataFrame) -> DataFrame:
+    small = state.where(F.col("size") <= SMALL)
+    other = small.select("key", F.col("doc_id").alias("hub"), F.col("c").alias("hub_c"))
+    return _joined(small, other, ordered=True).unionByName(_compared(state, signatures, None))
+
+
 def near_copies(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
     slim = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
