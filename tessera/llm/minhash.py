@@ -7,15 +7,15 @@ bands of ``ROWS`` minima are candidates, but pairs within a band's bucket are no
 1. every member of a bucket is paired with one hub, the member that shares most buckets with others;
 2. where a bucket still spans several components, members are paired with up to ``HUBS`` more hubs of
    other components;
-3. where it still does, signatures are compared in blocks inside the bucket, and every member is paired
-   with its ``NEAREST`` most similar members of other components;
-4. last, every pair across components whose signatures agree and that wasn't tested is tested.
+3. where it still does, all pairs across components are tested: by a join in buckets of up to ``SMALL``
+   members; in larger ones inside blocks of ``CHUNK`` by ``CHUNK`` members, to which every text travels
+   once and which return links alone.
 
-After each step the pairs are verified, first by signature (at least ``SIGNATURE`` of the minima agree),
-then on the full sets (100 * intersection >= ``PERCENT`` * union), and components are found anew. A
-group of near copies so costs a few tests per document and bucket, and no link between two components
-is left untested once its pair shares a bucket. Blocks return the pairs that agree, each in the first
-band that it shares, not all pairs of a bucket; buckets of up to ``SMALL`` members are joined.
+Pairs are verified first by signature (at least ``SIGNATURE`` of the minima agree), then on the full sets
+(100 * intersection >= ``PERCENT`` * union), and components are found anew after each step. A group of
+near copies so costs a few tests per document and bucket, and no link between two components is left
+untested once its pair shares a bucket. Blocks test a pair in the first band that it shares, and skip
+pairs that links found before have already connected.
 
 Defined results: words are separated by space and U+0009 to U+000D, A-Z count as a-z; fewer than SHINGLE
 words are one shingle; null text or text without words has an empty set and links with nothing, as do
@@ -42,8 +42,7 @@ BANDS, ROWS = 32, 4
 PERMUTATIONS = BANDS * ROWS
 PERCENT = 75
 SIGNATURE = 0.6
-HUBS = 8
-NEAREST = 6
+HUBS = 3
 SMALL = 16
 #: Members of a bucket that are compared with others as one block.
 CHUNK = 512
@@ -149,7 +148,7 @@ def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if a != last_id or ta != last_text:
                 last_id, last_text, last_set = a, ta, shingle_set(ta)
             other = shingle_set(tb)
-            common = len(np.intersect1d(last_set, other, assume_unique=True))
+            common = _common(last_set, other) if len(other) and len(last_set) else 0
             keep.append(0 < common and 100 * common >= PERCENT * (len(last_set) + len(other) - common))
         yield batch.loc[keep, ["a", "b"]]
 
@@ -165,37 +164,57 @@ def _verified(pairs: DataFrame, signatures: DataFrame, texts: DataFrame) -> Data
     return full.mapInPandas(_linked, "a long, b long").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
 
 
-def _in_blocks(nearest: int | None):
-    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        band, low, high = int(key[1]), int(key[2]), int(key[3])
-        minima_of = np.frombuffer(b"".join(rows["signature"]), "<u4").reshape(len(rows), BANDS, ROWS)
-        ids, groups, chunk = (rows[c].to_numpy() for c in ("doc_id", "c", "chunk"))
-        i, j = np.nonzero(chunk == low)[0], np.nonzero(chunk == high)[0]
-        agree = np.zeros((len(i), len(j)), np.int16)
-        usable = groups[i][:, None] != groups[j][None, :]
-        for b in range(BANDS):
-            whole = np.ones(agree.shape, bool)
-            for r in range(ROWS):
-                same = minima_of[i, b, r][:, None] == minima_of[j, b, r][None, :]
-                agree += same
-                whole &= same
-            if b < band:
-                usable &= ~whole
-        agree[~usable] = 0
-        if low == high:
-            agree[ids[i][:, None] >= ids[j][None, :]] = 0
-        good = agree >= SIGNATURE * PERMUTATIONS
-        if nearest is not None:
-            near = np.zeros(good.shape, bool)
-            for a, n in ((agree, near), (agree.T, near.T)):
-                top = np.argsort(-a, axis=1)[:, :nearest]
-                np.put_along_axis(n, top, True, axis=1)
-            good &= near
-        x, y = np.nonzero(good)
-        u, v = ids[i[x]], ids[j[y]]
-        return pd.DataFrame({"a": np.minimum(u, v), "b": np.maximum(u, v)})
-
-    return compare
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    return int((b[at] == a).sum())
+
+
+def _links_in_block(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """Links between members of two chunks of a bucket that lie in different components so far."""
+    band, low, high = int(key[1]), int(key[2]), int(key[3])
+    minima_of = np.frombuffer(b"".join(rows["signature"]), "<u4").reshape(len(rows), BANDS, ROWS)
+    ids, groups, chunk, texts = (rows[c].to_numpy() for c in ("doc_id", "c", "chunk", "text"))
+    i, j = np.nonzero(chunk == low)[0], np.nonzero(chunk == high)[0]
+    agree = np.zeros((len(i), len(j)), np.int16)
+    usable = groups[i][:, None] != groups[j][None, :]
+    for b in range(BANDS):
+        whole = np.ones(agree.shape, bool)
+        for r in range(ROWS):
+            same = minima_of[i, b, r][:, None] == minima_of[j, b, r][None, :]
+            agree += same
+            whole &= same
+        if b < band:
+            usable &= ~whole
+    if low == high:
+        usable &= ids[i][:, None] < ids[j][None, :]
+    x, y = np.nonzero(usable & (agree >= SIGNATURE * PERMUTATIONS))
+    order = np.argsort(-agree[x, y], kind="stable")
+    parent: dict[int, int] = {}
+
+    def top(c: int) -> int:
+        while (up := parent.get(c, c)) != c:
+            c = up
+        return c
+
+    sets: dict[int, np.ndarray] = {}
+    out = []
+    for k in order.tolist():
+        p, q = int(i[x[k]]), int(j[y[k]])
+        cp, cq = top(int(groups[p])), top(int(groups[q]))
+        if cp == cq:
+            continue
+        for m in (p, q):
+            if m not in sets:
+                sets[m] = shingle_set(texts[m])
+        common = _common(sets[p], sets[q])
+        if common and 100 * common >= PERCENT * (len(sets[p]) + len(sets[q]) - common):
+            parent[max(cp, cq)] = min(cp, cq)
+            out.append((int(ids[p]), int(ids[q])))
+    return pd.DataFrame(out, columns=["u", "v"])
 
 
 def _pairs(left: str, right: str) -> list:
@@ -218,16 +237,19 @@ def _representative_links(documents: DataFrame, sketches: DataFrame) -> DataFram
     first = buckets.join(hubs, "key").where("doc_id != hub").select(*_pairs("doc_id", "hub")).distinct()
     tested = cut(first)
     links = cut(_verified(tested, signatures, texts))
-    for candidates in (_by_hubs, _by_nearest, _all_others):
+    for step in ("hubs", "rest"):
         found = cut(components(links))
         state = buckets.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         state = state.select("key", "band", "size", "doc_id", F.coalesce("component", "doc_id").alias("c"))
         spread = state.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
         state = cut(state.join(spread, "key"))
-        more = cut(candidates(state, signatures).distinct().join(tested, ["a", "b"], "left_anti"))
-        if not more.isEmpty():
-            tested = tested.unionByName(more)
-            links = cut(links.unionByName(_verified(more, signatures, texts)))
+        pairs = _by_hubs(state) if step == "hubs" else _in_small_buckets(state)
+        more = cut(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
+        tested = tested.unionByName(more)
+        new = _verified(more, signatures, texts)
+        if step == "rest":
+            new = new.unionByName(_in_large_buckets(state, signatures, texts))
+        links = cut(links.unionByName(new))
     return components(links)
 
 
@@ -237,35 +259,31 @@ def _joined(state: DataFrame, other: DataFrame, ordered: bool) -> DataFrame:
     return met.select(*_pairs("doc_id", "hub"))
 
 
-def _by_hubs(state: DataFrame, signatures: DataFrame) -> DataFrame:
+def _by_hubs(state: DataFrame) -> DataFrame:
     slot = F.pmod(F.xxhash64("doc_id", "key"), F.lit(HUBS))
     other = state.groupBy("key", slot.alias("slot")).agg(F.max(F.struct("doc_id", "c")).alias("o"))
     return _joined(state, other.select("key", F.col("o.doc_id").alias("hub"), F.col("o.c").alias("hub_c")), ordered=False)
 
 
-def _compared(state: DataFrame, signatures: DataFrame, nearest: int | None) -> DataFrame:
+def _in_small_buckets(state: DataFrame) -> DataFrame:
+    small = state.where(F.col("size") <= SMALL)
+    return _joined(small, small.select("key", F.col("doc_id").alias("hub"), F.col("c").alias("hub_c")), ordered=True)
+
+
+def _in_large_buckets(state: DataFrame, signatures: DataFrame, texts: DataFrame) -> DataFrame:
     chunks = F.ceil(F.col("size") / CHUNK).cast("int")
     dealt = state.where(F.col("size") > SMALL).withColumn("chunk", F.pmod(F.xxhash64("doc_id"), chunks).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
     dealt = dealt.withColumn("low", F.least("chunk", "other")).withColumn("high", F.greatest("chunk", "other"))
     return (
         dealt.join(signatures, "doc_id")
-        .select("key", "band", "low", "high", "doc_id", "c", "chunk", "signature")
+        .join(texts, "doc_id")
+        .select("key", "band", "low", "high", "doc_id", "c", "chunk", "signature", "text")
         .groupBy("key", "band", "low", "high")
-        .applyInPandas(_in_blocks(nearest), "a long, b long")
+        .applyInPandas(_links_in_block, "u long, v long")
     )
 
 
-def _by_nearest(state: DataFrame, signatures: DataFrame) -> DataFrame:
-    return _compared(state, signatures, NEAREST)
-
-
-def _all_others(state: DataFrame, signatures: DataFrame) -> DataFrame:
-    small = state.where(F.col("size") <= SMALL)
-    other = small.select("key", F.col("doc_id").alias("hub"), F.col("c").alias("hub_c"))
-    return _joined(small, other, ordered=True).unionByName(_compared(state, signatures, None))
-
-
 def near_copies(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
     slim = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
