@@ -12,19 +12,26 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+#: Up to so many edges, least neighbours (no more rows than twice that) are broadcast instead of shuffled.
+BROADCAST_EDGES = 500_000
+EDGES_PER_TASK = 50_000
+
+
+def _large_star(edges: DataFrame, small: bool) -> DataFrame:
     """Every larger neighbour of a node is tied to the node's least neighbour (or to the node itself)."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+    tied = both.where("v > u").join(F.broadcast(least) if small else least, "u")
+    return tied.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, small: bool) -> DataFrame:
     """A node and its smaller neighbours are tied to the least of these."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
+    joined = down.join(F.broadcast(least) if small else least, "u")
+    ties = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))))
+    return joined.select(ties.alias("t")).select("t.u", "t.v").where("u != v").distinct()
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -37,11 +44,14 @@ def components(links: DataFrame) -> DataFrame:
     edges = cut(links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = _mark(edges)
     while True:
-        edges = cut(_small_star(_large_star(edges)))
+        small = mark[0] <= BROADCAST_EDGES
+        dealt = edges.coalesce(mark[0] // EDGES_PER_TASK + 1)
+        edges = cut(_small_star(cut(_large_star(dealt, small)).coalesce(mark[0] // EDGES_PER_TASK + 1), small))
         now = _mark(edges)
         if now == mark:
             break
         mark = now
+    edges = edges.coalesce(mark[0] // EDGES_PER_TASK + 1)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

@@ -28,8 +28,8 @@ from pyspark.sql.functions import pandas_udf
 from .common import id_fold, labelled_texts
 
 FEATURES = 1 << 18
-PER_CLASS = 2000
-MAX_CHARS = 20_000
+PER_CLASS = 1500
+MAX_CHARS = 10_000
 THRESHOLD = 0.7
 PIECE = 1 << 20
 #: Smaller weights are dropped.
