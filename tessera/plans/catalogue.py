@@ -5,27 +5,184 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..functions.nulls import missing_fields
+from ..operators import history, offers, retrieval
 from ..operators.ranking import rank_nulls_last
 
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
 
-def _rank_nulls_last(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr(
-        "p_partkey", "p_brand", "nullif(p_size % 7, 0) AS rate", "nullif(p_size % 5, 0) AS term"
+
+def _query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+@_query("""
+    SELECT p_partkey, p_brand, nullif(p_size % 7, 0) AS rate, nullif(p_size % 5, 0) AS term,
+      CAST(row_number() OVER (PARTITION BY p_brand ORDER BY nullif(p_size % 7, 0) ASC NULLS LAST, p_partkey) AS INT) AS position,
+      concat_ws(',', CASE WHEN p_size % 7 = 0 THEN 'rate' END, CASE WHEN p_size % 5 = 0 THEN 'term' END) AS missing
+    FROM part""")
+def rank_nulls_last_by_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _table(spark, sf_dir, "part").selectExpr("p_partkey", "p_brand", "nullif(p_size % 7, 0) AS rate", "nullif(p_size % 5, 0) AS term")
+    return rank_nulls_last(part, "rate", ["p_partkey"], within=["p_brand"]).withColumn("missing", missing_fields(["rate", "term"]))
+
+
+QUERIES["rank_nulls_last"], SQL["rank_nulls_last"] = QUERIES.pop("rank_nulls_last_by_brand"), SQL.pop("rank_nulls_last_by_brand")
+
+
+@_query("""
+    WITH p AS (SELECT p_partkey, p_brand, nullif(p_size % 7, 0) AS rate, nullif(p_size % 5, 0) AS term, p_retailprice AS price FROM part),
+    w AS (SELECT *, coalesce(rate = min(rate) OVER b, false)::INT + coalesce(term = max(term) OVER b, false)::INT
+      + coalesce(price = min(price) OVER b, false)::INT AS wins FROM p WINDOW b AS (PARTITION BY p_brand)),
+    m AS (SELECT *, max(wins) OVER (PARTITION BY p_brand) AS best FROM w)
+    SELECT p_partkey, p_brand, rate, term, price, wins,
+      wins = best AND best > 0 AND sum((wins = best)::INT) OVER (PARTITION BY p_brand) = 1 AS winner FROM m""")
+def composite_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _table(spark, sf_dir, "part").selectExpr(
+        "p_partkey", "p_brand", "nullif(p_size % 7, 0) AS rate", "nullif(p_size % 5, 0) AS term", "p_retailprice AS price"
+    )
+    return offers.composite_winners(part, "p_brand", {"rate": True, "term": False, "price": True})
+
+
+@_query("""
+    SELECT a.s_suppkey, a.s_nationkey, a.s_acctbal, CASE WHEN count(b.s_suppkey) > 1 THEN
+      round((count(*) FILTER (b.s_acctbal > a.s_acctbal) + 0.5::DOUBLE * (count(*) FILTER (b.s_acctbal = a.s_acctbal) - 1)) / (count(*) - 1), 4) END AS percentile
+    FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey GROUP BY ALL""")
+def axis_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    supplier = _table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
+    return offers.half_tie_percentile(supplier, "s_nationkey", "s_acctbal", low_is_better=True)
+
+
+@_query("""
+    WITH o AS (SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_orderdate::DATE END AS s,
+      CASE WHEN o_orderstatus <> 'F' THEN (o_orderdate + INTERVAL 90 DAY)::DATE END AS e FROM orders)
+    SELECT o_orderkey, CASE WHEN e < DATE '1996-06-01' THEN 'EXPIRED' WHEN s > DATE '1996-06-01' THEN 'BILINMIYOR'
+      WHEN e >= DATE '1996-06-01' THEN 'ACTIVE' WHEN s IS NOT NULL AND e IS NULL THEN 'ACTIVE' ELSE 'BILINMIYOR' END AS state FROM o""")
+def lifecycle_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey", "IF(o_orderstatus <> 'P', CAST(o_orderdate AS DATE), NULL) AS s", "IF(o_orderstatus <> 'F', date_add(CAST(o_orderdate AS DATE), 90), NULL) AS e"
+    )
+    return orders.select("o_orderkey", offers.lifecycle("s", "e", F.lit("1996-06-01").cast("date")).alias("state"))
+
+
+@_query("""
+    WITH o AS (SELECT o_orderkey, o_totalprice AS p, (o_orderkey % 20) / 1000.0::DOUBLE AS r, CAST(6 + o_orderkey % 31 AS INT) AS n FROM orders)
+    SELECT o_orderkey, round(CASE WHEN r = 0 THEN p / n ELSE p * r * pow(1 + r, n) / (pow(1 + r, n) - 1) END, 4) AS pay FROM o""")
+def annuity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey", "o_totalprice AS p", "CAST(o_orderkey % 20 AS DOUBLE) / 1000.0D AS r", "CAST(6 + o_orderkey % 31 AS INT) AS n"
+    )
+    return orders.select("o_orderkey", F.round(offers.instalment("p", "r", "n"), 4).alias("pay"))
+
+
+@_query()
+def amortisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey", "o_totalprice AS p", "CAST(o_orderkey % 20 AS DOUBLE) / 1000.0D AS r", "CAST(6 + o_orderkey % 31 AS INT) AS n"
+    )
+    return offers.schedule(orders, "p", "r", "n")
+
+
+@_query("""
+    SELECT user_id, event_type, event_id, ts, value FROM events
+    QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1""")
+def latest_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "ts", "value")
+    return history.latest(events, ["user_id", "event_type"], ["ts", "event_id"])
+
+
+@_query("""
+    SELECT user_id, event_type, count(*) AS versions, arg_min(value, (ts, event_id)) AS first_value, arg_max(value, (ts, event_id)) AS last_value,
+      arg_min(value, (ts, event_id)) IS DISTINCT FROM arg_max(value, (ts, event_id)) AS changed_value FROM events GROUP BY 1, 2""")
+def first_last_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.first_and_last(_table(spark, sf_dir, "events"), ["user_id", "event_type"], ["ts", "event_id"], ["value"])
+
+
+@_query("""
+    SELECT sha256(trim(regexp_replace(lower(text), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))) AS content_hash, min(doc_id) AS doc_id, count(*) AS copies
+    FROM documents GROUP BY 1""")
+def keep_first_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.keep_first(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "doc_id")
+
+
+@_query("""
+    WITH j AS (SELECT source, quality, toxic FROM documents LEFT JOIN labels USING (doc_id)),
+    f AS (SELECT source, count(*) AS total, 'quality' AS field, count(quality) AS filled FROM j GROUP BY 1
+      UNION ALL SELECT source, count(*), 'toxic', count(toxic) FROM j GROUP BY 1)
+    SELECT source, total, field, filled, round(filled * 100.0::DOUBLE / total, 1) AS percent FROM f""")
+def fill_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = _table(spark, sf_dir, "documents").select("doc_id", "source").join(_table(spark, sf_dir, "labels"), "doc_id", "left")
+    return history.fill_rates(joined, ["source"], ["quality", "toxic"])
+
+
+@_query("""SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)""")
+def text_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    return docs.alias("d").join(items.alias("b"), F.col("d.text").contains(F.col("b.text"))).select("doc_id", "item_id")
+
+
+@_query("""
+    SELECT page_id, regexp_extract(regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', ''), '([^/]*)$', 1) AS last_part FROM pages""")
+def url_last_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return pages.select("page_id", F.regexp_extract(F.regexp_replace(F.regexp_replace("url", "[?#].*$", ""), "/+$", ""), "([^/]*)$", 1).alias("last_part"))
+
+
+@_query("""
+    WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[0-9]+(?:[.,/][0-9]+)*|[a-zçğıöşüâîû]+')) AS term FROM documents)
+    SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2""")
+def term_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.postings(_table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+_SPARSE = """
+    dt AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[0-9]+(?:[.,/][0-9]+)*|[a-zçğıöşüâîû]+')) AS term FROM documents),
+    d AS (SELECT doc_id, term, count(*) AS tf FROM dt GROUP BY 1, 2),
+    qt AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[0-9]+(?:[.,/][0-9]+)*|[a-zçğıöşüâîû]+')) AS term FROM benchmark),
+    q AS (SELECT item_id, term, count(*) AS tf FROM qt GROUP BY 1, 2),
+    i AS (SELECT term, ln(1 + ((SELECT count(*) FROM documents) - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf FROM d GROUP BY 1),
+    s AS (SELECT item_id, doc_id, round(sum(q.tf * idf * d.tf), 6) AS score FROM q JOIN i USING (term) JOIN d USING (term) GROUP BY 1, 2)"""
+
+
+@_query(f"""
+    WITH {_SPARSE}
+    SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS position FROM s
+    QUALIFY position <= 5""")
+def sparse_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    asked = retrieval.postings(_table(spark, sf_dir, "benchmark"), "item_id", "text")
+    return retrieval.sparse_search(asked, retrieval.postings(docs, "doc_id", "text"), "item_id", "doc_id", docs.agg(F.count(F.lit(1)).alias("n")), 5)
+
+
+@_query("""SELECT count(*) AS n_rows, count(DISTINCT p_brand) AS n_brands, min(nullif(p_size % 7, 0)) AS least_rate FROM part""")
+def overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _table(spark, sf_dir, "part")
+    return part.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("p_brand").alias("n_brands"), F.min(F.expr("nullif(p_size % 7, 0)")).alias("least_rate"))
+
+
+@_query("""SELECT event_type, max(ts) AS newest, count(DISTINCT user_id) AS n_keys, count(*) AS n_rows FROM events GROUP BY 1""")
+def freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "events").groupBy("event_type").agg(
+        F.max("ts").alias("newest"), F.count_distinct("user_id").alias("n_keys"), F.count(F.lit(1)).alias("n_rows")
     )
-    ranked = rank_nulls_last(part, "rate", ["p_partkey"])
-    return ranked.withColumn("missing", missing_fields(["rate", "term"]))
-
-
-QUERIES = {"rank_nulls_last": _rank_nulls_last}
-SQL = {
-    "rank_nulls_last": """
-        SELECT p_partkey, p_brand, nullif(p_size % 7, 0) AS rate, nullif(p_size % 5, 0) AS term,
-          CAST(row_number() OVER (ORDER BY nullif(p_size % 7, 0) ASC NULLS LAST, p_partkey) AS INT) AS position,
-          concat_ws(',', CASE WHEN p_size % 7 = 0 THEN 'rate' END, CASE WHEN p_size % 5 = 0 THEN 'term' END) AS missing
-        FROM part""",
-}
+
+
+@_query()
+def masked_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", T.mask(F.col("text")).alias("text"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
