@@ -84,8 +84,9 @@ def replicate(
         slot = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(SALTS)).cast("int")
         joined = documents.withColumn("_tessera_salt", slot).join(salted, same & (F.col("_tessera_salt") == F.col("_tessera_slot")))
         joined = joined.drop("_tessera_salt", "_tessera_slot")
+    # the number is made of columns of both sides before it is compared, so that no filter on it moves below the join
     unit = hashed_unit(F.col("doc_id"), "copies", seed)
-    below = F.size(F.filter("_tessera_cdf", lambda p: p <= unit))
+    below = F.array_position(F.array_sort(F.array_append("_tessera_cdf", unit)), unit) - 1
     return joined.withColumn("_tessera_copies", below).where("_tessera_copies > 0").drop("_tessera_source", "_tessera_cdf")
 
 
