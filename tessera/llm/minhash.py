@@ -223,15 +223,16 @@ def _pairs(left: str, right: str) -> list:
 
 def _representative_links(documents: DataFrame, sketches: DataFrame) -> DataFrame:
     """component of every representative that is linked: node, component."""
-    signatures = sketches.select("doc_id", "signature").distinct()
+    signatures = cut(sketches.select("doc_id", "signature").distinct())
     band_key = F.xxhash64("band", F.expr(f"substring(signature, {4 * ROWS} * band + 1, {4 * ROWS})"))
     keys = signatures.withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))).select(band_key.alias("key"), "doc_id", "band")
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     buckets = cut(keys.join(sizes, "key"))
     weights = buckets.groupBy("doc_id").agg(F.sum("size").alias("weight"))
     ids = cut(weights.select("doc_id"))
-    texts = documents.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
-    texts = cut(texts.where(F.col("text").isNotNull()))
+    near = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    texts = cut(documents.where(F.col("text").isNotNull()).join(near, "doc_id", "left_semi"))
+    signatures = cut(signatures.join(near, "doc_id", "left_semi"))
 
     hubs = buckets.join(weights, "doc_id").groupBy("key").agg(F.max_by("doc_id", F.struct("weight", -F.col("doc_id"))).alias("hub"))
     first = buckets.join(hubs, "key").where("doc_id != hub").select(*_pairs("doc_id", "hub")).distinct()
