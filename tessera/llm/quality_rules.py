@@ -14,7 +14,7 @@ narrow bins of the logarithm, so no group is ever gathered or sorted in one task
 
 Defined results: null text is empty text; empty text has 0 of everything and fails the base rule; null
 language or source is a group of its own; repeated rows are judged each, alike; an empty table gives no
-rows; extra columns are ignored. Windows are compared by 64-bit hashes of their five words.
+rows; extra columns are ignored. Windows are compared by 64-bit hashes of their five words' hashes.
 """
 
 from __future__ import annotations
@@ -46,33 +46,35 @@ _P = range(len(X))
 def base_statistics(documents: DataFrame) -> DataFrame:
     """doc_id, lang, source, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    words = F.array_remove(F.split(text, "[\\x20\\x09-\\x0D]+", -1), "")
-    lines = F.filter(F.split(text, "\n", -1), lambda line: F.translate(line, WORD_SPACE, "") != "")
-    one = documents.select("doc_id", "lang", "source", text.alias("text"), words.alias("words"), lines.alias("lines"))
+    spaced = F.col("text")
+    for space in WORD_SPACE.replace(" ", ""):
+        spaced = F.replace(spaced, F.lit(space), F.lit(" "))
+    lines = F.filter(F.split("text", "\n", -1), lambda line: F.trim(line, F.lit(WORD_SPACE)) != "")
+    one = documents.select("doc_id", "lang", "source", text.alias("text"))
+    one = one.select("*", F.array_remove(F.split(spaced, " ", -1), "").alias("words"), lines.alias("lines"))
     n = F.size("words")
-    hashes = F.when(
-        n >= WINDOW,
-        F.transform(F.sequence(F.lit(1), F.greatest(n - (WINDOW - 1), F.lit(1))), lambda i: F.xxhash64(F.slice("words", i, WINDOW))),
-    ).otherwise(F.array().cast("array<bigint>"))
+    without = lambda c: F.octet_length("text") - F.octet_length(F.replace("text", F.lit(c), F.lit("")))
     two = one.select(
         "doc_id", "lang", "source",
         n.cast("long").alias("n_words"),
-        F.length(F.translate("text", WORD_SPACE, "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        sum((without(c) for c in SYMBOLS[1:]), without(SYMBOLS[0])).cast("long").alias("n_symbols"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        hashes.alias("hashes"),
+        F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"),
     )
+    window = F.transform("hashes", lambda h, i: F.xxhash64(h, *[F.get("hashes", i + k) for k in range(1, WINDOW)]))
+    two = two.withColumn("hashes", F.slice(window, 1, F.greatest(F.size("hashes") - (WINDOW - 1), F.lit(0))))
     by_hash = F.when(
         F.size(F.array_distinct("hashes")) < F.size("hashes"),
-        F.array_sort(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
+        F.sort_array(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
     )
     three = two.withColumn("by_hash", by_hash)
     beside = lambda k: F.try_element_at(F.col("by_hash"), k)["h"]
     twice = F.filter(
         "by_hash", lambda w, k: ((k > 0) & beside(F.greatest(k, F.lit(1))).eqNullSafe(w["h"])) | beside(k + 2).eqNullSafe(w["h"])
     )
-    places = F.array_sort(F.transform(twice, lambda w: w["i"]))
+    places = F.sort_array(F.transform(twice, lambda w: w["i"]))
     covered = F.aggregate(
         places,
         F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")),
