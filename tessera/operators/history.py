@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -38,3 +38,31 @@ def fill_rates(df: DataFrame, group: list[str], fields: list[str]) -> DataFrame:
     """Per group and field: filled, total and percent with one digit."""
     ids = df.groupBy(*group).agg(F.count(F.lit(1)).alias("total"), *[F.count(c).alias(c) for c in fields])
     return ids.unpivot([*group, "total"], fields, "field", "filled").withColumn("percent", F.round(F.col("filled") * F.lit(100.0) / F.col("total"), 1))
+
+
+def changes(df: DataFrame, key: list[str], order: list[str], content: str) -> DataFrame:
+    """The versions whose content differs from that of the version before; a key's first version is one."""
+    before = Window.partitionBy(*key).orderBy(*order)
+    marked = df.withColumn("_first", F.row_number().over(before) == 1).withColumn("_before", F.lag(content).over(before))
+    return marked.where(F.col("_first") | ~F.col(content).eqNullSafe(F.col("_before"))).drop("_first", "_before")
+
+
+def version_stats(df: DataFrame, group: list[str], key: list[str]) -> DataFrame:
+    """Per group: snapshots, distinct keys, mean versions of a key, keys with several versions."""
+    by_key = df.groupBy(*group, *key).agg(F.count(F.lit(1)).alias("n"))
+    return by_key.groupBy(*group).agg(
+        F.sum("n").alias("snapshots"), F.count(F.lit(1)).alias("n_keys"), F.round(F.avg("n"), 4).alias("mean_versions"), F.count_if(F.col("n") > 1).alias("several"),
+    )
+
+
+def duplicates(df: DataFrame, text: str, key: str) -> DataFrame:
+    """key, first: rows whose text an earlier key has too; null texts are no duplicates. Hashes travel, texts don't."""
+    hashed = df.where(F.col(text).isNotNull()).select(key, F.sha2(F.col(text), 256).alias("_hash"))
+    first = hashed.groupBy("_hash").agg(F.min(key).alias("first"))
+    return hashed.join(first, "_hash").where(F.col(key) != F.col("first")).select(key, "first")
+
+
+def both_axes(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Rows of two tables counted per key, 0 where one side lacks it: key, n_left, n_right."""
+    a, b = left.groupBy(key).agg(F.count(F.lit(1)).alias("n_left")), right.groupBy(key).agg(F.count(F.lit(1)).alias("n_right"))
+    return a.join(b, key, "full_outer").na.fill(0, ["n_left", "n_right"])

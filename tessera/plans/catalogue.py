@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.nulls import missing_fields
-from ..operators import history, offers, retrieval
+from ..operators import accuracy, history, offers, retrieval, selection
 from ..operators.ranking import rank_nulls_last
+from ..sources import raw
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -185,6 +186,159 @@ def masked_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", T.mask(F.col("text")).alias("text"))
 
 
+@_query("""
+    WITH p AS (SELECT p_partkey, p_type, nullif(p_size % 7, 0) AS rate, p_retailprice AS price FROM part),
+    m AS (SELECT *, coalesce(rate = min(rate) OVER t, false) AS lead_rate, coalesce(price = min(price) OVER t, false) AS lead_price FROM p WINDOW t AS (PARTITION BY p_type))
+    SELECT *, lead_rate::INT + lead_price::INT AS n_leads FROM m""")
+def competitor_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _table(spark, sf_dir, "part").selectExpr("p_partkey", "p_type", "nullif(p_size % 7, 0) AS rate", "p_retailprice AS price")
+    return offers.competitor_matrix(part, "p_type", {"rate": True, "price": True})
+
+
+_PERCENTILE = """(SELECT CASE WHEN count({c}) > 1 THEN round((count(*) FILTER (b.{c} {worse} a.{c}) + 0.5::DOUBLE * (count(*) FILTER (b.{c} = a.{c}) - 1))
+      / (count({c}) - 1), 4) END FROM p b WHERE b.p_type = a.p_type)"""
+
+
+@_query(f"""
+    WITH p AS (SELECT p_partkey, p_type, nullif(p_size % 7, 0) AS rate, p_size AS size, p_retailprice AS price FROM part),
+    n AS (SELECT p_type, count(*) AS peers FROM p GROUP BY 1),
+    q AS (SELECT p_partkey, peers, CASE WHEN rate IS NOT NULL THEN {_PERCENTILE.format(c="rate", worse=">")} END AS x,
+      {_PERCENTILE.format(c="size", worse="<")} AS y, {_PERCENTILE.format(c="price", worse=">")} AS z FROM p a JOIN n USING (p_type)),
+    k AS (SELECT *, (x IS NOT NULL)::INT + (y IS NOT NULL)::INT + (z IS NOT NULL)::INT AS known FROM q)
+    SELECT p_partkey, CASE WHEN peers >= 3 AND known >= 2 THEN round((coalesce(x, 0) + coalesce(y, 0) + coalesce(z, 0)) / known, 6) END AS score FROM k""")
+def financial_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _table(spark, sf_dir, "part").selectExpr("p_partkey", "p_type", "nullif(p_size % 7, 0) AS rate", "p_size AS size", "p_retailprice AS price")
+    return offers.financial_score(part, "p_type", {"rate": True, "size": False, "price": True}, digits=6).select("p_partkey", "score")
+
+
+@_query("""
+    WITH o AS (SELECT o_orderkey, o_totalprice / 100 AS a, (o_orderkey % 20) / 1000.0::DOUBLE AS r, CAST(6 + o_orderkey % 31 AS INT) AS n FROM orders)
+    SELECT o_orderkey, round(CASE WHEN r = 0 THEN a * n ELSE a * (pow(1 + r, n) - 1) / (r * pow(1 + r, n)) END, 4) AS principal FROM o""")
+def inverse_annuity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey", "o_totalprice / 100 AS a", "CAST(o_orderkey % 20 AS DOUBLE) / 1000.0D AS r", "CAST(6 + o_orderkey % 31 AS INT) AS n"
+    )
+    return orders.select("o_orderkey", F.round(offers.affordable_principal("a", "r", "n"), 4).alias("principal"))
+
+
+@_query("""
+    WITH o AS (SELECT o_custkey, o_orderkey, o_totalprice AS p, (o_orderkey % 20) / 1000.0::DOUBLE AS r, CAST(6 + o_orderkey % 31 AS INT) AS n FROM orders),
+    t AS (SELECT o_custkey, o_orderkey, round(n * CASE WHEN r = 0 THEN p / n ELSE p * r * pow(1 + r, n) / (pow(1 + r, n) - 1) END, 4) AS total FROM o)
+    SELECT o_custkey, arg_min(o_orderkey, (total, o_orderkey)) AS o_orderkey, min(total) AS total FROM t GROUP BY 1""")
+def cheapest_option(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _table(spark, sf_dir, "orders").selectExpr(
+        "o_custkey", "o_orderkey", "o_totalprice AS p", "CAST(o_orderkey % 20 AS DOUBLE) / 1000.0D AS r", "CAST(6 + o_orderkey % 31 AS INT) AS n"
+    )
+    return offers.cheapest(orders.withColumn("total", F.round(F.col("n") * offers.instalment("p", "r", "n"), 4)), "o_custkey", "o_orderkey", "total")
+
+
+@_query("""
+    SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type) OVER u AS before, row_number() OVER u AS k FROM events WINDOW u AS (PARTITION BY user_id ORDER BY ts, event_id))
+    WHERE k = 1 OR event_type IS DISTINCT FROM before""")
+def delta_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
+    return history.changes(events, ["user_id"], ["ts", "event_id"], "event_type").drop("ts")
+
+
+@_query("""
+    SELECT event_type, CAST(sum(n) AS BIGINT) AS snapshots, count(*) AS n_keys, round(avg(n), 4) AS mean_versions, count(*) FILTER (n > 1) AS several
+    FROM (SELECT event_type, user_id, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 1""")
+def version_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.version_stats(_table(spark, sf_dir, "events"), ["event_type"], ["user_id"])
+
+
+@_query("""
+    SELECT doc_id, first FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(text)) AS first FROM documents WHERE text IS NOT NULL) WHERE doc_id <> first""")
+def cross_url_duplicate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.duplicates(_table(spark, sf_dir, "documents"), "text", "doc_id")
+
+
+@_query("""
+    SELECT coalesce(c.k, s.k) AS nation, coalesce(c.n, 0) AS n_left, coalesce(s.n, 0) AS n_right FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1) c
+    FULL JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1) s ON c.k = s.k""")
+def bank_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = _table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"))
+    return history.both_axes(customers, _table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation")), "nation")
+
+
+_GUESS = "CASE WHEN n_chars >= 1000 THEN 1 WHEN n_chars >= 200 THEN 0 END"
+
+
+@_query(f"""
+    WITH j AS (SELECT quality, toxic, {_GUESS} AS guess FROM documents LEFT JOIN labels USING (doc_id)),
+    l AS (SELECT 'quality' AS field, quality AS g, guess AS p FROM j UNION ALL SELECT 'toxic', toxic, guess FROM j),
+    c AS (SELECT field, count(*) FILTER (g = p) AS correct, count(*) FILTER (g <> p) AS wrong, count(*) FILTER (g IS NOT NULL AND p IS NULL) AS missed,
+      count(*) FILTER (g IS NULL AND p IS NOT NULL) AS invented, count(*) FILTER (g IS NULL AND p IS NULL) AS correct_empty FROM l GROUP BY 1),
+    m AS (SELECT *, correct::DOUBLE / nullif(correct + wrong + invented, 0) AS a, correct::DOUBLE / nullif(correct + wrong + missed, 0) AS b FROM c)
+    SELECT field, correct, wrong, missed, invented, correct_empty, round(100 * a, 6) AS precision, round(100 * b, 6) AS recall,
+      round(100 * CASE WHEN a + b > 0 THEN 2 * a * b / (a + b) WHEN a + b = 0 THEN 0 END, 6) AS f1 FROM m""")
+def confusion_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.expr(_GUESS).alias("guess"))
+    joined = docs.join(_table(spark, sf_dir, "labels"), "doc_id", "left")
+    return accuracy.precision_recall(accuracy.confusion(joined, {"quality": ("quality", "guess"), "toxic": ("toxic", "guess")}), 6)
+
+
+@_query("""
+    SELECT source, doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INT) AS turn FROM documents
+    QUALIFY turn <= 5 ORDER BY turn, source NULLS LAST, doc_id LIMIT 20""")
+def quota_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.round_robin(_table(spark, sf_dir, "documents").select("source", "doc_id"), "source", "doc_id", 5, 20)
+
+
+@_query("""
+    WITH d AS (SELECT DISTINCT source, doc_id FROM documents),
+    r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR), doc_id) AS k, count(*) OVER (PARTITION BY source) AS n FROM d)
+    SELECT source, doc_id, CASE WHEN n >= 3 AND k <= greatest(1, round_even(0.2::DOUBLE * n, 0)) THEN 'test' ELSE 'train' END AS part FROM r""")
+def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.stratified_split(_table(spark, sf_dir, "documents"), "source", "doc_id")
+
+
+@_query("""
+    WITH s AS (SELECT p_type, count(*) AS n FROM part GROUP BY 1), l AS (SELECT p_type FROM s ORDER BY n DESC, p_type LIMIT 5)
+    SELECT coalesce(l.p_type, 'other') AS p_type, CAST(sum(n) AS BIGINT) AS n FROM s LEFT JOIN l ON s.p_type = l.p_type GROUP BY 1""")
+def top5_other(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.leading_groups(_table(spark, sf_dir, "part"), "p_type", 5, "other")
+
+
+@_query("""SELECT coalesce(event_type, 'UNCLASSIFIED') AS theme, count(*) AS n FROM events GROUP BY 1""")
+def theme_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "events").groupBy(F.coalesce("event_type", F.lit("UNCLASSIFIED")).alias("theme")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("""
+    WITH h AS (SELECT p_partkey, contains(p_name, '1')::INT + contains(p_name, '2')::INT AS a, contains(p_name, '3')::INT + contains(p_name, '4')::INT AS b FROM part)
+    SELECT p_partkey, CASE WHEN a >= b AND a > 0 THEN 'low' WHEN b > 0 THEN 'high' END AS name, nullif(greatest(a, b), 0) AS hits FROM h""")
+def keyword_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = selection.keyword_class(F.col("p_name"), {"low": ["1", "2"], "high": ["3", "4"]})
+    return _table(spark, sf_dir, "part").select("p_partkey", found.alias("x")).select("p_partkey", "x.name", "x.hits")
+
+
+@_query("""
+    SELECT doc_id, concat_ws(',', CASE WHEN trim(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(13)) = '' THEN 'blank' END,
+      CASE WHEN length(coalesce(text, '')) < 150 THEN 'short' END, CASE WHEN contains(coalesce(text, ''), chr(65533)) OR contains(coalesce(text, ''), chr(195)) THEN 'garbled' END) AS problems,
+      length(coalesce(text, '')) BETWEEN 150 AND 999 AS brief FROM documents""")
+def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return _table(spark, sf_dir, "documents").select("doc_id", T.problems(text).alias("problems"), F.length(text).between(150, 999).alias("brief"))
+
+
+@_query("""
+    SELECT DISTINCT page_id, link FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="(/[^"#?]*)', 1)) AS link FROM pages) WHERE link NOT LIKE '//%'""")
+def link_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raw.own_links(_table(spark, sf_dir, "pages"))
+
+
+@_query("""SELECT DISTINCT p_brand FROM part""")
+def facets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "part").select("p_brand").distinct()
+
+
+@_query()
+def packed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.packed_lines(F.col("text"))).alias("position", "chunk"))
+    return docs
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return QUERIES
 
