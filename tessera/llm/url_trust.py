@@ -36,6 +36,9 @@ RATIO = 1.0
 LEAST = 1e-4
 #: Digits after the point at which scores are compared.
 DIGITS = 9
+#: Blocked hosts that are broadcast to the pages; more are joined by host and one of SALTS salts.
+BROADCAST_HOSTS = 100_000
+SALTS = 32
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _HREF = r"(?i)href\s*=\s*[\"']?([a-z][a-z0-9+.-]*:)?//([^/?#\"'\s>]*)"
@@ -97,6 +100,7 @@ def judge(
     damping: float = DAMPING,
     ratio: float = RATIO,
     least: float = LEAST,
+    broadcast_hosts: int = BROADCAST_HOSTS,
 ) -> DataFrame:
     """page_id, host, path, rule, verdict of every url."""
     name, verdict = rule_columns(rules)
@@ -115,8 +119,13 @@ def judge(
     )
     scores = host_scores(host_links(parsed), seeds, rounds, damping)
     bad = (F.round("distrust", DIGITS) > F.round(ratio * F.col("trust"), DIGITS)) & (F.round("distrust", DIGITS) > least)
-    blocked = scores.where(bad).select("host", F.lit("block").alias("by_host"))
-    return ruled.join(blocked, "host", "left").select(
+    blocked = cut(scores.where(bad).select("host", F.lit("block").alias("by_host")))
+    if blocked.count() <= broadcast_hosts:
+        joined = ruled.join(F.broadcast(blocked), "host", "left")
+    else:  # a host of many pages is dealt to several tasks
+        salted = blocked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = ruled.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
+    return joined.select(
         "page_id", "host", "path", "rule", F.coalesce("by_rule", "by_host", F.lit("allow")).alias("verdict")
     )
 

@@ -196,6 +196,7 @@ def test_rules_and_propagated_verdicts(spark):
     assert got[3].verdict == "block" and got[2].verdict == "block" and got[6].verdict == "allow"
     assert (got[7].host, got[7].path, got[7].rule, got[8].host) == ("", "", None, "")
     assert got[9].rule is None and got[10].rule is None
+    assert {r.page_id: r for r in url_trust.judge(pages, broadcast_hosts=0).collect()} == got
     assert url_trust.judge(pages.limit(0)).count() == 0
 
 
