@@ -3,16 +3,22 @@
 Listed rules (host, path) decide the urls that they fit; the longest wins. All other urls are judged by
 their host: trust spreads along links from the hosts most of whose urls are allowed by rules (personalised
 PageRank), distrust against the links' direction from the hosts most of whose urls are blocked by rules,
-and a host whose distrust exceeds ``RATIO`` times its trust, and ``LEAST``, is blocked.
+and a host is blocked whose distrust exceeds ``RATIO`` times its trust, and ``LEAST_OF_MEAN`` of the mean
+distrust of the hosts that have any. Both are relative, so a verdict doesn't turn with the size of the graph.
 
 Links are the ``href`` values of the html: absolute (``scheme://host``) or ``//host`` name another host,
 all others their own page's, and links within a host carry nothing. Edges are summed per pair of hosts
 before any join, and both directions run in one frame, so an iteration is one join and one aggregation.
+Iterations go on until what is still to come can't move any score by ``ACCURACY`` of the least distrust;
+scores nearer than that count as equal.
 Mass of hosts without links isn't dealt again: that only scales all values of one direction alike.
 
 Defined results: a null url, or one without ``://``, has empty host and path and is judged by its host,
 the empty one; null html has no links; repeated rows are judged each; an empty table gives no rows;
 extra columns are ignored. A host that no seed reaches is allowed.
+
+``oracle_sql`` does ``ROUNDS`` rounds and cuts at ``LEAST`` of all distrust, rounded to ``DIGITS``; where that cut
+or that number of rounds bites (thousands of distrusted hosts, long chains), it blocks fewer hosts than judge().
 """
 
 from __future__ import annotations
@@ -29,12 +35,15 @@ RULES = (
     ("block", "example.com", "/de/"),
     ("allow", "org", "/fr/"),
 )
-ROUNDS = 8
 DAMPING = 0.85
 RATIO = 1.0
-#: Distrust that is needed at least, as a share of all distrust.
+#: Distrust that is needed at least, as a share of the mean distrust of hosts that have any.
+LEAST_OF_MEAN = 0.006
+#: Error that a score may have, as a share of the least distrust.
+ACCURACY = 0.01
+#: For the SQL alone: rounds, least share of all distrust, and digits after the point at which scores are compared.
+ROUNDS = 8
 LEAST = 1e-4
-#: Digits after the point at which scores are compared.
 DIGITS = 9
 #: Blocked hosts that are broadcast to the pages; more are joined by host and one of SALTS salts.
 BROADCAST_HOSTS = 100_000
@@ -68,8 +77,11 @@ def host_links(pages: DataFrame) -> DataFrame:
     return links.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("n"))
 
 
-def host_scores(links: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """host, trust, distrust after so many rounds; seeds: host, allowed, blocked (numbers of urls)."""
+def host_scores(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, accuracy: float = ACCURACY * LEAST_OF_MEAN) -> tuple[DataFrame, float]:
+    """host, trust, distrust, and the mean distrust of the hosts that have any; seeds: host, allowed, blocked (numbers of urls).
+
+    No score is further than accuracy times that mean from its limit.
+    """
     both = links.select(F.lit(0).alias("kind"), "src", "dst", "n").unionByName(
         links.select(F.lit(1).alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
     )
@@ -79,27 +91,37 @@ def host_scores(links: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, dampin
         seeds.select(F.lit(1).alias("kind"), "host", F.col("blocked").alias("mass"))
     ).where("mass > 0")
     totals = start.groupBy("kind").agg(F.sum("mass").alias("total"))
-    start = cut(start.join(F.broadcast(totals), "kind").select("kind", "host", (F.col("mass") / F.col("total")).alias("score")))
-    rank = start
-    given = start.select("kind", "host", ((1 - damping) * F.col("score")).alias("score"))
-    for i in range(rounds):
-        passed = edges.join(rank.withColumnRenamed("host", "src"), ["kind", "src"]).select(
-            "kind", F.col("dst").alias("host"), (damping * F.col("share") * F.col("score")).alias("score")
-        )
-        rank = passed.unionByName(given).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-        if i % 4 == 3 or i + 1 == rounds:
-            rank = cut(rank)
+    given = ((1 - damping) * F.col("mass") / F.col("total")).alias("score")
+    # delta is what the last round added: passed on alone, it sums to all that a round changes
+    rank = cut(start.join(F.broadcast(totals), "kind").select("kind", "host", given).withColumn("delta", F.col("score")))
+    while True:
+        moving, total, reached = rank.agg(
+            F.coalesce(F.greatest(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("delta"))), F.lit(0.0)) for k in (0, 1)]), F.lit(0.0)),
+            F.coalesce(F.sum(F.when(F.col("kind") == 1, F.col("score"))), F.lit(0.0)),
+            F.count_if((F.col("kind") == 1) & (F.col("score") > 0)),
+        ).first()
+        mean = total / max(1, reached)
+        # without distrust nothing can be blocked
+        if not reached or moving * damping / (1 - damping) <= accuracy * mean:
+            break
+        for _ in range(4):
+            passed = edges.join(rank.where("delta > 0").select("kind", F.col("host").alias("src"), "delta"), ["kind", "src"]).select(
+                "kind", F.col("dst").alias("host"), (damping * F.col("share") * F.col("delta")).alias("score")
+            )
+            rank = rank.withColumn("delta", F.lit(0.0)).unionByName(passed.withColumn("delta", F.col("score")))
+            rank = rank.groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum("delta").alias("delta"))
+        rank = cut(rank)
     by = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0))
-    return rank.groupBy("host").agg(by(0).alias("trust"), by(1).alias("distrust"))
+    return rank.groupBy("host").agg(by(0).alias("trust"), by(1).alias("distrust")), mean
 
 
 def judge(
     pages: DataFrame,
     rules: tuple[tuple[str, str, str], ...] = RULES,
-    rounds: int = ROUNDS,
     damping: float = DAMPING,
     ratio: float = RATIO,
-    least: float = LEAST,
+    least: float = LEAST_OF_MEAN,
+    accuracy: float = ACCURACY,
     broadcast_hosts: int = BROADCAST_HOSTS,
 ) -> DataFrame:
     """page_id, host, path, rule, verdict of every url."""
@@ -117,8 +139,8 @@ def judge(
             F.when(2 * F.col("blocked") > F.col("n"), F.col("blocked")).otherwise(0).alias("blocked"),
         )
     )
-    scores = host_scores(host_links(parsed), seeds, rounds, damping)
-    bad = (F.round("distrust", DIGITS) > F.round(ratio * F.col("trust"), DIGITS)) & (F.round("distrust", DIGITS) > least)
+    scores, mean = host_scores(host_links(parsed), seeds, damping, accuracy * least)
+    bad = (F.col("distrust") > ratio * F.col("trust") + accuracy * least * mean) & (F.col("distrust") > least * mean)
     blocked = cut(scores.where(bad).select("host", F.lit("block").alias("by_host")))
     if blocked.count() <= broadcast_hosts:
         joined = ruled.join(F.broadcast(blocked), "host", "left")

@@ -200,6 +200,17 @@ def test_rules_and_propagated_verdicts(spark):
     assert url_trust.judge(pages.limit(0)).count() == 0
 
 
+def test_verdicts_do_not_turn_with_the_number_of_hosts(spark):
+    link = '<a href="http://{}/x">'
+    many = [(i, f"http://bad{i % 6000}.net/x" if i < 6000 else f"http://h{i}.com/", link.format(f"bad{i - 6000}.net") if i >= 6000 else "") for i in range(12000)]
+    got = {r.page_id: r.verdict for r in url_trust.judge(spark.createDataFrame(many, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == "block" for i in range(12000))
+    chain = [(0, "http://c0.net/x", "")] + [(i, f"http://c{i}.com/", link.format(f"c{i - 1}.com" if i > 1 else "c0.net")) for i in range(1, 15)]
+    chain += [(20, "http://fine.org/fr/1", link.format("good.com")), (21, "http://good.com/", link.format("c0.net"))]
+    got = {r.page_id: r.verdict for r in url_trust.judge(spark.createDataFrame(chain, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == "block" for i in range(15)) and got[20] == got[21] == "allow"
+
+
 def test_archive_is_an_exact_round_trip(spark, tmp_path):
     big, other = "x" * 1500, "é" * 800
     rows = [(1, "u1", big), (2, None, big), (3, "u\r\n3", big), (4, "u4", other), (5, "u5", None), (6, "u6", ""), (7, "u7", "small"), (8, "u8", "small"), (None, "n", big)]
