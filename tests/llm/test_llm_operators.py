@@ -133,6 +133,21 @@ def test_vectors_equal_brute_force(spark, monkeypatch, large):
     assert all(got[i].n_links == 0 and got[i].component_id == i for i in range(200, 205))
 
 
+def test_largest_scale_finds_as_many_near_vectors(spark):
+    rng = np.random.default_rng(6)
+    n, length = 1000, 64
+    a, b = rng.normal(size=(2, n, length))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1)[:, None] * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    near = 0.951 * a + np.sqrt(1 - 0.951**2) * b
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.concatenate([a, near]))], "vec_id long, embedding array<double>")
+    for scale in (1.2, 1.4, 1.6):
+        got = {r.vec_id: r for r in lattice.near_copies(frame, scale=scale).collect()}
+        found = np.mean([got[i].n_links == 1 and got[n + i].component_id == i and not got[n + i].kept for i in range(n)])
+        assert found >= 0.99, (scale, found)
+
+
 def test_packing_is_a_round_trip(spark):
     from tokenizers import Tokenizer
 
