@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -43,42 +44,67 @@ def unit_hash(*cols: Column) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 52)).cast("double") / float(1 << 52)
 
 
-def bounded_labels(labels: DataFrame, label: str, per_class: int, learn: Column) -> DataFrame:
-    """At most per_class ids of each label value 0 and 1, the lowest by hash: (doc_id, label).
+def bounded_labels(documents: DataFrame, labels: DataFrame, label: str, per_class: int, learn: Column) -> DataFrame:
+    """At most per_class ids of each label value 0 and 1, the lowest by hash: (doc_id, label, n), n characters.
 
-    Null ids and other label values are left out; an id with both values counts as 1.
+    Only ids of documents with a text are chosen. Null ids and other label values are left out; an id
+    with both values counts as 1; of repeated ids the longest text counts.
     """
     slim = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & learn)
         .groupBy("doc_id")
         .agg(F.max(F.col(label)).cast("int").alias("label"))
     )
+    there = documents.where(F.col("text").isNotNull()).select("doc_id", F.length("text").alias("n")).join(slim, "doc_id")
+    there = there.groupBy("doc_id", "label").agg(F.max("n").alias("n"))
     parts = [
-        slim.where(F.col("label") == k).orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(per_class)
+        there.where(F.col("label") == k).orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(per_class)
         for k in (0, 1)
     ]
     return parts[0].unionByName(parts[1])
 
 
-def labelled_texts(
+def longest_fit(sizes: list[int], room: int) -> int:
+    """The largest length so that sizes, each cut to it, add up to at most room."""
+    for i, n in enumerate(found := sorted(sizes)):
+        if n * (len(found) - i) > room:
+            return room // (len(found) - i)
+        room -= n
+    return max(sizes, default=0)
+
+
+def whole_sentences(text: str, size: int) -> str:
+    """The start of a text, of at most size characters, up to the end of a sentence or else of a word."""
+    if len(text) <= size:
+        return text
+    start = text[:size]
+    end = max(start.rfind(c) for c in ".!?\n") + 1
+    return start[:end] if end else start[: max(start.rfind(c) for c in WORD_SPACE)] if re.search(r"\s", start) else start
+
+
+def labelled_sample(
     documents: DataFrame, labels: DataFrame, label: str, per_class: int, max_chars: int, learn: Column
-) -> tuple[list[str], list[int]]:
-    """A bounded training sample, collected: at most 2 * per_class texts of at most max_chars each.
+) -> tuple[DataFrame, int]:
+    """A bounded training sample (doc_id, label, text), and the length at which texts are to be cut.
 
-    Longer texts and null texts are not learnt from (they are scored all the same). The ids are at
-    most 2 * per_class rows, so they are broadcast.
+    All chosen texts together have at most 2 * per_class * max_chars characters. That is the only
+    bound: while they keep it all are whole; else the longest are cut, never below max_chars. Null texts
+    are not learnt from (they are scored all the same). The ids are at most 2 * per_class rows, so they
+    are collected and broadcast.
     """
-    ids = bounded_labels(labels, label, per_class, learn)
+    chosen = bounded_labels(documents, labels, label, per_class, learn).collect()
+    size = longest_fit([r.n for r in chosen], 2 * per_class * max_chars)
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    ids = documents.sparkSession.createDataFrame([(r.doc_id, r.label) for r in chosen], f"doc_id {kind}, label int")
     rows = (
         documents.select("doc_id", "text")
-        .where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
+        .where(F.col("text").isNotNull())
         .join(F.broadcast(ids), "doc_id")
+        .select("doc_id", "label", F.substring("text", 1, size + 1).alias("text"))
         .groupBy("doc_id", "label")
         .agg(F.min("text").alias("text"))
-        .orderBy("doc_id")
-        .toPandas()
     )
-    return rows["text"].tolist(), rows["label"].astype(int).tolist()
+    return rows, size
 
 
 def blocks(data: bytes, size: int, overlap: int) -> Iterator[bytes]:

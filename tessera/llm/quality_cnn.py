@@ -5,8 +5,8 @@ whole document. ``FILTERS`` learned filters over ``WIDTH`` bytes (a weight for e
 place, that is, a convolution of one-hot bytes) are rectified and max-pooled per chunk; the mean and the
 maximum of the chunks' vectors enter one logistic unit.
 
-Learning uses at most ``PER_CLASS`` documents of either label, each of at most ``MAX_CHARS`` characters,
-taken by hash, and in each round at most ``TRAIN_CHUNKS`` chunks of a document. Every document is scored
+Learning uses at most ``PER_CLASS`` documents of either label, taken by hash, with ``MAX_CHARS`` characters
+each on average at most (only beyond that the longest are cut, see ``common``), and in each round at most ``TRAIN_CHUNKS`` chunks of a document. Every document is scored
 whole.
 
 Defined results: null and empty texts are one chunk of zero bytes; with no labels of both kinds every
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import id_fold, labelled_texts
+from .common import id_fold, labelled_sample, whole_sentences
 
 WIDTH, FILTERS, CHUNK = 6, 16, 512
 STEP = CHUNK - WIDTH + 1
@@ -152,7 +152,9 @@ def fit(texts: list[str], labels: list[int], rounds: int = 14, batch: int = 32,
 
 def train(documents: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_CLASS) -> ByteNet:
     """Fit to the bounded sample of labelled documents for which learn, over doc_id, holds."""
-    return fit(*labelled_texts(documents, labels, "quality", per_class, MAX_CHARS, learn))
+    sample, size = labelled_sample(documents, labels, "quality", per_class, MAX_CHARS, learn)
+    rows = sample.toPandas().sort_values("doc_id", ignore_index=True)
+    return fit([whole_sentences(t, size) for t in rows["text"]], rows["label"].astype(int).tolist())
 
 
 def scorer(documents: DataFrame, model: ByteNet):

@@ -4,9 +4,10 @@ A document is a bag of sentences; a sentence's probability is a logistic functio
 word-start features, and the document's is the noisy-or of its sentences, 1 - prod(1 - p). The weights
 are trained from document labels alone; offending sentences are then those with a high probability.
 
-Learning uses a bounded sample: at most ``PER_CLASS`` documents of either label, each of at most
-``MAX_CHARS`` characters, taken by hash from the rows that may be learnt from. Every text is scored
-whole.
+Learning uses a bounded sample: at most ``PER_CLASS`` documents of either label, taken by hash from the rows
+that may be learnt from, with ``MAX_CHARS`` characters each on average at most (only beyond that the longest
+are cut, see ``common``). Features are hashed in Spark's tasks, so the driver holds no texts. Every text is
+scored whole.
 
 Defined results: null and empty texts are one empty sentence and score 0;
 with no labels of both kinds every score is the share of toxic labels (0 with none at all); repeated
@@ -25,13 +26,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import id_fold, labelled_texts
+from .common import cut, id_fold, labelled_sample, whole_sentences
 
 FEATURES = 1 << 18
-PER_CLASS = 1500
-MAX_CHARS = 10_000
+PER_CLASS = 2000
+MAX_CHARS = 20_000
 THRESHOLD = 0.7
 PIECE = 1 << 20
+#: Features of documents that go through a step of learning at once.
+BLOCK = 1 << 19
 #: Smaller weights are dropped.
 LEAST_WEIGHT = 0.4
 #: Words kept by a worker; beyond, the memory starts anew.
@@ -152,65 +155,124 @@ class ToxicityModel:
         return out
 
 
-def _cells(words: set[str], seen: dict[str, np.ndarray], sentence: int) -> np.ndarray:
-    found = []
-    for token in words:
-        own = seen.get(token)
-        if own is None:
-            own = seen.setdefault(token, np.array([cell_of(x) for x in feature_names(token)], np.int64))
-        found.append(own)
-    return np.concatenate(found) + sentence * FEATURES if found else np.zeros(0, np.int64)
-
-
-def fit(texts: list[str], labels: list[int], rounds: int = 30, rate: float = 0.2, decay: float = 2e-6) -> ToxicityModel:
-    """Maximise the noisy-or likelihood of the labels by full-batch Adagrad.
+def sentence_cells(text: str, seen: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The cells of a text's sentences, each once in a sentence, and their number in each sentence; seen holds those of tokens."""
+    cells, sizes = [], []
+
+    def close(sentence: set[str]) -> None:
+        found = []
+        for token in sentence:
+            own = seen.get(token)
+            if own is None:
+                own = seen.setdefault(token, np.array([cell_of(x) for x in feature_names(token)], np.int32))
+            found.append(own)
+        if found and len(met := np.unique(np.concatenate(found))):
+            cells.append(met)
+            sizes.append(len(met))
+
+    sentence: set[str] = set()
+    for token in tokens(text):
+        sentence.add(token)
+        if ENDS.search(token):
+            close(sentence)
+            sentence = set()
+    close(sentence)
+    if len(seen) > MEMORY:
+        seen.clear()
+    return np.concatenate(cells) if cells else np.zeros(0, np.int32), np.array(sizes, np.int32)
+
+
+def learn_weights(
+    bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], rounds: int = 30, rate: float = 0.2, decay: float = 2e-6
+) -> tuple[np.ndarray, float]:
+    """Weight of each cell, and the bias: maximise the noisy-or likelihood of the labels by full-batch Adagrad.
 
     Weights start from the documents' log-odds of each feature, less 2.5, and stay at 0 or above, so that a
-    long sentence of harmless words can't outweigh a toxic one.
+    long sentence of harmless words can't outweigh a toxic one. Labels are of both kinds.
     """
     y = np.array(labels)
-    if not len(y) or y.min() == y.max():
-        return ToxicityModel({}, 0.0, float(y.mean()) if len(y) else 0.0)
-    seen: dict[str, np.ndarray] = {}
-    met: list[np.ndarray] = []
-    owner: list[int] = []
-    for i, text in enumerate(texts):
-        owner.append(i)
-        sentence: set[str] = set()
-        for token in tokens(text):
-            sentence.add(token)
-            if ENDS.search(token):
-                met.append(_cells(sentence, seen, len(owner) - 1))
-                owner.append(i)
-                sentence = set()
-        met.append(_cells(sentence, seen, len(owner) - 1))
-    both = np.unique(np.concatenate(met))
-    sent, cell, own, count = (both // FEATURES).astype(np.int32), (both % FEATURES).astype(np.int32), np.array(owner), len(owner)
-    held = np.unique(own[sent].astype(np.int64) * FEATURES + cell)
-    docs_with = [np.bincount(held[y[held // FEATURES] == k] % FEATURES, minlength=FEATURES) for k in (0, 1)]
+    docs_with = np.zeros((2, FEATURES))
+    for (cells, _), k in zip(bags, labels, strict=True):
+        docs_with[k, np.unique(cells)] += 1
     odds = np.log((docs_with[1] + 1) / (y.sum() + 2)) - np.log((docs_with[0] + 1) / ((1 - y).sum() + 2))
     w, bias = np.maximum(odds - 2.5, 0.0), -6.0
     g2, b2 = np.full(FEATURES, 1e-5), 1e-5
     balance = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    ends = np.cumsum([len(cells) for cells, _ in bags])
+    parts = np.split(np.arange(len(bags)), np.nonzero(np.diff(ends // BLOCK))[0] + 1)
     for _ in range(rounds):
-        sums = np.bincount(sent, w[cell], count)
-        p = np.where(sums > 0, 1 / (1 + np.exp(-np.clip(sums + bias, -30, 30))), 0.0)
-        miss = np.exp(np.bincount(own, np.log1p(-np.minimum(p, 1 - 1e-12)), len(y)))
-        pull = np.where(y == 1, miss / np.maximum(1 - miss, 1e-9), -1.0) * balance / len(y)
-        step = pull[own] * p
-        grad = np.bincount(cell, step[sent], FEATURES) - decay * w
-        up = step.sum()
+        grad, up = -decay * w, 0.0
+        for part in parts:
+            cell = np.concatenate([bags[i][0] for i in part])
+            sizes = [bags[i][1] for i in part]
+            own = np.repeat(np.arange(len(part)), [len(x) for x in sizes])
+            sent = np.repeat(np.arange(len(own)), np.concatenate(sizes))
+            sums = np.bincount(sent, w[cell], len(own))
+            p = np.where(sums > 0, 1 / (1 + np.exp(-np.clip(sums + bias, -30, 30))), 0.0)
+            miss = np.exp(np.bincount(own, np.log1p(-np.minimum(p, 1 - 1e-12)), len(part)))
+            pull = np.where(y[part] == 1, miss / np.maximum(1 - miss, 1e-9), -1.0) * balance[part] / len(y)
+            step = pull[own] * p
+            grad += np.bincount(cell, step[sent], FEATURES)
+            up += step.sum()
         g2 += grad**2
         b2 += up**2
         w = np.maximum(w + rate * grad / np.sqrt(g2), 0.0)
         bias += 0.2 * rate * up / np.sqrt(b2)
-    names = {name for token in seen for name in feature_names(token)}
-    return ToxicityModel({name: float(w[c]) for name in names if w[c := cell_of(name)] > LEAST_WEIGHT}, float(bias))
+    return w, float(bias)
+
+
+def constant_model(labels: list[int]) -> ToxicityModel | None:
+    """What is learnt from labels of one kind, or none."""
+    if not labels or min(labels) == max(labels):
+        return ToxicityModel({}, 0.0, float(labels[0]) if labels else 0.0)
+    return None
+
+
+def names_in(texts: list[str]) -> set[tuple[int, str]]:
+    return {name for token in {t for text in texts for t in tokens(text)} for name in feature_names(token)}
+
+
+def fit(texts: list[str], labels: list[int]) -> ToxicityModel:
+    """The model of texts at hand."""
+    if (only := constant_model(labels)) is not None:
+        return only
+    seen: dict[str, np.ndarray] = {}
+    w, bias = learn_weights([sentence_cells(text, seen) for text in texts], labels)
+    return ToxicityModel({name: float(w[c]) for name in names_in(texts) if w[c := cell_of(name)] > LEAST_WEIGHT}, bias)
+
+
+def _featuriser(size: int):
+    def featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[str, np.ndarray] = {}
+        for batch in batches:
+            bags = [sentence_cells(whole_sentences(t, size), seen) for t in batch["text"]]
+            yield batch[["doc_id", "label"]].assign(cells=[c.tobytes() for c, _ in bags], sizes=[n.tobytes() for _, n in bags])
+
+    return featurise
+
+
+def _namer(size: int, kept: np.ndarray):
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [x for x in names_in([whole_sentences(t, size) for t in batch["text"]]) if kept[cell_of(x)]]
+            yield pd.DataFrame({"letters": np.array([n for n, _ in found], np.int32), "word": np.array([w for _, w in found], object)}, dtype=object)
+
+    return find
 
 
 def train(documents: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_CLASS) -> ToxicityModel:
     """Fit to the bounded sample of labelled documents for which learn, over doc_id, holds."""
-    return fit(*labelled_texts(documents, labels, "toxic", per_class, MAX_CHARS, learn))
+    sample, size = labelled_sample(documents, labels, "toxic", per_class, MAX_CHARS, learn)
+    sample = cut(sample)
+    kind = sample.schema["doc_id"].dataType.simpleString()
+    rows = sorted(sample.mapInPandas(_featuriser(size), f"doc_id {kind}, label int, cells binary, sizes binary").collect(), key=lambda r: r.doc_id)
+    y = [int(r.label) for r in rows]
+    if (only := constant_model(y)) is not None:
+        return only
+    w, bias = learn_weights([(np.frombuffer(r.cells, np.int32), np.frombuffer(r.sizes, np.int32)) for r in rows], y)
+    del rows
+    names = sample.mapInPandas(_namer(size, w > LEAST_WEIGHT), "letters int, word string").distinct().collect()
+    return ToxicityModel({(r.letters, r.word): float(w[cell_of((r.letters, r.word))]) for r in names}, bias)
 
 
 def scorer(documents: DataFrame, model: ToxicityModel):

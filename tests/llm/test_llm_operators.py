@@ -9,7 +9,7 @@ from zlib import crc32
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from tessera.llm import components, langid, lattice, minhash, mixing, packing, quality_cnn, quality_rules, toxicity, url_trust, warc
+from tessera.llm import common, components, langid, lattice, minhash, mixing, packing, quality_cnn, quality_rules, toxicity, url_trust, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, kept string"
 
@@ -364,3 +364,20 @@ def test_learned_stages_keep_columns_and_take_extremes(spark):
     rated = quality_cnn.score_documents(docs, labels).collect()
     assert len(rated) == 64 and all(r.predicted == int(r.score >= 0.5) for r in rated)
     toxicity.offending_sentences(docs, labels).collect()
+
+
+def test_long_texts_and_missing_documents_leave_the_sample_whole(spark):
+    rng = random.Random(15)
+    texts = [prose(rng, 20) + f". you {'nastyx thing. ' if i % 2 else 'fine thing. '}" + prose(rng, 6000) for i in range(60)]
+    assert min(map(len, texts)) > 20_000
+    docs = documents(spark, texts)
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(60)] + [(i, i % 2, i % 2) for i in range(1000, 6000)], "doc_id long, quality int, toxic int")
+    learn = F.lit(True)
+    model = toxicity.train(docs, labels, learn, 20)
+    assert model.constant is None and model.score("you nastyx thing.") >= 0.5 > model.score("you fine thing.")
+    assert quality_cnn.train(docs, labels, learn, 20).constant is None
+    for n in (20, 100):
+        rows, _ = common.labelled_sample(docs, labels, "toxic", n, 20_000, learn)
+        assert sorted(r.label for r in rows.collect()) == [0] * min(n, 30) + [1] * min(n, 30)
+    assert common.longest_fit([3, 50, 9], 100) == 50 and common.longest_fit([3, 50, 90], 60) == 28 and common.longest_fit([], 5) == 0
+    assert common.whole_sentences("a b. c d", 7) == "a b." and common.whole_sentences("ab cd", 4) == "ab" and common.whole_sentences("abcd", 2) == "ab"
