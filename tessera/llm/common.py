@@ -16,11 +16,13 @@ WORD_SPACE = " \t\n\x0b\f\r"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where it is unset, as in tests on one machine, a temporary folder is set.
+    Only where it is unset and Spark runs in one process, as in tests, a temporary folder is set.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="tessera-")
         sc.setCheckpointDir(named)
     elif not sc.getCheckpointDir():
@@ -34,6 +36,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Keys with over 1 / HOT of all rows are joined by a broadcast of their facts: fewer than HOT rows.
+HOT = 4096
+
+
+def hot_keys(counts: DataFrame, n: str, rows: int, least: int = 10_000) -> DataFrame:
+    """The rows of counts (one a key) whose n exceeds both least and 1 / HOT of rows: fewer than HOT, as all n sum to rows at most."""
+    return counts.where(F.col(n) > max(least, rows // HOT))
+
+
+def join_facts(rows: DataFrame, facts: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
+    """rows joined to facts, which have one row a key. Hot keys' facts are broadcast, so that no task gathers a hot key's rows.
+
+    hot has the keys' columns alone and fewer than HOT rows. Null keys meet nothing.
+    """
+    mark = F.broadcast(hot.select(*keys, F.lit(True).alias("_hot")))
+    r, f = rows.join(mark, keys, "left"), facts.join(mark, keys, "left")
+    few = F.broadcast(f.where("_hot").drop("_hot"))
+    return r.where("_hot IS NULL").drop("_hot").join(f.where("_hot IS NULL").drop("_hot"), keys).unionByName(r.where("_hot").drop("_hot").join(few, keys))
+
+
 def id_fold(doc_id: Column, parts: int) -> Column:
     """crc32 of the id's decimal text modulo parts; a null id counts as empty text."""
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts).cast("int")

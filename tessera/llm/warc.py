@@ -21,7 +21,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import cut, hot_keys, join_facts, shared_dir
 
 REVISIT_BYTES = 1000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -39,14 +39,17 @@ def _field(name: str, value: Column) -> Column:
 
 
 def records(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> tuple[DataFrame, DataFrame]:
-    """(headers, payloads) to store: headers page_id, digest, header; payloads digest, payload."""
-    payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
-    full = pages.select("page_id", "url", payload.alias("payload"))
-    slim = full.select("page_id", "url", F.octet_length("payload").alias("bytes"), F.sha2("payload", 256).alias("digest"), F.sha1("payload").alias("sha1"))
-    groups = slim.groupBy("digest").agg(
-        F.max("page_id").alias("owner"),
+    """(headers, payloads) to store: headers page_id, digest, header; payloads digest, payload.
+
+    Headers come from a slim table of digests. A payload travels once from each task that reads it,
+    however many of the task's records share it, as it is its digest alone that picks it.
+    """
+    full = pages.select("page_id", "url", F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
+    slim = cut(full.select("page_id", "url", F.octet_length("payload").alias("bytes"), F.sha2("payload", 256).alias("digest"), F.sha1("payload").alias("sha1")))
+    groups = cut(slim.groupBy("digest").agg(
+        F.max("page_id").alias("owner"), F.count(F.lit(1)).alias("n"),
         F.min("bytes").alias("least"), F.max("bytes").alias("most"), F.min("sha1").alias("first"), F.max("sha1").alias("last"),
-    )
+    ))
     sure = (F.col("least") == F.col("most")) & (F.col("first") == F.col("last"))
     owners = groups.select(
         F.when(sure, F.col("digest")).otherwise(F.raise_error(F.concat(F.lit("two payloads share the digest "), F.col("digest")))).alias("digest"),
@@ -62,14 +65,9 @@ def records(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> tuple[DataF
         _field("WARC-Profile", F.when(revisit, F.lit(PROFILE))), _field("WARC-Refers-To", F.when(revisit, _record_id(F.col("owner")))),
         _field("Content-Length", F.when(revisit, F.lit(0)).otherwise(F.col("bytes"))), F.lit(_END),
     )
-    headers = slim.join(owners, "digest").select("page_id", "digest", F.encode(header, "UTF-8").alias("header"))
-    mine = owners.select(F.col("digest").alias("stored"), "owner")
-    payloads = (
-        full.withColumn("digest", F.sha2("payload", 256))
-        .join(mine, (F.col("digest") == F.col("stored")) & F.col("page_id").eqNullSafe(F.col("owner")), "left_semi")
-        .select("digest", "payload")
-        .dropDuplicates(["digest"])
-    )
+    hot = hot_keys(groups, "n", slim.count()).select("digest")
+    headers = join_facts(slim, owners, ["digest"], hot).select("page_id", "digest", F.encode(header, "UTF-8").alias("header"))
+    payloads = full.select(F.sha2("payload", 256).alias("digest"), "payload").dropDuplicates(["digest"])
     return headers, payloads
 
 
@@ -81,13 +79,14 @@ def write(pages: DataFrame, folder: str, revisit_bytes: int = REVISIT_BYTES) ->
 
 
 def read_headers(spark: SparkSession, folder: str) -> DataFrame:
-    """digest, header and the header's fields: record_type, page_id, refers_to."""
+    """digest, header and the header's fields: record_type, page_id, refers_to, content_length."""
     text = F.decode("header", "UTF-8")
     own = lambda name, value: F.regexp_extract(text, f"\n{name}: {value}\r\n", 1)
     number = lambda c: F.when(c.rlike("^-?[0-9]+$"), c).try_cast("long")
     return spark.read.parquet(f"{folder}/headers").select(
         own("WARC-Payload-Digest", "sha256:([0-9a-f]{64})").alias("digest"), "header", own("WARC-Type", "([a-z]+)").alias("record_type"),
         number(own("WARC-Record-ID", "<urn:page:(.*)>")).alias("page_id"), number(own("WARC-Refers-To", "<urn:page:(.*)>")).alias("refers_to"),
+        number(own("Content-Length", "([0-9]+)")).alias("content_length"),
     )
 
 
@@ -98,19 +97,44 @@ def read_payloads(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/payloads").select("digest", F.when(right, F.col("payload")).otherwise(wrong).alias("payload"))
 
 
-def reconstruct(spark: SparkSession, folder: str) -> DataFrame:
-    """page_id, record_type, record, payload: each record's exact bytes, and its full payload for revisits too."""
+def _hot_digests(headers: DataFrame) -> DataFrame:
+    """Digests of very many headers: digest, n."""
+    counts = headers.groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
+    return hot_keys(counts, "n", headers.count())
+
+
+def reconstruct(spark: SparkSession, folder: str, salts: int = 256) -> DataFrame:
+    """page_id, record_type, refers_to, record, payload: each record's exact bytes, and its full payload for revisits too.
+
+    The payload of a hot digest meets its headers in that many tasks.
+    """
     end = F.encode(F.lit(_END * 2), "UTF-8")
     body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.encode(F.lit(""), "UTF-8"))
-    return read_headers(spark, folder).join(read_payloads(spark, folder), "digest").select(
+    headers = read_headers(spark, folder)
+    hot = F.broadcast(_hot_digests(headers).select("digest", F.lit(salts).alias("parts")))
+    parts = F.coalesce("parts", F.lit(1))
+    salted = headers.join(hot, "digest", "left").withColumn("salt", F.pmod(F.xxhash64("header"), parts))
+    stored = read_payloads(spark, folder).join(hot, "digest", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    return salted.drop("parts").join(stored.drop("parts"), ["digest", "salt"]).select(
         "page_id", "record_type", "refers_to", F.concat("header", body, end).alias("record"), "payload"
     )
 
 
 def summary(spark: SparkSession, folder: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest (SHA-1), record_type, refers_to of every archived record."""
+    """page_id, payload_bytes, payload_digest (SHA-1), record_type, refers_to of every archived record.
+
+    Length and SHA-1 are computed once for each stored payload, after its digest was verified, and joined to
+    the headers, so payloads don't travel. It fails where a header's Content-Length isn't its body's length.
+    """
     facts = read_payloads(spark, folder).select("digest", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
-    return read_headers(spark, folder).join(facts, "digest").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    headers = read_headers(spark, folder).drop("header")
+    body = F.when(F.col("record_type") == "response", F.col("payload_bytes")).otherwise(F.lit(0))
+    kind = F.when(F.col("content_length") == body, F.col("record_type")).otherwise(
+        F.raise_error(F.concat(F.lit("a header's Content-Length differs from its body's for payload "), F.col("digest")))
+    )
+    return join_facts(headers, facts, ["digest"], _hot_digests(headers).select("digest")).select(
+        "page_id", "payload_bytes", "payload_digest", kind.alias("record_type"), "refers_to"
+    )
 
 
 def archive(pages: DataFrame, folder: str | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 from zlib import crc32
@@ -245,6 +246,30 @@ def test_archive_is_an_exact_round_trip(spark, tmp_path):
     assert warc.archive(pages.limit(0), str(tmp_path / "none")).count() == 0
 
 
+def test_archive_of_one_payload_on_most_pages(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "hot_keys", lambda counts, n, rows: common.hot_keys(counts, n, rows, least=3))
+    monkeypatch.setattr(common, "HOT", 8)
+    same = "boiler plate " * 100
+    rows = [(i, f"u{i}", same if i % 3 else f"{i} " * 400) for i in range(90)] + [(200 + i, None, None) for i in range(40)] + [(5, "u5", same)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("n", F.lit("clash"))
+    folder = str(tmp_path / "hot")
+    got = warc.archive(pages, folder).collect()
+    owner = max(i for i, _, h in rows if h == same)
+    assert len(got) == len(rows)
+    for r in got:
+        html = dict((i, h) for i, _, h in rows)[r.page_id] or ""
+        assert (r.payload_bytes, r.payload_digest) == (len(html), hashlib.sha1(html.encode()).hexdigest())
+        assert (r.record_type, r.refers_to) == (("revisit", owner) if html == same and r.page_id != owner else ("response", None))
+    assert spark.read.parquet(f"{folder}/payloads").count() == 32
+    rebuilt = warc.reconstruct(spark, folder, salts=4).collect()
+    assert len(rebuilt) == len(rows) and all(bytes(r.payload).decode() == (dict((i, h) for i, _, h in rows)[r.page_id] or "") for r in rebuilt)
+    damaged = spark.read.parquet(f"{folder}/payloads").withColumn("payload", F.encode(F.lit("other"), "UTF-8"))
+    damaged.write.parquet(f"{folder}2/payloads")
+    spark.read.parquet(f"{folder}/headers").write.parquet(f"{folder}2/headers")
+    with pytest.raises(Exception, match="damaged payload"):
+        warc.summary(spark, f"{folder}2").collect()
+
+
 def repeat_words(words):
     windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
     return len({k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(i, i + 5)})
