@@ -1,9 +1,13 @@
 """Language ID: multinomial naive Bayes over hashed character n-grams.
 
-The n-grams (2 to 4 UTF-8 bytes of the lower-cased text) are hashed to ``buckets`` cells. Counts are
-summed in Spark over a bounded, hash-chosen sample of labelled documents; the log-probability matrix
-(languages x buckets, at most ``max_langs`` * ``buckets`` floats) is broadcast and documents are
-scored in numpy as sparse rows, batch by batch.
+The n-grams (1 to 3 characters, code points of the lower-cased text) are hashed to ``BUCKETS`` cells. Counts are
+summed in Spark over a bounded, hash-chosen sample of labelled documents, about ``PER_LANG`` texts of every
+language; one row a language comes to the driver. The log-probability matrix (buckets x languages) is
+broadcast and documents are scored in numpy as sparse rows, batch by batch. All languages are learnt; more
+than ``MOST_LANGS``, for which the matrix would outgrow a worker, are an error.
+
+The score is the posterior of the language chosen, evidence and prior weighing at most as much as those of
+``EVIDENCE`` n-grams; choice and score come from the same sums.
 
 Defined results: null text or a text without a letter gives ``und`` with score 0; empty input gives
 no rows; repeated rows give repeated results; ties go to the language that sorts first; with nothing
@@ -21,30 +25,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import blocks, id_fold, unit_hash
+from .common import id_fold, unit_hash
 
-ORDERS = (2, 3, 4)
+ORDERS = (1, 2, 3)
 BUCKETS = 1 << 16
-#: Texts of one language that are learnt from, in expectation, and languages that are kept (the most frequent).
+#: Texts of one language that are learnt from, in expectation.
 PER_LANG = 3000
-MAX_LANGS = 200
+#: Languages whose matrix (256 KB each) still fits a worker.
+MOST_LANGS = 1000
 BLOCK = 1 << 20
 #: A text's evidence counts as that of so many n-grams at most, so that scores differ from 0 and 1.
 EVIDENCE = 60.0
 LETTER = regex.compile(r"\p{L}")
 
 
-def ngram_cells(data: bytes, buckets: int = BUCKETS) -> np.ndarray:
-    """The cell of every n-gram of the bytes, as int32."""
-    x = np.frombuffer(data, np.uint8).astype(np.uint32)
+def code_points(text: str) -> Iterator[np.ndarray]:
+    """The lower-cased text's code points in blocks that overlap by the longest n-gram less one."""
+    points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
+    step = BLOCK - max(ORDERS) + 1
+    for start in range(0, max(1, len(points) - max(ORDERS) + 1), step):
+        yield points[start : start + BLOCK]
+
+
+def ngram_cells(points: np.ndarray, first: bool = True, buckets: int = BUCKETS) -> np.ndarray:
+    """The cell of every n-gram of a block, as int32; n-grams that lie whole in the overlap with the block before count there alone."""
     shift = np.uint32(32 - (buckets.bit_length() - 1))
-    out, h = [], x
-    for n in range(2, max(ORDERS) + 1):
-        if len(x) < n:
+    out, h = [], np.zeros(len(points) + 1, np.uint32)
+    for n in range(1, max(ORDERS) + 1):
+        if len(points) < n:
             break
-        h = h[:-1] * np.uint32(0x01000193) ^ x[n - 1 :]
+        h = (h[:-1] ^ points[n - 1 :]) * np.uint32(0x01000193)
+        h ^= h >> np.uint32(15)
         if n in ORDERS:
-            out.append(((h + np.uint32(n)) * np.uint32(0x9E3779B1)) >> shift)
+            out.append((((h + np.uint32(n)) * np.uint32(0x9E3779B1)) >> shift)[0 if first else max(ORDERS) - n :])
     return np.concatenate(out).astype(np.int32) if out else np.zeros(0, np.int32)
 
 
@@ -53,13 +66,20 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for lang, text in zip(batch["lang"], batch["text"], strict=True):
             into = totals.setdefault(lang, np.zeros(BUCKETS, np.int64))
-            for block in blocks(text.lower().encode("utf-8", "replace"), BLOCK, max(ORDERS) - 1):
-                into += np.bincount(ngram_cells(block), minlength=BUCKETS)
+            for k, block in enumerate(code_points(text)):
+                into += np.bincount(ngram_cells(block, k == 0), minlength=BUCKETS)
     for lang, counts in totals.items():
         cells = np.nonzero(counts)[0]
         yield pd.DataFrame({"lang": lang, "cell": cells.astype(np.int32), "n": counts[cells]})
 
 
+def _log_row(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """One language's log-probabilities from its counts, at most one a bucket."""
+    table = np.full(BUCKETS, 0.5)
+    np.add.at(table, rows["cell"].to_numpy(int), rows["n"].to_numpy(float))
+    return pd.DataFrame({"lang": [key[0]], "logs": [np.log(table / table.sum()).astype("<f4").tobytes()]})
+
+
 class LanguageModel:
     """Languages and the matrix of log-probabilities, buckets x languages."""
 
@@ -89,8 +109,8 @@ class LanguageModel:
         for i, text in enumerate(texts):
             if not known[i]:
                 continue
-            for block in blocks(text.lower().encode("utf-8", "replace"), BLOCK, max(ORDERS) - 1):
-                cells = ngram_cells(block)
+            for k, block in enumerate(code_points(text)):
+                cells = ngram_cells(block, k == 0)
                 if len(cells):
                     owners.append(i), parts.append(cells)
                     held += len(cells)
@@ -100,39 +120,40 @@ class LanguageModel:
             flush()
         if not self.langs:
             return ["und"] * n, np.zeros(n)
-        best = (sums + self.prior).argmax(axis=1)
-        z = sums * np.minimum(1.0, EVIDENCE / np.maximum(grams, 1))[:, None]
+        z = (sums + self.prior) * np.minimum(1.0, EVIDENCE / np.maximum(grams, 1))[:, None]
+        best = z.argmax(axis=1)
         z = np.exp(z - z.max(axis=1, keepdims=True))
         share = z[np.arange(n), best] / z.sum(axis=1)
         ok = np.array(known, bool)
         return [self.langs[b] if k else "und" for b, k in zip(best, known, strict=True)], np.where(ok, share, 0.0)
 
 
-def train(documents: DataFrame, learn: Column, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS) -> LanguageModel:
+def train(documents: DataFrame, learn: Column, per_lang: int = PER_LANG, most_langs: int = MOST_LANGS) -> LanguageModel:
     """Learn from documents (doc_id, text, lang) for which learn holds; about per_lang texts of each language."""
     rows = documents.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {
-        r["lang"]: r["n"]
-        for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()
-    }
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(most_langs + 1).collect()}
+    if len(sizes) > most_langs:
+        raise ValueError(f"over {most_langs} values of lang: their model would not fit a worker")
     if not sizes:
         return LanguageModel([], np.zeros((BUCKETS, 1), np.float32), np.zeros(1))
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, per_lang / n))])
-    sample = rows.where(unit_hash(F.col("doc_id"), F.lit(29)) < F.coalesce(share[F.col("lang")], F.lit(0.0)))
-    counts = (
+    sample = rows.where(unit_hash(F.col("doc_id"), F.lit(29)) < share[F.col("lang")])
+    logs = (
         sample.select("lang", "text")
         .repartition(16)
         .mapInPandas(_count, "lang string, cell int, n long")
         .groupBy("lang", "cell")
         .agg(F.sum("n").alias("n"))
-        .toPandas()
+        .groupBy("lang")
+        .applyInPandas(_log_row, "lang string, logs binary")
+        .collect()
     )
-    langs = sorted(set(counts["lang"]))
-    table = np.zeros((BUCKETS, max(1, len(langs))))
-    table[counts["cell"].to_numpy(int), counts["lang"].map({k: i for i, k in enumerate(langs)}).to_numpy(int)] = counts["n"]
-    table += 0.5
-    prior = np.log([max(1, sizes[k]) for k in langs] or [1])
-    return LanguageModel(langs, np.log(table / table.sum(axis=0)).astype(np.float32), prior)
+    logs.sort(key=lambda r: r["lang"])
+    langs = [r["lang"] for r in logs]
+    table = np.zeros((BUCKETS, max(1, len(langs))), np.float32)
+    for i, r in enumerate(logs):
+        table[:, i] = np.frombuffer(r["logs"], "<f4")
+    return LanguageModel(langs, table, np.log([sizes[k] for k in langs] or [1]))
 
 
 def predictor(documents: DataFrame, model: LanguageModel):
