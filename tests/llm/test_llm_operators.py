@@ -288,23 +288,87 @@ def test_base_statistics_equal_brute_force(spark):
     assert quality_rules.judge(spark.createDataFrame([], DOCS)).count() == 0
 
 
-def test_distances_equal_numpy_steps(spark):
-    rng = np.random.default_rng(9)
-    x = rng.normal(size=(400, 4)) * [0.3, 0.2, 0.5, 0.4] + rng.normal(size=(400, 1)) * 0.2
-    x[:60] += 4
-    rows = [(i, "c", *map(float, v)) for i, v in enumerate(x)]
-    got = np.zeros(400)
-    for r in quality_rules.mcd_distances(spark.createDataFrame(rows, "id long, cell string, x0 double, x1 double, x2 double, x3 double")).collect():
-        got[r.id] = r.d2
-    low, mid, high = np.quantile(x, [0.25, 0.5, 0.75], axis=0)
+def numpy_bins(d):
+    return np.floor(np.log1p(d) * quality_rules.BINS_PER_UNIT)
+
+
+def numpy_step(x, d, keep=quality_rules.KEEP):
+    """The nearest rows, by bins of distances; their mean and covariance with floors; the new distances and log-determinant."""
+    bins = numpy_bins(d)
+    upto = np.array([(bins <= b).sum() for b in bins])
+    near = bins <= bins[upto >= keep * len(x)].min()
+    mean = x[near].mean(0)
+    cov = np.cov(x[near].T, bias=True) + np.diag(np.array(quality_rules.FLOORS) ** 2)
+    return near, mean, cov, np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean), np.linalg.slogdet(cov)[1]
+
+
+def numpy_mcd(x, hashes):
+    """By the operator's starts (hashes: one row for each subset's start) with plain loops."""
+    low, mid, high = np.quantile(x, [0.25, 0.5, 0.75], axis=0, method="inverted_cdf")
     floors = np.array(quality_rules.FLOORS)
-    d = (((x - mid) / np.maximum((high - low) / 1.349, floors)) ** 2).sum(1)
-    for _ in range(6):
-        near = x[np.argsort(d)[:300]]
-        cov = np.cov(near.T, bias=True) + np.diag(floors**2)
-        d = np.einsum("ij,jk,ik->i", x - near.mean(0), np.linalg.inv(cov), x - near.mean(0))
-    assert np.corrcoef(np.log(got), np.log(d))[0, 1] > 0.98
-    assert (got[:60] > quality_rules.CUT).all() and (got[60:] < quality_rules.CUT).mean() > 0.98
+    starts = [(((x - mid) / np.maximum((high - low) / 1.349, floors)) ** 2).sum(1)]
+    for h in hashes:
+        part = x[h * len(x) < quality_rules.SUBSET]
+        if len(part):
+            cov = np.atleast_2d(np.cov(part.T, bias=True)) + np.diag(floors**2)
+            starts.append(np.einsum("ij,jk,ik->i", x - part.mean(0), np.linalg.inv(cov), x - part.mean(0)))
+    tried = []
+    for d in starts:
+        for _ in range(quality_rules.FIRST_STEPS):
+            found = numpy_step(x, d)
+            d = found[3]
+        tried.append(found)
+    best = min(tried, key=lambda f: f[4])
+    while (new := numpy_step(x, best[3]))[4] < best[4] - quality_rules.LEAST_FALL:
+        best = new
+    return best
+
+
+def test_estimates_of_every_cell_equal_numpy(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows, sizes = [], {"a": 400, "b": 60, "c": 7, "d": 1, "e": 2}
+    for cell, n in sizes.items():
+        x = rng.normal(size=(n, 4)) * [0.3, 0.2, 0.5, 0.4] + rng.normal(size=(n, 1)) * 0.2 + rng.normal(size=4)
+        x[: n // 7] += 4
+        rows += [(len(rows) + i, cell, *map(float, v)) for i, v in enumerate(x)]
+    frame = spark.createDataFrame(rows, "id long, cell string, x0 double, x1 double, x2 double, x3 double")
+    hashes = {r.id: [r[1 + k] for k in range(quality_rules.SUBSETS)] for r in frame.select("id", *[common.unit_hash(*quality_rules.X, F.lit(k)) for k in range(1, quality_rules.SUBSETS + 1)]).collect()}
+    estimates = {r.cell: r for r in quality_rules.mcd_factors(frame.select("cell", *quality_rules.X)).collect()}
+    monkeypatch.setattr(quality_rules, "mcd_factors", lambda *_: spark.createDataFrame([tuple(r) for r in estimates.values()], ", ".join(f"{c} {'string' if c == 'cell' else 'int' if c == 'start' else 'double'}" for c in quality_rules.FACTORS)))
+    monkeypatch.setattr(quality_rules, "BROADCAST_CELLS", 0)  # distances by salted join
+    got = {r.id: r.d2 for r in quality_rules.mcd_distances(frame).collect()}
+    assert estimates.keys() == sizes.keys() and got.keys() == {r[0] for r in rows}
+    for cell in sizes:
+        ids = [r[0] for r in rows if r[1] == cell]
+        x = np.array([r[2:] for r in rows if r[1] == cell])
+        _, mean, _, d, log_det = numpy_mcd(x, np.array([hashes[i] for i in ids]).T)
+        assert np.allclose([estimates[cell][f"m{i}"] for i in range(4)], mean, atol=1e-9) and abs(estimates[cell].log_det - log_det) < 1e-9
+        bins = numpy_bins(d)
+        upto = np.array([(bins <= b).sum() for b in bins])
+        wider = max(1.0, np.expm1((bins[upto >= quality_rules.KEEP * len(x)].min() + 1) / quality_rules.BINS_PER_UNIT) / quality_rules.CHI_KEEP)
+        assert np.allclose([got[i] for i in ids], d / wider, rtol=1e-7)
+        if len(ids) > 10:
+            assert all((got[i] > quality_rules.CUT) == (k < len(ids) // 7) for k, i in enumerate(ids))
+            many = min((numpy_step(x, numpy_step(x, numpy_step(x, ((x - c) ** 2).sum(1))[3])[3])[4] for c in x[:50]))
+            assert log_det <= many + 0.3
+
+
+def test_planted_outliers_of_small_and_large_cells_go(spark):
+    rng = random.Random(21)
+    clean = lambda n: "\n".join(prose(rng, 12) for _ in range(n))
+    rows = []
+    for lang, n in (("en", 120), ("de", 60), ("tr", 8)):
+        for k in range(n):
+            text = clean(6)
+            if k == 0:
+                text += " #$%&*|<> " * 12  # symbols
+            if k == 1:
+                text = "\n".join([prose(rng, 12) for _ in range(4)] + ["same line"] * 9 + [prose(rng, 30)])  # repeated short lines
+            rows.append((len(rows), text, lang, "s", k < 2))
+    rows.append((len(rows), "w " + "longword" * 4000 + " " + clean(1), None, None, False))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, planted boolean").withColumn("cell", F.lit("clash"))
+    got = {r.doc_id: r for r in quality_rules.judge(frame).collect()}
+    assert all(got[i].kept != planted for i, _, _, _, planted in rows)
 
 
 def test_toxic_sentences_are_found():
@@ -345,34 +409,61 @@ def test_byte_network_gradients_and_accuracy():
     assert np.allclose(one_by_one, net.score([long, "", None, "x"]))
 
 
+def plain_cells(text, buckets=langid.BUCKETS):
+    """Cells of all n-grams by loops over characters."""
+    out, points = [], [ord(c) for c in text.lower()]
+    for n in langid.ORDERS:
+        for i in range(len(points) - n + 1):
+            h = 0
+            for x in points[i : i + n]:
+                h = ((h ^ x) * 0x01000193) & 0xFFFFFFFF
+                h ^= h >> 15
+            out.append((((h + n) * 0x9E3779B1) & 0xFFFFFFFF) >> (32 - (buckets.bit_length() - 1)))
+    return out
+
+
 def test_languages_equal_a_dense_model(spark):
     rng = random.Random(12)
-    letters = {"aa": "abcde", "bb": "fghij", "cc": "klmno"}
+    letters = {"aa": "abcde", "bb": "fghij", "ru": "абвгдеж", "uk": "абвгдеїє", "zh": "的一是不了人我", "ja": "のにはをたがで的人"}
     word = lambda x: "".join(rng.choice(letters[x]) for _ in range(6))
-    rows = [(i, " ".join(word(k) for _ in range(20)), k) for i, k in enumerate(list(letters) * 60)]
-    rows += [(900, None, "aa"), (901, "12 34 !", "aa"), (902, "", None), (903, "abcde abcde", None)]
+    rows = [(i, " ".join(word(k) for _ in range(20)), k) for i, k in enumerate(list(letters) * 40)]
+    rows += [(900, None, "aa"), (901, "12 34 !", "aa"), (902, "", None), (903, "abcde abcde", None), (904, "Ї" * 30, None), (905, "的", None)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("clash"))
     got = {r.doc_id: r for r in langid.identify(frame).collect()}
-    assert all(got[i].lang_pred == k for i, _, k in rows[:180]) and got[903].lang_pred == "aa"
+    assert all(got[i].lang_pred == k for i, _, k in rows[:240]) and got[903].lang_pred == "aa" and got[904].lang_pred == "uk"
     assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (900, 901, 902))
     assert all(got[i].held_out == (crc32(str(i).encode()) % 5 == 0) for i in got)
     learnt = [(t, k) for i, t, k in rows if t is not None and k is not None and crc32(str(i).encode()) % 5 != 0]
-    table = np.full((langid.BUCKETS, 3), 0.5)
+    order = sorted(letters)
+    table = np.full((langid.BUCKETS, len(order)), 0.5)
     for t, k in learnt:
-        np.add.at(table[:, sorted(letters).index(k)], langid.ngram_cells(t.encode()), 1)
+        np.add.at(table[:, order.index(k)], plain_cells(t), 1)
     logs = np.log(table / table.sum(0))
     model = langid.train(frame, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
-    assert np.allclose(model.log_prob, logs, atol=1e-4)
+    assert model.langs == order and np.allclose(model.log_prob, logs, atol=1e-4)
+    prior = np.log([sum(k == x for _, k in learnt) + (x == "aa" and crc32(b"900") % 5 != 0) * 0 for x in order])
+    for i, t, _ in rows:
+        if got[i].lang_pred != "und":
+            cells = plain_cells(t)
+            z = (logs[cells].sum(0) + prior) * min(1.0, langid.EVIDENCE / len(cells))
+            z = np.exp(z - z.max())
+            assert order[int(z.argmax())] == got[i].lang_pred and abs(z.max() / z.sum() - got[i].score) < 1e-3
     assert langid.identify(frame.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="over 3 values of lang"):
+        langid.train(frame, F.lit(True), most_langs=3)
 
 
-def test_language_blocks_cover_every_ngram(monkeypatch):
+def test_language_blocks_cover_every_ngram_once(monkeypatch):
     model = langid.LanguageModel(["x", "y"], np.random.default_rng(1).normal(size=(langid.BUCKETS, 2)).astype(np.float32), np.zeros(2))
-    texts = [prose(random.Random(13), 800), "a b", "é"]
+    texts = [prose(random.Random(13), 800), "a b", "é", "x" * 301]
     whole = model.score(texts)
-    monkeypatch.setattr(langid, "BLOCK", 100)
-    again = model.score(texts)
-    assert whole[0] == again[0] and np.allclose(whole[1], again[1])
+    for size in (100, 7):
+        monkeypatch.setattr(langid, "BLOCK", size)
+        again = model.score(texts)
+        assert whole[0] == again[0] and np.allclose(whole[1], again[1])
+        for t in texts:
+            cells = np.concatenate([langid.ngram_cells(b, k == 0) for k, b in enumerate(langid.code_points(t))])
+            assert sorted(cells.tolist()) == sorted(plain_cells(t))
 
 
 def test_learned_stages_keep_columns_and_take_extremes(spark):
