@@ -107,8 +107,33 @@ class _Adam:
         return self.rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.99**self.t)) + 1e-8)
 
 
+def loss_gradient(net: ByteNet, rows: np.ndarray, sizes: np.ndarray, y: np.ndarray, share: np.ndarray):
+    """The logistic loss of documents, weighted by share, and its gradients by tables, offset, out and bias.
+
+    rows are the chunks of all documents one after another, sizes their numbers. Gradients flow through the maxima alone.
+    """
+    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    own = np.repeat(np.arange(len(sizes)), sizes)
+    got, at = net.pooled(rows, True)
+    mean, most = np.add.reduceat(got, starts) / sizes[:, None], np.maximum.reduceat(got, starts)
+    top = np.concatenate([mean, most], 1)
+    p = 1 / (1 + np.exp(-np.clip(top @ net.out + net.bias, -30, 30)))
+    loss = -float((share * np.log(np.maximum(np.where(y == 1, p, 1 - p), 1e-30))).sum())
+    d = ((p - y) * share).astype(net.tables.dtype)
+    back = d[:, None] * net.out
+    place = np.arange(len(rows))[:, None]
+    first = np.minimum.reduceat(np.where(got >= most[own], place, len(rows)), starts)  # of equal maxima the first chunk's counts
+    gate = (got > 0) * (back[own, :FILTERS] / sizes[own][:, None] + back[own, FILTERS:] * (place == first[own]))
+    grad = np.zeros(net.tables.size, np.float64)
+    chunk, filt = np.nonzero(gate)
+    for j in range(WIDTH):
+        cell = (j * 256 + rows[chunk, at[chunk, filt] + j].astype(np.int64)) * FILTERS + filt
+        grad += np.bincount(cell, gate[chunk, filt], net.tables.size)
+    return loss, grad.reshape(net.tables.shape), gate.sum(0), d @ top, float(d.sum())
+
+
 def fit(texts: list[str], labels: list[int], rounds: int = 14, batch: int = 32, seed: int = 5) -> ByteNet:
-    """Minimise the logistic loss by Adam; gradients flow through the maxima alone."""
+    """Minimise the logistic loss by Adam."""
     y = np.array(labels, np.float32)
     rng = np.random.default_rng(seed)
     net = ByteNet(
@@ -128,25 +153,11 @@ def fit(texts: list[str], labels: list[int], rounds: int = 14, batch: int = 32,
         for a in range(0, len(order), batch):
             ids = order[a : a + batch]
             picked = [d if len(d) <= TRAIN_CHUNKS else d[np.sort(rng.choice(len(d), TRAIN_CHUNKS, False))] for d in (docs[i] for i in ids)]
-            sizes = np.array([len(p) for p in picked])
-            rows, starts = np.concatenate(picked), np.concatenate(([0], np.cumsum(sizes)[:-1]))
-            own = np.repeat(np.arange(len(ids)), sizes)
-            got, at = net.pooled(rows, True)
-            mean, most = np.add.reduceat(got, starts) / sizes[:, None], np.maximum.reduceat(got, starts)
-            top = np.concatenate([mean, most], 1)
-            p = 1 / (1 + np.exp(-np.clip(top @ net.out + net.bias, -30, 30)))
-            d = ((p - y[ids]) * balance[ids] / len(ids)).astype(np.float32)
-            back = d[:, None] * net.out
-            gate = (got > 0) * (back[own, :FILTERS] / sizes[own][:, None] + back[own, FILTERS:] * (got >= most[own]))
-            grad = np.zeros(net.tables.size, np.float64)
-            chunk, filt = np.nonzero(gate)
-            for j in range(WIDTH):
-                cell = (j * 256 + rows[chunk, at[chunk, filt] + j].astype(np.int64)) * FILTERS + filt
-                grad += np.bincount(cell, gate[chunk, filt], net.tables.size)
-            net.tables -= learn_t.step(grad.reshape(net.tables.shape).astype(np.float32) + 1e-5 * net.tables)
-            net.offset -= learn_o.step(gate.sum(0).astype(np.float32))
-            net.out -= learn_w.step((d @ top).astype(np.float32) + 1e-4 * net.out)
-            net.bias -= float(learn_b.step(np.array([d.sum()], np.float32))[0])
+            _, tables, offset, out, bias = loss_gradient(net, np.concatenate(picked), np.array([len(p) for p in picked]), y[ids], balance[ids] / len(ids))
+            net.tables -= learn_t.step(tables.astype(np.float32) + 1e-5 * net.tables)
+            net.offset -= learn_o.step(offset.astype(np.float32))
+            net.out -= learn_w.step(out.astype(np.float32) + 1e-4 * net.out)
+            net.bias -= float(learn_b.step(np.array([bias], np.float32))[0])
     return net
 
 

@@ -3,6 +3,9 @@
 A document is a bag of sentences; a sentence's probability is a logistic function of hashed word and
 word-start features, and the document's is the noisy-or of its sentences, 1 - prod(1 - p). The weights
 are trained from document labels alone; offending sentences are then those with a high probability.
+Learning, scoring and locating cut sentences alike: one ends after a token, set off by white space, that holds one of
+``.!?``, and at a line's end; texts of over ``PIECE`` characters are cut at white space besides.
+A sentence without any weighted feature counts as probability 0, so that a document's length alone makes it no more toxic.
 
 Learning uses a bounded sample: at most ``PER_CLASS`` documents of either label, taken by hash from the rows
 that may be learnt from, with ``MAX_CHARS`` characters each on average at most (only beyond that the longest
@@ -43,7 +46,7 @@ MEMORY = 200_000
 STARTS = (4, 5, 6)
 CORE = re.compile(r"[^\W_]+")
 ENDS = re.compile(r"[.!?]")
-SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]*")
+TOKEN = re.compile(r"\n|\S+")
 
 
 def feature_names(token: str) -> list[tuple[int, str]]:
@@ -143,16 +146,31 @@ class ToxicityModel:
         return max(0.0, float(-np.expm1(np.log1p(-np.minimum(self.sentence_scores(text), 1 - 1e-12)).sum())))
 
     def offending(self, text: str | None, threshold: float = 0.5) -> list[tuple[int, int, float]]:
-        """(start, end, probability) of the sentences of at least threshold, as character offsets."""
+        """(start, end, probability) of the sentences of at least threshold, as character offsets: those that score() multiplies."""
         if not text or self.constant is not None:
             return []
-        out = []
-        for m in SENTENCE.finditer(text):
-            if CORE.search(m[0]):
-                z = sum(map(self.token_sum, set(tokens(m[0]))))
-                if z > 0 and (p := 1 / (1 + np.exp(-np.clip(z + self.bias, -30, 30)))) >= threshold:
-                    out.append((m.start() + len(m[0]) - len(m[0].lstrip()), m.end(), float(p)))
-        return out
+        spans = list(sentence_spans(text))
+        scores = self.sentence_scores(text)[: len(spans)]
+        return [(*spans[k], float(scores[k])) for k in np.nonzero(scores >= threshold)[0] if scores[k] > 0]
+
+
+def sentence_spans(text: str) -> Iterator[tuple[int, int]]:
+    """Start and end of each sentence, in the order of sentence_scores(); a line's end after a sentence's end is an empty one."""
+    at = 0
+    for piece in pieces(text):
+        start = end = None
+        for m in TOKEN.finditer(piece):
+            line = m[0] == "\n"
+            if start is None:
+                start = end = at + m.start()
+            if not line:
+                end = at + m.end()
+            if line or ENDS.search(m[0]):
+                yield start, end
+                start = None
+        if start is not None:
+            yield start, end
+        at += len(piece)
 
 
 def sentence_cells(text: str, seen: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -182,6 +200,21 @@ def sentence_cells(text: str, seen: dict[str, np.ndarray]) -> tuple[np.ndarray,
     return np.concatenate(cells) if cells else np.zeros(0, np.int32), np.array(sizes, np.int32)
 
 
+def noisy_or_gradient(
+    bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, share: np.ndarray, w: np.ndarray, bias: float
+) -> tuple[float, np.ndarray, float]:
+    """The log-likelihood of the labels y of bags, weighted by share, and its gradient by weights and bias."""
+    cell = np.concatenate([c for c, _ in bags])
+    own = np.repeat(np.arange(len(bags)), [len(n) for _, n in bags])
+    sent = np.repeat(np.arange(len(own)), np.concatenate([n for _, n in bags]))
+    sums = np.bincount(sent, w[cell], len(own))
+    p = np.where(sums > 0, 1 / (1 + np.exp(-np.clip(sums + bias, -30, 30))), 0.0)
+    miss = np.exp(np.bincount(own, np.log1p(-np.minimum(p, 1 - 1e-12)), len(bags)))
+    likelihood = float((share * np.log(np.maximum(np.where(y == 1, 1 - miss, miss), 1e-300))).sum())
+    step = (np.where(y == 1, miss / np.maximum(1 - miss, 1e-9), -1.0) * share)[own] * p
+    return likelihood, np.bincount(cell, step[sent], len(w)), float(step.sum())
+
+
 def learn_weights(
     bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], rounds: int = 30, rate: float = 0.2, decay: float = 2e-6
 ) -> tuple[np.ndarray, float]:
@@ -203,17 +236,9 @@ def learn_weights(
     for _ in range(rounds):
         grad, up = -decay * w, 0.0
         for part in parts:
-            cell = np.concatenate([bags[i][0] for i in part])
-            sizes = [bags[i][1] for i in part]
-            own = np.repeat(np.arange(len(part)), [len(x) for x in sizes])
-            sent = np.repeat(np.arange(len(own)), np.concatenate(sizes))
-            sums = np.bincount(sent, w[cell], len(own))
-            p = np.where(sums > 0, 1 / (1 + np.exp(-np.clip(sums + bias, -30, 30))), 0.0)
-            miss = np.exp(np.bincount(own, np.log1p(-np.minimum(p, 1 - 1e-12)), len(part)))
-            pull = np.where(y[part] == 1, miss / np.maximum(1 - miss, 1e-9), -1.0) * balance[part] / len(y)
-            step = pull[own] * p
-            grad += np.bincount(cell, step[sent], FEATURES)
-            up += step.sum()
+            _, by_weight, by_bias = noisy_or_gradient([bags[i] for i in part], y[part], balance[part] / len(y), w, bias)
+            grad += by_weight
+            up += by_bias
         g2 += grad**2
         b2 += up**2
         w = np.maximum(w + rate * grad / np.sqrt(g2), 0.0)
