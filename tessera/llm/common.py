@@ -36,8 +36,8 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-#: Keys with over 1 / HOT of all rows are joined by a broadcast of their facts: fewer than HOT rows.
-HOT = 4096
+#: Keys with over 1 / HOT of all rows are hot: fewer than HOT of them, so they are broadcast. Each is dealt to PARTS salts.
+HOT, PARTS = 4096, 256
 
 
 def hot_keys(counts: DataFrame, n: str, rows: int, least: int = 10_000) -> DataFrame:
@@ -45,15 +45,16 @@ def hot_keys(counts: DataFrame, n: str, rows: int, least: int = 10_000) -> DataF
     return counts.where(F.col(n) > max(least, rows // HOT))
 
 
-def join_facts(rows: DataFrame, facts: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
-    """rows joined to facts, which have one row a key. Hot keys' facts are broadcast, so that no task gathers a hot key's rows.
+def join_facts(rows: DataFrame, facts: DataFrame, keys: list[str], hot: DataFrame, salt: list[str], parts: int = PARTS) -> DataFrame:
+    """rows joined to facts, which have one row a key; rows of a hot key are dealt by the columns salt, so that no task gathers them.
 
-    hot has the keys' columns alone and fewer than HOT rows. Null keys meet nothing.
+    hot has the keys' columns alone and fewer than HOT rows; only these keys' facts are repeated. Null keys meet nothing.
     """
-    mark = F.broadcast(hot.select(*keys, F.lit(True).alias("_hot")))
-    r, f = rows.join(mark, keys, "left"), facts.join(mark, keys, "left")
-    few = F.broadcast(f.where("_hot").drop("_hot"))
-    return r.where("_hot IS NULL").drop("_hot").join(f.where("_hot IS NULL").drop("_hot"), keys).unionByName(r.where("_hot").drop("_hot").join(few, keys))
+    mark = F.broadcast(hot.select(*keys, F.lit(parts).alias("_parts")))
+    n = F.coalesce("_parts", F.lit(1)).cast("long")
+    r = rows.join(mark, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*salt), n)).drop("_parts")
+    f = facts.join(mark, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), n - 1))).drop("_parts")
+    return r.join(f, [*keys, "_salt"]).drop("_salt")
 
 
 def id_fold(doc_id: Column, parts: int) -> Column:

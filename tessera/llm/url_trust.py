@@ -8,17 +8,18 @@ distrust of the hosts that have any. Both are relative, so a verdict doesn't tur
 
 Links are the ``href`` values of the html: absolute (``scheme://host``) or ``//host`` name another host,
 all others their own page's, and links within a host carry nothing. Edges are summed per pair of hosts
-before any join, and both directions run in one frame, so an iteration is one join and one aggregation.
+before any join, and both directions run in one frame, so an iteration is one join and one aggregation (a host's own score
+travels along a link to itself).
 Iterations go on until what is still to come can't move any score by ``ACCURACY`` of the least distrust;
 scores nearer than that count as equal.
-Mass of hosts without links isn't dealt again: that only scales all values of one direction alike.
+Mass of hosts without links isn't dealt again; instead each direction's scores are divided by their sum at the end, so that
+a direction that loses more of it isn't at a disadvantage. Hosts of very many links are joined by salts.
 
 Defined results: a null url, or one without ``://``, has empty host and path and is judged by its host,
 the empty one; null html has no links; repeated rows are judged each; an empty table gives no rows;
 extra columns are ignored. A host that no seed reaches is allowed.
 
-``oracle_sql`` does ``ROUNDS`` rounds and cuts at ``LEAST`` of all distrust, rounded to ``DIGITS``; where that cut
-or that number of rounds bites (thousands of distrusted hosts, long chains), it blocks fewer hosts than judge().
+``oracle_sql`` follows the same definition, with ``ROUNDS`` rounds.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, hot_keys, join_facts
 
 #: Verdict, host, start of the path.
 RULES = (
@@ -41,10 +42,9 @@ RATIO = 1.0
 LEAST_OF_MEAN = 0.006
 #: Error that a score may have, as a share of the least distrust.
 ACCURACY = 0.01
-#: For the SQL alone: rounds, least share of all distrust, and digits after the point at which scores are compared.
-ROUNDS = 8
-LEAST = 1e-4
-DIGITS = 9
+#: Rounds between two writings of the scores, and rounds of the SQL.
+WRITE_EVERY = 6
+ROUNDS = 120
 #: Blocked hosts that are broadcast to the pages; more are joined by host and one of SALTS salts.
 BROADCAST_HOSTS = 100_000
 SALTS = 32
@@ -80,13 +80,19 @@ def host_links(pages: DataFrame) -> DataFrame:
 def host_scores(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, accuracy: float = ACCURACY * LEAST_OF_MEAN) -> tuple[DataFrame, float]:
     """host, trust, distrust, and the mean distrust of the hosts that have any; seeds: host, allowed, blocked (numbers of urls).
 
-    No score is further than accuracy times that mean from its limit.
+    Trust and distrust sum to 1 over all hosts. No score is further than about accuracy times that mean from its limit.
     """
     both = links.select(F.lit(0).alias("kind"), "src", "dst", "n").unionByName(
         links.select(F.lit(1).alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
     )
-    out = both.groupBy("kind", "src").agg(F.sum("n").alias("out"))
-    edges = cut(both.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("out")).alias("share")))
+    out = cut(both.groupBy("kind", "src").agg(F.sum("n").alias("out"), F.count(F.lit(1)).alias("links")))
+    hot = cut(hot_keys(out, "links", int(out.agg(F.coalesce(F.sum("links"), F.lit(0))).first()[0])).select("kind", "src"))
+    hubs = not hot.isEmpty()
+    shares = join_facts(both, out, ["kind", "src"], hot, ["dst"]).select("kind", "src", "dst", (F.col("n") / F.col("out")).alias("share"))
+    known = both.select("kind", "src").unionByName(both.select("kind", F.col("dst").alias("src"))).unionByName(
+        seeds.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("kind"), F.col("host").alias("src"))
+    ).distinct()
+    edges = cut(shares.unionByName(known.select("kind", "src", F.col("src").alias("dst"), F.lit(None).cast("double").alias("share"))))
     start = seeds.select(F.lit(0).alias("kind"), "host", F.col("allowed").alias("mass")).unionByName(
         seeds.select(F.lit(1).alias("kind"), "host", F.col("blocked").alias("mass"))
     ).where("mass > 0")
@@ -95,24 +101,25 @@ def host_scores(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, ac
     # delta is what the last round added: passed on alone, it sums to all that a round changes
     rank = cut(start.join(F.broadcast(totals), "kind").select("kind", "host", given).withColumn("delta", F.col("score")))
     while True:
-        moving, total, reached = rank.agg(
+        moving, trusted, total, reached = rank.agg(
             F.coalesce(F.greatest(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("delta"))), F.lit(0.0)) for k in (0, 1)]), F.lit(0.0)),
-            F.coalesce(F.sum(F.when(F.col("kind") == 1, F.col("score"))), F.lit(0.0)),
+            *[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("score"))), F.lit(0.0)) for k in (0, 1)],
             F.count_if((F.col("kind") == 1) & (F.col("score") > 0)),
         ).first()
-        mean = total / max(1, reached)
-        # without distrust nothing can be blocked
-        if not reached or moving * damping / (1 - damping) <= accuracy * mean:
+        mean = 1 / max(1, reached)
+        # without distrust nothing can be blocked; a total falls short of its limit by moving at most
+        if not reached or moving * damping / (1 - damping) <= accuracy * mean * (1 - damping):
             break
-        for _ in range(4):
-            passed = edges.join(rank.where("delta > 0").select("kind", F.col("host").alias("src"), "delta"), ["kind", "src"]).select(
-                "kind", F.col("dst").alias("host"), (damping * F.col("share") * F.col("delta")).alias("score")
+        gain = damping * F.col("share") * F.col("delta")
+        for _ in range(WRITE_EVERY):
+            rank = rank.withColumnRenamed("host", "src")
+            met = join_facts(edges, rank, ["kind", "src"], hot, ["dst"]) if hubs else edges.join(rank, ["kind", "src"])
+            rank = met.groupBy("kind", F.col("dst").alias("host")).agg(
+                F.sum(F.coalesce(gain, "score")).alias("score"), F.sum(F.coalesce(gain, F.lit(0.0))).alias("delta")
             )
-            rank = rank.withColumn("delta", F.lit(0.0)).unionByName(passed.withColumn("delta", F.col("score")))
-            rank = rank.groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum("delta").alias("delta"))
         rank = cut(rank)
-    by = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0))
-    return rank.groupBy("host").agg(by(0).alias("trust"), by(1).alias("distrust")), mean
+    by = lambda kind, whole: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0)) / F.lit(whole or 1.0)
+    return rank.groupBy("host").agg(by(0, trusted).alias("trust"), by(1, total).alias("distrust")), mean
 
 
 def judge(
@@ -152,38 +159,31 @@ def judge(
     )
 
 
-def oracle_sql(rounds: int = ROUNDS, damping: float = DAMPING, ratio: float = RATIO, least: float = LEAST) -> str:
-    """The rows of judge() with its defaults in DuckDB's SQL, one table expression per round."""
+def oracle_sql(
+    rounds: int = ROUNDS, damping: float = DAMPING, ratio: float = RATIO, least: float = LEAST_OF_MEAN, accuracy: float = ACCURACY
+) -> str:
+    """The rows of judge() with its defaults in DuckDB's SQL: what each round passes on, summed over all rounds."""
     name, verdict = "NULL", "NULL"
     for kind, host, path in sorted(RULES, key=lambda r: len(r[1] + r[2])):
         fits = f"((host = '{host}' OR host LIKE '%.{host}') AND path LIKE '{path}%')"
         name, verdict = f"CASE WHEN {fits} THEN '{host}{path}' ELSE {name} END", f"CASE WHEN {fits} THEN '{kind}' ELSE {verdict} END"
     href = _HREF.replace("'", "''")
-    parts = [
-        f"""parsed AS (SELECT page_id, html, translate(regexp_extract(coalesce(url, ''), '{_URL}', 1), '{_UPPER}', '{_LOWER}') AS host,
-          regexp_extract(coalesce(url, ''), '{_URL}', 2) AS path FROM pages)""",
-        f"ruled AS (SELECT page_id, host, path, {name} AS rule, {verdict} AS by_rule FROM parsed)",
-        f"""linked AS (SELECT host AS src, translate(unnest(regexp_extract_all(html, '{href}', 2)), '{_UPPER}', '{_LOWER}') AS dst FROM parsed)""",
-        "links AS (SELECT src, dst, count(*) AS n FROM linked WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY 1, 2)",
-        "both_ways AS (SELECT 0 AS kind, src, dst, n FROM links UNION ALL SELECT 1, dst, src, n FROM links)",
-        "edges AS (SELECT kind, src, dst, n / sum(n) OVER (PARTITION BY kind, src) AS share FROM both_ways)",
-        """hosts AS (SELECT host, count(*) AS n, count(*) FILTER (by_rule = 'allow') AS allowed, count(*) FILTER (by_rule = 'block') AS blocked
-          FROM ruled WHERE host <> '' GROUP BY 1)""",
-        """masses AS (SELECT 0 AS kind, host, allowed AS mass FROM hosts WHERE 2 * allowed > n
-          UNION ALL SELECT 1, host, blocked FROM hosts WHERE 2 * blocked > n)""",
-        "rank0 AS (SELECT kind, host, mass / sum(mass) OVER (PARTITION BY kind) AS score FROM masses)",
-    ]
-    for i in range(rounds):
-        parts.append(
-            f"""rank{i + 1} AS (SELECT kind, host, sum(score) AS score FROM (
-          SELECT e.kind, e.dst AS host, {damping} * share * score AS score FROM edges e JOIN rank{i} r ON e.kind = r.kind AND e.src = r.host
-          UNION ALL SELECT kind, host, {1 - damping} * score FROM rank0) GROUP BY 1, 2)"""
-        )
-    parts.append(
-        f"""bad AS (SELECT host FROM rank{rounds} GROUP BY host
-          HAVING round(coalesce(sum(score) FILTER (kind = 1), 0), {DIGITS}) > round({ratio} * coalesce(sum(score) FILTER (kind = 0), 0), {DIGITS})
-          AND round(coalesce(sum(score) FILTER (kind = 1), 0), {DIGITS}) > {least})"""
-    )
-    return "WITH " + ",\n".join(parts) + """
+    return f"""WITH RECURSIVE parsed AS (SELECT page_id, html, translate(regexp_extract(coalesce(url, ''), '{_URL}', 1), '{_UPPER}', '{_LOWER}') AS host,
+          regexp_extract(coalesce(url, ''), '{_URL}', 2) AS path FROM pages),
+        ruled AS (SELECT page_id, host, path, {name} AS rule, {verdict} AS by_rule FROM parsed),
+        linked AS (SELECT host AS src, translate(unnest(regexp_extract_all(html, '{href}', 2)), '{_UPPER}', '{_LOWER}') AS dst FROM parsed),
+        links AS (SELECT src, dst, count(*) AS n FROM linked WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY 1, 2),
+        both_ways AS (SELECT 0 AS kind, src, dst, n FROM links UNION ALL SELECT 1, dst, src, n FROM links),
+        edges AS MATERIALIZED (SELECT kind, src, dst, n / sum(n) OVER (PARTITION BY kind, src) AS share FROM both_ways),
+        hosts AS (SELECT host, count(*) AS n, count(*) FILTER (by_rule = 'allow') AS allowed, count(*) FILTER (by_rule = 'block') AS blocked
+          FROM ruled WHERE host <> '' GROUP BY 1),
+        masses AS (SELECT 0 AS kind, host, allowed AS mass FROM hosts WHERE 2 * allowed > n
+          UNION ALL SELECT 1, host, blocked FROM hosts WHERE 2 * blocked > n),
+        walk(round, kind, host, score) AS (SELECT 0, kind, host, CAST({1 - damping} * mass / sum(mass) OVER (PARTITION BY kind) AS DOUBLE) FROM masses
+          UNION ALL SELECT w.round + 1, e.kind, e.dst, sum({damping} * share * score)
+          FROM walk w JOIN edges e ON e.kind = w.kind AND e.src = w.host WHERE w.round < {rounds} GROUP BY w.round, e.kind, e.dst),
+        scores AS (SELECT host, coalesce(sum(score) FILTER (kind = 0), 0) AS trust, coalesce(sum(score) FILTER (kind = 1), 0) AS distrust FROM walk GROUP BY host),
+        whole AS (SELECT coalesce(nullif(sum(trust), 0), 1) AS t, coalesce(nullif(sum(distrust), 0), 1) AS d, 1.0 / greatest(1, count(*) FILTER (distrust > 0)) AS mean FROM scores),
+        bad AS (SELECT host FROM scores, whole WHERE distrust / d > {ratio} * trust / t + {accuracy * least} * mean AND distrust / d > {least} * mean)
         SELECT page_id, ruled.host, path, rule, coalesce(by_rule, CASE WHEN bad.host IS NOT NULL THEN 'block' END, 'allow') AS verdict
         FROM ruled LEFT JOIN bad ON ruled.host = bad.host"""

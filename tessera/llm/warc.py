@@ -66,7 +66,7 @@ def records(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> tuple[DataF
         _field("Content-Length", F.when(revisit, F.lit(0)).otherwise(F.col("bytes"))), F.lit(_END),
     )
     hot = hot_keys(groups, "n", slim.count()).select("digest")
-    headers = join_facts(slim, owners, ["digest"], hot).select("page_id", "digest", F.encode(header, "UTF-8").alias("header"))
+    headers = join_facts(slim, owners, ["digest"], hot, ["page_id", "url"]).select("page_id", "digest", F.encode(header, "UTF-8").alias("header"))
     payloads = full.select(F.sha2("payload", 256).alias("digest"), "payload").dropDuplicates(["digest"])
     return headers, payloads
 
@@ -103,19 +103,12 @@ def _hot_digests(headers: DataFrame) -> DataFrame:
     return hot_keys(counts, "n", headers.count())
 
 
-def reconstruct(spark: SparkSession, folder: str, salts: int = 256) -> DataFrame:
-    """page_id, record_type, refers_to, record, payload: each record's exact bytes, and its full payload for revisits too.
-
-    The payload of a hot digest meets its headers in that many tasks.
-    """
+def reconstruct(spark: SparkSession, folder: str) -> DataFrame:
+    """page_id, record_type, refers_to, record, payload: each record's exact bytes, and its full payload for revisits too."""
     end = F.encode(F.lit(_END * 2), "UTF-8")
     body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.encode(F.lit(""), "UTF-8"))
     headers = read_headers(spark, folder)
-    hot = F.broadcast(_hot_digests(headers).select("digest", F.lit(salts).alias("parts")))
-    parts = F.coalesce("parts", F.lit(1))
-    salted = headers.join(hot, "digest", "left").withColumn("salt", F.pmod(F.xxhash64("header"), parts))
-    stored = read_payloads(spark, folder).join(hot, "digest", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-    return salted.drop("parts").join(stored.drop("parts"), ["digest", "salt"]).select(
+    return join_facts(headers, read_payloads(spark, folder), ["digest"], _hot_digests(headers).select("digest"), ["header"]).select(
         "page_id", "record_type", "refers_to", F.concat("header", body, end).alias("record"), "payload"
     )
 
@@ -132,7 +125,7 @@ def summary(spark: SparkSession, folder: str) -> DataFrame:
     kind = F.when(F.col("content_length") == body, F.col("record_type")).otherwise(
         F.raise_error(F.concat(F.lit("a header's Content-Length differs from its body's for payload "), F.col("digest")))
     )
-    return join_facts(headers, facts, ["digest"], _hot_digests(headers).select("digest")).select(
+    return join_facts(headers, facts, ["digest"], _hot_digests(headers).select("digest"), ["page_id", "record_type"]).select(
         "page_id", "payload_bytes", "payload_digest", kind.alias("record_type"), "refers_to"
     )
 
