@@ -8,8 +8,9 @@ bands of ``ROWS`` minima are candidates, but pairs within a band's bucket are no
 2. where a bucket still spans several components, members are paired with up to ``HUBS`` more hubs of
    other components;
 3. where it still does, all pairs across components are tested: by a join in buckets of up to ``SMALL``
-   members; in larger ones inside blocks of ``CHUNK`` by ``CHUNK`` members, to which every text travels
-   once and which return links alone.
+   members; in larger ones inside blocks of ``CHUNK`` by ``CHUNK`` members. Members of a bucket's largest
+   component meet only those outside it. Signatures alone travel to the blocks at first; the texts follow
+   of those members only that have a partner of like signature there, and links alone come back.
 
 Pairs are verified first by signature (at least ``SIGNATURE`` of the minima agree), then on the full sets
 (100 * intersection >= ``PERCENT`` * union), and components are found anew after each step. A group of
@@ -49,6 +50,7 @@ CHUNK = 512
 BLOCK = 1 << 22
 #: Ids whose texts are looked up by a broadcast; beyond, by a shuffled join.
 BROADCAST_IDS = 1_000_000
+_BLOCK = ["key", "band", "low", "high", "doc_id", "c", "chunk", "signature"]
 _SKETCH = "doc_id long, n_shingles long, digest binary, signature binary"
 
 
@@ -173,11 +175,11 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def _links_in_block(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Links between members of two chunks of a bucket that lie in different components so far."""
+def _like_in_block(key: tuple, rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows i, j of pairs of like signature in two chunks, of different components so far and first met in this band; and how much they agree."""
     band, low, high = int(key[1]), int(key[2]), int(key[3])
     minima_of = np.frombuffer(b"".join(rows["signature"]), "<u4").reshape(len(rows), BANDS, ROWS)
-    ids, groups, chunk, texts = (rows[c].to_numpy() for c in ("doc_id", "c", "chunk", "text"))
+    ids, groups, chunk = (rows[c].to_numpy() for c in ("doc_id", "c", "chunk"))
     i, j = np.nonzero(chunk == low)[0], np.nonzero(chunk == high)[0]
     agree = np.zeros((len(i), len(j)), np.int16)
     usable = groups[i][:, None] != groups[j][None, :]
@@ -192,7 +194,20 @@ def _links_in_block(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     if low == high:
         usable &= ids[i][:, None] < ids[j][None, :]
     x, y = np.nonzero(usable & (agree >= SIGNATURE * PERMUTATIONS))
-    order = np.argsort(-agree[x, y], kind="stable")
+    return i[x], j[y], agree[x, y]
+
+
+def _partnered_in_block(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """The members of a block that have a partner of like signature in it."""
+    i, j, _ = _like_in_block(key, rows)
+    return rows.iloc[np.unique(np.concatenate([i, j]))][_BLOCK]
+
+
+def _links_in_block(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """Links between members of two chunks of a bucket that lie in different components so far."""
+    ids, groups, texts = (rows[c].to_numpy() for c in ("doc_id", "c", "text"))
+    i, j, agree = _like_in_block(key, rows)
+    order = np.argsort(-agree, kind="stable")
     parent: dict[int, int] = {}
 
     def top(c: int) -> int:
@@ -203,7 +218,7 @@ def _links_in_block(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     sets: dict[int, np.ndarray] = {}
     out = []
     for k in order.tolist():
-        p, q = int(i[x[k]]), int(j[y[k]])
+        p, q = int(i[k]), int(j[k])
         cp, cq = top(int(groups[p])), top(int(groups[q]))
         if cp == cq:
             continue
@@ -272,17 +287,21 @@ def _in_small_buckets(state: DataFrame) -> DataFrame:
 
 
 def _in_large_buckets(state: DataFrame, signatures: DataFrame, texts: DataFrame) -> DataFrame:
-    chunks = F.ceil(F.col("size") / CHUNK).cast("int")
-    dealt = state.where(F.col("size") > SMALL).withColumn("chunk", F.pmod(F.xxhash64("doc_id"), chunks).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    large = state.where(F.col("size") > SMALL)
+    parts = large.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
+    main = parts.groupBy("key").agg(F.max(F.struct("n", "c")).alias("m")).select("key", F.col("m.c").alias("main"), F.col("m.n").alias("n"))
+    # chunks below first hold the largest component, those from first on all others; two of the former never meet
+    first, rest = F.ceil(F.col("n") / CHUNK).cast("int"), F.ceil((F.col("size") - F.col("n")) / CHUNK).cast("int")
+    dealt = large.join(main, "key").withColumn("first", first).withColumn("rest", rest)
+    hashed = F.xxhash64("doc_id")
+    chunk = F.when(F.col("c") == F.col("main"), F.pmod(hashed, F.col("first"))).otherwise(F.col("first") + F.pmod(hashed, F.col("rest")))
+    start = F.when(F.col("c") == F.col("main"), F.col("first")).otherwise(0)
+    dealt = dealt.withColumn("chunk", chunk.cast("int")).withColumn("other", F.explode(F.sequence(start, F.col("first") + F.col("rest") - 1)))
     dealt = dealt.withColumn("low", F.least("chunk", "other")).withColumn("high", F.greatest("chunk", "other"))
-    return (
-        dealt.join(signatures, "doc_id")
-        .join(texts, "doc_id")
-        .select("key", "band", "low", "high", "doc_id", "c", "chunk", "signature", "text")
-        .groupBy("key", "band", "low", "high")
-        .applyInPandas(_links_in_block, "u long, v long")
-    )
+    blocks = ["key", "band", "low", "high"]
+    schema = "key long, band int, low int, high int, doc_id long, c long, chunk int, signature binary"
+    partnered = cut(dealt.join(signatures, "doc_id").select(*_BLOCK).groupBy(*blocks).applyInPandas(_partnered_in_block, schema))
+    return partnered.join(texts.select("doc_id", "text"), "doc_id").groupBy(*blocks).applyInPandas(_links_in_block, "u long, v long")
 
 
 def near_copies(documents: DataFrame) -> DataFrame:
@@ -308,10 +327,20 @@ def near_copies(documents: DataFrame) -> DataFrame:
 
 
 def drop_copies(documents: DataFrame) -> DataFrame:
-    """The documents of which no near copy with a smaller id exists, one row each, with their own columns."""
-    gone = near_copies(documents).where("NOT kept").select("doc_id").distinct()
-    first = documents.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(documents.columns)
-    return first.unionByName(documents.where("doc_id IS NULL"))
+    """The documents of which no near copy with a smaller id exists, one row each, with their own columns.
+
+    Of rows that share an id the one stays whose columns, as JSON, have the least digest; rows with a null id all stay.
+    """
+    gone = cut(near_copies(documents).where("NOT kept").select("doc_id").distinct())
+    left = documents.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(documents.columns)
+    several = cut(documents.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
+    n = several.count()
+    if n == 0:
+        return left
+    several = F.broadcast(several) if n <= BROADCAST_IDS else several
+    row = F.struct(*[F.col(c) for c in documents.columns])
+    one = left.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.sha2(F.to_json(row), 256)).alias("_row")).select("_row.*")
+    return left.join(several, "doc_id", "left_anti").select(documents.columns).unionByName(one)
 
 
 ORACLE_SQL = """
