@@ -7,8 +7,8 @@ one probes the other's; the cosine decides in double precision.
 
 Equal vectors are merged first and counted by their number. Vectors of small buckets are paired by joins;
 a bucket of over ``LARGE`` vectors is dealt out in chunks, and pairs of chunks are compared as matrices,
-which return numbers of links and a spanning forest instead of pairs. A pair counts in the first table
-in which both have one own cell; only pairs without such a table are written out, and made distinct.
+which return numbers of links and a spanning forest instead of pairs. A pair counts once, at the first place
+at which it meets: the first table in which both have one own cell, or one probes the other's.
 
 The projections' scale grows with the number of vectors so that a cell holds few unrelated ones. As
 smaller cells part more of the near vectors too, the number of tables grows with the scale, which keeps
@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, hot_keys, join_facts
 from .components import components
 
 TABLES, PROBES = 10, 8
@@ -111,20 +111,34 @@ def _indexer(scale: float):
     return index
 
 
-def _first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For rows of own cells: the first table in which they are the same, or the number of tables."""
-    same = a == b
-    return np.where(same.any(axis=-1), same.argmax(axis=-1), same.shape[-1])
+def _places(own_a: np.ndarray, probed_a: np.ndarray, own_b: np.ndarray, probed_b: np.ndarray) -> np.ndarray:
+    """For rows of pairs (a's node below b's) the first place at which they meet.
+
+    4 * table for a shared own cell, 1 more for a's cell that b probes, 2 more for b's cell that a probes.
+    """
+    n, tables = own_a.shape
+    place = np.full(n, 4 * tables)
+    for t in reversed(range(tables)):
+        at = slice(t * PROBES, (t + 1) * PROBES)
+        place[(probed_a[:, at] == own_b[:, t, None]).any(axis=1)] = 4 * t + 2
+        place[(probed_b[:, at] == own_a[:, t, None]).any(axis=1)] = 4 * t + 1
+        place[own_a[:, t] == own_b[:, t]] = 4 * t
+    return place
+
+
+def _stacked(column: pd.Series) -> np.ndarray:
+    return np.array(column.tolist())
 
 
 def _check_pairs(limit: float):
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                ua, ub = (np.array(batch[c].tolist(), float) for c in ("unit_a", "unit_b"))
-                shared = _first_shared(*(np.array(batch[c].tolist()) for c in ("own_a", "own_b")))
-                right = ((ua * ub).sum(axis=1) >= limit) & (shared == batch["tab"].to_numpy())
-                yield batch.loc[right, ["a", "b", "copies_a", "copies_b"]]
+                near = (_stacked(batch["unit_a"]) * _stacked(batch["unit_b"])).sum(axis=1) >= limit
+                batch = batch[near]
+            if len(batch):
+                found = _places(*(_stacked(batch[c]) for c in ("own_a", "probed_a", "own_b", "probed_b")))
+                yield batch.loc[found == batch["place"].to_numpy(), ["a", "b", "copies_a", "copies_b"]]
 
     return check
 
@@ -150,29 +164,36 @@ def _forest(links: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int,
 def _blocks(limit: float):
     def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         table, low, high = int(key[1]), int(key[2]), int(key[3])
-        unit, own = np.array(rows["unit"].tolist(), float), np.array(rows["own"].tolist())
+        unit, own, probed = (_stacked(rows[c]) for c in ("unit", "own", "probed"))
         node, copies, mine, chunk = (rows[c].to_numpy() for c in ("node", "copies", "is_own", "chunk"))
-        out: list[tuple] = []
+        linked_to = np.zeros(len(rows), np.int64)
+        ties: list[tuple[int, int]] = []
         left, right = np.nonzero(chunk == low)[0], np.nonzero(chunk == high)[0]
 
-        def linked(i: np.ndarray, j: np.ndarray, first: int) -> np.ndarray:
+        def meet(i: np.ndarray, j: np.ndarray, both_own: bool, twice: bool) -> None:
+            """Count the links between rows i, which own the cell, and j, that meet here first; twice if i and j are the same rows."""
             links = unit[i] @ unit[j].T >= limit
-            links &= node[i][:, None] != node[j][None, :]
-            for t in range(min(first, own.shape[1])):
-                links &= own[i][:, t][:, None] != own[j][:, t][None, :]
-            return links
-
-        i, j = left[mine[left]], right[mine[right]]
-        links = linked(i, j, table)
-        counts = [(i, links @ copies[j])] if low == high else [(i, links @ copies[j]), (j, links.T @ copies[i])]
-        out += [("count", int(node[k]), int(node[k]), int(n), 0) for at, ns in counts for k, n in zip(at, ns, strict=True) if n]
-        out += [("tie", u, v, 0, 0) for u, v in _forest(links, node[i], node[j])]
-        for i, j in [(left[mine[left]], right[~mine[right]])] + ([(right[mine[right]], left[~mine[left]])] if low != high else []):
-            links = linked(i, j, own.shape[1])
-            for x, y in zip(*np.nonzero(links), strict=True):
-                p, q = (i[x], j[y]) if node[i[x]] < node[j[y]] else (j[y], i[x])
-                out.append(("pair", int(node[p]), int(node[q]), int(copies[p]), int(copies[q])))
-        return pd.DataFrame(out, columns=["kind", "a", "b", "copies_a", "copies_b"])
+            x, y = np.nonzero(links)
+            for part in range(0, len(x), CHUNK * PROBES):
+                p, q = i[x[part : part + CHUNK * PROBES]], j[y[part : part + CHUNK * PROBES]]
+                swap = node[p] > node[q]
+                a, b = np.where(swap, q, p), np.where(swap, p, q)
+                place = 4 * table + (0 if both_own else np.where(swap, 2, 1))
+                here = (_places(own[a], probed[a], own[b], probed[b]) == place) & (node[p] != node[q])
+                if twice:  # every pair is there both ways
+                    here &= ~swap
+                links[x[part : part + CHUNK * PROBES], y[part : part + CHUNK * PROBES]] = here
+            np.add.at(linked_to, i, links @ copies[j])
+            np.add.at(linked_to, j, links.T @ copies[i])
+            ties.extend(_forest(links, node[i], node[j]))
+
+        meet(left[mine[left]], right[mine[right]], True, low == high)
+        meet(left[mine[left]], right[~mine[right]], False, False)
+        if low != high:
+            meet(right[mine[right]], left[~mine[left]], False, False)
+        counted = np.nonzero(linked_to)[0]
+        out = [("count", int(node[k]), int(linked_to[k])) for k in counted] + [("tie", u, v) for u, v in ties]
+        return pd.DataFrame(out, columns=["kind", "a", "b"])
 
     return compare
 
@@ -193,30 +214,25 @@ def link(nodes: DataFrame, limit: float = COSINE, scale: float = SCALE_50K) -> t
     small = entries.where(F.col("size") <= LARGE)
     mine = small.where("is_own").select("key", "tab", F.col("node").alias("x"))
     met = mine.join(small.select("key", F.col("node").alias("y"), "is_own"), "key").where("x != y AND (NOT is_own OR x < y)")
-    pairs = met.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(
-        F.coalesce(F.min(F.when(F.col("is_own"), F.col("tab"))), F.lit(tables_at(scale))).alias("tab")
-    )
-    side = lambda x: index.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("copies", "unit", "own")])
-    pair_schema = "a long, b long, copies_a long, copies_b long"
-    by_pair = pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_check_pairs(limit), pair_schema)
+    place = 4 * F.col("tab") + F.when(F.col("is_own"), 0).when(F.col("x") < F.col("y"), 1).otherwise(2)
+    pairs = met.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.min(place).alias("place"))
+    side = lambda x: index.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("copies", "unit", "own", "probed")])
+    by_pair = cut(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_check_pairs(limit), "a long, b long, copies_a long, copies_b long"))
 
     chunks = F.ceil(F.col("size") / CHUNK).cast("int")
     dealt = entries.where(F.col("size") > LARGE).withColumn("chunk", F.pmod(F.xxhash64("node"), chunks).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
     dealt = dealt.withColumn("low", F.least("chunk", "other")).withColumn("high", F.greatest("chunk", "other"))
     by_block = cut(
-        dealt.join(index.select("node", "copies", "unit", "own"), "node")
-        .groupBy("key", "tab", "low", "high")
-        .applyInPandas(_blocks(limit), "kind string, " + pair_schema)
+        dealt.join(index, "node").groupBy("key", "tab", "low", "high").applyInPandas(_blocks(limit), "kind string, a long, b long")
     )
-    loose = cut(by_pair.unionByName(by_block.where("kind = 'pair'").drop("kind")).distinct())
     counts = (
-        loose.select(F.col("a").alias("node"), F.col("copies_b").alias("n"))
-        .unionByName(loose.select(F.col("b").alias("node"), F.col("copies_a").alias("n")))
-        .unionByName(by_block.where("kind = 'count'").select(F.col("a").alias("node"), F.col("copies_a").alias("n")))
+        by_pair.select(F.col("a").alias("node"), F.col("copies_b").alias("n"))
+        .unionByName(by_pair.select(F.col("b").alias("node"), F.col("copies_a").alias("n")))
+        .unionByName(by_block.where("kind = 'count'").select(F.col("a").alias("node"), F.col("b").alias("n")))
         .groupBy("node").agg(F.sum("n").alias("n"))
     )
-    ties = loose.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
+    ties = by_pair.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
         by_block.where("kind = 'tie'").select(F.col("a").alias("u"), F.col("b").alias("v"))
     )
     return counts, ties
@@ -226,22 +242,24 @@ def near_copies(embeddings: DataFrame, limit: float = COSINE, scale: float | Non
     """vec_id, n_links, component_id, kept of every row."""
     slim = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    sound = slim.where(F.col("vec_id").isNotNull() & F.coalesce(finite, F.lit(False))).distinct()
-    members = cut(sound.groupBy("embedding").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies")))
+    sound = slim.where(F.col("vec_id").isNotNull() & F.coalesce(finite, F.lit(False)))
+    # a vector goes by its 64-bit hash; one id with several vectors: a node for each vector, but one component
+    ids = cut(sound.select("vec_id", F.xxhash64("embedding").alias("node")).distinct())
+    sizes = cut(ids.groupBy("node").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies")))
+    hot = hot_keys(sizes, "copies", ids.count()).select("node")
+    vectors = sound.select(F.xxhash64("embedding").alias("node"), "embedding").dropDuplicates(["node"])
+    nodes = sizes.join(vectors, "node")
     if scale is None:
-        scale = float(np.clip(SCALE_50K * (max(1, members.count()) / 50_000) ** 0.125, LEAST_SCALE, MOST_SCALE))
-    # one id with several vectors: a number of its own for each vector, but one component
-    nodes = cut(members.withColumn("vec_id", F.col("node")).withColumn("node", F.xxhash64("embedding")))
+        scale = float(np.clip(SCALE_50K * (max(1, sizes.count()) / 50_000) ** 0.125, LEAST_SCALE, MOST_SCALE))
     counts, ties = link(nodes.select("node", "copies", "embedding"), limit, scale)
-    known = cut(sound.join(nodes.select("embedding", "node", "copies", F.col("vec_id").alias("first")), "embedding").select("vec_id", "node", "copies", "first"))
-    firsts = nodes.select("node", F.col("vec_id").alias("first"))
+    known = cut(join_facts(ids, sizes.join(counts, "node", "left").select("node", "first", "copies", F.coalesce("n", F.lit(0)).alias("n")), ["node"], hot, ["vec_id"]))
+    firsts = sizes.select("node", "first")
     by_id = ties.join(firsts.select(F.col("node").alias("u"), F.col("first").alias("p")), "u").join(
         firsts.select(F.col("node").alias("v"), F.col("first").alias("q")), "v"
     ).select(F.col("p").alias("u"), F.col("q").alias("v"))
     copies = known.select(F.col("vec_id").alias("u"), F.col("first").alias("v"))
     found = components(by_id.unionByName(copies))
-    links = known.join(counts, "node", "left").groupBy("vec_id", "node").agg(F.max(F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    links = links.groupBy("vec_id").agg(F.sum("n_links").alias("n_links")).join(
+    links = known.groupBy("vec_id").agg(F.sum(F.col("n") + F.col("copies") - 1).alias("n_links")).join(
         found.select(F.col("node").alias("vec_id"), F.col("component").alias("component_id")), "vec_id", "left"
     )
     return slim.select("vec_id").join(links, "vec_id", "left").select(

@@ -134,7 +134,8 @@ def test_vectors_equal_brute_force(spark, monkeypatch, large):
     x = rng.normal(size=(120, 32))
     x[40:100] = x[3] + 0.12 * rng.normal(size=(60, 32))
     x[110] = x[111]
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(200, None), (201, []), (202, [0.0] * 32), (203, [float("nan")] * 32), (204, [None, 1.0])]
+    x[50:56] = x[49]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(7, x[7].tolist()), (200, None), (201, []), (202, [0.0] * 32), (203, [float("nan")] * 32), (204, [None, 1.0])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("n_links", F.lit("clash"))
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     near = unit @ unit.T >= lattice.COSINE
@@ -145,6 +146,11 @@ def test_vectors_equal_brute_force(spark, monkeypatch, large):
     root = brute_components(120, np.argwhere(near).tolist())
     assert sum(got[i].component_id == root[i] for i in range(120)) >= 118
     assert all(got[i].n_links == 0 and got[i].component_id == i for i in range(200, 205))
+    if large == 4:
+        assert lattice.near_copies(frame.limit(0)).count() == 0
+        twice = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.0, 2.0]), (4, [-1.0, 0.0])], "vec_id long, embedding array<double>")
+        told = {(r.vec_id, r.n_links, r.component_id, r.kept) for r in lattice.near_copies(twice).collect()}
+        assert told == {(1, 2, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 0, 4, True)}
 
 
 def test_largest_scale_finds_as_many_near_vectors(spark):
