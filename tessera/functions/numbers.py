@@ -54,3 +54,39 @@ def months(c: Column) -> Column:
 def written(c: Column) -> Column:
     """1234.5 as 1.234,50."""
     return F.translate(F.format_number(c, 2), ",.", ".,")
+
+
+def written_short(c: Column) -> Column:
+    """1234.5 as 1.234,5 and 5000 as 5.000: at most two decimals, without zeros at the end."""
+    return F.regexp_replace(F.regexp_replace(written(c), "(,[0-9]*?)0+$", "$1"), ",$", "")
+
+
+def first_integer(c: Column) -> Column:
+    return F.regexp_extract(c, "([0-9]+)", 1).try_cast("int")
+
+
+def strict_number(c: Column) -> Column:
+    """A plain number, maybe with a decimal point; null for anything else (percent signs, units, commas)."""
+    return F.when(F.trim(c).rlike("^-?[0-9]+([.][0-9]+)?$"), F.trim(c).try_cast("double"))
+
+
+def strict_date(c: Column) -> Column:
+    """yyyy-mm-dd, maybe with a time after it, as a date of the calendar; else null."""
+    return F.try_to_timestamp(F.when(c.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}($|[ T])"), F.substring(c, 1, 10)), F.lit("yyyy-MM-dd")).cast("date")
+
+
+def day_gap(earlier: Column, later: Column) -> Column:
+    """Days between two days, never below 0; null where one isn't a day."""
+    return F.greatest(F.lit(0), F.date_diff(later, earlier))
+
+
+def question_parameters(question: Column) -> dict[str, Column]:
+    """principal, monthly rate in percent and months as a question states them; null where it doesn't."""
+    plain = fold(lower(question))
+    money = F.regexp_extract(plain, r"((?:[0-9]{1,3}(?:[.][0-9]{3})+|[0-9]+)(?:,[0-9]+)?(?:\s*(?:bin|milyon|milyar))?)\s*(?:tl|lira)", 1)
+    rate = F.regexp_extract(plain, r"(?:%|yuzde)\s*([0-9]{1,2}(?:[.,][0-9]{1,4})?)", 1)
+    return {
+        "principal": amount(F.nullif(money, F.lit(""))),
+        "rate_percent": F.replace(F.nullif(rate, F.lit("")), F.lit(","), F.lit(".")).try_cast("double"),
+        "months": months(plain),
+    }

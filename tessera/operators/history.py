@@ -24,7 +24,7 @@ def first_and_last(df: DataFrame, key: list[str], order: list[str], fields: list
 
 def keep_first(df: DataFrame, text: str, order: str) -> DataFrame:
     """Of rows with one content (white space collapsed, lower case) the first: content_hash and that row's order value."""
-    flat = F.trim(F.regexp_replace(F.lower(F.replace(F.col(text), F.lit("İ"), F.lit("i"))), "[ \\t\\n\\x0B\\f\\r]+", " "))
+    flat = F.trim(F.regexp_replace(F.lower(F.replace(F.col(text), F.lit("İ"), F.lit("i"))), "(?U)\\s+", " "))
     return df.groupBy(F.sha2(flat, 256).alias("content_hash")).agg(F.min(order).alias(order), F.count(F.lit(1)).alias("copies"))
 
 

@@ -104,19 +104,19 @@ def instalment(principal: str, monthly_rate: str, months: str) -> Column:
 
 
 def schedule(df: DataFrame, principal: str, monthly_rate: str, months: str) -> DataFrame:
-    """One row per month: month, interest, repaid, balance; the state isn't rounded and the last month clears the rest."""
-    step = F.aggregate(
-        F.sequence(F.lit(1), F.col(months).cast("int")),
-        F.struct(F.col(principal).cast("double").alias("balance"), F.expr("cast(array() as array<struct<month:int,interest:double,repaid:double,balance:double>>)").alias("rows")),
-        lambda acc, k: _month(acc, k, monthly_rate, months),
-    )
-    rows = df.withColumn("_pay", instalment(principal, monthly_rate, months)).where("_pay IS NOT NULL").withColumn("_row", F.explode(step["rows"]))
-    return rows.select(*df.columns, "_row.month", F.round("_row.interest", 2).alias("interest"), F.round("_row.repaid", 2).alias("repaid"), F.round("_row.balance", 2).alias("balance"))
-
-
-def _month(acc: Column, k: Column, monthly_rate: str, months: str) -> Column:
-    interest = acc["balance"] * F.col(monthly_rate)
-    repaid = F.when(k == F.col(months), acc["balance"]).otherwise(F.col("_pay") - interest)
-    left = acc["balance"] - repaid
-    row = F.struct(k.alias("month"), interest.alias("interest"), repaid.alias("repaid"), left.alias("balance"))
-    return F.struct(left.alias("balance"), F.concat(acc["rows"], F.array(row)).alias("rows"))
+    """One row per month: month, interest, repaid, balance; the last month clears the rest.
+
+    The balance after k months is P * g^k - pay * (g^k - 1) / r with g = 1 + r, so months are rows of their own and no state is carried.
+    """
+    p, r, n = (F.col(c).cast("double") for c in (principal, monthly_rate, months))
+    rows = df.withColumn("_pay", instalment(principal, monthly_rate, months)).where("_pay IS NOT NULL")
+    rows = rows.withColumn("month", F.explode(F.sequence(F.lit(1), F.col(months).cast("int"))))
+
+    def balance(k: Column) -> Column:
+        growth = F.pow(1 + r, k)
+        return F.when(r == 0, p - F.col("_pay") * k).otherwise(p * growth - F.col("_pay") * (growth - 1) / F.nullif(r, F.lit(0.0)))
+
+    last = F.col("month") == n
+    before = balance(F.col("month") - 1)
+    after = F.when(last, F.lit(0.0)).otherwise(balance(F.col("month")))
+    return rows.select(*df.columns, "month", F.round(before * r, 2).alias("interest"), F.round(before - after, 2).alias("repaid"), F.round(after, 2).alias("balance"))

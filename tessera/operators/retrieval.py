@@ -2,17 +2,72 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import STEM_WEIGHT, STOP_WORDS, lower, stem
+
+# Fixed value: what a token is.
 TOKEN = "[0-9]+(?:[.,/][0-9]+)*|[a-zçğıöşüâîû]+"
 
 
+def tokens(text: Column) -> Column:
+    """The lower-cased text's tokens in order, stop words left out."""
+    found = F.regexp_extract_all(lower(text), F.lit(TOKEN), F.lit(0))
+    return F.filter(found, lambda t: ~t.isin(*STOP_WORDS))
+
+
 def postings(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, term, tf of the lower-cased text's tokens."""
-    lowered = F.lower(F.replace(F.col(text), F.lit("İ"), F.lit("i")))
-    terms = df.select(key, F.explode(F.regexp_extract_all(lowered, F.lit(TOKEN), F.lit(0))).alias("term"))
-    return terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    """key, term, tf: every token weighs 1; a long one's stem, marked by ~, weighs less besides."""
+    whole = F.explode(tokens(F.col(text)))
+    counts = df.select(key, whole.alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
+    stems = counts.where(stem(F.col("term")).isNotNull()).select(key, F.concat(F.lit("~"), stem(F.col("term"))).alias("term"), (STEM_WEIGHT * F.col("n")).alias("n"))
+    both = counts.select(key, "term", F.col("n").cast("double").alias("n")).unionByName(stems)
+    return both.groupBy(key, "term").agg(F.round(F.sum("n"), 6).alias("tf"))
+
+
+def overlap(query: Column, found: Column) -> Column:
+    """The share of a question's tokens that texts found hold, as they are or by their stem; null without tokens."""
+    asked, there = tokens(query), tokens(found)
+    stems = F.filter(F.transform(there, stem), lambda x: x.isNotNull())
+    hits = F.filter(asked, lambda t: F.array_contains(there, t) | F.coalesce(F.array_contains(stems, stem(t)), F.lit(False)))
+    return F.size(hits) / F.nullif(F.size(asked), F.lit(0))
+
+
+def sufficient(query: Column, found: Column, few: int = 2, least: float = 0.6) -> Column:
+    """Whether texts found can answer: of up to few tokens one must be there, of more the share least."""
+    share = F.coalesce(overlap(query, found), F.lit(0.0))
+    return F.when(F.size(tokens(query)) <= few, share > 0).otherwise(share >= least)
+
+
+def dense_search(queries: DataFrame, vectors: DataFrame, query: str, doc: str, k: int, vector: str = "embedding") -> DataFrame:
+    """query, doc, score, position: the k nearest by cosine, exactly. The queries are a stated, bounded set and are broadcast in their blocks.
+
+    Best scores are kept per task before the shuffle, so that k rows a query and task travel.
+    """
+    unit = lambda c: F.transform(c, lambda x: x / F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, y: a + y * y)))
+    asked = queries.select(F.col(query), unit(F.col(vector).cast("array<double>")).alias("_q"))
+    held = vectors.select(F.col(doc), unit(F.col(vector).cast("array<double>")).alias("_d"))
+    dot = F.aggregate(F.zip_with("_q", "_d", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    scores = held.join(F.broadcast(asked)).select(query, doc, F.round(dot, 9).alias("score")).where("score IS NOT NULL")
+    near = scores.withColumn("_part", F.spark_partition_id())
+    return top(_best_of_parts(near, query, doc, k), query, doc, k)
+
+
+def _best_of_parts(scores: DataFrame, query: str, doc: str, k: int) -> DataFrame:
+    w = Window.partitionBy(query, "_part").orderBy(F.desc("score"), doc)
+    return scores.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n", "_part")
+
+
+def recall_at(found: DataFrame, expected: DataFrame, query: str, doc: str, category: str, ks: tuple[int, ...]) -> DataFrame:
+    """category, n, recall_<k>..: the share of questions with an expected document (query, category, doc) among their k best; null category: all.
+
+    Questions without expected documents aren't in expected, and don't count.
+    """
+    best = found.join(expected.select(query, doc), [query, doc], "left_semi").groupBy(query).agg(F.min("position").alias("_best"))
+    asked = expected.select(query, category).distinct().join(best, query, "left")
+    shares = [F.round(F.avg(F.coalesce(F.col("_best") <= k, F.lit(False)).cast("int")), 6).alias(f"recall_{k}") for k in ks]
+    return asked.rollup(category).agg(F.count(F.lit(1)).alias("n"), *shares)
 
 
 def sparse_search(queries: DataFrame, docs: DataFrame, query: str, doc: str, n_docs: DataFrame, k: int) -> DataFrame:
@@ -21,7 +76,7 @@ def sparse_search(queries: DataFrame, docs: DataFrame, query: str, doc: str, n_d
     queries and docs are postings; n_docs has the number of documents in n. idf = ln(1 + (N - n + 0.5) / (n + 0.5)).
     """
     wanted = queries.select("term").distinct()
-    held = docs.join(wanted, "term", "left_semi")
+    held = docs.join(wanted, "term", "left_semi")  # of the documents' postings only those asked for travel on
     idf = held.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n_docs)).select(
         "term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")
     )
@@ -41,3 +96,22 @@ def fuse(left: DataFrame, right: DataFrame, query: str, doc: str, k: int, rank_c
     term = lambda c: F.coalesce(1 / (F.lit(rank_constant) + F.col(c)), F.lit(0.0))
     both = left.select(query, doc, F.col("position").alias("a")).join(right.select(query, doc, F.col("position").alias("b")), [query, doc], "full_outer")
     return top(both.select(query, doc, F.round(term("a") + term("b"), 8).alias("score")), query, doc, k)
+
+
+def containing(docs: DataFrame, items: DataFrame, doc: str, item: str, text: str, size: int = 5) -> DataFrame:
+    """doc, item of the documents that hold an item's text as it is.
+
+    Candidates share the hash of one inner window of words, the item's with the least hash; texts are then compared in
+    full. Items with fewer than size + 2 words have no whole inner window and are few by nature; they are compared with every document.
+    """
+    words = lambda c: F.split(c, "[ \\t\\n\\x0B\\f\\r]+")
+    windows = lambda w, start, end: F.transform(F.sequence(start, end), lambda i: F.xxhash64(F.array_join(F.slice(w, i, size), " ")))
+    held = items.select(F.col(item), F.col(text).alias("_item"), words(F.col(text)).alias("_w")).where("_item IS NOT NULL")
+    n = F.size("_w")
+    keyed = held.where(n >= size + 2).select(item, "_item", F.array_min(windows(F.col("_w"), F.lit(2), n - size)).alias("_key"))
+    texts = docs.select(F.col(doc), F.col(text).alias("_doc"), words(F.col(text)).alias("_w")).where("_doc IS NOT NULL")
+    spread = texts.where(n >= size).select(doc, F.explode(F.array_distinct(windows(F.col("_w"), F.lit(1), n - size + 1))).alias("_key"))
+    met = spread.join(keyed.select(item, "_key"), "_key").select(doc, item).distinct()
+    sure = met.join(keyed.select(item, "_item"), item).join(texts.select(doc, "_doc"), doc).where(F.contains("_doc", "_item")).select(doc, item)
+    short = held.where(n < size + 2).select(item, "_item")
+    return sure.unionByName(texts.select(doc, "_doc").join(short, F.contains("_doc", "_item")).select(doc, item)).distinct()

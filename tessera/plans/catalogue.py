@@ -12,24 +12,10 @@ from ..functions.nulls import missing_fields
 from ..operators import accuracy, history, offers, retrieval, selection
 from ..operators.ranking import rank_nulls_last
 from ..sources import raw
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def _query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from . import surface  # noqa: F401  registers its queries
+from .registry import QUERIES, SQL
+from .registry import add as _query
+from .registry import table as _table
 
 @_query("""
     SELECT p_partkey, p_brand, nullif(p_size % 7, 0) AS rate, nullif(p_size % 5, 0) AS term,
@@ -89,12 +75,18 @@ def annuity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.select("o_orderkey", F.round(offers.instalment("p", "r", "n"), 4).alias("pay"))
 
 
-@_query()
+@_query("""
+    WITH RECURSIVE o AS (SELECT o_orderkey, o_totalprice AS p, (o_orderkey % 20) / 1000.0::DOUBLE AS r, CAST(6 + o_orderkey % 31 AS INT) AS n FROM orders),
+    a AS (SELECT *, CASE WHEN r = 0 THEN p / n ELSE p * r * pow(1 + r, n) / (pow(1 + r, n) - 1) END AS pay FROM o),
+    s AS (SELECT o_orderkey, r, n, pay, 1 AS month, p * r AS interest, pay - p * r AS repaid, p - (pay - p * r) AS balance FROM a UNION ALL
+      SELECT o_orderkey, r, n, pay, month + 1, balance * r, CASE WHEN month + 1 = n THEN balance ELSE pay - balance * r END, CASE WHEN month + 1 = n THEN 0 ELSE balance - (pay - balance * r) END FROM s WHERE month < n)
+    SELECT o_orderkey, month, round(interest, 1) AS interest, round(repaid, 1) AS repaid, round(balance, 1) AS balance FROM s""")
 def amortisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = _table(spark, sf_dir, "orders").selectExpr(
         "o_orderkey", "o_totalprice AS p", "CAST(o_orderkey % 20 AS DOUBLE) / 1000.0D AS r", "CAST(6 + o_orderkey % 31 AS INT) AS n"
     )
-    return offers.schedule(orders, "p", "r", "n")
+    rows = offers.schedule(orders, "p", "r", "n")
+    return rows.select("o_orderkey", "month", *[F.round(c, 1).alias(c) for c in ("interest", "repaid", "balance")])
 
 
 @_query("""
@@ -113,7 +105,7 @@ def first_last_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("""
-    SELECT sha256(trim(regexp_replace(lower(text), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))) AS content_hash, min(doc_id) AS doc_id, count(*) AS copies
+    SELECT sha256(trim(regexp_replace(lower(text), '[\\t\\n\\x0B\\f\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+', ' ', 'g'))) AS content_hash, min(doc_id) AS doc_id, count(*) AS copies
     FROM documents GROUP BY 1""")
 def keep_first_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.keep_first(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "doc_id")
@@ -132,7 +124,7 @@ def fill_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("""SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)""")
 def text_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
-    return docs.alias("d").join(items.alias("b"), F.col("d.text").contains(F.col("b.text"))).select("doc_id", "item_id")
+    return retrieval.containing(docs, items, "doc_id", "item_id", "text")
 
 
 @_query("""
@@ -142,18 +134,23 @@ def url_last_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", F.regexp_extract(F.regexp_replace(F.regexp_replace("url", "[?#].*$", ""), "/+$", ""), "([^/]*)$", 1).alias("last_part"))
 
 
-@_query("""
-    WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[0-9]+(?:[.,/][0-9]+)*|[a-zçğıöşüâîû]+')) AS term FROM documents)
-    SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2""")
+_STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+
+
+def _postings_sql(table: str, key: str, name: str) -> str:
+    """Table expressions that end in name: key, term, tf."""
+    return f"""{name}t AS (SELECT {key}, unnest(regexp_extract_all(lower(text), '{retrieval.TOKEN}')) AS term FROM {table}),
+    {name}n AS (SELECT {key}, term, count(*) AS n FROM {name}t WHERE term NOT IN ({_STOP}) GROUP BY 1, 2),
+    {name} AS (SELECT {key}, term, round(sum(n), 6) AS tf FROM (SELECT {key}, term, n::DOUBLE AS n FROM {name}n
+      UNION ALL SELECT {key}, '~' || left(term, {T.STEM_LETTERS}), {T.STEM_WEIGHT}::DOUBLE * n FROM {name}n WHERE length(term) >= {T.STEM_FROM}) GROUP BY 1, 2)"""
+
+
+@_query(f"WITH {_postings_sql('documents', 'doc_id', 'd')} SELECT doc_id, term, tf FROM d")
 def term_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.postings(_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-_SPARSE = """
-    dt AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[0-9]+(?:[.,/][0-9]+)*|[a-zçğıöşüâîû]+')) AS term FROM documents),
-    d AS (SELECT doc_id, term, count(*) AS tf FROM dt GROUP BY 1, 2),
-    qt AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[0-9]+(?:[.,/][0-9]+)*|[a-zçğıöşüâîû]+')) AS term FROM benchmark),
-    q AS (SELECT item_id, term, count(*) AS tf FROM qt GROUP BY 1, 2),
+_SPARSE = f"""{_postings_sql('documents', 'doc_id', 'd')}, {_postings_sql('benchmark', 'item_id', 'q')},
     i AS (SELECT term, ln(1 + ((SELECT count(*) FROM documents) - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf FROM d GROUP BY 1),
     s AS (SELECT item_id, doc_id, round(sum(q.tf * idf * d.tf), 6) AS score FROM q JOIN i USING (term) JOIN d USING (term) GROUP BY 1, 2)"""
 
