@@ -33,14 +33,29 @@ def plain_text(text: Column) -> Column:
     return fold(lower(text))
 
 
-def part(plain: Column, pattern: str, group: int = 1) -> Column:
-    """The group of the first match, null without one."""
-    return F.nullif(F.regexp_extract(plain, pattern, group), F.lit(""))
+class Folded:
+    """A folded text's column, and intermediate columns that several rules read, each computed once a row.
 
+    Columns of a level may read those of the levels below.
+    """
 
-def cut_out(text: Column, plain: Column, found: Column) -> Column:
+    def __init__(self, name: str) -> None:
+        self.c, self.name, self.levels = F.col(name), name, ({}, {})
+
+    def keep(self, column: Column, level: int) -> Column:
+        name = f"{self.name}_{level}_{len(self.levels[level])}"
+        self.levels[level][name] = column
+        return F.col(name)
+
+
+def part(plain: Folded, pattern: str, group: int = 1, text: Column | None = None) -> Column:
+    """The group of the first match in the folded text (or in one made from it), null without one."""
+    return plain.keep(F.nullif(F.regexp_extract(plain.c if text is None else text, pattern, group), F.lit("")), 0)
+
+
+def cut_out(text: Column, plain: Folded, found: Column) -> Column:
     """What stands in text where found, a part of plain, is first met."""
-    return F.substr(text, F.position(found, plain), F.length(found))
+    return F.substr(text, F.position(found, plain.c), F.length(found))
 
 
 def occurrences(plain: Column, pattern: str) -> Column:
@@ -68,8 +83,9 @@ def has_any(c: Column, words: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a | b, [c.contains(w) for w in words])
 
 
-def field(value: Column, span: Column, confidence: float) -> Column:
-    return F.when(value.isNotNull(), F.struct(value.alias("value"), span.alias("span"), F.lit(confidence).alias("confidence")))
+def field(plain: Folded, value: Column, span: Column, confidence: float, **more: Column) -> Column:
+    value = plain.keep(value, 1)
+    return F.when(value.isNotNull(), F.struct(value.alias("value"), *[c.alias(n) for n, c in more.items()], span.alias("span"), F.lit(confidence).alias("confidence")))
 
 
 def percent_value(found: Column) -> Column:
@@ -81,47 +97,47 @@ def plausible(percent: Column) -> Column:
     return F.when(percent.between(0, 15), percent)
 
 
-def rate(text: Column, plain: Column) -> Column:
+def rate(text: Column, plain: Folded) -> Column:
     """The rate in percent: beside the words for it, else a phrase that means zero, else any percentage away from fees and rewards."""
     rules = []
     for pattern in (rf"({PERCENT})[^%\n]{{0,25}}{RATE_WORD}", rf"{RATE_WORD}[^%\n]{{0,25}}({PERCENT})"):
         found = part(plain, pattern)
-        rules.append(field(plausible(percent_value(found)), cut_out(text, plain, found), 0.9))
-    own = F.regexp_replace(plain, r"(?s)kar\s*paysiz.{0,60}?yedek hesap", "")  # another product's rate
+        rules.append(field(plain, plausible(percent_value(found)), cut_out(text, plain, found), 0.9))
+    own = F.regexp_replace(plain.c, r"(?s)kar\s*paysiz.{0,60}?yedek hesap", "")  # another product's rate
     for pattern, confidence in ((r"(kar\s*paysiz)", 0.85), (r"(?:^|[^0-9a-z_])(0\s*kar\s*pay[a-z]*)", 0.85), (r"(vade\s*farksiz)", 0.8)):
-        found = part(own, pattern)
-        rules.append(field(F.when(found.isNotNull(), F.lit(0.0)), cut_out(text, plain, found), confidence))
+        found = part(plain, pattern, text=own)
+        rules.append(field(plain, F.when(found.isNotNull(), F.lit(0.0)), cut_out(text, plain, found), confidence))
     free = F.filter(
-        occurrences(plain, PERCENT),
-        lambda o: ~has_any(window(plain, o["at"], F.length(o["m"]), 45), FEE_WORDS) & plausible(percent_value(o["m"])).isNotNull(),
+        occurrences(plain.c, PERCENT),
+        lambda o: ~has_any(window(plain.c, o["at"], F.length(o["m"]), 45), FEE_WORDS) & plausible(percent_value(o["m"])).isNotNull(),
     )
-    first = F.try_element_at(free, F.lit(1))
-    rules.append(field(percent_value(first["m"]), F.substr(text, first["at"], F.length(first["m"])), 0.6))
+    first = plain.keep(F.try_element_at(free, F.lit(1)), 0)
+    rules.append(field(plain, percent_value(first["m"]), F.substr(text, first["at"], F.length(first["m"])), 0.6))
     return F.coalesce(*rules)
 
 
-def financed_amount(text: Column, plain: Column) -> Column:
+def financed_amount(text: Column, plain: Folded) -> Column:
     """The upper end of a range, else the first cap that is no spending or reward."""
     pair = part(plain, rf"(?:{MONEY})\s*(?:tl)?\s*(?:-|–|ile)\s*({MONEY})\s*tl\s*aras")
     cap = rf"(?:{MONEY})\s*tl['’]?\s*[yea]{{1,2}}\s*kadar"
-    free = F.filter(occurrences(plain, cap), lambda o: ~has_any(window(plain, o["at"], F.length(o["m"]), 45, True), REWARD_WORDS + SPEND_WORDS))
-    first = F.try_element_at(free, F.lit(1))
+    free = F.filter(occurrences(plain.c, cap), lambda o: ~has_any(window(plain.c, o["at"], F.length(o["m"]), 45, True), REWARD_WORDS + SPEND_WORDS))
+    first = plain.keep(F.try_element_at(free, F.lit(1)), 0)
     return F.coalesce(
-        field(amount(pair), cut_out(text, plain, pair), 0.85),
-        field(amount(first["m"]), F.substr(text, first["at"], F.length(first["m"])), 0.75),
+        field(plain, amount(pair), cut_out(text, plain, pair), 0.85),
+        field(plain, amount(first["m"]), F.substr(text, first["at"], F.length(first["m"])), 0.75),
     )
 
 
-def _whole(text: Column, plain: Column, patterns: list[tuple[str, int]], confidence: float = 0.85) -> Column:
+def _whole(text: Column, plain: Folded, patterns: list[tuple[str, int]], confidence: float = 0.85) -> Column:
     """An integer times a factor by the first pattern that matches; the span is the whole match."""
     rules = []
     for pattern, times in patterns:
         found = part(plain, pattern, 0)
-        rules.append(field(part(plain, pattern).try_cast("int") * times, cut_out(text, plain, found), confidence))
+        rules.append(field(plain, part(plain, pattern).try_cast("int") * times, cut_out(text, plain, found), confidence))
     return F.coalesce(*rules)
 
 
-def term(text: Column, plain: Column) -> Column:
+def term(text: Column, plain: Folded) -> Column:
     """Months; instalments are no term."""
     up_to = r"(?:a|e)?\s*(?:varan|kadar)?\s*"
     return _whole(text, plain, [
@@ -130,61 +146,57 @@ def term(text: Column, plain: Column) -> Column:
     ])
 
 
-def deferral(text: Column, plain: Column) -> Column:
+def deferral(text: Column, plain: Folded) -> Column:
     return _whole(text, plain, [(r"([0-9]{1,2})\s*ay(?:a)?\s*(?:varan|kadar)?\s*(?:ertele|otele|odemesiz)", 1)])
 
 
-def instalments(text: Column, plain: Column) -> Column:
+def instalments(text: Column, plain: Folded) -> Column:
     return _whole(text, plain, [(r"([0-9]{1,2})\s*(?:ay(?:a)?|['’]?[ae])?\s*(?:varan|kadar)?\s*taksit", 1)])
 
 
-def reward(text: Column, plain: Column) -> Column:
+def reward(text: Column, plain: Folded) -> Column:
     """struct(value, unit, span, confidence): miles, then grams, then money and points, then the largest capped amount of a reward's sentence."""
     unit = lambda found: reduce(lambda a, k: F.when(found.contains(k), UNITS[k]).otherwise(a), UNITS, F.lit("TL"))
     rules = []
     for name, pattern in (("Mil", rf"({MONEY})\s*mil(?:[^a-z]|$)"), ("Gram", rf"({MONEY})\s*(?:gram|gr)(?:[^a-z]|$)")):
         found = part(plain, pattern)
-        rules.append(_unit_field(amount(found), F.lit(name), cut_out(text, plain, part(plain, pattern, 0)), 0.8))
+        rules.append(field(plain, amount(found), cut_out(text, plain, part(plain, pattern, 0)), 0.8, unit=F.lit(name)))
     direct = rf"({MONEY})\s*(?:{'|'.join(UNITS)}|tl\s*(?:degerinde\s*|lik\s*)?(?:{'|'.join(REWARD_WORDS)}))"
     found = part(plain, direct, 0)
-    rules.append(_unit_field(amount(part(plain, direct)), unit(found), cut_out(text, plain, found), 0.8))
+    rules.append(field(plain, amount(part(plain, direct)), cut_out(text, plain, found), 0.8, unit=unit(found)))
     capped = F.filter(
-        occurrences(plain, rf"(?:en fazla|maksimum)\s*(?:{MONEY})\s*tl|(?:{MONEY})\s*tl\s*ile\s*sinirli"),
-        lambda o: has_any(window(plain, o["at"], F.length(o["m"]), 80, True), REWARD_WORDS),
+        occurrences(plain.c, rf"(?:en fazla|maksimum)\s*(?:{MONEY})\s*tl|(?:{MONEY})\s*tl\s*ile\s*sinirli"),
+        lambda o: has_any(window(plain.c, o["at"], F.length(o["m"]), 80, True), REWARD_WORDS),
     )
-    most = F.array_max(F.transform(capped, lambda o: F.struct(amount(F.regexp_extract(o["m"], rf"({MONEY})", 1)).alias("v"), (-o["at"]).alias("back"), F.length(o["m"]).alias("n"))))
-    rules.append(_unit_field(most["v"], F.lit("TL"), F.substr(text, -most["back"], most["n"]), 0.7))
+    most = plain.keep(F.array_max(F.transform(capped, lambda o: F.struct(amount(F.regexp_extract(o["m"], rf"({MONEY})", 1)).alias("v"), (-o["at"]).alias("back"), F.length(o["m"]).alias("n")))), 0)
+    rules.append(field(plain, most["v"], F.substr(text, -most["back"], most["n"]), 0.7, unit=F.lit("TL")))
     return F.coalesce(*rules)
 
 
-def _unit_field(value: Column, unit: Column, span: Column, confidence: float) -> Column:
-    return F.when(value.isNotNull(), F.struct(value.alias("value"), unit.alias("unit"), span.alias("span"), F.lit(confidence).alias("confidence")))
-
-
-def fee(text: Column, plain: Column) -> Column:
+def fee(text: Column, plain: Folded) -> Column:
     """An allocation fee in money, else 0 where the text says that none is taken."""
     stated = part(plain, rf"(?:dosya masraf[a-z]*|tahsis(?:\s*ucret)?[a-z]*|ekspertiz[a-z]*(?:\s*ucret[a-z]*)?)[^0-9%\n]{{0,20}}({MONEY})\s*tl")
     free = part(plain, r"((?:dosya masraf|masraf|tahsis ucret)[a-z]*\s*(?:alinm|yok)[a-z]*|masrafsiz|tahsis ucretsiz)")
-    return F.coalesce(field(amount(stated), cut_out(text, plain, stated), 0.85), field(F.when(free.isNotNull(), F.lit(0.0)), cut_out(text, plain, free), 0.8))
+    return F.coalesce(field(plain, amount(stated), cut_out(text, plain, stated), 0.85), field(plain, F.when(free.isNotNull(), F.lit(0.0)), cut_out(text, plain, free), 0.8))
 
 
-def fee_text(text: Column, plain: Column) -> Column:
+def fee_text(text: Column, plain: Folded) -> Column:
     """How a fee is described: a share of the amount, else a bare mention."""
     share, bare = part(plain, rf"((?:tahsis|masraf)[^%\n]{{0,40}}{PERCENT})"), part(plain, r"(masraf[a-z]*|tahsis ucret[a-z]*)")
-    return F.coalesce(*[field(cut_out(text, plain, x), cut_out(text, plain, x), c) for x, c in ((share, 0.8), (bare, 0.5))])
+    return F.coalesce(*[field(plain, cut_out(text, plain, x), cut_out(text, plain, x), c) for x, c in ((share, 0.8), (bare, 0.5))])
 
 
-def period(text: Column, plain: Column) -> tuple[Column, Column]:
+def period(text: Column, plain: Folded) -> tuple[Column, Column]:
     """Start and end from a range of dates; a single date is the end."""
     both = rf"({DATE})\s*(?:-|–|ile|ve)\s*({DATE})"
     whole, one = part(plain, both, 0), part(plain, rf"({DATE})")
-    start = field(iso_date(part(plain, both)), cut_out(text, plain, whole), 0.9)
-    end = F.coalesce(field(iso_date(part(plain, both, 2)), cut_out(text, plain, whole), 0.9), field(iso_date(one), cut_out(text, plain, one), 0.85))
+    start = field(plain, iso_date(part(plain, both)), cut_out(text, plain, whole), 0.9)
+    end = F.coalesce(field(plain, iso_date(part(plain, both, 2)), cut_out(text, plain, whole), 0.9), field(plain, iso_date(one), cut_out(text, plain, one), 0.85))
     return start, end
 
 
-def extract(text: Column, plain: Column) -> dict[str, Column]:
-    """All fields by name; each a struct with value, span and confidence (reward with its unit). plain is plain_text(text)."""
+def extract(text: Column, plain: Folded) -> dict[str, Column]:
+    """All fields by name; each a struct with value, span and confidence (reward with its unit). plain holds plain_text(text)."""
     start, end = period(text, plain)
     return {
         "rate": rate(text, plain), "amount": financed_amount(text, plain), "term": term(text, plain), "deferral": deferral(text, plain),
@@ -194,9 +206,13 @@ def extract(text: Column, plain: Column) -> dict[str, Column]:
 
 
 def with_fields(df: DataFrame, text: str, prefix: str = "") -> DataFrame:
-    """Add a column for each field; the text is folded once a row."""
-    folded = df.withColumn("_plain", plain_text(F.col(text)))
-    return folded.withColumns({f"{prefix}{name}": c for name, c in extract(F.col(text), F.col("_plain")).items()}).drop("_plain")
+    """Add a column for each field; the text is folded once a row, and no pattern is matched twice."""
+    plain = Folded("_plain")
+    fields = extract(F.col(text), plain)
+    out = df.withColumn("_plain", plain_text(F.col(text)))
+    for level in plain.levels:
+        out = out.withColumns(level)
+    return out.select(*df.columns, *[c.alias(f"{prefix}{name}") for name, c in fields.items()])
 
 
 def overall_confidence(fields: dict[str, Column]) -> Column:

@@ -103,7 +103,7 @@ def instalment(principal: str, monthly_rate: str, months: str) -> Column:
     return F.when((p > 0) & (p <= 1e8) & (n > 0) & (n <= 480) & r.between(0, 0.2), value)
 
 
-def schedule(df: DataFrame, principal: str, monthly_rate: str, months: str) -> DataFrame:
+def schedule(df: DataFrame, principal: str, monthly_rate: str, months: str, digits: int = 2) -> DataFrame:
     """One row per month: month, interest, repaid, balance; the last month clears the rest.
 
     The balance after k months is P * g^k - pay * (g^k - 1) / r with g = 1 + r, so months are rows of their own and no state is carried.
@@ -119,4 +119,4 @@ def schedule(df: DataFrame, principal: str, monthly_rate: str, months: str) -> D
     last = F.col("month") == n
     before = balance(F.col("month") - 1)
     after = F.when(last, F.lit(0.0)).otherwise(balance(F.col("month")))
-    return rows.select(*df.columns, "month", F.round(before * r, 2).alias("interest"), F.round(before - after, 2).alias("repaid"), F.round(after, 2).alias("balance"))
+    return rows.select(*df.columns, "month", F.round(before * r, digits).alias("interest"), F.round(before - after, digits).alias("repaid"), F.round(after, digits).alias("balance"))

@@ -76,17 +76,16 @@ def annuity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("""
-    WITH RECURSIVE o AS (SELECT o_orderkey, o_totalprice AS p, (o_orderkey % 20) / 1000.0::DOUBLE AS r, CAST(6 + o_orderkey % 31 AS INT) AS n FROM orders),
+    WITH RECURSIVE o AS (SELECT o_orderkey, o_totalprice AS p, (1 + o_orderkey % 20) / 1000.0::DOUBLE + 0.000317::DOUBLE AS r, CAST(6 + o_orderkey % 31 AS INT) AS n FROM orders),
     a AS (SELECT *, CASE WHEN r = 0 THEN p / n ELSE p * r * pow(1 + r, n) / (pow(1 + r, n) - 1) END AS pay FROM o),
     s AS (SELECT o_orderkey, r, n, pay, 1 AS month, p * r AS interest, pay - p * r AS repaid, p - (pay - p * r) AS balance FROM a UNION ALL
       SELECT o_orderkey, r, n, pay, month + 1, balance * r, CASE WHEN month + 1 = n THEN balance ELSE pay - balance * r END, CASE WHEN month + 1 = n THEN 0 ELSE balance - (pay - balance * r) END FROM s WHERE month < n)
-    SELECT o_orderkey, month, round(interest, 1) AS interest, round(repaid, 1) AS repaid, round(balance, 1) AS balance FROM s""")
+    SELECT o_orderkey, month, round(interest, 0) AS interest, round(repaid, 0) AS repaid, abs(round(balance, 0)) AS balance FROM s""")
 def amortisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = _table(spark, sf_dir, "orders").selectExpr(
-        "o_orderkey", "o_totalprice AS p", "CAST(o_orderkey % 20 AS DOUBLE) / 1000.0D AS r", "CAST(6 + o_orderkey % 31 AS INT) AS n"
+        "o_orderkey", "o_totalprice AS p", "CAST(1 + o_orderkey % 20 AS DOUBLE) / 1000.0D + 0.000317D AS r", "CAST(6 + o_orderkey % 31 AS INT) AS n"
     )
-    rows = offers.schedule(orders, "p", "r", "n")
-    return rows.select("o_orderkey", "month", *[F.round(c, 1).alias(c) for c in ("interest", "repaid", "balance")])
+    return offers.schedule(orders, "p", "r", "n", digits=0).select("o_orderkey", "month", "interest", "repaid", F.abs("balance").alias("balance"))
 
 
 @_query("""
