@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import extraction, numbers
 from ..functions import text as T
 from ..operators import compare, complaints, history, offers, retrieval, verification
+from ..sources import tables
+from ..streaming import sinks
 from .registry import add, table
 
 _PART = "SELECT p_partkey, p_brand, p_type, concat('u', p_size % 3) AS unit, nullif(p_size % 7, 0) AS rate, nullif(p_size % 5, 0) AS term, p_retailprice AS price FROM part"
@@ -494,3 +496,57 @@ def evidence_and_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.expr("IF(k % 3 = 0, 'Cümle bir. Cümle iki vade içerir! Son?', 'Hiçbiri yok. Son.')")
     title = T.title(F.expr("IF(k % 2 = 0, 'https://b.com/uzun-bir-kampanya-adi-burada', 'https://b.com/kisa')"), F.lit("ana sayfa\nab\nYeterince uzun bir ilk satır\ndevam"))
     return rows.select("k", F.concat_ws("|", T.evidence(text, "vade")).alias("evidence"), title.alias("title"))
+
+
+@add("""
+    SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'refreshed' WHEN p_partkey % 3 = 1 THEN 'kept' ELSE 'added' END AS status, CASE WHEN p_partkey % 3 = 1 THEN 1 ELSE 2 END AS seen,
+      CASE WHEN p_partkey % 3 < 2 THEN p_size END AS p_size FROM part""")
+def idempotent_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    stored = part.where("p_partkey % 3 < 2").selectExpr("p_partkey", "1 AS seen", "p_size")
+    new = part.where("p_partkey % 3 <> 1").selectExpr("p_partkey", "2 AS seen")
+    return sinks.insert_missing(stored, new.unionByName(new), "p_partkey", "seen", ["p_size"])
+
+
+@add("""
+    SELECT s_suppkey FROM supplier WHERE s_nationkey % 3 = 0 OR s_nationkey % 3 = 1 AND s_nationkey % 2 = 0""")
+def permitted_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    permits = table(spark, sf_dir, "nation").selectExpr(
+        "IF(n_nationkey % 3 = 2, NULL, concat('Kaynak', n_nationkey)) AS source", "DATE '2026-01-01' AS approved", "IF(n_nationkey % 3 = 1, IF(n_nationkey % 2 = 0, DATE '2026-12-31', DATE '2026-02-01'), NULL) AS expires"
+    )
+    rows = table(spark, sf_dir, "supplier").selectExpr("s_suppkey", "concat('KAYNAK', s_nationkey) AS source")
+    return complaints.permitted(rows, permits, "source", F.lit("2026-06-01").cast("date")).select("s_suppkey")
+
+
+@add("""
+    SELECT DISTINCT o_orderkey AS k, CASE WHEN o_orderkey % 2 = 0 THEN 1 END::INT AS n_rate, '12 ay|%' || (o_orderkey % 5) AS first_row, 2 AS n_tables FROM orders""")
+def html_rate_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    html = """concat('<p>x</p><table><tr><th>', IF(k % 2 = 0, 'Vade', 'Tutar'), '</th><th>Kâr <b>Oranı</b></th></tr><tr><td> </td><td></td></tr><tr><td>12 ay</td><td>%', k % 5, '</td></tr></table>',
+      '<TABLE border=1><tr><td>a</td></tr></TABLE>')"""
+    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS k").distinct().select("k", tables.html_tables(F.expr(html)).alias("t"))
+    found = tables.rate_tables(F.col("t"))
+    return rows.select("k", F.size(found).alias("n_rate"), F.array_join(F.col("t")[0]["rows"][0], "|").alias("first_row"), F.size("t").alias("n_tables")).withColumn(
+        "n_rate", F.when(F.col("k") % 2 == 0, F.col("n_rate"))
+    )
+
+
+@add("""
+    SELECT DISTINCT o_orderkey AS k, concat('http://b.com/l#baslik-', o_orderkey % 7) AS section_url, concat('Başlık ', o_orderkey % 7) AS title, 'metin' AS body FROM orders
+    UNION ALL SELECT DISTINCT o_orderkey, 'http://b.com/l#son', 'Son', 'bitti' FROM orders""")
+def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS k").distinct().selectExpr("k", "'http://b.com/l' AS url", "concat('<div>önce</div><h2 class=x>Başlık ', k % 7, '</h2><p>metin</p><H3>Son</H3>bitti') AS html")
+    return tables.sections(rows, "k", "url", "html")
+
+
+@add("""
+    SELECT DISTINCT o_orderkey AS k, concat('http://b.com/kampanya/', o_orderkey % 7) AS link FROM orders UNION ALL SELECT DISTINCT o_orderkey, 'http://b.com/kampanya/x' FROM orders""")
+def own_host_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    html = "concat('<a href=\"/kampanya/', k % 7, '?q=1\">a</a><a class=y href=\"//b.com/kampanya/x#z\">b</a><a href=\"http://other.com/kampanya/1\">c</a><a href=\"/Kampanya/arsiv/2\">d</a><a href=\"/hakkimizda\">e</a><a href=\"/kampanya/{id}\">f</a>')"
+    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS k").distinct().selectExpr("k", "'http://b.com/liste?x' AS url", f"{html} AS html")
+    return tables.links(rows, "k", "url", "html", "/kampanya/", "arsiv")
+
+
+@add("""SELECT DISTINCT o_orderkey AS k, CASE WHEN o_orderkey % 2 = 0 THEN 'Metin' ELSE 'Metin yok' END AS text, o_orderkey % 2 = 0 AS changed FROM orders""")
+def scope_migration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS k").distinct().selectExpr("k", "IF(k % 2 = 0, 'Metin\\nDetaylı bilgi almak için: başka', 'Metin yok') AS text")
+    return sinks.migrated(rows, "text", "\nDetaylı bilgi almak için:")

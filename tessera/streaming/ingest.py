@@ -2,29 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import history
 
 
 def store_changes(stream: DataFrame, out: str, checkpoint: str, key: str = "url", order: str = "erisim_zamani", content: str = "icerik_hash") -> StreamingQuery:
-    """Append the changed snapshots of each batch under out/batch=<id>; a batch run again replaces its own folder alone."""
+    """Append the changed snapshots of each batch under out/batch=<id>; a batch run again replaces its own folders alone.
+
+    Beside it, <out>_latest/batch=<id> holds each key's last content after the batch; the next batch reads that alone.
+    """
 
     def store(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         fresh = history.changes(batch, [key], [order], content)
-        try:
-            known = spark.read.parquet(out).where(f"batch < {int(number)}")
-        except AnalysisException:  # nothing is stored yet
-            known = None
-        if known is not None:
-            last = history.latest(known.select(key, order, content), [key], [order])
-            first = fresh.groupBy(key).agg({order: "min"}).toDF(key, "_first")
-            repeated = history.latest(fresh.join(first, key).where(f"{order} = _first").drop("_first"), [key], [order])
-            repeated = repeated.join(last.select(key, content), [key, content], "left_semi")
-            fresh = fresh.join(repeated.select(key, order), [key, order], "left_anti")
+        seen = history.latest(batch.select(key, order, content), [key], [order])
+        if number > 0:
+            last = spark.read.parquet(f"{out}_latest/batch={int(number) - 1}")
+            known = last.select(F.col(key).alias("_key"), F.col(content).alias("_content"))
+            first = fresh.groupBy(key).agg(F.min_by(content, order).alias("_is"), F.min(order).alias("_at"))
+            repeated = first.join(known, (F.col(key) == F.col("_key")) & F.col("_is").eqNullSafe(F.col("_content"))).select(F.col(key), F.col("_at").alias(order))
+            fresh = fresh.join(repeated, [key, order], "left_anti")
+            seen = history.latest(last.select(key, order, content).unionByName(seen), [key], [order])
         fresh.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        seen.write.mode("overwrite").parquet(f"{out}_latest/batch={number}")
 
     return stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
