@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import STEM_WEIGHT, STOP_WORDS, lower, stem
 
+#: Queries of a dense search that are broadcast at once (tens of MB of vectors).
+QUERIES_AT_ONCE = 50_000
 # Fixed value: what a token is.
 TOKEN = "[0-9]+(?:[.,/][0-9]+)*|[a-zçğıöşüâîû]+"
 
@@ -41,17 +45,21 @@ def sufficient(query: Column, found: Column, few: int = 2, least: float = 0.6) -
 
 
 def dense_search(queries: DataFrame, vectors: DataFrame, query: str, doc: str, k: int, vector: str = "embedding") -> DataFrame:
-    """query, doc, score, position: the k nearest by cosine, exactly. The queries are a stated, bounded set and are broadcast in their blocks.
+    """query, doc, score, position: the k nearest by cosine, exactly; null and zero vectors meet nothing.
 
-    Best scores are kept per task before the shuffle, so that k rows a query and task travel.
+    The stated set of queries is broadcast in blocks of at most about QUERIES_AT_ONCE. Of each the k best of a task travel.
     """
     unit = lambda c: F.transform(c, lambda x: x / F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, y: a + y * y)))
     asked = queries.select(F.col(query), unit(F.col(vector).cast("array<double>")).alias("_q"))
     held = vectors.select(F.col(doc), unit(F.col(vector).cast("array<double>")).alias("_d"))
     dot = F.aggregate(F.zip_with("_q", "_d", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    scores = held.join(F.broadcast(asked)).select(query, doc, F.round(dot, 9).alias("score")).where("score IS NOT NULL")
-    near = scores.withColumn("_part", F.spark_partition_id())
-    return top(_best_of_parts(near, query, doc, k), query, doc, k)
+    blocks = queries.count() // QUERIES_AT_ONCE + 1
+    found = []
+    for b in range(blocks):
+        block = asked.where(F.pmod(F.xxhash64(query), F.lit(blocks)) == b)
+        scores = held.join(F.broadcast(block)).select(query, doc, F.round(dot, 9).alias("score")).where("score IS NOT NULL")
+        found.append(_best_of_parts(scores.withColumn("_part", F.spark_partition_id()), query, doc, k))
+    return top(reduce(DataFrame.unionByName, found), query, doc, k)
 
 
 def _best_of_parts(scores: DataFrame, query: str, doc: str, k: int) -> DataFrame:
