@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .offers import beside_group, competitor_matrix
+from .ordered import By, with_position
 
 
 def offers_of(df: DataFrame, order: str, **equals: str | None) -> DataFrame:
@@ -97,7 +98,6 @@ def contradictions(rate: Column, months: Column, unit: Column, reward: Column, s
     ))
 
 
-def history_list(df: DataFrame, key: list[str], order: str, fields: list[str]) -> DataFrame:
-    """Per key its versions in order, numbered: one row a version with version and of. Ranks come from a window over the slim key and order alone."""
-    w = Window.partitionBy(*key)
-    return df.select(*key, order, *fields).withColumn("version", F.row_number().over(w.orderBy(order))).withColumn("of", F.count(F.lit(1)).over(w))
+def history_list(df: DataFrame, key: list[str], order: list[str], fields: list[str]) -> DataFrame:
+    """Per key its versions in order, numbered: one row a version with version and of."""
+    return with_position(df.select(*key, *order, *fields), key, [By(c) for c in order], "version", "of")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import By, with_previous
+
 
 def latest(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The row of each key with the greatest order; one aggregation, so a hot key is combined before the shuffle."""
@@ -42,9 +44,8 @@ def fill_rates(df: DataFrame, group: list[str], fields: list[str]) -> DataFrame:
 
 def changes(df: DataFrame, key: list[str], order: list[str], content: str) -> DataFrame:
     """The versions whose content differs from that of the version before; a key's first version is one."""
-    before = Window.partitionBy(*key).orderBy(*order)
-    marked = df.withColumn("_first", F.row_number().over(before) == 1).withColumn("_before", F.lag(content).over(before))
-    return marked.where(F.col("_first") | ~F.col(content).eqNullSafe(F.col("_before"))).drop("_first", "_before")
+    marked = with_previous(df, key, [By(c) for c in order], content, "_before")
+    return marked.where(F.col("_before").isNull() | ~F.col(content).eqNullSafe(F.col("_before.content"))).drop("_before")
 
 
 def version_stats(df: DataFrame, group: list[str], key: list[str]) -> DataFrame:

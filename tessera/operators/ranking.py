@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
+
+from .ordered import By, with_position
 
 
 def rank_nulls_last(df: DataFrame, value: str, ties: list[str], descending: bool = False, within: list[str] | None = None) -> DataFrame:
     """Add position: 1..n by value, nulls last in either direction, ties by the given columns."""
-    key = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
-    return df.withColumn("position", F.row_number().over(Window.partitionBy(*(within or [])).orderBy(key, *ties)))
+    return with_position(df, within or [], [By(value, descending, nulls_last=True), *[By(c) for c in ties]])

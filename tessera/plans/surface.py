@@ -164,8 +164,7 @@ def contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add("SELECT user_id, event_type, ts, value, event_id, CAST(row_number() OVER (w ORDER BY ts, event_id) AS INT) AS version, count(*) OVER w AS of FROM events WINDOW w AS (PARTITION BY user_id, event_type)")
 def history_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").withColumn("at", F.struct("ts", "event_id"))
-    return compare.history_list(events, ["user_id", "event_type"], "at", ["value"]).select("user_id", "event_type", "at.ts", "value", "at.event_id", "version", "of")
+    return compare.history_list(table(spark, sf_dir, "events"), ["user_id", "event_type"], ["ts", "event_id"], ["value"])
 
 
 @add(f"SELECT p_brand, count(DISTINCT coalesce(nullif(trim(unit), ''), '?')) <= 1 AS one_unit, count(*) AS n FROM ({_PART}) WHERE rate IS NOT NULL GROUP BY 1")
