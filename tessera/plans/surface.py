@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import extraction, numbers
 from ..functions import text as T
-from ..operators import compare, complaints, history, offers, retrieval, verification
+from ..operators import compare, complaints, history, offers, questions, retrieval, verification
 from ..sources import tables
 from ..streaming import sinks
 from .registry import add, table
@@ -549,3 +549,26 @@ def own_host_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scope_migration(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS k").distinct().selectExpr("k", "IF(k % 2 = 0, 'Metin\\nDetaylı bilgi almak için: başka', 'Metin yok') AS text")
     return sinks.migrated(rows, "text", "\nDetaylı bilgi almak için:")
+
+
+@add("""
+    SELECT o_orderkey, [NULL, 'hesaplama', 'karsilastirma', 'sozluk', 'toplam_maliyet'][CAST(o_orderkey % 5 AS INT) + 1] AS kind,
+      CASE o_orderkey % 5 WHEN 0 THEN 0::DOUBLE WHEN 1 THEN 0.75::DOUBLE ELSE 0.65::DOUBLE END AS confidence,
+      CASE WHEN o_orderkey % 5 = 2 THEN 'en_uzun_vade' ELSE 'en_dusuk_kar_payi' END AS criterion, CASE WHEN o_orderkey % 5 = 3 THEN 'vade ' || o_orderkey END AS term FROM orders""")
+def question_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = "element_at(array('Merhaba', 'AYLIK ÖDEME ve taksit', 'Hangisi daha iyi, en uzun vade', concat('Vade ', o_orderkey, ' ne demek?'), 'Toplam maliyet'), CAST(o_orderkey % 5 AS INT) + 1)"
+    orders = table(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{asked} AS q").select("o_orderkey", "q", questions.intent(F.col("q")).alias("i"))
+    term = F.when(F.col("i.name") == "sozluk", questions.term_asked(F.col("q")))
+    kind = F.nullif(F.col("i.name"), F.lit("bilinmiyor"))
+    return orders.select("o_orderkey", kind.alias("kind"), "i.confidence", questions.criterion(F.col("q")).alias("criterion"), term.alias("term"))
+
+
+@add("""
+    WITH o AS (SELECT o_orderkey, 1000 * o_custkey + 500 AS p, o_orderkey % 9 + 0.5::DOUBLE AS r, CAST(6 + o_orderkey % 31 AS INT) AS n, o_orderkey % 7 = 0 AS short FROM orders)
+    SELECT o_orderkey, p::DOUBLE AS principal, CASE WHEN NOT short THEN r END AS rate_percent, n AS months,
+      CASE WHEN NOT short AND p <= 1e8 THEN round(p * (r / 100) * pow(1 + r / 100, n) / (pow(1 + r / 100, n) - 1), 2) END AS instalment FROM o""")
+def question_calculations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    amount = "replace(format_number(1000 * o_custkey + 500, 0), ',', '.')"
+    rate = "IF(o_orderkey % 7 = 0, '', concat(', yüzde ', o_orderkey % 9, ',5 oranla'))"
+    asked = table(spark, sf_dir, "orders").selectExpr("o_orderkey", f"concat({amount}, ' TL', {rate}, ' ', 6 + o_orderkey % 31, ' ay vadeyle ne kadar öderim?') AS q")
+    return questions.with_calculation(asked, "q").select("o_orderkey", "principal", "rate_percent", "months", "instalment")
