@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import extraction, numbers
 from ..functions import text as T
-from ..operators import compare, complaints, history, offers, questions, retrieval, verification
+from ..operators import answers, compare, complaints, history, matching, offers, questions, retrieval, verification
 from ..sources import tables
 from ..streaming import sinks
 from .registry import add, table
@@ -572,3 +574,51 @@ def question_calculations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rate = "IF(o_orderkey % 7 = 0, '', concat(', yüzde ', o_orderkey % 9, ',5 oranla'))"
     asked = table(spark, sf_dir, "orders").selectExpr("o_orderkey", f"concat({amount}, ' TL', {rate}, ' ', 6 + o_orderkey % 31, ' ay vadeyle ne kadar öderim?') AS q")
     return questions.with_calculation(asked, "q").select("o_orderkey", "principal", "rate_percent", "months", "instalment")
+
+
+@add(f"""
+    WITH b AS (SELECT p_brand AS bank, p_partkey AS offer, 1 + p_size % 7 AS rate, nullif(p_size % 5, 0) * 12 AS term FROM part),
+    f AS (SELECT bank, arg_min(rate, offer) AS rate, arg_min(term, offer) AS term FROM b WHERE term IS NOT NULL GROUP BY 1),
+    c AS (SELECT *, round(300000 * (rate / 100.0::DOUBLE) * pow(1 + rate / 100.0::DOUBLE, term) / (pow(1 + rate / 100.0::DOUBLE, term) - 1) * term, 2) AS total FROM f),
+    q AS (SELECT o_orderkey AS k, o_orderkey % 5 AS kind, o_custkey * 1000 + 500 AS p, concat('Brand#', 2 + o_orderkey % 2) AS b1, concat('Brand#', 4 + o_orderkey % 2) AS b2 FROM orders),
+    least AS (SELECT k, min(rate) AS v FROM q JOIN b ON bank IN (b1, b2) WHERE kind = 1 GROUP BY k),
+    cost AS (SELECT k, count(*) AS n, arg_min(bank, (total, bank)) AS pick, min(total) AS v FROM q JOIN c ON bank IN (b1, b2) WHERE kind = 2 GROUP BY k),
+    pick AS (SELECT k, arg_min(bank, offer) AS pick FROM least JOIN q USING (k) JOIN b ON bank IN (b1, b2) AND rate = v GROUP BY k)
+    SELECT k, CASE kind WHEN 0 THEN 'hesaplama' WHEN 1 THEN 'karsilastirma' WHEN 2 THEN 'toplam_maliyet' ELSE 'bilgi' END AS intent,
+      CASE kind WHEN 0 THEN 'calculator' WHEN 1 THEN 'sql' WHEN 2 THEN 'calculator' WHEN 3 THEN 'rag' ELSE 'fallback' END AS tool, kind < 4 AND coalesce(cost.n, 2) = 2 AS ok,
+      CASE kind WHEN 0 THEN '12' WHEN 1 THEN pick.pick WHEN 2 THEN cost.pick WHEN 3 THEN cast(k % 5 AS VARCHAR) END AS pick,
+      CASE kind WHEN 0 THEN round(p * 0.02::DOUBLE * pow(1.02::DOUBLE, 12) / (pow(1.02::DOUBLE, 12) - 1), 2) WHEN 1 THEN least.v WHEN 2 THEN cost.v END::DOUBLE AS value,
+      CASE kind WHEN 3 THEN 'calculator failed (missing: principal, rate_percent, months), answered from texts' WHEN 4 THEN 'no sufficient source' END AS reason
+    FROM q LEFT JOIN least USING (k) LEFT JOIN pick USING (k) LEFT JOIN cost USING (k)""")
+def answered_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions put together from orders, one kind in five for each way an answer takes; banks are the brands, texts the regions."""
+    bank = "'Brand#', {} + o_orderkey % 2"
+    kinds = [
+        "concat(replace(format_number(o_custkey * 1000 + 500, 0), ',', '.'), ' TL %2 12 ay taksit')", f"concat('en düşük oran, karşılaştır: ', {bank.format(2)}, ' ile ', {bank.format(4)}, '?')",
+        f"concat('Toplam maliyet 300.000 TL: ', {bank.format(2)}, ' ', {bank.format(4)})", "concat('taksit bolge', o_orderkey % 5)", "'penguenler uzayda'",
+    ]
+    asked = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS k", f"element_at(array({', '.join(kinds)}), CAST(o_orderkey % 5 AS INT) + 1) AS text")
+    rows = table(spark, sf_dir, "part").selectExpr(
+        "p_brand AS bank", "p_partkey AS offer", "CAST(1 + p_size % 7 AS DOUBLE) AS rate", "nullif(p_size % 5, 0) * 12 AS term", "CAST(NULL AS DOUBLE) AS fee", "CAST(NULL AS DOUBLE) AS reward", "'TL' AS unit"
+    )
+    banks = rows.select("bank").distinct().where("bank IN ('Brand#2', 'Brand#3', 'Brand#4', 'Brand#5')")
+    chunks = table(spark, sf_dir, "region").selectExpr("CAST(r_regionkey AS STRING) AS doc", "concat('bolge', r_regionkey) AS body")
+    of = {"key": "k", "text": "text"}
+    tools = {
+        "hesaplama": partial(answers.calculated, **of), "karsilastirma": partial(answers.compared, **of, banks=banks, name="bank", offers=rows),
+        "toplam_maliyet": partial(answers.costed, **of, banks=banks, name="bank", offers=rows),
+    }
+    found = answers.answered(asked, "k", "text", tools, partial(answers.from_texts, **of, chunks=chunks, doc="doc", body="body"))
+    return found.select("k", "intent", "tool", "ok", "pick", F.when(F.col("tool") != "rag", F.col("value")).alias("value"), "reason")
+
+
+@add("""
+    WITH r AS (SELECT c_nationkey AS bank, 'http://b' || c_nationkey || '.com/tr/kampanya-' || (c_custkey % 3) || '/' || c_custkey || '-firsati/detay' AS url FROM customer WHERE c_custkey % 3 > 0)
+    SELECT c_custkey AS gold, min(r.url) AS url, count(r.url) AS n_candidates FROM customer LEFT JOIN r ON r.bank = c_nationkey AND contains(r.url, c_custkey || '-firsati') GROUP BY 1""")
+def slug_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gold rows and snapshots put together from customers: a third of the pages are gone."""
+    rows = table(spark, sf_dir, "customer").selectExpr("c_custkey AS gold", "CAST(c_nationkey AS STRING) AS bank", "concat('https://www.b.com/', c_custkey, '-firsati/') AS url", "'Ad' AS name")
+    raw = table(spark, sf_dir, "customer").where("c_custkey % 3 > 0").selectExpr(
+        "CAST(c_nationkey AS STRING) AS bank", "concat('http://b', c_nationkey, '.com/tr/kampanya-', c_custkey % 3, '/', c_custkey, '-firsati/detay') AS url", "'Metin' AS text"
+    )
+    return matching.by_slug(rows, raw, "gold")

@@ -6,7 +6,7 @@ from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
-from tessera.operators import answers
+from tessera.operators import answers, matching
 
 OFFERS = [
     ("Ay Katılım", 1, 1.9, 24, 100.0, 500.0, "TL"), ("Ay Katılım", 2, 2.1, 36, None, None, None), ("Güneş", 3, 1.7, 12, 300.0, 900.0, "TL"),
@@ -90,3 +90,21 @@ def test_long_lists_of_banks_are_refused(spark):
     many = spark.range(answers.MOST_BANKS + 1).select(F.concat(F.lit("b"), "id").alias("n"))
     with pytest.raises(ValueError, match="banks"):
         answers.banks_named(F.lit("x"), many, "n")
+
+
+def test_snapshots_are_found_by_slug(spark):
+    gold = [
+        (1, "a", "https://a.com/x/konut-finansmani/", "Konut"), (2, "a", "https://a.com/x/ev", "Ev"), (3, "b", "https://b.com/kampanyalar", "Özel Okul"), (4, "b", "https://b.com/kampanyalar", "Tatil"),
+        (5, "a", "", "x"), (6, None, "https://a.com/x/ev", "x"), (7, "a", None, None), (8, "c", "https://c.com/konut-finansmani", "x"), (9, "b", "https://b.com/tekil-firsat", None),
+    ]
+    raw = [
+        ("a", "https://www.a.com/tr/konut-finansmani-2?x", "Konut\nmetin"), ("a", "https://a.com/konut-finansmani", None), ("a", "https://a.com/evler", ""), ("b", "https://b.com/kampanyalar#1", "Restoran özel\nx"),
+        ("b", "https://b.com/kampanyalar#2", "ÖZEL, okul\ny"), ("b", "https://b.com/tekil-firsat", None), (None, "https://a.com/ev", "x"), ("a", None, "x"),
+    ]
+    g, r = spark.createDataFrame(gold, "id int, bank string, url string, name string"), spark.createDataFrame(raw, "bank string, url string, text string")
+    got = {x.id: (x.url, x.n_candidates) for x in matching.by_slug(g, r, "id", ("b",)).collect()}
+    assert got == {
+        1: ("https://a.com/konut-finansmani", 2), 2: ("https://a.com/evler", 1), 3: ("https://b.com/kampanyalar#2", 2), 4: (None, 2), 5: (None, 0), 6: (None, 0), 7: (None, 0), 8: (None, 0),
+        9: ("https://b.com/tekil-firsat", 1),
+    }
+    assert matching.by_slug(g.limit(0), r, "id").count() == 0 and {x.url for x in matching.by_slug(g, r.limit(0), "id").collect()} == {None}
