@@ -16,6 +16,7 @@ from ..functions.numbers import written
 from . import offers as O
 from . import questions, retrieval
 from .compare import first_qualifying
+from .durable import cut
 
 #: Banks a question can name; their names travel in the plan, so a longer list is refused.
 MOST_BANKS = 1000
@@ -186,13 +187,13 @@ def answered(asked: DataFrame, key: str, text: str, tools: dict[str, Callable[[D
     """key, intent, confidence, tool, ok, pick, value, answer, reason, sources, terms_hold: one row a question.
 
     tools has a function for each intent, rag one for the rest and for questions whose tool has no answer; if that has none
-    either, the tool's reason stands. terms_hold: no leak in an answer put together from values; null for quoted and dictionary answers.
+    either, the tool's reason stands. Intents and the tools' results are written once, as texts and the last join read them again. terms_hold: no leak in an answer put together from values; null for quoted and dictionary answers.
     """
-    meant = asked.select(key, text, questions.intent(F.col(text)).alias("_i"))
+    meant = cut(asked.select(key, text, questions.intent(F.col(text)).alias("_i")))
     parts = [tool(meant.where(F.col("_i.name") == name).select(key, text)) for name, tool in tools.items()]
     mine = lambda df, mark: df.select(key, F.struct(*[c for c in df.columns if c != key]).alias(mark))
     first = mine(reduce(DataFrame.unionByName, parts), "_a")
-    left = meant.join(first, key, "left")
+    left = cut(meant.join(first, key, "left"))
     quoted = mine(rag(left.where(~F.coalesce(F.col("_a.ok"), F.lit(False))).select(key, text)), "_b")
     rows = left.join(quoted, key, "left")
     by_tool, by_text = F.coalesce("_a.ok", F.lit(False)), F.coalesce("_b.ok", F.lit(False))
