@@ -3,39 +3,15 @@
 from __future__ import annotations
 
 import re
-import tempfile
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.durable import cut, shared_dir  # noqa: F401 (for the operators)
+
 #: The white space that separates words: space and U+0009 to U+000D.
 WORD_SPACE = " \t\n\x0b\f\r"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only where it is unset and Spark runs in one process, as in tests, a temporary folder is set.
-    """
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not named:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        named = tempfile.mkdtemp(prefix="tessera-")
-        sc.setCheckpointDir(named)
-    elif not sc.getCheckpointDir():
-        sc.setCheckpointDir(named)
-    return named
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and go on from there: short lineage, computed once."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 #: Keys with over 1 / HOT of all rows are hot: fewer than HOT of them, so they are broadcast. Each is dealt to PARTS salts.
 HOT, PARTS = 4096, 256
 
