@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, lattice, minhash, mixing, packing, quality_cnn, quality_rules, toxicity, url_trust, warc
+from . import conversations, langid, lattice, minhash, mixing, packing, quality_cnn, quality_rules, toxicity, url_trust, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,12 +53,16 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"))
 
 
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             op1_url_trust, op2_packing, op3_toxicity, op4_mixing, op5_warc, op6_lattice,
-            op7_quality, op8_minhash, op9_language, op10_quality_rules,
+            op7_quality, op8_minhash, op9_language, op10_quality_rules, op13_conversations,
         )
     }
 
@@ -70,4 +74,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_warc": warc.ORACLE_SQL,
         "op6_lattice": lattice.ORACLE_SQL,
         "op8_minhash": minhash.ORACLE_SQL,
+        "op13_conversations": conversations.oracle_sql(),
     }
