@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversations, langid, lattice, minhash, mixing, packing, quality_cnn, quality_rules, spelling, toxicity, url_trust, warc
+from . import conversations, langid, lattice, main_text, minhash, mixing, packing, quality_cnn, quality_rules, spelling, toxicity, url_trust, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"))
 
 
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.main_texts(_table(spark, sf_dir, "pages"), "page_id", "url")
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(_table(spark, sf_dir, "documents"))
 
@@ -66,7 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             op1_url_trust, op2_packing, op3_toxicity, op4_mixing, op5_warc, op6_lattice,
-            op7_quality, op8_minhash, op9_language, op10_quality_rules, op12_spelling, op13_conversations,
+            op7_quality, op8_minhash, op9_language, op10_quality_rules, op11_main_text, op12_spelling, op13_conversations,
         )
     }
 
@@ -78,6 +82,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_warc": warc.ORACLE_SQL,
         "op6_lattice": lattice.ORACLE_SQL,
         "op8_minhash": minhash.ORACLE_SQL,
+        "op11_main_text": main_text.ORACLE_SQL,
         "op12_spelling": spelling.oracle_sql(),
         "op13_conversations": conversations.oracle_sql(),
     }
