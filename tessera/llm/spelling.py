@@ -8,7 +8,7 @@ Every word emits itself and its deletions under keys of what is left of the word
 * a word whose deletion is another word differs from it by that letter. An equi-join of each word's distinct deletions to the words
   themselves gives exactly these links, each once, for both ends.
 
-Every join's result is verified by the words' texts (Levenshtein distance exactly one), counts and best near words are aggregated per
+Every join's result is verified by the words' texts (equal without the letters at the places named, so exactly one edit apart), counts and best near words are aggregated per
 word, and roots are found by joining forms to forms until none has a further form; a form is at least ``RATIO`` times as frequent as its
 word, so that takes as many rounds as the largest count has digits, at most.
 
@@ -133,7 +133,7 @@ def _rank(n: str, key: str) -> Column:
 
 
 def _replaced(keys: DataFrame) -> DataFrame:
-    """id, mate, mate_n, more: for each member of a key with others, the best other and how many there are."""
+    """id, place, mate, mate_place, mate_n, more: for each member of a key with others, the best other and how many there are."""
     at = F.posexplode(F.arrays_zip("rest1", "rest2")).alias("place", "rest")
     members = keys.select("id", "n", at).select("id", "n", "place", F.col("rest.rest1").alias("k1"), F.col("rest.rest2").alias("k2"))
     # words of unequal lengths leave unequal rests, so they never share a key
@@ -143,17 +143,18 @@ def _replaced(keys: DataFrame) -> DataFrame:
     facts = members.groupBy(*_KEY).agg(F.slice(ranked, 1, 2).alias("two"), (F.count(F.lit(1)) - 1).alias("more")).where("more > 0")
     joined = members.join(facts, _KEY)
     best = F.when(F.col("two")[0]["minus"] == -F.col("id"), F.col("two")[1]).otherwise(F.col("two")[0])
-    return joined.select("id", (-best["minus"]).alias("mate"), best["n"].alias("mate_n"), "more")
+    return joined.select("id", "place", (-best["minus"]).alias("mate"), F.col("place").alias("mate_place"), best["n"].alias("mate_n"), "more")
 
 
 def _deleted(keys: DataFrame) -> DataFrame:
-    """id, mate, mate_n, more (1) for both ends of every link between a word and one of its deletions."""
-    rest = F.explode(F.filter(F.arrays_zip("rest1", "rest2", "first"), lambda x: x["first"])).alias("rest")
-    longer = keys.select("id", "n", rest).select("id", "n", F.col("rest.rest1").alias("k1"), F.col("rest.rest2").alias("k2"))
+    """id, place, mate, mate_place, mate_n, more (1) for both ends of every link between a word and one of its deletions; the shorter's place is null."""
+    rest = F.posexplode(F.arrays_zip("rest1", "rest2", "first")).alias("place", "rest")
+    longer = keys.select("id", "n", rest).where("rest.first").select("id", "n", "place", F.col("rest.rest1").alias("k1"), F.col("rest.rest2").alias("k2"))
     shorter = keys.select(F.col("id").alias("mate"), F.col("n").alias("mate_n"), F.col("own1").alias("k1"), F.col("own2").alias("k2"))
     links = longer.join(shorter, ["k1", "k2"])
     ends = F.explode(F.array(
-        F.struct("id", "mate", "mate_n"), F.struct(F.col("mate").alias("id"), F.col("id").alias("mate"), F.col("n").alias("mate_n")),
+        F.struct("id", "place", "mate", F.lit(None).cast("int").alias("mate_place"), "mate_n"),
+        F.struct(F.col("mate").alias("id"), F.lit(None).cast("int").alias("place"), F.col("id").alias("mate"), F.col("place").alias("mate_place"), F.col("n").alias("mate_n")),
     )).alias("e")
     return links.select(ends).select("e.*", F.lit(1).cast("long").alias("more"))
 
@@ -164,7 +165,9 @@ def near(words: DataFrame) -> DataFrame:
     links = _replaced(keys).unionByName(_deleted(keys))
     texts = words.select("id", "word")
     rows = links.join(texts, "id").join(texts.select(F.col("id").alias("mate"), F.col("word").alias("mate_word")), "mate")
-    sure = F.when(F.levenshtein("word", "mate_word", 1) == 1, F.col("more")).otherwise(
+    rest = lambda word, place: F.coalesce(F.concat(F.left(word, F.col(place)), F.substr(word, F.col(place) + 2)), F.col(word))
+    one_apart = (rest("word", "place") == rest("mate_word", "mate_place")) & (F.col("word") != F.col("mate_word"))
+    sure = F.when(one_apart, F.col("more")).otherwise(
         F.raise_error(F.concat(F.lit("one key for two different rests: "), "word", F.lit(", "), "mate_word")).cast("long")
     )
     best = rows.groupBy("id").agg(F.sum(sure).alias("n_near"), F.max(_rank("mate_n", "mate")).alias("best"))
