@@ -3,7 +3,9 @@
 Payload bytes are stored once, under their SHA-256; the exact header block of every record is stored by
 itself, with that digest; original records are put together again by a join. The digest is verified
 twice: equal digests must come with equal lengths and equal SHA-1 when the archive is written, and the
-stored bytes must give their digest again when it is read. Both tables are Parquet, under one folder.
+stored bytes must give their digest again when it is read. Both tables are Parquet, under one folder;
+payloads lie in buckets of their digest, so that the headers of large ones travel to them and they stay.
+What the summary tells of a payload is measured on the rebuilt record's own bytes.
 
 Of records with equal payloads of at least ``REVISIT_BYTES`` bytes the one with the largest page_id is
 the response, the others are revisits of it.
@@ -72,10 +74,15 @@ def records(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> tuple[DataF
 
 
 def write(pages: DataFrame, folder: str, revisit_bytes: int = REVISIT_BYTES) -> None:
-    """Write the archive's two tables under folder."""
+    """Write the archive's tables under folder: headers, payloads in buckets of their digest, and layout (the number of buckets)."""
+    spark = pages.sparkSession
     headers, payloads = records(pages, revisit_bytes)
     headers.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/headers")
-    payloads.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/payloads")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"warc_{uuid.uuid4().hex}"
+    payloads.write.mode("overwrite").option("compression", "zstd").bucketBy(buckets, "digest").option("path", f"{folder}/payloads").saveAsTable(name)
+    spark.sql(f"DROP TABLE {name}")  # its files stay
+    spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.mode("overwrite").parquet(f"{folder}/layout")
 
 
 def read_headers(spark: SparkSession, folder: str) -> DataFrame:
@@ -91,10 +98,17 @@ def read_headers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_payloads(spark: SparkSession, folder: str) -> DataFrame:
-    """digest, payload; fails where stored bytes don't give their digest."""
+    """digest, payload; fails where stored bytes don't give their digest. Where the archive has a layout they are dealt by digest as they were written."""
+    layout = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/layout")
+    if layout.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(layout):
+        name, buckets = f"warc_{uuid.uuid4().hex}", spark.read.parquet(f"{folder}/layout").first()["buckets"]
+        spark.sql(f"CREATE TABLE {name} (digest STRING, payload BINARY) USING parquet CLUSTERED BY (digest) INTO {buckets} BUCKETS LOCATION '{folder}/payloads'")
+        stored = spark.table(name)
+    else:
+        stored = spark.read.parquet(f"{folder}/payloads")
     right = F.sha2("payload", 256) == F.col("digest")
     wrong = F.raise_error(F.concat(F.lit("damaged payload "), F.col("digest"))).cast("binary")
-    return spark.read.parquet(f"{folder}/payloads").select("digest", F.when(right, F.col("payload")).otherwise(wrong).alias("payload"))
+    return stored.select("digest", F.when(right, F.col("payload")).otherwise(wrong).alias("payload"))
 
 
 def _hot_digests(headers: DataFrame) -> DataFrame:
@@ -103,31 +117,65 @@ def _hot_digests(headers: DataFrame) -> DataFrame:
     return hot_keys(counts, "n", headers.count())
 
 
+def responses(spark: SparkSession, folder: str, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
+    """page_id, digest, content_length, record: the exact bytes of every response, its header joined to its payload.
+
+    Payloads of at least revisit_bytes have one response each, so their headers travel to the buckets of payloads, which stay where they
+    are read. Smaller ones may have any number and travel by themselves, to salts where they are hot.
+    """
+    said = read_headers(spark, folder).where("record_type = 'response'").select("page_id", "digest", "content_length", "header")
+    payloads = read_payloads(spark, folder)
+    large = F.col("content_length") >= revisit_bytes
+    small = said.where(~large)
+    whole = said.where(large).hint("shuffle_merge").join(payloads, "digest").unionByName(
+        join_facts(small, payloads.where(F.octet_length("payload") < revisit_bytes), ["digest"], _hot_digests(small).select("digest"), ["header"])
+    )
+    return whole.select("page_id", "digest", "content_length", F.concat("header", "payload", F.encode(F.lit(_END * 2), "UTF-8")).alias("record"))
+
+
+def _body(record: Column, length: Column) -> Column:
+    """The bytes of a record between its header and its end; null where they aren't as many as the header says."""
+    start = F.position(F.encode(F.lit(_END * 2), "UTF-8"), record) + 2 * len(_END)
+    body = F.substr(record, start, length.cast("int"))
+    return F.when(F.octet_length(record) == start - 1 + length + 2 * len(_END), body)
+
+
+def _revisits(spark: SparkSession, folder: str) -> DataFrame:
+    return read_headers(spark, folder).where("record_type = 'revisit'")
+
+
 def reconstruct(spark: SparkSession, folder: str) -> DataFrame:
     """page_id, record_type, refers_to, record, payload: each record's exact bytes, and its full payload for revisits too."""
-    end = F.encode(F.lit(_END * 2), "UTF-8")
-    body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.encode(F.lit(""), "UTF-8"))
-    headers = read_headers(spark, folder)
-    return join_facts(headers, read_payloads(spark, folder), ["digest"], _hot_digests(headers).select("digest"), ["header"]).select(
-        "page_id", "record_type", "refers_to", F.concat("header", body, end).alias("record"), "payload"
-    )
+    whole = responses(spark, folder)
+    payload = _body(F.col("record"), F.col("content_length"))
+    own = whole.select("page_id", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"), "record", payload.alias("payload"))
+    again = _revisits(spark, folder)
+    hot = _hot_digests(again).select("digest")
+    joined = join_facts(again, read_payloads(spark, folder), ["digest"], hot, ["header"])
+    record = F.concat("header", F.encode(F.lit(_END * 2), "UTF-8"))
+    return own.unionByName(joined.select("page_id", "record_type", "refers_to", record.alias("record"), "payload"))
 
 
 def summary(spark: SparkSession, folder: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest (SHA-1), record_type, refers_to of every archived record.
 
-    Length and SHA-1 are computed once for each stored payload, after its digest was verified, and joined to
-    the headers, so payloads don't travel. It fails where a header's Content-Length isn't its body's length.
+    Every response is put together again, and what is told of its payload is measured on the bytes cut out of the rebuilt record, in the task
+    that has read them. A revisit takes what its response was found to hold. It fails where a rebuilt record isn't as its header says.
     """
-    facts = read_payloads(spark, folder).select("digest", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
-    headers = read_headers(spark, folder).drop("header")
-    body = F.when(F.col("record_type") == "response", F.col("payload_bytes")).otherwise(F.lit(0))
-    kind = F.when(F.col("content_length") == body, F.col("record_type")).otherwise(
-        F.raise_error(F.concat(F.lit("a header's Content-Length differs from its body's for payload "), F.col("digest")))
+    body = _body(F.col("record"), F.col("content_length"))
+    bad = F.raise_error(F.concat(F.lit("a header's Content-Length differs from its body's for payload "), F.col("digest")))
+    measured = responses(spark, folder).withColumn("body", body).select(
+        "page_id", "digest", F.coalesce(F.octet_length("body").cast("long"), bad.cast("long")).alias("payload_bytes"), F.sha1("body").alias("payload_digest"),
     )
-    return join_facts(headers, facts, ["digest"], _hot_digests(headers).select("digest"), ["page_id", "record_type"]).select(
-        "page_id", "payload_bytes", "payload_digest", kind.alias("record_type"), "refers_to"
+    found = cut(measured)
+    facts = found.where(F.col("payload_bytes") > 0).groupBy("digest").agg(F.first("payload_bytes").alias("payload_bytes"), F.first("payload_digest").alias("payload_digest"))
+    again = _revisits(spark, folder).select(
+        "page_id", "digest", "refers_to",
+        F.when(F.col("content_length") == 0, F.lit("revisit")).otherwise(F.raise_error(F.concat(F.lit("a header's Content-Length differs from its body's for payload "), F.col("digest")))).alias("record_type"),
     )
+    linked = join_facts(again, facts, ["digest"], _hot_digests(again).select("digest"), ["page_id", "record_type"])
+    own = found.select("page_id", "payload_bytes", "payload_digest", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
+    return own.unionByName(linked.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
 
 
 def archive(pages: DataFrame, folder: str | None = None) -> DataFrame:
