@@ -1,7 +1,7 @@
 """Fields of an offer from its text, each with the words it was read from and a confidence.
 
-All rules read the folded lower-case text, which is as long as the text itself, so that a span is cut from
-the text as it was written. A field is struct(value, span, confidence), null where no rule finds it: missing, never zero.
+Rules about numbers read the text's numbers (functions.numerals), found in one pass with the words around them; the others read the folded
+lower-case text. Both are as long as the text itself, so that a span is cut from it as it was written. A field is struct(value, span, confidence), null where no rule finds it: missing, never zero.
 """
 
 from __future__ import annotations
@@ -11,7 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .numbers import MONTHS, amount, iso_date
+from . import numerals
+from .numbers import MONTHS, iso_date
 from .text import fold, lower
 
 # Context words that a percentage must not stand near to be a rate, words of rewards and of spending.
@@ -21,10 +22,10 @@ SPEND_WORDS = ("harca", "alisveris")
 # Units of rewards by the word that names them.
 UNITS = {"bankkart lira": "Bankkart Lira", "parafpara": "ParafPara", "worldpuan": "Worldpuan"}
 
-NUMBER = r"[0-9]{1,3}(?:[.][0-9]{3})+(?:,[0-9]+)?|[0-9]+(?:,[0-9]+)?"
-MONEY = rf"(?:{NUMBER})(?:\s*(?:bin|milyon|milyar))?"
-PERCENT = r"%\s*[0-9]{1,2}(?:[.,][0-9]{1,4})?"
-RATE_WORD = r"kar\s*(?:pay|oran)"
+# Reach of the words near a rate, near a cap and near a reward's limit, in characters; percentages that may be rates.
+RATE_REACH, CAP_REACH, LIMIT_REACH = 45, 60, 80
+LEAST_RATE, MOST_RATE = 0, 15
+
 DATE = rf"[0-9]{{1,2}}[./][0-9]{{1,2}}[./][0-9]{{4}}|[0-9]{{1,2}}\s+(?:{'|'.join(MONTHS)})\s+[0-9]{{4}}"
 TRACE = "span string, confidence double"
 
@@ -40,7 +41,7 @@ class Folded:
     """
 
     def __init__(self, name: str) -> None:
-        self.c, self.name, self.levels = F.col(name), name, ({}, {})
+        self.c, self.name, self.levels = F.col(name), name, ({}, {}, {})
 
     def keep(self, column: Column, level: int) -> Column:
         name = f"{self.name}_{level}_{len(self.levels[level])}"
@@ -84,106 +85,152 @@ def has_any(c: Column, words: tuple[str, ...]) -> Column:
 
 
 def field(plain: Folded, value: Column, span: Column, confidence: float, **more: Column) -> Column:
-    value = plain.keep(value, 1)
+    value = plain.keep(value, 2)
     return F.when(value.isNotNull(), F.struct(value.alias("value"), *[c.alias(n) for n, c in more.items()], span.alias("span"), F.lit(confidence).alias("confidence")))
 
 
-def percent_value(found: Column) -> Column:
-    return F.replace(F.regexp_extract(found, r"([0-9]{1,2}(?:[.,][0-9]{1,4})?)", 1), F.lit(","), F.lit(".")).try_cast("double")
+def plausible(percent: Column) -> Column:
+    """A monthly rate, else null."""
+    return F.when(percent.between(LEAST_RATE, MOST_RATE), percent)
+
 
+def _length(text: Column, pattern: str) -> Column:
+    return F.length(F.regexp_extract(text, pattern, 0))
 
-def plausible(percent: Column) -> Column:
-    """A monthly rate from 0 to 15 percent, else null."""
-    return F.when(percent.between(0, 15), percent)
+
+class Numbers:
+    """A text's numbers, and the first of them that a rule takes, with the text around it that belongs to the find."""
+
+    def __init__(self, text: Column, plain: Folded) -> None:
+        self.text, self.plain = text, plain
+        self.all = plain.keep(numerals.numerals(F.regexp_replace(plain.c, "(?<=[0-9])[.](?=[0-9])", numerals.POINT)), 0)
+
+    def first(self, takes, lead: str = "$", tail: str = "^") -> tuple[Column, Column]:
+        """The first number that takes() accepts, null without one, and its span: from where lead matches before it to where tail matches after it."""
+        x = self.plain.keep(F.try_element_at(F.filter(self.all, lambda x: takes(x)), F.lit(1)), 1)
+        return x, self.span(x, lead, tail)
+
+    def span(self, x: Column, lead: str = "$", tail: str = "^") -> Column:
+        ahead = _length(x["before"], lead)
+        own = x["n"] + F.length(x["after"]) - F.length(x["rest"])
+        return F.substr(self.text, x["at"] - ahead, ahead + own + _length(x["rest"], tail))
+
+
+def _near(x: Column, reach: int, own_sentence: bool = False) -> Column:
+    """What stands within reach on either side of a number, as far as its sentence goes if wanted (its end is one of .!? before white space)."""
+    before, after = F.right(x["before"], F.lit(reach)), F.left(x["after"], F.lit(reach))
+    if own_sentence:
+        before, after = F.element_at(F.split(before, r"[.!?]\s"), -1), F.element_at(F.split(after, r"[.!?]\s"), 1)
+    return F.concat(before, F.lit(" "), after)
+
+
+def _follows(x: Column, pattern: str) -> Column:
+    return F.regexp_like(x["rest"], F.lit(f"^\\s*(?:{pattern})"))
 
 
-def rate(text: Column, plain: Folded) -> Column:
+def _precedes(x: Column, pattern: str) -> Column:
+    return F.regexp_like(x["before"], F.lit(f"(?:{pattern})\\s*$"))
+
+
+_LIRA = "(?:tl|₺)(?![a-z])"
+_TO = r"['’]?\s*(?:[yae]{1,2}\s*)?"
+_UP_TO = r"(?:a|e|ya|ye)?\s*(?:kadar|varan)?\s*"
+_PROFIT = r"kar\s*(?:pay|oran)"
+
+
+def rate(text: Column, plain: Folded, numbers: Numbers) -> Column:
     """The rate in percent: beside the words for it, else a phrase that means zero, else any percentage away from fees and rewards."""
+    percent = lambda x: _precedes(x, "%") & numerals.decimal(x).isNotNull()
+    named = (
+        lambda x: F.regexp_like(F.left(x["after"], F.lit(40)), F.lit(rf"^[^%\n]{{0,25}}{_PROFIT}")),
+        lambda x: F.regexp_like(x["before"], F.lit(rf"{_PROFIT}[a-z]*[^%\n]{{0,25}}%\s*$")),
+    )
     rules = []
-    for pattern in (rf"({PERCENT})[^%\n]{{0,25}}{RATE_WORD}", rf"{RATE_WORD}[^%\n]{{0,25}}({PERCENT})"):
-        found = part(plain, pattern)
-        rules.append(field(plain, plausible(percent_value(found)), cut_out(text, plain, found), 0.9))
+    for beside in named:
+        x, span = numbers.first(lambda x, beside=beside: percent(x) & beside(x), r"%\s*$")
+        rules.append(field(plain, plausible(numerals.decimal(x)), span, 0.9))
     own = F.regexp_replace(plain.c, r"(?s)kar\s*paysiz.{0,60}?yedek hesap", "")  # another product's rate
-    for pattern, confidence in ((r"(kar\s*paysiz)", 0.85), (r"(?:^|[^0-9a-z_])(0\s*kar\s*pay[a-z]*)", 0.85), (r"(vade\s*farksiz)", 0.8)):
-        found = part(plain, pattern, text=own)
-        rules.append(field(plain, F.when(found.isNotNull(), F.lit(0.0)), cut_out(text, plain, found), confidence))
-    free = F.filter(
-        occurrences(plain.c, PERCENT),
-        lambda o: ~has_any(window(plain.c, o["at"], F.length(o["m"]), 45), FEE_WORDS) & plausible(percent_value(o["m"])).isNotNull(),
-    )
-    first = plain.keep(F.try_element_at(free, F.lit(1)), 0)
-    rules.append(field(plain, percent_value(first["m"]), F.substr(text, first["at"], F.length(first["m"])), 0.6))
-    return F.coalesce(*rules)
+    none, none_span = numbers.first(lambda x: (x["written"] == "0") & _follows(x, r"kar\s*pay") & ~F.regexp_like(x["before"], F.lit("[a-z_]$")), "$", r"^\s*kar\s*pay[a-z]*")
+    free, vade = part(plain, r"(kar\s*paysiz)", text=own), part(plain, r"(vade\s*farksiz)", text=own)
+    zero = lambda found: F.when(found.isNotNull(), F.lit(0.0))
+    rules += [field(plain, zero(free), cut_out(text, plain, free), 0.85), field(plain, zero(none), none_span, 0.85), field(plain, zero(vade), cut_out(text, plain, vade), 0.8)]
+    x, span = numbers.first(lambda x: percent(x) & plausible(numerals.decimal(x)).isNotNull() & ~has_any(_near(x, RATE_REACH), FEE_WORDS), r"%\s*$")
+    return F.coalesce(*rules, field(plain, numerals.decimal(x), span, 0.6))
 
 
-def financed_amount(text: Column, plain: Folded) -> Column:
+def financed_amount(text: Column, plain: Folded, numbers: Numbers) -> Column:
     """The upper end of a range, else the first cap that is no spending or reward."""
-    pair = part(plain, rf"(?:{MONEY})\s*(?:tl)?\s*(?:-|–|ile)\s*({MONEY})\s*tl\s*aras")
-    cap = rf"(?:{MONEY})\s*tl['’]?\s*[yea]{{1,2}}\s*kadar"
-    free = F.filter(occurrences(plain.c, cap), lambda o: ~has_any(window(plain.c, o["at"], F.length(o["m"]), 45, True), REWARD_WORDS + SPEND_WORDS))
-    first = plain.keep(F.try_element_at(free, F.lit(1)), 0)
-    return F.coalesce(
-        field(plain, amount(pair), cut_out(text, plain, pair), 0.85),
-        field(plain, amount(first["m"]), F.substr(text, first["at"], F.length(first["m"])), 0.75),
-    )
+    upper, upper_span = numbers.first(lambda x: _follows(x, rf"{_LIRA}\s*aras") & _precedes(x, rf"[0-9]\s*(?:bin|milyon|milyar)?\s*(?:tl|₺)?\s*(?:-|–|ile)"))
+    cap, cap_span = numbers.first(lambda x: _follows(x, rf"{_LIRA}{_TO}kadar") & ~has_any(_near(x, CAP_REACH, True), REWARD_WORDS + SPEND_WORDS), "$", rf"^\s*{_LIRA}{_TO}kadar")
+    return F.coalesce(field(plain, numerals.value(upper), upper_span, 0.85), field(plain, numerals.value(cap), cap_span, 0.75))
 
 
-def _whole(text: Column, plain: Folded, patterns: list[tuple[str, int]], confidence: float = 0.85) -> Column:
-    """An integer times a factor by the first pattern that matches; the span is the whole match."""
-    rules = []
-    for pattern, times in patterns:
-        found = part(plain, pattern, 0)
-        rules.append(field(plain, part(plain, pattern).try_cast("int") * times, cut_out(text, plain, found), confidence))
-    return F.coalesce(*rules)
+def _whole(plain: Folded, numbers: Numbers, rules: list[tuple], confidence: float = 0.85) -> Column:
+    """An integer times a factor by the first rule (digits, lead, tail, factor) that takes a number; the find holds both contexts."""
+    out = []
+    for digits, lead, tail, times in rules:
+        fits = lambda x, digits=digits, lead=lead, tail=tail: F.regexp_like(x["written"], F.lit(f"^[0-9]{{1,{digits}}}$")) & (x["scale"] == "") & _follows(x, tail) & (_precedes(x, lead) if lead else F.lit(True))
+        x, span = numbers.first(fits, f"(?:{lead})\\s*$" if lead else "$", f"^\\s*(?:{tail})")
+        out.append(field(plain, x["written"].try_cast("int") * times, span, confidence))
+    return F.coalesce(*out)
 
 
-def term(text: Column, plain: Folded) -> Column:
+def term(text: Column, plain: Folded, numbers: Numbers) -> Column:
     """Months; instalments are no term."""
-    up_to = r"(?:a|e)?\s*(?:varan|kadar)?\s*"
-    return _whole(text, plain, [
-        (rf"([0-9]{{1,3}})\s*ay{up_to}(?:sabit\s*)?vade", 1), (r"([0-9]{1,3})\s*aylik\s*vade", 1), (r"vade[a-z]*[^0-9.\n]{0,20}([0-9]{1,3})\s*ay", 1),
-        (rf"([0-9]{{1,2}})\s*yil{up_to}vade", 12), (r"vade[a-z]*[^0-9.\n]{0,20}([0-9]{1,2})\s*yil", 12),
+    lead = r"vade[a-z]*[^0-9.\n]{0,20}"
+    return _whole(plain, numbers, [
+        (3, "", rf"ay{_UP_TO}(?:sabit\s*)?vade", 1), (3, "", r"aylik\s*vade", 1), (3, "", r"aya?\s*(?:kadar|varan)\s*(?:konut|arac|tasit|ihtiyac)?\s*finansman[a-z]*", 1),
+        (3, lead, r"ay(?!a?\s*(?:kadar|varan)?\s*taksit)", 1), (2, "", rf"yil{_UP_TO}vade", 12), (2, lead, "yil", 12),
     ])
 
 
-def deferral(text: Column, plain: Folded) -> Column:
-    return _whole(text, plain, [(r"([0-9]{1,2})\s*ay(?:a)?\s*(?:varan|kadar)?\s*(?:ertele|otele|odemesiz)", 1)])
+def deferral(text: Column, plain: Folded, numbers: Numbers) -> Column:
+    return _whole(plain, numbers, [(2, "", r"ay[a-z]*\s*(?:varan|kadar)?\s*(?:ertele|otele|odemesiz)[a-z]*", 1)])
 
 
-def instalments(text: Column, plain: Folded) -> Column:
-    return _whole(text, plain, [(r"([0-9]{1,2})\s*(?:ay(?:a)?|['’]?[ae])?\s*(?:varan|kadar)?\s*taksit", 1)])
+def instalments(text: Column, plain: Folded, numbers: Numbers) -> Column:
+    return _whole(plain, numbers, [(3, "", r"(?:aya?|['’]?[ae])?\s*(?:varan|kadar)?\s*taksit[a-z]*", 1)])
 
 
-def reward(text: Column, plain: Folded) -> Column:
+def reward(text: Column, plain: Folded, numbers: Numbers) -> Column:
     """struct(value, unit, span, confidence): miles, then grams, then money and points, then the largest capped amount of a reward's sentence."""
     unit = lambda found: reduce(lambda a, k: F.when(found.contains(k), UNITS[k]).otherwise(a), UNITS, F.lit("TL"))
     rules = []
-    for name, pattern in (("Mil", rf"({MONEY})\s*mil(?:[^a-z]|$)"), ("Gram", rf"({MONEY})\s*(?:gram|gr)(?:[^a-z]|$)")):
-        found = part(plain, pattern)
-        rules.append(field(plain, amount(found), cut_out(text, plain, part(plain, pattern, 0)), 0.8, unit=F.lit(name)))
-    direct = rf"({MONEY})\s*(?:{'|'.join(UNITS)}|tl\s*(?:degerinde\s*|lik\s*)?(?:{'|'.join(REWARD_WORDS)}))"
-    found = part(plain, direct, 0)
-    rules.append(field(plain, amount(part(plain, direct)), cut_out(text, plain, found), 0.8, unit=unit(found)))
-    capped = F.filter(
-        occurrences(plain.c, rf"(?:en fazla|maksimum)\s*(?:{MONEY})\s*tl|(?:{MONEY})\s*tl\s*ile\s*sinirli"),
-        lambda o: has_any(window(plain.c, o["at"], F.length(o["m"]), 80, True), REWARD_WORDS),
-    )
-    most = plain.keep(F.array_max(F.transform(capped, lambda o: F.struct(amount(F.regexp_extract(o["m"], rf"({MONEY})", 1)).alias("v"), (-o["at"]).alias("back"), F.length(o["m"]).alias("n")))), 0)
-    rules.append(field(plain, most["v"], F.substr(text, -most["back"], most["n"]), 0.7, unit=F.lit("TL")))
+    for name, tail in (("Mil", "mil(?![a-z])"), ("Gram", "(?:gram|gr)(?![a-z])")):
+        x, span = numbers.first(lambda x, tail=tail: _follows(x, tail), "$", rf"^\s*{tail}")
+        rules.append(field(plain, numerals.value(x), span, 0.8, unit=F.lit(name)))
+    points = "|".join(UNITS)
+    gift = rf"{_LIRA}{_TO}(?:degerinde|varan|kadar|lik)?\s*(?:nakit\s*|alisveris\s*)?(?:{'|'.join(REWARD_WORDS)})"
+    x, span = numbers.first(lambda x: _follows(x, f"{points}|{gift}"), "$", rf"^\s*(?:{points}|{gift})")
+    rules.append(field(plain, numerals.value(x), span, 0.8, unit=unit(F.regexp_extract(x["rest"], rf"^\s*(?:{points}|{gift})", 0))))
+    most = r"(?:en fazla|maksimum)\s+(?:[^\s]+\s+){0,4}"
+    limits = F.filter(numbers.all, lambda x: (_precedes(x, "en fazla|maksimum") & _follows(x, _LIRA) | F.regexp_like(x["before"], F.lit(most + "$")) & _follows(x, _LIRA) | _follows(x, rf"{_LIRA}['’]?\s*(?:ile\s*)?sinirli")) & has_any(_near(x, LIMIT_REACH, True), REWARD_WORDS))
+    largest = F.array_max(F.transform(limits, lambda x: F.struct(numerals.value(x).alias("v"), (-x["at"]).alias("back"), x.alias("x"))))
+    top = plain.keep(largest, 1)
+    end = rf"^\s*{_LIRA}(?:['’]?\s*(?:ile\s*)?sinirli)?"
+    rules.append(field(plain, top["v"], numbers.span(top["x"], r"(?:en fazla|maksimum)\s*$", end), 0.7, unit=F.lit("TL")))
     return F.coalesce(*rules)
 
 
-def fee(text: Column, plain: Folded) -> Column:
+#: A fee named with what says that none is taken, and phrases that say so by themselves.
+_NO_FEE = r"(?:(?:masraf|komisyon|tahsis ucret|ekspertiz ucret)[a-z]*[^.\n]{0,40}(?:alinm|karsilan|yok)[a-z]*|(?:dosya|tahsis|ekspertiz)\s*(?:masraf|ucret)siz[a-z]*|masrafsizlik[a-z]*|sifir\s*komisyon[a-z]*|aidatsiz)"
+
+
+def fee(text: Column, plain: Folded, numbers: Numbers) -> Column:
     """An allocation fee in money, else 0 where the text says that none is taken."""
-    stated = part(plain, rf"(?:dosya masraf[a-z]*|tahsis(?:\s*ucret)?[a-z]*|ekspertiz[a-z]*(?:\s*ucret[a-z]*)?)[^0-9%\n]{{0,20}}({MONEY})\s*tl")
-    free = part(plain, r"((?:dosya masraf|masraf|tahsis ucret)[a-z]*\s*(?:alinm|yok)[a-z]*|masrafsiz|tahsis ucretsiz)")
-    return F.coalesce(field(plain, amount(stated), cut_out(text, plain, stated), 0.85), field(plain, F.when(free.isNotNull(), F.lit(0.0)), cut_out(text, plain, free), 0.8))
+    named = r"(?:dosya masraf[a-z]*|tahsis(?:\s*ucret)?[a-z]*|ekspertiz[a-z]*(?:\s*ucret[a-z]*)?)[^0-9%\n]{0,20}"
+    x, span = numbers.first(lambda x: _follows(x, _LIRA) & _precedes(x, named), rf"{named}$", rf"^\s*{_LIRA}")
+    free = part(plain, f"({_NO_FEE})")
+    return F.coalesce(field(plain, numerals.value(x), span, 0.85), field(plain, F.when(free.isNotNull(), F.lit(0.0)), cut_out(text, plain, free), 0.8))
 
 
-def fee_text(text: Column, plain: Folded) -> Column:
-    """How a fee is described: a share of the amount, else a bare mention."""
-    share, bare = part(plain, rf"((?:tahsis|masraf)[^%\n]{{0,40}}{PERCENT})"), part(plain, r"(masraf[a-z]*|tahsis ucret[a-z]*)")
-    return F.coalesce(*[field(plain, cut_out(text, plain, x), cut_out(text, plain, x), c) for x, c in ((share, 0.8), (bare, 0.5))])
+def fee_text(text: Column, plain: Folded, numbers: Numbers) -> Column:
+    """How a fee is described: a share of the amount, else that there is none, else a bare mention."""
+    share = r"(?:tahsis|masraf)[^.\n]{0,60}(?:%|binde|yuzde)\s*"
+    x, span = numbers.first(lambda x: F.regexp_like(x["before"], F.lit(f"{share}$")), f"{share}$")
+    free, bare = part(plain, f"({_NO_FEE})"), part(plain, r"(masraf[a-z]*|tahsis ucret[a-z]*)")
+    told = lambda found: cut_out(text, plain, found)
+    return F.coalesce(field(plain, F.when(x.isNotNull(), span), span, 0.8), field(plain, told(free), told(free), 0.8), field(plain, told(bare), told(bare), 0.5))
 
 
 def period(text: Column, plain: Folded) -> tuple[Column, Column]:
@@ -198,11 +245,9 @@ def period(text: Column, plain: Folded) -> tuple[Column, Column]:
 def extract(text: Column, plain: Folded) -> dict[str, Column]:
     """All fields by name; each a struct with value, span and confidence (reward with its unit). plain holds plain_text(text)."""
     start, end = period(text, plain)
-    return {
-        "rate": rate(text, plain), "amount": financed_amount(text, plain), "term": term(text, plain), "deferral": deferral(text, plain),
-        "instalments": instalments(text, plain), "reward": reward(text, plain), "fee": fee(text, plain), "fee_text": fee_text(text, plain),
-        "start": start, "end": end,
-    }
+    numbers = Numbers(text, plain)
+    rules = {"rate": rate, "amount": financed_amount, "term": term, "deferral": deferral, "instalments": instalments, "reward": reward, "fee": fee, "fee_text": fee_text}
+    return {name: rule(text, plain, numbers) for name, rule in rules.items()} | {"start": start, "end": end}
 
 
 def with_fields(df: DataFrame, text: str, prefix: str = "") -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import numerals
+from ..functions.extraction import has_any, occurrences, plain_text
 from ..functions.numbers import written_short
-from ..functions.extraction import has_any, occurrences, plain_text, window
 
 # A word of these must stand near a number for it to count as that field's; other fields need the number alone.
 FIELD_WORDS = {
@@ -31,27 +32,57 @@ def surface_forms(value: Column) -> Column:
     return F.array_distinct(F.array_compact(F.array(*forms)))
 
 
+#: Fields whose numbers are written without decimals.
+WHOLE = ("term", "instalments", "deferral")
+
+
+def candidates(value: Column, whole: bool = False) -> Column:
+    """The numbers as which a value may be written: rounded to four, two, one and no decimals, of six digits that count at most; whole ones rounded alone."""
+    if whole:
+        return F.array(F.bround(value, 0))
+    # digits before the point, so that six are written in all
+    room = F.greatest(F.lit(0), 5 - F.floor(F.log10(F.greatest(F.abs(value), F.lit(1.0)))).cast("int"))
+    rounded = [F.when(room >= d, F.bround(value, d)) for d in (4, 2, 1, 0)]
+    return F.array_distinct(F.array_compact(F.array(*rounded, *[F.when(room == d, F.bround(value, d)) for d in (3, 2, 1)], F.bround(value, 0))))
+
+
 def confirmed(text: Column, value: Column, field: str, reach: int = REACH) -> Column:
-    """Whether some form of the number stands by itself in text with one of the field's words near it in its sentence; null where value is null.
+    """Whether the number stands by itself in text with one of the field's words near it in its sentence; null where value is null.
 
-    A sentence ends at any of .!? that isn't inside a number; a line's end is no boundary.
+    Numbers are compared by value, rounded as they may be written. A sentence ends at any of .!? that isn't inside a number; a line's end is no boundary.
     """
-    plain = F.regexp_replace(plain_text(text), "([0-9])[.]([0-9])", "$1․$2")  # a point inside a number ends nothing
+    words, whole = FIELD_WORDS.get(field), field in WHOLE
+    meant = candidates(value, whole)
+
+    def stands(x: Column) -> Column:
+        fits = F.exists(numerals.readings(x), lambda r: F.array_contains(meant, r["value"]) & (r["whole"] if whole else F.lit(True)))
+        near = has_any(numerals.sentence(x, reach), words) if words else F.lit(True)
+        return fits & numerals.alone(x) & near
 
-    def near(form: Column) -> Column:
-        form = F.replace(form, F.lit("."), F.lit("․"))
-        places = occurrences(plain, "[0-9][0-9․,]*(?:\\s*bin\\b)?")
-        stands = lambda o: (F.rtrim(o["m"], F.lit(",․")) == form) | (F.regexp_replace(o["m"], r"\s*bin$", "") == form)
-        words = FIELD_WORDS.get(field)
-        if not words:
-            return F.exists(places, stands)
-        around = lambda o: F.concat(
-            F.element_at(F.split(F.substr(plain, F.greatest(F.lit(1), o["at"] - reach), F.least(F.lit(reach), o["at"] - 1)), "[.!?]"), -1), F.lit(" "),
-            F.element_at(F.split(F.substr(plain, o["at"] + F.length(o["m"]), F.lit(reach)), "[.!?]"), 1),
-        )
-        return F.exists(places, lambda o: stands(o) & has_any(around(o), words))
+    return F.when(value.isNotNull(), F.coalesce(F.exists(numerals.numerals(numerals.marked(text)), stands), F.lit(False)))
 
-    return F.when(value.isNotNull(), F.exists(surface_forms(value), near))
+
+def verify(claims: DataFrame, numbers: DataFrame, key: str, field: str, value: str, field_words: dict[str, tuple[str, ...]] | None = None, whole: tuple[str, ...] = WHOLE) -> DataFrame:
+    """claims with found (the number stands in the key's text) and confirmed (with one of the field's words near it); both null for a null value.
+
+    numbers is the table of functions.numerals.occurrences. It is reduced to one row for each key and value before the claims meet it, so
+    that a text full of one number is no hot key; fields without words are confirmed by the number alone.
+    """
+    words = FIELD_WORDS if field_words is None else field_words
+    flags = {name: F.bool_or(has_any(F.col("sentence"), near)) for name, near in words.items()}
+    evidence = numbers.groupBy(F.col(key).alias("_key"), F.col("value").alias("_value"), F.col("whole").alias("_whole")).agg(
+        F.array_compact(F.array(*[F.when(flag, F.lit(name)) for name, flag in flags.items()])).alias("_near") if flags else F.expr("cast(array() as array<string>)").alias("_near")
+    )
+    plain = F.col(field).isin(*whole)
+    meant = F.when(plain, candidates(F.col(value).cast("double"), True)).otherwise(candidates(F.col(value).cast("double")))
+    asked = claims.withColumn("_id", F.monotonically_increasing_id()).select("*", F.explode_outer(F.when(F.col(value).isNotNull(), meant)).alias("_meant"))
+    joined = asked.join(evidence, (F.col(key) == F.col("_key")) & (F.col("_meant") == F.col("_value")) & (F.col("_whole") | ~plain), "left")
+    known = F.col(field).isin(*words) if words else F.lit(False)
+    there = F.col("_key").isNotNull()
+    sure = there & (~known | F.array_contains("_near", F.col(field)))
+    out = joined.groupBy("_id", *claims.columns).agg(F.bool_or(there).alias("found"), F.bool_or(F.coalesce(sure, F.lit(False))).alias("confirmed"))
+    told = lambda c: F.when(F.col(value).isNotNull(), F.col(c)).alias(c)
+    return out.select(*claims.columns, told("found"), told("confirmed"))
 
 
 def verification_summary(df: DataFrame, group: list[str], flags: dict[str, str]) -> DataFrame:
@@ -98,7 +129,7 @@ def fill_nulls(stored: DataFrame, new: DataFrame, key: str, fields: list[str]) -
 def leaks(text: Column, root: str, suffixes: tuple[str, ...] = (), next_words: tuple[str, ...] = (), words_before: tuple[str, ...] = (), reach: int = 30) -> Column:
     """How often a root that should be another term begins a word, but for allowed suffixes, following words near it, and words right before."""
     plain = plain_text(text)
-    places = F.filter(occurrences(plain, rf"(?:^|[^a-z0-9_]){root}[a-z]*"), lambda o: F.lit(True))
+    places = occurrences(plain, rf"(?:^|[^a-z0-9_]){root}[a-z]*")
 
     def leaks_there(o: Column) -> Column:
         ending = F.substring_index(o["m"], root, -1)

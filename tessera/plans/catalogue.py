@@ -12,7 +12,7 @@ from ..functions.nulls import missing_fields
 from ..operators import accuracy, history, offers, retrieval, selection
 from ..operators.ranking import rank_nulls_last
 from ..sources import raw
-from . import surface  # noqa: F401  registers its queries
+from . import surface, texts  # noqa: F401 (they register queries)
 from .registry import QUERIES, SQL
 from .registry import add as _query
 from .registry import table as _table

@@ -26,6 +26,21 @@ OFFERS = [
     ("Tahsis ücreti 1.500 TL", {"fee": 1500.0}),
     ("01.03.2026 - 31.05.2026 tarihleri arasında", {"start": "2026-03-01", "end": "2026-05-31"}),
     ("Son gün 5 Mayıs 2026", {"start": None, "end": "2026-05-05"}),
+    ("Aidatsız kart", {"fee": 0.0}),
+    ("Sıfır komisyon oranı", {"fee": 0.0}),
+    ("Bu işlemden komisyon alınmaz", {"fee": 0.0}),
+    ("Masrafsız bankacılık", {"fee": None, "fee_text": "Masrafsız"}),
+    ("500 TL değerinde alışveriş çeki", {"reward": 500.0}),
+    ("750 TL'ye varan nakit iade", {"reward": 750.0}),
+    ("1.000 ₺ hediye", {"reward": 1000.0}),
+    ("60 aya kadar taşıt finansmanı", {"term": 60, "instalments": None}),
+    ("12 aya varan taksit", {"term": None, "instalments": 12}),
+    ("tahsis ücreti: 1.500 ₺", {"fee": 1500.0}),
+    ("tahsis ücreti tutarın binde 5'i", {"fee": None, "fee_text": "tahsis ücreti tutarın binde 5"}),
+    ("dosya masrafı karşılanmaktadır", {"fee": 0.0}),
+    ("Kişi başı maksimum toplam 2.000 TL nakit ödül", {"reward": 2000.0}),
+    ("vade süresi en çok 36 aydır", {"term": 36}),
+    ("0 kâr paylı", {"rate": 0.0}),
     ("", {"rate": None, "amount": None, "end": None}),
     (None, {"rate": None, "fee": None}),
 ]
