@@ -81,7 +81,8 @@ def window(plain: Column, at: Column, size: Column, reach: int, own_sentence: bo
 
 
 def has_any(c: Column, words: tuple[str, ...]) -> Column:
-    return reduce(lambda a, b: a | b, [c.contains(w) for w in words])
+    """Whether a text holds one of the words; one pattern, as the text is often made on the spot and would be made again for each word."""
+    return F.regexp_like(c, F.lit("|".join(rf"\Q{w}\E" for w in words)))
 
 
 def field(plain: Folded, value: Column, span: Column, confidence: float, **more: Column) -> Column:

@@ -30,6 +30,11 @@ def numerals(plain: Column) -> Column:
     at (from 1) and n are the number's place and length; before and after up to REACH characters beside it; scale a word that
     multiplies it, or empty, and rest what follows that word (or the number).
     """
+    # an array of one holds the text while its numbers are looked at, else it would be made again for each
+    return F.transform(F.array(plain), _numerals_of)[0]
+
+
+def _numerals_of(plain: Column) -> Column:
     none = F.struct(F.lit(1).alias("next"), F.expr("cast(array() as array<struct<at:int,n:int,written:string>>)").alias("met"))
 
     def add(acc: Column, piece: Column) -> Column:

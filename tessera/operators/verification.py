@@ -52,14 +52,15 @@ def confirmed(text: Column, value: Column, field: str, reach: int = REACH) -> Co
     Numbers are compared by value, rounded as they may be written. A sentence ends at any of .!? that isn't inside a number; a line's end is no boundary.
     """
     words, whole = FIELD_WORDS.get(field), field in WHOLE
-    meant = candidates(value, whole)
 
-    def stands(x: Column) -> Column:
+    def stands(x: Column, meant: Column) -> Column:
         fits = F.exists(numerals.readings(x), lambda r: F.array_contains(meant, r["value"]) & (r["whole"] if whole else F.lit(True)))
         near = has_any(numerals.sentence(x, reach), words) if words else F.lit(True)
         return fits & numerals.alone(x) & near
 
-    return F.when(value.isNotNull(), F.coalesce(F.exists(numerals.numerals(numerals.marked(text)), stands), F.lit(False)))
+    both = F.struct(numerals.numerals(numerals.marked(text)).alias("numbers"), candidates(value, whole).alias("meant"))
+    there = F.transform(F.array(both), lambda c: F.exists(c["numbers"], lambda x: stands(x, c["meant"])))[0]
+    return F.when(value.isNotNull(), F.coalesce(there, F.lit(False)))
 
 
 def verify(claims: DataFrame, numbers: DataFrame, key: str, field: str, value: str, field_words: dict[str, tuple[str, ...]] | None = None, whole: tuple[str, ...] = WHOLE) -> DataFrame:
