@@ -34,6 +34,8 @@ PER_LANG = 3000
 #: Languages whose matrix (256 KB each) still fits a worker.
 MOST_LANGS = 1000
 BLOCK = 1 << 20
+#: N-grams of a block from which its distinct ones are counted first; n-grams held at once; numbers of a slice of n-grams by languages.
+DENSE, HELD, SLICE = BUCKETS // 4, 1 << 18, 1 << 20
 #: A text's evidence counts as that of so many n-grams at most, so that scores differ from 0 and 1.
 EVIDENCE = 60.0
 LETTER = regex.compile(r"\p{L}")
@@ -93,17 +95,21 @@ class LanguageModel:
         known = [bool(self.langs) and t is not None and LETTER.search(t) is not None for t in texts]
         owners: list[int] = []
         parts: list[np.ndarray] = []
+        times: list[np.ndarray] = []
         held = 0
 
         def flush() -> None:
+            """Add up what each text's cells say, each times its count, in slices whose products with all languages are bounded."""
             nonlocal held
-            sizes = np.array([len(p) for p in parts])
-            starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-            own = np.array(owners)
-            rows = np.add.reduceat(self.log_prob[np.concatenate(parts)], starts, axis=0, dtype=np.float64)
-            np.add.at(sums, own, rows)
-            np.add.at(grams, own, sizes)
-            owners.clear(), parts.clear()
+            own = np.repeat(np.array(owners), [len(p) for p in parts])
+            cells, counts = np.concatenate(parts), np.concatenate(times)
+            step = max(1, SLICE // max(1, len(self.langs)))
+            for at in range(0, len(cells), step):
+                mine = own[at : at + step]
+                starts = np.flatnonzero(np.concatenate(([True], mine[1:] != mine[:-1])))
+                rows = self.log_prob[cells[at : at + step]] * counts[at : at + step, None]
+                np.add.at(sums, mine[starts], np.add.reduceat(rows, starts, axis=0, dtype=np.float64))
+            owners.clear(), parts.clear(), times.clear()
             held = 0
 
         for i, text in enumerate(texts):
@@ -111,10 +117,17 @@ class LanguageModel:
                 continue
             for k, block in enumerate(code_points(text)):
                 cells = ngram_cells(block, k == 0)
+                grams[i] += len(cells)
+                if len(cells) >= DENSE:
+                    counts = np.bincount(cells, minlength=BUCKETS)
+                    cells = np.flatnonzero(counts)
+                    counts = counts[cells]
+                else:
+                    counts = np.ones(len(cells))
                 if len(cells):
-                    owners.append(i), parts.append(cells)
+                    owners.append(i), parts.append(cells), times.append(counts)
                     held += len(cells)
-                if held >= BLOCK:
+                if held >= HELD:
                     flush()
         if parts:
             flush()
@@ -140,7 +153,7 @@ def train(documents: DataFrame, learn: Column, per_lang: int = PER_LANG, most_la
     sample = rows.where(unit_hash(F.col("doc_id"), F.lit(29)) < share[F.col("lang")])
     logs = (
         sample.select("lang", "text")
-        .repartition(16)
+        .repartition(max(16, 4 * len(sizes)), "lang", F.pmod(F.xxhash64("text"), F.lit(16)))
         .mapInPandas(_count, "lang string, cell int, n long")
         .groupBy("lang", "cell")
         .agg(F.sum("n").alias("n"))

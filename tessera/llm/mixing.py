@@ -6,8 +6,9 @@ that mean at a uniform number hashed from the document's id and a seed, so that
 executor gives the same copies. Copies are dealt to partitions and sorted there by a second hash, which
 shuffles them over the whole result.
 
-The distribution functions are tabulated once per source, as a sum of log-terms that doesn't underflow.
-The table of sources is broadcast only if it has at most ``BROADCAST_SOURCES`` rows; otherwise documents
+The distribution functions are tabulated once per source, as a sum of log-terms that doesn't underflow, for rates up to ``WIDE``. Beyond, the
+inverse is found for each document by one walk over the numbers within 10 standard deviations of the mean, as many as 20 square roots of the
+rate, and nothing is kept. Documents of very many copies are exploded in pieces by many tasks. The table of sources is broadcast only if it has at most ``BROADCAST_SOURCES`` rows; otherwise documents
 join it by source and one of ``SALTS`` salts, so that a hot source is read by many tasks.
 
 Defined results: a null source is a source of its own; sources without a target weight share
@@ -18,12 +19,17 @@ rows; extra columns are kept as they are.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 
 BROADCAST_SOURCES = 10_000
+#: The rate from which the walk starts above 0; copies of a document that one task makes.
+WIDE, PIECE = 400.0, 10_000
+_FACTS = ("rate", "cdf")
 SALTS = 32
 SEED = 7
 
@@ -35,7 +41,7 @@ def hashed_unit(key: Column, purpose: str, seed: int) -> Column:
 
 
 def _distribution(rate: Column) -> Column:
-    """P(copies <= k) for k from 0 to 10 standard deviations above the mean."""
+    """P(copies <= k) for k from 0 to 10 standard deviations above the mean; null for rates over WIDE."""
     last = F.ceil(rate + 10 * F.sqrt(rate) + 10).cast("int")
     step = F.aggregate(
         F.sequence(F.lit(1), last),
@@ -48,13 +54,30 @@ def _distribution(rate: Column) -> Column:
             ).alias("cdf"),
         ),
     )
-    return F.when(rate > 0, step["cdf"]).otherwise(F.array(F.lit(1.0)))
+    return F.when(rate > WIDE, F.lit(None)).when(rate > 0, step["cdf"]).otherwise(F.array(F.lit(1.0)))
+
+
+def _walked(unit: Column, rate: Column) -> Column:
+    """How many k have P(copies <= k) <= unit for rates over WIDE: one walk over the k within 10 standard deviations of the mean, without keeping them."""
+    low = F.floor(rate - 10 * F.sqrt(rate)).cast("long")
+    # the first probability by its distance from the mean: no large terms cancel out
+    d = low / rate - 1
+    stirling = 1 / (12 * low) - 1 / (360 * low.cast("double") * low * low)
+    first = F.exp(-rate * ((1 + d) * F.log1p(d) - d) - stirling - 0.5 * F.log(2 * math.pi * low))
+    start = F.struct(first.alias("p"), F.lit(0.0).alias("total"), low.alias("below"))
+
+    def step(acc: Column, k: Column) -> Column:
+        total = acc["total"] + acc["p"]
+        return F.struct((acc["p"] * rate / (k + 1)).alias("p"), total.alias("total"), F.when(total <= unit, k + 1).otherwise(acc["below"]).alias("below"))
+
+    numbers = F.sequence(low, low + F.ceil(20 * F.sqrt(rate)).cast("long"))
+    return F.when(rate > WIDE, F.aggregate(numbers, start, step, lambda acc: acc["below"]))
 
 
 def repetition_rates(
     documents: DataFrame, weights: dict[str | None, float] | None = None, rest_weight: float = 1.0, epochs: float = 1.0
 ) -> DataFrame:
-    """One row per source: source, n_docs, rate, cdf; weights are relative to each other."""
+    """One row per source: source, n_docs, rate, cdf (null for rates over WIDE); weights are relative to each other."""
     sizes = documents.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"))
     weight = F.lit(float(rest_weight))
     for source, w in (weights or {}).items():
@@ -74,8 +97,11 @@ def replicate(
     broadcast_sources: int = BROADCAST_SOURCES,
 ) -> DataFrame:
     """The documents with their number of copies in ``_tessera_copies``, of which there is at least one."""
-    rates = cut(repetition_rates(documents.select("source"), weights, rest_weight, epochs))
-    table = rates.select(F.col("source").alias("_tessera_source"), F.col("cdf").alias("_tessera_cdf"))
+    return _replicated(documents, cut(repetition_rates(documents.select("source"), weights, rest_weight, epochs)), seed, broadcast_sources)
+
+
+def _replicated(documents: DataFrame, rates: DataFrame, seed: int, broadcast_sources: int) -> DataFrame:
+    table = rates.select(F.col("source").alias("_tessera_source"), *[F.col(c).alias(f"_tessera_{c}") for c in _FACTS])
     same = F.col("source").eqNullSafe(F.col("_tessera_source"))
     if rates.count() <= broadcast_sources:
         joined = documents.join(F.broadcast(table), same)
@@ -87,7 +113,19 @@ def replicate(
     # the number is made of columns of both sides before it is compared, so that no filter on it moves below the join
     unit = hashed_unit(F.col("doc_id"), "copies", seed)
     below = F.array_position(F.array_sort(F.array_append("_tessera_cdf", unit)), unit) - 1
-    return joined.withColumn("_tessera_copies", below).where("_tessera_copies > 0").drop("_tessera_source", "_tessera_cdf")
+    counted = joined.withColumn("_tessera_copies", F.coalesce(below, _walked(unit, F.col("_tessera_rate"))))
+    return counted.where("_tessera_copies > 0").drop("_tessera_source", *[f"_tessera_{c}" for c in _FACTS])
+
+
+def _exploded(counted: DataFrame, rates: DataFrame, piece: int) -> DataFrame:
+    """Each document once a copy, with the copy's number from 1. Where documents have many copies, pieces of these are dealt out first."""
+    n = F.col("_tessera_copies")
+    last = F.least(n, (F.col("_tessera_piece") + 1) * piece)
+    pieces = counted.withColumn("_tessera_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / piece))))
+    if (rates.agg(F.max("rate")).first()[0] or 0) > piece:
+        pieces = pieces.repartition(F.col("_tessera_piece"), F.xxhash64("doc_id"))
+    numbers = F.sequence((F.col("_tessera_piece") * piece + 1).cast("int"), last.cast("int"))
+    return pieces.withColumn("_tessera_copy", F.explode(numbers)).drop("_tessera_copies", "_tessera_piece")
 
 
 def mix(
@@ -103,8 +141,8 @@ def mix(
 
     If copy_column is named, it holds the number of the copy, from 1, in place of a column of that name.
     """
-    counted = replicate(documents, weights, rest_weight, epochs, seed, broadcast_sources)
-    copies = counted.withColumn("_tessera_copy", F.explode(F.sequence(F.lit(1), F.col("_tessera_copies")))).drop("_tessera_copies")
+    rates = cut(repetition_rates(documents.select("source"), weights, rest_weight, epochs))
+    copies = _exploded(_replicated(documents, rates, seed, broadcast_sources), rates, PIECE)
     order = F.xxhash64(F.lit(seed), "doc_id", "_tessera_copy", F.lit("order"))
     shuffled = copies.withColumn("_tessera_order", order).repartition("_tessera_order").sortWithinPartitions("_tessera_order")
     shuffled = shuffled.drop("_tessera_order")

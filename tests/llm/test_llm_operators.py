@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import os
 import random
 import re
+import resource
+from collections import Counter
 from zlib import crc32
 
 import numpy as np
@@ -216,6 +219,51 @@ def test_poisson_copies_follow_their_mean(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_a_rare_source_of_very_many_copies(spark, monkeypatch):
+    docs = spark.range(40_001).select(F.when(F.col("id") < 40_000, F.col("id")).alias("doc_id"), F.lit("").alias("text"), F.when(F.col("id") == 40_000, "rare").otherwise("plain").alias("source"))
+    monkeypatch.setattr(mixing, "PIECE", 1000)
+    got = mixing.mix(docs, {"rare": 1.0, "plain": 1.0}, copy_column="copy")
+    n = {r.source: (r.n, r.m, r.k) for r in got.groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("copy").alias("m"), F.max("copy").alias("k")).collect()}
+    assert abs(n["rare"][0] - 20_000) < 1000 and len(set(n["rare"])) == 1 and abs(n["plain"][0] - 20_000) < 800
+    # against the distribution summed up in logarithms, also for rates of 10 ** 9
+    for rate in (401.0, 5000.0, 3e5, 1e9):
+        units = [1e-6, 0.01, 0.3, 0.5, 0.77, 0.999, 1 - 1e-6]
+        frame = spark.createDataFrame([(u, rate) for u in units], "u double, r double")
+        told = [r.n for r in frame.select("u", mixing._walked(F.col("u"), F.col("r")).alias("n")).orderBy("u").collect()]
+        low, high = math.floor(rate - 11 * math.sqrt(rate)), math.ceil(rate + 11 * math.sqrt(rate))
+        k = np.arange(low, high)
+        z = (k - rate) / rate
+        p = np.exp(-rate * ((1 + z) * np.log1p(z) - z)) / np.sqrt(k)
+        want = low + np.searchsorted(np.cumsum(p / p.sum()), units, "right")
+        assert all(abs(a - b) <= 1 + 1e-4 * math.sqrt(rate) for a, b in zip(told, want, strict=True)), (rate, told, want)
+
+
+def test_mixing_of_odd_rows(spark):
+    rows = [(None, None, "a"), (None, "", "a"), (1, "x", None), (1, "x", None), (2, None, "b")]
+    docs = spark.createDataFrame([(*r, 9) for r in rows], "doc_id long, text string, source string, copy int")
+    got = mixing.mix(docs, epochs=50.0, copy_column="copy").collect()
+    n = Counter((r.doc_id, r.text, r.source) for r in got)
+    assert n[(None, None, "a")] == n[(None, "", "a")] and n[(1, "x", None)] % 2 == 0 and set(n) == set(rows)
+    assert {r.copy for r in got if r.doc_id == 2} == set(range(1, n[(2, None, "b")] + 1))
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs, epochs=50.0, copy_column="copy").collect()))
+
+
+def test_many_languages_in_bounded_memory():
+    langs = [f"l{i:03}" for i in range(1000)]
+    rng = np.random.default_rng(4)
+    table = np.log(rng.random((langid.BUCKETS, 1000), np.float32) + 0.01)
+    model = langid.LanguageModel(langs, table, np.zeros(1000))
+    texts = ["".join(rng.choice(list("abcdefghij klmnop"), 400_000)), "short one", "", None, "12 34", "é" * 30]
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    got, scores = model.score(texts)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400_000  # kilobytes
+    assert got[2:5] == ["und"] * 3 and scores[2:5].tolist() == [0.0] * 3
+    for text, lang in zip(texts, got, strict=True):
+        if lang != "und":
+            sums = sum(np.bincount(langid.ngram_cells(b, k == 0), minlength=langid.BUCKETS) @ table.astype(float) for k, b in enumerate(langid.code_points(text)))
+            assert langs[int(sums.argmax())] == lang
+
+
 def test_rules_and_propagated_verdicts(spark):
     link = '<a href="http://{}/x">'
     rows = [
