@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import STEM_WEIGHT, STOP_WORDS, lower, stem
+from . import nearest
+from .durable import cut
 
-#: Queries of a dense search that are broadcast at once (tens of MB of vectors).
-QUERIES_AT_ONCE = 50_000
+#: Postings of a block, postings of a shard of a very frequent term, and more than rounding can change a score.
+BLOCK, SHARD, ROUNDING = 256, 100_000, 2e-6
 # Fixed value: what a token is.
 TOKEN = "[0-9]+(?:[.,/][0-9]+)*|[a-zçğıöşüâîû]+"
 
@@ -22,12 +22,10 @@ def tokens(text: Column) -> Column:
 
 
 def postings(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, term, tf: every token weighs 1; a long one's stem, marked by ~, weighs less besides."""
-    whole = F.explode(tokens(F.col(text)))
-    counts = df.select(key, whole.alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
-    stems = counts.where(stem(F.col("term")).isNotNull()).select(key, F.concat(F.lit("~"), stem(F.col("term"))).alias("term"), (STEM_WEIGHT * F.col("n")).alias("n"))
-    both = counts.select(key, "term", F.col("n").cast("double").alias("n")).unionByName(stems)
-    return both.groupBy(key, "term").agg(F.round(F.sum("n"), 6).alias("tf"))
+    """key, term, tf: every token weighs 1; a long one's stem, marked by ~, weighs less besides. All weights of a text are summed where it is read."""
+    weights = F.transform(tokens(F.col(text)), lambda t: F.array(F.struct(t.alias("term"), F.lit(1.0).alias("w")), F.struct(F.concat(F.lit("~"), stem(t)).alias("term"), F.lit(STEM_WEIGHT).alias("w"))))
+    said = df.select(key, F.explode(F.flatten(weights)).alias("_t")).select(key, "_t.term", "_t.w").where("term IS NOT NULL")
+    return said.groupBy(key, "term").agg(F.round(F.sum("w"), 6).alias("tf"))
 
 
 def overlap(query: Column, found: Column) -> Column:
@@ -44,27 +42,13 @@ def sufficient(query: Column, found: Column, few: int = 2, least: float = 0.6) -
     return F.when(F.size(tokens(query)) <= few, share > 0).otherwise(share >= least)
 
 
-def dense_search(queries: DataFrame, vectors: DataFrame, query: str, doc: str, k: int, vector: str = "embedding") -> DataFrame:
+def dense_search(queries: DataFrame, vectors: DataFrame, query: str, doc: str, k: int, vector: str = "embedding", payload: Column | None = None) -> DataFrame:
     """query, doc, score, position: the k nearest by cosine, exactly; null and zero vectors meet nothing.
 
-    The stated set of queries is broadcast in blocks of at most about QUERIES_AT_ONCE. Of each the k best of a task travel.
+    Vectors whose payload doesn't fit are left out before anything is compared. See operators.nearest for how few comparisons do.
     """
-    unit = lambda c: F.transform(c, lambda x: x / F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, y: a + y * y)))
-    asked = queries.select(F.col(query), unit(F.col(vector).cast("array<double>")).alias("_q"))
-    held = vectors.select(F.col(doc), unit(F.col(vector).cast("array<double>")).alias("_d"))
-    dot = F.aggregate(F.zip_with("_q", "_d", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    blocks = queries.count() // QUERIES_AT_ONCE + 1
-    found = []
-    for b in range(blocks):
-        block = asked.where(F.pmod(F.xxhash64(query), F.lit(blocks)) == b)
-        scores = held.join(F.broadcast(block)).select(query, doc, F.round(dot, 9).alias("score")).where("score IS NOT NULL")
-        found.append(_best_of_parts(scores.withColumn("_part", F.spark_partition_id()), query, doc, k))
-    return top(reduce(DataFrame.unionByName, found), query, doc, k)
-
-
-def _best_of_parts(scores: DataFrame, query: str, doc: str, k: int) -> DataFrame:
-    w = Window.partitionBy(query, "_part").orderBy(F.desc("score"), doc)
-    return scores.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n", "_part")
+    held = vectors if payload is None else vectors.where(payload)
+    return top(nearest.search(queries, held, query, doc, k, vector), query, doc, k)
 
 
 def recall_at(found: DataFrame, expected: DataFrame, query: str, doc: str, category: str, ks: tuple[int, ...]) -> DataFrame:
@@ -78,19 +62,61 @@ def recall_at(found: DataFrame, expected: DataFrame, query: str, doc: str, categ
     return asked.rollup(category).agg(F.count(F.lit(1)).alias("n"), *shares)
 
 
-def sparse_search(queries: DataFrame, docs: DataFrame, query: str, doc: str, n_docs: DataFrame, k: int) -> DataFrame:
-    """query, doc, score, position: sum of tf * tf * idf over shared terms, the k best of each query.
+def posting_blocks(held: DataFrame, doc: str, size: int = BLOCK) -> DataFrame:
+    """term, top (the block's largest tf), first (whether the block holds the term's largest), n, held (structs of doc and tf): an index of postings by impact.
 
-    queries and docs are postings; n_docs has the number of documents in n. idf = ln(1 + (N - n + 0.5) / (n + 0.5)).
+    A term's postings are ordered by tf and cut into blocks, the largest first; those of very frequent terms are dealt to shards that are
+    ordered each by itself. Terms with over a 4096th of all postings are fewer than 4096, and their list is broadcast.
     """
-    wanted = queries.select("term").distinct()
-    held = docs.join(wanted, "term", "left_semi")  # of the documents' postings only those asked for travel on
-    idf = held.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n_docs)).select(
-        "term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")
+    counts = held.groupBy("term").agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    often = counts.where(F.col("_n") > max(SHARD, total // 4096)).select("term", F.ceil(F.col("_n") / SHARD).alias("_shards"))
+    rows = held.join(F.broadcast(often), "term", "left").withColumn("_shard", F.pmod(F.xxhash64(doc), F.coalesce("_shards", F.lit(1))))
+    place = F.row_number().over(Window.partitionBy("term", "_shard").orderBy(F.desc("tf"), doc)) - 1
+    groups = rows.withColumn("_block", F.floor(place / size)).groupBy("term", "_shard", "_block")
+    return groups.agg(F.max("tf").alias("top"), F.count(F.lit(1)).alias("n"), F.collect_list(F.struct(F.col(doc), "tf")).alias("held")).select(
+        "term", "top", (F.col("_block") == 0).alias("first"), "n", "held"
     )
-    asked = queries.join(idf, "term").select(query, "term", (F.col("tf") * F.col("idf")).alias("weight"))
-    scores = asked.join(held, "term").groupBy(query, doc).agg(F.round(F.sum(F.col("weight") * F.col("tf")), 6).alias("score"))
-    return top(scores, query, doc, k)
+
+
+def _weighed(queries: DataFrame, blocks: DataFrame, query: str, n_docs: DataFrame) -> DataFrame:
+    """query, term, weight, most (the most that the term can add to a score), others (the most that all other terms of the query can)."""
+    terms = blocks.groupBy("term").agg(F.sum("n").alias("df"), F.max("top").alias("top")).crossJoin(F.broadcast(n_docs))
+    idf = terms.select("term", "top", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    asked = queries.join(idf, "term").select(query, "term", (F.col("tf") * F.col("idf")).alias("weight"), "top").withColumn("most", F.col("weight") * F.col("top"))
+    return asked.select(query, "term", "weight", "most", (F.sum("most").over(Window.partitionBy(query)) - F.col("most")).alias("others"))
+
+
+def _scored(pairs: DataFrame, query: str, doc: str) -> DataFrame:
+    """query, doc, score from pairs (query, weight, held, least) over those postings whose tf is at least least."""
+    each = pairs.select(query, "weight", "least", F.explode("held").alias("_h")).where(F.col("_h.tf") >= F.col("least"))
+    return each.groupBy(query, F.col(f"_h.{doc}").alias(doc)).agg(F.round(F.sum(F.col("weight") * F.col("_h.tf")), 6).alias("score"))
+
+
+def pruned_pairs(queries: DataFrame, blocks: DataFrame, query: str, doc: str, n_docs: DataFrame, k: int) -> DataFrame:
+    """query, term, weight, least, n, held: the blocks that can hold a posting of one of the query's k best documents.
+
+    The first blocks of a query's terms give scores that are no higher than the whole ones, so their k-th is a bound that the k best reach.
+    A posting whose own part and the most of all other terms together stay below it belongs to none of them, nor does its block if that holds
+    for the block's largest. A document of the k best so keeps all its postings, and others only lose: the result is exact.
+    """
+    asked = _weighed(queries, blocks, query, n_docs)
+    start = asked.join(blocks.where("first"), "term").select(query, "weight", F.lit(0.0).alias("least"), "held")
+    bound = top(_scored(start, query, doc), query, doc, k).where(F.col("position") == k).select(query, (F.col("score") - ROUNDING).alias("bound"))
+    least = F.coalesce((F.col("bound") - F.col("others")) / F.col("weight"), F.lit(0.0))
+    wanted = asked.join(bound, query, "left").select(query, "term", "weight", least.alias("least"))
+    return wanted.join(blocks, "term").where(F.col("top") >= F.col("least")).select(query, "term", "weight", "least", "n", "held")
+
+
+def sparse_search(queries: DataFrame, docs: DataFrame, query: str, doc: str, n_docs: DataFrame, k: int) -> DataFrame:
+    """query, doc, score, position: sum of tf * tf * idf over shared terms, the k best of each query, exactly.
+
+    queries and docs are postings; n_docs has the number of documents in n. idf = ln(1 + (N - n + 0.5) / (n + 0.5)). Only postings of terms
+    asked for travel, in blocks by impact, and blocks that can't reach a query's k-th score are left out before they are opened.
+    """
+    held = docs.join(queries.select("term").distinct(), "term", "left_semi")
+    blocks = cut(posting_blocks(held, doc))
+    return top(_scored(pruned_pairs(queries, blocks, query, doc, n_docs, k), query, doc), query, doc, k)
 
 
 def top(scores: DataFrame, query: str, doc: str, k: int) -> DataFrame:
