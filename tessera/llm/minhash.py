@@ -27,6 +27,7 @@ count; an empty table gives no rows; extra columns are ignored; long texts are h
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, hot_keys, join_facts
 from .components import components
 
 SHINGLE = 5
@@ -48,6 +49,7 @@ SMALL = 16
 #: Members of a bucket that are compared with others as one block.
 CHUNK = 512
 BLOCK = 1 << 22
+_SPACE = re.compile(rb"[\x20\x09-\x0d]")
 #: Ids whose texts are looked up by a broadcast; beyond, by a shuffled join.
 BROADCAST_IDS = 1_000_000
 _BLOCK = ["key", "band", "low", "high", "doc_id", "c", "chunk", "signature"]
@@ -79,27 +81,42 @@ def _word_hashes(block: bytes) -> np.ndarray:
     starts, ends = change[::2], change[1::2]
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(_constants()[0][raw] * _powers(False)[: len(raw)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * _powers(True)[starts] + (ends - starts).astype(np.uint64)
+    return _mixed((sums[ends] - sums[starts]) * _powers(True)[starts] + (ends - starts).astype(np.uint64))
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
     h ^= h >> np.uint64(31)
     h *= np.uint64(0x9E3779B97F4A7C15)
     return h ^ (h >> np.uint64(29))
 
 
-def _blocks(data: bytes) -> Iterator[bytes]:
+def _long_word_hash(data: bytes, start: int, end: int) -> np.ndarray:
+    """The same hash of one word of any length, summed up in blocks."""
+    base, total = int(_constants()[4]), 0
+    for at in range(start, end, BLOCK):
+        raw = np.frombuffer(data, np.uint8, min(BLOCK, end - at), at)
+        total += int((_constants()[0][raw] * _powers(False)[: len(raw)]).sum(dtype=np.uint64)) * pow(base, at - start, 1 << 64)
+    return _mixed(np.array([(total + end - start) % (1 << 64)], np.uint64))
+
+
+def _all_hashes(data: bytes) -> Iterator[np.ndarray]:
+    """The hashes of a text's words, in blocks that end between words; a word longer than a block is a block of its own."""
     start = 0
     while len(data) - start > BLOCK:
-        end = start + BLOCK
-        while end > start and data[end - 1] not in b" \t\n\x0b\f\r":
-            end -= 1
-        end = end if end > start else start + BLOCK
-        yield data[start:end]
+        end = max(data.rfind(c, start, start + BLOCK) for c in (b" ", b"\t", b"\n", b"\x0b", b"\f", b"\r")) + 1
+        if end > start:
+            yield _word_hashes(data[start:end])
+        else:
+            found = _SPACE.search(data, start + BLOCK)
+            end = found.start() if found else len(data)
+            yield _long_word_hash(data, start, end)
         start = end
-    yield data[start:]
+    yield _word_hashes(data[start:])
 
 
 def shingle_set(text: str | None) -> np.ndarray:
     """The sorted distinct shingle hashes of a text."""
-    words = np.concatenate([_word_hashes(b) for b in _blocks((text or "").encode("utf-8", "replace").lower())])
+    words = np.concatenate(list(_all_hashes((text or "").encode("utf-8", "replace").lower())))
     place = _constants()[1]
     n = len(words)
     if n == 0:
@@ -159,10 +176,15 @@ def _verified(pairs: DataFrame, signatures: DataFrame, texts: DataFrame) -> Data
     """The pairs (a, b) that stand both tests, as links (u, v)."""
     with_a = signatures.select(F.col("doc_id").alias("a"), F.col("signature").alias("sig_a"))
     with_b = signatures.select(F.col("doc_id").alias("b"), F.col("signature").alias("sig_b"))
-    alike = pairs.join(with_a, "a").join(with_b, "b").select("a", "b", "sig_a", "sig_b").mapInPandas(_alike, "a long, b long").distinct()
+    alike = pairs.join(with_a, "a").join(with_b, "b").select("a", "b", "sig_a", "sig_b").mapInPandas(_alike, "a long, b long")
+    alike = cut(alike.distinct())
+    # a hub's text goes to as many tasks as its partners are dealt to
+    n = alike.count()
+    hot = {c: hot_keys(alike.groupBy(c).agg(F.count(F.lit(1)).alias("n")), "n", n).select(c) for c in ("a", "b")}
     text_a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     text_b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    full = alike.join(text_b, "b").join(text_a, "a").select("a", "b", "text_a", "text_b")
+    with_text = join_facts(alike, text_b, ["b"], hot["b"], ["a"])
+    full = join_facts(with_text, text_a, ["a"], hot["a"], ["b"]).select("a", "b", "text_a", "text_b")
     return full.mapInPandas(_linked, "a long, b long").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
 
 
@@ -241,8 +263,9 @@ def _representative_links(documents: DataFrame, sketches: DataFrame) -> DataFram
     signatures = cut(sketches.select("doc_id", "signature").distinct())
     band_key = F.xxhash64("band", F.expr(f"substring(signature, {4 * ROWS} * band + 1, {4 * ROWS})"))
     keys = signatures.withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))).select(band_key.alias("key"), "doc_id", "band")
-    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    buckets = cut(keys.join(sizes, "key"))
+    sizes = cut(keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+    hot = cut(hot_keys(sizes, "size", BANDS * signatures.count()).select("key"))
+    buckets = cut(join_facts(keys, sizes, ["key"], hot, ["doc_id"]))
     weights = buckets.groupBy("doc_id").agg(F.sum("size").alias("weight"))
     ids = cut(weights.select("doc_id"))
     near = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
@@ -250,7 +273,7 @@ def _representative_links(documents: DataFrame, sketches: DataFrame) -> DataFram
     signatures = cut(signatures.join(near, "doc_id", "left_semi"))
 
     hubs = buckets.join(weights, "doc_id").groupBy("key").agg(F.max_by("doc_id", F.struct("weight", -F.col("doc_id"))).alias("hub"))
-    first = buckets.join(hubs, "key").where("doc_id != hub").select(*_pairs("doc_id", "hub")).distinct()
+    first = join_facts(buckets, hubs, ["key"], hot, ["doc_id"]).where("doc_id != hub").select(*_pairs("doc_id", "hub")).distinct()
     tested = cut(first)
     links = cut(_verified(tested, signatures, texts))
     for step in ("hubs", "rest"):
@@ -258,7 +281,7 @@ def _representative_links(documents: DataFrame, sketches: DataFrame) -> DataFram
         state = buckets.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         state = state.select("key", "band", "size", "doc_id", F.coalesce("component", "doc_id").alias("c"))
         spread = state.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-        state = cut(state.join(spread, "key"))
+        state = cut(join_facts(state, spread, ["key"], hot, ["doc_id"]))
         pairs = _by_hubs(state) if step == "hubs" else _in_small_buckets(state)
         more = cut(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
         tested = tested.unionByName(more)

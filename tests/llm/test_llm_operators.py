@@ -219,6 +219,28 @@ def test_poisson_copies_follow_their_mean(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_words_longer_than_a_block(monkeypatch):
+    texts = ["x y z w " + "a" * 50, "a" * 100, "b " * 40 + "c" * 33 + " d e f g", "q" * 17 + " " + "r" * 16 + "  s" * 20, " " * 50 + "t", "u" * 16 + "\t" + "v" * 16]
+    whole = [minhash.shingle_set(x).tolist() for x in texts]
+    minhash._powers.cache_clear()
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    assert [minhash.shingle_set(x).tolist() for x in texts] == whole and len(whole[0]) == len(whole[1]) == 1
+    minhash._powers.cache_clear()
+
+
+def test_hot_hubs_and_buckets(spark, monkeypatch):
+    """Joins of hot keys by salts give what plain ones do."""
+    rng = random.Random(8)
+    base = [prose(rng, 60) for _ in range(3)]
+    texts = [b for b in base for _ in range(2)] + [" ".join([*base[i % 3].split(" ")[: 59 - i % 5], f"n{i}"]) for i in range(60)]
+    docs = documents(spark, texts)
+    want = sorted(map(tuple, minhash.near_copies(docs).select("doc_id", "n_shingles", "component_id").collect()))
+    monkeypatch.setattr(minhash, "hot_keys", lambda counts, n, rows: common.hot_keys(counts, n, rows, least=2))
+    monkeypatch.setattr(common, "HOT", 1000)
+    monkeypatch.setattr(common, "PARTS", 3)
+    assert sorted(map(tuple, minhash.near_copies(docs).select("doc_id", "n_shingles", "component_id").collect())) == want
+
+
 def test_a_rare_source_of_very_many_copies(spark, monkeypatch):
     docs = spark.range(40_001).select(F.when(F.col("id") < 40_000, F.col("id")).alias("doc_id"), F.lit("").alias("text"), F.when(F.col("id") == 40_000, "rare").otherwise("plain").alias("source"))
     monkeypatch.setattr(mixing, "PIECE", 1000)
