@@ -28,6 +28,17 @@ def postings(df: DataFrame, key: str, text: str) -> DataFrame:
     return said.groupBy(key, "term").agg(F.round(F.sum("w"), 6).alias("tf"))
 
 
+def hashed_vectors(held: DataFrame, key: str, size: int = 16) -> DataFrame:
+    """key, embedding: texts as vectors of their terms' hashed numbers (size up to 32), for want of a model; like terms give like vectors.
+
+    Each component is summed over a text's postings; no vector is made of more than one text's.
+    """
+    digits = F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: F.conv(F.substr(F.md5(F.col("term").cast("binary")), i, F.lit(1)), 16, 10).cast("double") - 7.5)
+    parts = held.select(key, "tf", digits.alias("_c"))
+    sums = [F.sum(F.col("tf") * F.col("_c")[i]) for i in range(size)]
+    return parts.groupBy(key).agg(F.array(*sums).alias("embedding"))
+
+
 def overlap(query: Column, found: Column) -> Column:
     """The share of a question's tokens that texts found hold, as they are or by their stem; null without tokens."""
     asked, there = tokens(query), tokens(found)

@@ -13,10 +13,11 @@ from ..operators import accuracy, history, offers, retrieval, selection
 from ..operators.ranking import rank_nulls_last
 from ..sources import raw
 from . import surface, texts  # noqa: F401 (they register queries)
-from .registry import QUERIES, SQL
+from .registry import QUERIES, SQL, postings_sql
 from .registry import add as _query
 from .registry import table as _table
 
+
 @_query("""
     SELECT p_partkey, p_brand, nullif(p_size % 7, 0) AS rate, nullif(p_size % 5, 0) AS term,
       CAST(row_number() OVER (PARTITION BY p_brand ORDER BY nullif(p_size % 7, 0) ASC NULLS LAST, p_partkey) AS INT) AS position,
@@ -133,23 +134,12 @@ def url_last_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", F.regexp_extract(F.regexp_replace(F.regexp_replace("url", "[?#].*$", ""), "/+$", ""), "([^/]*)$", 1).alias("last_part"))
 
 
-_STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
-
-
-def _postings_sql(table: str, key: str, name: str) -> str:
-    """Table expressions that end in name: key, term, tf."""
-    return f"""{name}t AS (SELECT {key}, unnest(regexp_extract_all(lower(text), '{retrieval.TOKEN}')) AS term FROM {table}),
-    {name}n AS (SELECT {key}, term, count(*) AS n FROM {name}t WHERE term NOT IN ({_STOP}) GROUP BY 1, 2),
-    {name} AS (SELECT {key}, term, round(sum(n), 6) AS tf FROM (SELECT {key}, term, n::DOUBLE AS n FROM {name}n
-      UNION ALL SELECT {key}, '~' || left(term, {T.STEM_LETTERS}), {T.STEM_WEIGHT}::DOUBLE * n FROM {name}n WHERE length(term) >= {T.STEM_FROM}) GROUP BY 1, 2)"""
-
-
-@_query(f"WITH {_postings_sql('documents', 'doc_id', 'd')} SELECT doc_id, term, tf FROM d")
+@_query(f"WITH {postings_sql('documents', 'doc_id', 'd')} SELECT doc_id, term, tf FROM d")
 def term_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.postings(_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-_SPARSE = f"""{_postings_sql('documents', 'doc_id', 'd')}, {_postings_sql('benchmark', 'item_id', 'q')},
+_SPARSE = f"""{postings_sql('documents', 'doc_id', 'd')}, {postings_sql('benchmark', 'item_id', 'q')},
     i AS (SELECT term, ln(1 + ((SELECT count(*) FROM documents) - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf FROM d GROUP BY 1),
     s AS (SELECT item_id, doc_id, round(sum(q.tf * idf * d.tf), 6) AS score FROM q JOIN i USING (term) JOIN d USING (term) GROUP BY 1, 2)"""
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import numerals
 from ..functions.text import FOLD_FROM, FOLD_TO
-from ..operators import verification
-from .registry import add, table
+from ..operators import retrieval, verification
+from .registry import add, postings_sql, table
 
 _W = r"\p{L}\p{N}_.,․"
 #: Numbers of documents as a common table expression: runs of letters, digits and signs with their places; a number alone is a run of its own.
@@ -55,3 +55,47 @@ def document_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     for field, e in (("list", "1 + doc_id % 3"), ("other", "doc_id % 1000"), ("version", "2 + doc_id % 2 * 0.04D")):
         claims = claims.unionByName(part(field, e))
     return verification.verify(claims, numerals.occurrences(docs, "doc_id", "text"), "doc_id", "field", "claimed", _CLAIM_WORDS, ("list",))
+
+
+_WANTED = "label % 3 = 1"
+
+
+@add(f"""
+    WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+    s AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(q.v, e.v), 9) AS score FROM e q, e WHERE q.vec_id % 50 = 0 AND e.{_WANTED})
+    SELECT query_id, vec_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS position FROM s QUALIFY position <= 5""")
+def filtered_dense_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest among vectors with a payload that fits, which are picked before anything is compared."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    asked = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    found = retrieval.dense_search(asked, vectors, "query_id", "vec_id", 5, payload=F.expr(_WANTED))
+    return found.withColumn("score", F.round("score", 6))
+
+
+_DIGITS = "list_transform(range(1, 17), lambda i: (('0x' || substr(md5(term), i, 1))::INT - 7.5)::DOUBLE)"
+
+
+def _hashed_sql(name: str, key: str) -> str:
+    return f"""(SELECT {key}, list(x ORDER BY i) AS v FROM (SELECT {key}, i, sum(tf * c) AS x FROM (
+        SELECT {key}, tf, unnest(range(16)) AS i, unnest({_DIGITS}) AS c FROM {name}) GROUP BY 1, 2) GROUP BY 1)"""
+
+
+def _ranked_sql(scores: str, name: str, k: int) -> str:
+    return f"SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS {name} FROM {scores} QUALIFY {name} <= {k}"
+
+
+@add(f"""
+    WITH {postings_sql('documents', 'doc_id', 'd')}, {postings_sql('benchmark', 'item_id', 'q')},
+    i AS (SELECT term, ln(1 + ((SELECT count(*) FROM documents) - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf FROM d GROUP BY 1),
+    s AS (SELECT item_id, doc_id, round(sum(q.tf * idf * d.tf), 6) AS score FROM q JOIN i USING (term) JOIN d USING (term) GROUP BY 1, 2),
+    n AS (SELECT a.item_id, b.doc_id, round(list_cosine_similarity(a.v, b.v), 9) AS score FROM {_hashed_sql('q', 'item_id')} a, {_hashed_sql('d', 'doc_id')} b),
+    x AS ({_ranked_sql('s', 'a', 20)}), y AS ({_ranked_sql('n', 'b', 20)}),
+    f AS (SELECT item_id, doc_id, round(coalesce(1 / (60 + a)::DOUBLE, 0) + coalesce(1 / (60 + b)::DOUBLE, 0), 8) AS score FROM x FULL JOIN y USING (item_id, doc_id))
+    SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS position FROM f QUALIFY position <= 5""")
+def hybrid_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents for every item of the benchmark: a sparse and a dense list of twenty, fused; vectors are hashed terms, for want of a model."""
+    docs = table(spark, sf_dir, "documents")
+    held, asked = (retrieval.postings(df, key, "text") for df, key in ((docs, "doc_id"), (table(spark, sf_dir, "benchmark"), "item_id")))
+    sparse = retrieval.sparse_search(asked, held, "item_id", "doc_id", docs.agg(F.count(F.lit(1)).alias("n")), 20)
+    dense = retrieval.dense_search(retrieval.hashed_vectors(asked, "item_id"), retrieval.hashed_vectors(held, "doc_id"), "item_id", "doc_id", 20)
+    return retrieval.fuse(sparse, dense, "item_id", "doc_id", 5)
