@@ -174,3 +174,117 @@ def parse(html: str | None) -> Node:
     cut = re.search(r"<[A-Za-z/!?]", rest)
     say(rest[: cut.start()] if cut else rest)
     return root
+
+
+#: Columns that one cell may span, as browsers have it.
+MOST_COLUMNS = 1000
+_SILENT = frozenset(("script", "style", "noscript", "template"))
+
+
+def _cell_text(cell: Node) -> str:
+    """A cell's own text; what stands in a table inside it belongs to that table."""
+    return cell.text(lambda x: x.tag != "table" and x.tag not in _SILENT)
+
+
+def _span(cell: Node, name: str) -> int:
+    written = cell.attributes().get(name, "").strip() if cell.written else ""
+    return (int(written) if len(written) < 9 else 10**9) if written.isascii() and written.isdigit() else 1
+
+
+def _rows(table: Node) -> list[tuple[bool, list[Node]]]:
+    """Cells of each row of a table, and whether the row stands in its head; rows of tables inside are theirs."""
+    out: list[tuple[bool, list[Node]]] = []
+    stack = [(x, False) for x in reversed(table.parts) if isinstance(x, Node)]
+    while stack:
+        node, head = stack.pop()
+        if node.tag == "tr":
+            out.append((head, [x for x in node.parts if isinstance(x, Node) and x.tag in ("td", "th")]))
+        elif node.tag != "table":
+            stack.extend((x, head or node.tag == "thead") for x in reversed(node.parts) if isinstance(x, Node))
+    return out
+
+
+def _grid(table: Node) -> tuple[list[list[str]], int]:
+    """Texts by row and column, with a cell's text wherever it spans, and how many rows at the start are headers."""
+    rows = _rows(table)
+    grid: list[list[str]] = []
+    open_cells: dict[int, tuple[str, int]] = {}  # by column: text, rows that it still spans
+    headers, body = 0, False
+    for i, (head, cells) in enumerate(rows):
+        line: list[str] = []
+
+        def carried(line: list[str] = line) -> None:
+            while len(line) in open_cells:
+                text, left = open_cells.pop(len(line))
+                if left > 1:
+                    open_cells[len(line)] = (text, left - 1)
+                line.append(text)
+
+        below: dict[int, tuple[str, int]] = {}
+        for cell in cells:
+            carried()
+            text, down = _cell_text(cell), _span(cell, "rowspan") or len(rows) - i
+            for _ in range(max(1, min(_span(cell, "colspan"), MOST_COLUMNS))):
+                if min(down, len(rows) - i) > 1:
+                    below[len(line)] = (text, min(down, len(rows) - i) - 1)
+                line.append(text)
+        carried()
+        for column in sorted(open_cells):  # cells from above beyond the row's own
+            text, left = open_cells.pop(column)
+            line += [""] * (column - len(line)) + [text]
+            if left > 1:
+                below[column] = (text, left - 1)
+        open_cells.update(below)
+        heads = head or bool(cells) and all(c.tag == "th" for c in cells)
+        body = body or not heads
+        headers += not body
+        grid.append(line)
+    return grid, headers
+
+
+def tables(root: Node) -> list[dict]:
+    """index, header, rows of each table of a page in page order, those inside others too.
+
+    Rows without any text go. The rows of a table's head, or rows of th cells at its start, are the header: a column's distinct texts from top to
+    bottom. Without any, or where all of them are digits, the first other row is. Rows are as long as the header.
+    """
+    out = []
+    for part, entering in root.walk():
+        if not entering or not isinstance(part, Node) or part.tag != "table":
+            continue
+        grid, n = _grid(part)
+        width = max(map(len, grid), default=0)
+        grid = [r + [""] * (width - len(r)) for r in grid]
+        header = [" ".join(dict.fromkeys(x for x in column if x)) for column in zip(*grid[:n], strict=True)] if n else []
+        rows = [r for r in grid[n:] if any(r)]
+        if rows and all(not h or h.isdigit() for h in header):
+            header, rows = rows[0], rows[1:]
+        out.append({"index": len(out), "header": header, "rows": rows})
+    return out
+
+
+def sections(root: Node, levels: tuple[str, ...] = ("h1", "h2", "h3", "h4", "h5")) -> list[dict]:
+    """title and body of each heading of a page: the text that follows it up to the next, wherever in the tree that stands."""
+    out: list[dict] = []
+    said: list[str] = []
+    title: Node | None = None
+    silent: Node | None = None
+    for part, entering in root.walk():
+        if silent is not None:
+            silent = None if part is silent and not entering else silent
+        elif isinstance(part, str):
+            said.append(part)
+        elif part.tag in _SILENT:
+            silent = part if entering else None
+        elif part.tag in levels and title is None and entering:
+            if out:
+                out[-1]["body"] = " ".join("".join(said).split())
+            said, title = [], part
+        elif part is title:
+            out.append({"title": " ".join("".join(said).split()), "body": ""})
+            said, title = [], None
+        elif part.tag in BLOCK or part.tag == "br":
+            said.append(" ")
+    if out:
+        out[-1]["body"] = " ".join("".join(said).split())
+    return out

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import numerals
 from ..functions.text import FOLD_FROM, FOLD_TO
 from ..operators import retrieval, verification
+from ..sources import tables
 from .registry import add, postings_sql, table
 
 _W = r"\p{L}\p{N}_.,․"
@@ -99,3 +100,15 @@ def hybrid_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     sparse = retrieval.sparse_search(asked, held, "item_id", "doc_id", docs.agg(F.count(F.lit(1)).alias("n")), 20)
     dense = retrieval.dense_search(retrieval.hashed_vectors(asked, "item_id"), retrieval.hashed_vectors(held, "doc_id"), "item_id", "doc_id", 20)
     return retrieval.fuse(sparse, dense, "item_id", "doc_id", 5)
+
+
+@add(r"""
+    WITH p AS (SELECT page_id, url, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) AS t, regexp_extract(html, '(?s)</h1>(.*)$', 1) AS b FROM pages WHERE contains(html, '</h1>')),
+    d AS (SELECT page_id, url, regexp_replace(t, '<[^>]*>', '', 'g') AS t, regexp_replace(regexp_replace(b, '</?b>', '', 'g'), '<[^>]*>', ' ', 'g') AS b FROM p),
+    u AS (SELECT page_id, url, [trim(regexp_replace(replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) FOR x IN [t, b]] AS x FROM d)
+    SELECT page_id, x[1] AS title, length(x[2]) AS n_chars, md5(x[2]) AS body_md5 FROM u""")
+def page_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's headings with the text up to the next, by the page's tree."""
+    pages = table(spark, sf_dir, "pages")
+    parts = tables.sections(pages, "page_id", "url", "html")
+    return parts.select("page_id", "title", F.length("body").cast("long").alias("n_chars"), F.md5(F.col("body").cast("binary")).alias("body_md5"))

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from ..functions import html as markup
 from ..functions.text import fold, lower, slug, tidy
 
 PERMIT = "source string, approved date, expires date, approver string, document string"
@@ -43,17 +46,27 @@ def plain_html(c: Column) -> Column:
     return tidy(F.translate(F.regexp_replace(c, "<[^>]*>", " "), "\n\t\r", "   "))
 
 
-def html_tables(html: Column) -> Column:
-    """array<struct<index, header, rows>> of a page's tables; rows without text go, and the first row is the header unless th cells are."""
-    cells = lambda row: F.transform(F.regexp_extract_all(row, F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), F.lit(1)), plain_html)
+_TABLES = ArrayType(StructType([StructField("index", IntegerType()), StructField("header", ArrayType(StringType())), StructField("rows", ArrayType(ArrayType(StringType())))]))
+_SECTIONS = ArrayType(StructType([StructField("title", StringType()), StructField("body", StringType())]))
+
+
+@F.pandas_udf(_TABLES)
+def _tables_of(html: pd.Series) -> pd.Series:
+    return html.map(lambda x: markup.tables(markup.parse(x)))
 
-    def one(table: Column, index: Column) -> Column:
-        rows = F.transform(F.regexp_extract_all(table, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1)), cells)
-        full = F.filter(rows, lambda r: F.array_join(r, "") != "")
-        clean = F.transform(F.try_element_at(full, F.lit(1)), lambda x: F.trim(F.translate(x, "​﻿ ", "")))
-        return F.struct(index.cast("int").alias("index"), clean.alias("header"), F.slice(full, 2, F.greatest(F.size(full), F.lit(1))).alias("rows"))
 
-    return F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<table[^>]*>(.*?)</table>"), F.lit(1)), one)
+@F.pandas_udf(_SECTIONS)
+def _sections_of(html: pd.Series) -> pd.Series:
+    return html.map(lambda x: markup.sections(markup.parse(x)))
+
+
+def html_tables(html: Column) -> Column:
+    """array<struct<index, header, rows>> of a page's tables by its tree of elements: tables in tables, spans and open tags count.
+
+    Rows without text go; the first row is the header unless th cells or a head are. Invisible characters leave headers.
+    """
+    clean = lambda x: F.trim(F.translate(x, "\u200b\ufeff\u00a0", ""))
+    return F.transform(_tables_of(html), lambda t: F.struct(t["index"], F.transform(t["header"], clean).alias("header"), t["rows"]))
 
 
 def rate_tables(tables: Column) -> Column:
@@ -64,12 +77,15 @@ def rate_tables(tables: Column) -> Column:
 
 
 def sections(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
-    """key, section_url (url#slug), title, body: a page's headings, each a record of its own with the text up to the next."""
-    parts = F.filter(F.split(html, r"(?i)(?=<h[1-5][ >])"), lambda x: x.rlike("(?i)^<h[1-5]"))
-    rows = pages.select(key, url, F.explode(parts).alias("_p"))
-    title = plain_html(F.regexp_extract("_p", r"(?is)^<h[1-5][^>]*>(.*?)</h[1-5]>", 1))
-    body = plain_html(F.regexp_replace("_p", r"(?is)^<h[1-5][^>]*>.*?</h[1-5]>", ""))
-    return rows.select(key, F.concat(F.col(url), F.lit("#"), slug(title, "bolum")).alias("section_url"), title.alias("title"), body.alias("body"))
+    """key, section_url (url#slug), title, body: a page's headings, each a record of its own with the text up to the next, however deep either stands."""
+    rows = pages.select(key, url, F.explode(_sections_of(F.col(html))).alias("_p"))
+    title = F.col("_p.title")
+    return rows.select(key, F.concat(F.col(url), F.lit("#"), slug(title, "bolum")).alias("section_url"), title.alias("title"), F.col("_p.body").alias("body"))
+
+
+def blank_where_tabled(df: DataFrame, tabled: str, fields: list[str]) -> DataFrame:
+    """df without the named fields' values where the column tabled (of rate_tables) has a table that gives them: a table's values stand before a sentence's."""
+    return df.withColumns({f: F.when(F.col(tabled).isNull(), F.col(f)) for f in fields})
 
 
 def links(pages: DataFrame, key: str, url: str, html: str, include: str = "", exclude: str = "(?!)") -> DataFrame:
