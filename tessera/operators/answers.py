@@ -14,12 +14,10 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import written
 from . import offers as O
-from . import questions, retrieval
+from . import phrases, questions, retrieval
 from .compare import first_qualifying
 from .durable import cut
 
-#: Banks a question can name; their names travel in the plan, so a longer list is refused.
-MOST_BANKS = 1000
 #: Axes of an offer, and whether less is better.
 AXES = {"rate": True, "term": False, "fee": True, "reward": False}
 AXIS_OF = {"en_dusuk_kar_payi": "rate", "en_uzun_vade": "term", "en_dusuk_masraf": "fee", "en_yuksek_odul": "reward"}
@@ -41,19 +39,11 @@ def _result(df: DataFrame, key: str, tool: str, ok: Column, pick: Column, value:
     return df.select(key, F.lit(tool).alias("tool"), sure.alias("ok"), *told, F.when(~sure, reason).alias("reason"), F.when(sure, held).alias("sources"))
 
 
-def banks_named(text: Column, banks: DataFrame, name: str) -> Column:
-    """The banks whose name a question holds, marks of letters aside, in the order of their names.
-
-    The names are read by the driver up to MOST_BANKS and refused beyond.
-    """
-    rows = banks.where(F.length(F.trim(name)) > 0).select(F.col(name).alias("n"), questions.plain(F.col(name)).alias("p")).distinct().orderBy("n").limit(MOST_BANKS + 1).collect()
-    if len(rows) > MOST_BANKS:
-        raise ValueError(f"more than {MOST_BANKS} banks")
-    if not rows:
-        return F.array().cast("array<string>")
-    known = F.array(*[F.struct(F.lit(r["n"]).alias("n"), F.lit(r["p"]).alias("p")) for r in rows])
-    asked = questions.plain(F.coalesce(text, F.lit("")))
-    return F.transform(F.filter(known, lambda b: F.contains(asked, b["p"])), lambda b: b["n"])
+def banks_named(asked: DataFrame, key: str, text: str, banks: DataFrame, name: str) -> DataFrame:
+    """key, bank of the banks whose name a question holds, marks of letters aside; there may be any number of banks."""
+    known = banks.where(F.length(F.trim(name)) > 0).select(F.col(name).alias("bank"), questions.plain(F.col(name)).alias("_plain")).distinct()
+    said = asked.select(key, questions.plain(F.col(text)).alias("_said"))
+    return phrases.named(said, key, "_said", known, "_plain").join(known, "_plain").select(key, "bank")
 
 
 def calculated(asked: DataFrame, key: str, text: str) -> DataFrame:
@@ -98,11 +88,15 @@ def bank_facts(offers: DataFrame) -> DataFrame:
 
 def _with_banks(asked: DataFrame, key: str, text: str, banks: DataFrame, name: str, facts: DataFrame) -> DataFrame:
     """key, text, n_banks, b: the facts of the banks named, in the order of their names."""
-    named = asked.select(F.col(key), F.col(text).alias("_text"), banks_named(F.col(text), banks, name).alias("_banks"))
+    said = asked.select(F.col(key), F.col(text).alias("_text"))
     names = [c for c in facts.columns if c != "bank"]
     known = facts.select(F.col("bank").alias("_bank"), F.struct("bank", *names).alias("_facts"))
-    met = named.withColumn("_bank", F.explode_outer("_banks")).join(known, "_bank", "left")
-    return met.groupBy(key).agg(F.first("_text").alias("_text"), F.first(F.size("_banks")).alias("n_banks"), F.sort_array(F.collect_list("_facts")).alias("b"))
+    named = banks_named(said, key, "_text", banks, name)
+    met = named.join(known, F.col("bank") == F.col("_bank"), "left").groupBy(F.col(key).alias("_named")).agg(
+        F.count(F.lit(1)).cast("int").alias("_n"), F.sort_array(F.collect_list("_facts")).alias("_b")
+    )
+    rows = said.join(met, F.col(key) == F.col("_named"), "left")
+    return rows.select(key, "_text", F.coalesce("_n", F.lit(0)).alias("n_banks"), F.coalesce("_b", F.expr("array()").cast(met.schema["_b"].dataType)).alias("b"))
 
 
 def compared(asked: DataFrame, key: str, text: str, banks: DataFrame, name: str, offers: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.extraction import plain_text
+from . import phrases
 
 # Weights of the match, least score, days after a campaign's end, and words that name no campaign.
 BANK_WEIGHT, NAME_WEIGHT, UNIT_WEIGHT = 0.45, 0.35, 0.20
@@ -24,11 +25,11 @@ def permitted(rows: DataFrame, permits: DataFrame, source: str, today: Column) -
 
 
 def theme(text: Column, themes: dict[str, list[str]]) -> Column:
-    """struct(name, confidence) of the theme with most phrases in the text, the first of equals; one hit 0.6, more 0.85; null with none."""
+    """struct(name, confidence) of the theme with most phrases in the text (inner words may have suffixes), the first of equals; one hit 0.6, more 0.85; null with none."""
     plain = plain_text(text)
     found = [
-        F.struct(reduce(lambda a, b: a + b, [plain.contains(p).cast("int") for p in phrases]).alias("hits"), F.lit(-i).alias("rank"), F.lit(name).alias("name"))
-        for i, (name, phrases) in enumerate(themes.items())
+        F.struct(reduce(lambda a, b: a + b, [phrases.holds(plain, p).cast("int") for p in said]).alias("hits"), F.lit(-i).alias("rank"), F.lit(name).alias("name"))
+        for i, (name, said) in enumerate(themes.items())
     ]
     best = F.array_max(F.array(*found))
     return F.when(best["hits"] > 0, F.struct(best["name"].alias("name"), F.when(best["hits"] > 1, 0.85).otherwise(0.6).alias("confidence")))

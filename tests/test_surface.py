@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from tessera.functions import extraction, numbers
 from tessera.functions import text as T
-from tessera.operators import compare, complaints, retrieval, verification
+from tessera.operators import compare, complaints, phrases, retrieval, verification
 from tessera.sources import tables
 from tessera.streaming import sinks
 
@@ -103,6 +103,22 @@ def test_small_text_rules(spark):
     assert one(spark, T.json_body(F.lit("hiç"), "v string")) is None
 
 
+def test_phrases_may_carry_suffixes(spark):
+    themes = {"reward": ["odul yatmadi", "puan"], "fee": ["ucret kesildi"]}
+    told = lambda text: one(spark, complaints.theme(F.lit(text), themes))
+    assert told("Ödülüm  yatmadı ki")["name"] == "reward" and told("Ödülüm YATMADI, puanım yok")["confidence"] == 0.85
+    assert told("ödül bana yatmadı") is None and told("Ücretler\nkesildiği için")["name"] == "fee" and told("") is None
+
+
+@pytest.mark.parametrize("size", [1, 4])
+def test_names_are_found_as_they_stand(spark, monkeypatch, size):
+    monkeypatch.setattr(phrases, "GRAM", size)
+    names = ["alfa bank", "beta", "x", "bank", "ab", "zeta bank"]
+    texts = [(1, "alfa bank ya da beta"), (2, "alfabank ab"), (3, None), (4, ""), (5, "zeta bank zeta bank x"), (5, "beta")]
+    rows = phrases.named(spark.createDataFrame(texts, "k long, t string"), "k", "t", spark.createDataFrame([(n,) for n in [*names, None, "", "x"]], "n string"), "n")
+    assert sorted(map(tuple, rows.collect())) == sorted({(k, n) for k, t in texts for n in names if t and n in t})
+
+
 def test_complaints_match_one_campaign_or_none(spark):
     campaigns = spark.createDataFrame([(1, "Alfa Bank", "Bahar kampanyası", "Worldpuan", None, None), (2, "Alfa Bank", "Bahar fırsatı", None, None, None), (3, "Beta", "Güz indirimi", None, None, None)],
                                       "campaign_id long, bank string, name string, unit string, start date, end date")
