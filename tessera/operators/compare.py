@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from .offers import beside_group, competitor_matrix
 from .ordered import By, with_position
 
+#: Ids that can be picked at once; they are broadcast.
+MOST_PICKED = 10_000
+
 
 def offers_of(df: DataFrame, order: str, **equals: str | None) -> DataFrame:
     """Rows whose columns equal the given values (None: any), by order."""
@@ -34,9 +37,13 @@ def criterion_sql(table: str, columns: list[str], criteria: dict[str, bool], cri
 
 
 def in_given_order(df: DataFrame, key: str, ids: list) -> DataFrame:
-    """The rows of the given ids in their order, with position; at least two must exist."""
+    """The rows of the given ids in their order, with position. At most MOST_PICKED may be given, and at least two must exist."""
+    if len(ids) > MOST_PICKED:
+        raise ValueError(f"more than {MOST_PICKED} ids")
     wanted = df.sparkSession.createDataFrame([(k, i) for i, k in enumerate(ids)], f"_id {df.schema[key].dataType.simpleString()}, position int")
     found = df.join(F.broadcast(wanted), F.col(key) == F.col("_id")).drop("_id")
+    if found.select(key).distinct().limit(2).count() < 2:
+        raise ValueError("at least two of the ids must exist")
     return found.orderBy("position")
 
 

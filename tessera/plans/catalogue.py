@@ -301,11 +301,12 @@ def keyword_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("""
     SELECT doc_id, concat_ws(',', CASE WHEN trim(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(13)) = '' THEN 'blank' END,
-      CASE WHEN length(coalesce(text, '')) < 150 THEN 'short' END, CASE WHEN contains(coalesce(text, ''), chr(65533)) OR contains(coalesce(text, ''), chr(195)) THEN 'garbled' END) AS problems,
+      CASE WHEN length(coalesce(text, '')) < 150 THEN 'short' END, CASE WHEN contains(coalesce(text, ''), chr(65533)) OR contains(coalesce(text, ''), chr(195)) THEN 'garbled' END,
+      CASE WHEN NOT regexp_matches(lower(coalesce(text, '')), 'ing|ung|ment|ción') THEN 'off_topic' END) AS problems,
       length(coalesce(text, '')) BETWEEN 150 AND 999 AS brief FROM documents""")
 def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    return _table(spark, sf_dir, "documents").select("doc_id", T.problems(text).alias("problems"), F.length(text).between(150, 999).alias("brief"))
+    return _table(spark, sf_dir, "documents").select("doc_id", T.problems(text, words=("ing", "ung", "ment", "ción")).alias("problems"), F.length(text).between(150, 999).alias("brief"))
 
 
 @_query("""

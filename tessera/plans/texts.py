@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numerals
+from ..functions import text as T
 from ..functions.text import FOLD_FROM, FOLD_TO
 from ..operators import retrieval, verification
 from ..sources import tables
@@ -112,3 +113,16 @@ def page_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     parts = tables.sections(pages, "page_id", "url", "html")
     return parts.select("page_id", "title", F.length("body").cast("long").alias("n_chars"), F.md5(F.col("body").cast("binary")).alias("body_md5"))
+
+
+@add("""
+    WITH h AS (SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS host FROM pages),
+    n AS (SELECT *, CASE WHEN regexp_matches(lower(host), '[.](com|org|net|gov|edu|co|ac)[.][a-z]{2}$') THEN array_to_string(string_split(lower(host), '.')[-3:], '.')
+      ELSE array_to_string(string_split(lower(host), '.')[-2:], '.') END AS site FROM h)
+    SELECT a.page_id, b.host AS other, a.host <> '' AND b.host <> '' AND (lower(a.host) = lower(b.host) OR ends_with(lower(b.host), '.' || a.site)) AS same_site
+    FROM n a JOIN n b ON b.page_id = a.page_id + 1""")
+def neighbouring_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each page and the next, whether the next may be followed from the first: one site, or hosts below its name."""
+    hosts = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "://([^/?#]*)", 1).alias("host"))
+    after = hosts.select((F.col("page_id") - 1).alias("page_id"), F.col("host").alias("other"))
+    return hosts.join(after, "page_id").select("page_id", "other", T.same_site(F.col("host"), F.col("other")).alias("same_site"))

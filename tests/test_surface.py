@@ -103,6 +103,25 @@ def test_small_text_rules(spark):
     assert one(spark, T.json_body(F.lit("hiç"), "v string")) is None
 
 
+def test_hosts_of_one_site(spark):
+    pairs = [
+        ("www.banka.com.tr", "cdn.banka.com.tr", True), ("www.bank-a.com.tr", "bank-b.com.tr", False), ("banka.com.tr", "banka.com.tr", True), ("a.example.com", "b.example.com", True),
+        ("a.example.com", "evilexample.com", False), ("x.com", "", False), (None, "x.com", False), ("A.X.com", "b.x.COM", True), ("www.banka.com.tr", "localhost", False),
+    ]
+    got = spark.createDataFrame(pairs, "a string, b string, ok boolean").withColumn("got", T.same_site(F.col("a"), F.col("b")))
+    assert got.where("got != ok").collect() == []
+
+
+def test_at_least_two_of_the_picked_exist(spark):
+    df = spark.range(5)
+    assert [r.id for r in compare.in_given_order(df, "id", [3, 9, 1]).collect()] == [3, 1]
+    for ids in ([3, 9], [], [3, 3]):
+        with pytest.raises(ValueError, match="two"):
+            compare.in_given_order(df, "id", ids)
+    with pytest.raises(ValueError, match="more than"):
+        compare.in_given_order(df, "id", list(range(20_000)))
+
+
 def test_phrases_may_carry_suffixes(spark):
     themes = {"reward": ["odul yatmadi", "puan"], "fee": ["ucret kesildi"]}
     told = lambda text: one(spark, complaints.theme(F.lit(text), themes))
