@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import masked, scope, titled_chunks
 from ..operators import complaints, history, retrieval
+from .state import BUCKETS, BucketState
 
 
 def insert_missing(stored: DataFrame, new: DataFrame, key: str, refresh: str, fields: list[str]) -> DataFrame:
@@ -53,6 +54,29 @@ def write_index(docs: DataFrame, path: str, key: str, text: str, title: Column)
     retrieval.postings(kept, "chunk_id", "chunk").write.mode("overwrite").parquet(f"{path}/postings")
 
 
+def update_index(spark: SparkSession, batch: int, path: str, docs: DataFrame, dropped: DataFrame, key: str, text: str, title: Column | None = None, buckets: int = BUCKETS) -> dict[str, int]:
+    """Take added and changed documents into an index, and dropped ones (their keys) out: chunks of a document, with their postings.
+
+    The index is a keyed state (see streaming.state): only buckets of documents named are rewritten, and a batch that runs again does the
+    same again. Returns how many documents came, went, and stay, how many chunks they have, and how many buckets were written.
+    """
+    state = BucketState(spark, path, key, buckets)
+    title = F.lit(None).cast("string") if title is None else title
+    made = docs.where(F.col(text).isNotNull()).select(key, F.posexplode(titled_chunks(F.col(text), title)).alias("place", "chunk"))
+    rows = made.select(key, "place", "chunk", retrieval.tokens(F.col("chunk")).alias("terms"))
+    gone = docs.select(key).unionByName(dropped.select(key)).distinct()
+    touched = state.touched(gone)
+    if not touched:
+        held = state.rows(rows.schema)
+        return {"came": 0, "went": 0, "stay": held.select(key).distinct().count(), "chunks": held.count(), "buckets": 0}
+    old = state.before(batch, touched, rows.schema)
+    went = old.select(key).distinct().join(dropped.select(key).distinct(), key, "left_semi").join(docs.select(key), key, "left_anti").count()
+    state.write(batch, old.join(gone, key, "left_anti").unionByName(rows), touched)
+    held = state.rows(rows.schema)
+    counted = held.agg(F.count_distinct(key).alias("n"), F.count(F.lit(1)).alias("c")).first()
+    return {"came": rows.select(key).distinct().count(), "went": went, "stay": counted["n"], "chunks": counted["c"], "buckets": len(touched)}
+
+
 def write_manifest(rows: DataFrame, path: str) -> None:
     """A manifest of one JSON file; for the small tables that manifests are."""
     rows.coalesce(1).write.mode("overwrite").json(path)
