@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import numerals
 from ..functions import text as T
 from ..functions.text import FOLD_FROM, FOLD_TO
-from ..operators import retrieval, verification
+from ..operators import accuracy, retrieval, verification
 from ..sources import tables
 from .registry import add, postings_sql, table
 
@@ -126,3 +126,31 @@ def neighbouring_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     hosts = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "://([^/?#]*)", 1).alias("host"))
     after = hosts.select((F.col("page_id") - 1).alias("page_id"), F.col("host").alias("other"))
     return hosts.join(after, "page_id").select("page_id", "other", T.same_site(F.col("host"), F.col("other")).alias("same_site"))
+
+
+_SPOKEN = "CASE WHEN text LIKE '%ción%' THEN 'es' WHEN text LIKE '%ung%' OR text LIKE '%keit%' THEN 'de' WHEN text LIKE '%eau%' THEN 'fr' WHEN text LIKE '%ing%' THEN 'en' END"
+
+
+@add(f"""
+    WITH j AS (SELECT lang, n_chars, quality, length(text) - CASE WHEN doc_id % 9 = 0 THEN 1 ELSE 0 END AS n, {_SPOKEN} AS spoken, CASE WHEN length(text) >= 600 THEN 1 WHEN length(text) >= 100 THEN 0 END AS good,
+        doc_id % 2 = 0 AS unstated FROM documents LEFT JOIN labels USING (doc_id)),
+    o AS (
+      SELECT 'lang' AS field, lang IS NULL AS g0, spoken IS NULL AS p0, lang = spoken AS same, false AS known FROM j
+      UNION ALL SELECT 'n_chars', n_chars IS NULL, n IS NULL, abs(n_chars - n) <= 0.01, false FROM j UNION ALL SELECT 'quality', quality IS NULL, good IS NULL, quality = good, unstated FROM j),
+    c AS (SELECT field, count(*) FILTER (NOT g0 AND NOT p0 AND same) AS correct, count(*) FILTER (NOT g0 AND NOT p0 AND NOT same) AS wrong, count(*) FILTER (NOT g0 AND p0) AS missed,
+      count(*) FILTER (g0 AND known AND NOT p0) AS invented, count(*) FILTER (g0 AND known AND p0) AS correct_empty FROM o GROUP BY 1),
+    a AS (SELECT * FROM c UNION ALL SELECT NULL, sum(correct)::BIGINT, sum(wrong)::BIGINT, sum(missed)::BIGINT, sum(invented)::BIGINT, sum(correct_empty)::BIGINT FROM c),
+    m AS (SELECT *, correct::DOUBLE / nullif(correct + wrong + invented, 0) AS p, correct::DOUBLE / nullif(correct + wrong + missed, 0) AS r FROM a),
+    f AS (SELECT *, round(100 * CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) WHEN p + r = 0 THEN 0 END, 4) AS own FROM m)
+    SELECT field, correct, wrong, missed, invented, correct_empty, round(100 * p, 4) AS precision, round(100 * r, 4) AS recall,
+      CASE WHEN field IS NULL THEN (SELECT round(avg(own), 4) FROM f WHERE field IS NOT NULL) ELSE own END AS f1 FROM f""")
+def field_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An extractor of three fields of different kinds against what tables say, with fields whose gold may be known to be empty."""
+    gold = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    gold = gold.withColumn("unstated", F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("quality"))))
+
+    def extractor(df: DataFrame) -> DataFrame:
+        n = F.length("text")
+        return df.withColumns({"n": n - F.when(F.col("doc_id") % 9 == 0, 1).otherwise(0), "spoken": F.expr(_SPOKEN), "good": F.when(n >= 600, 1).when(n >= 100, 0)})
+
+    return accuracy.evaluate(gold, extractor, {"lang": ("lang", "spoken"), "n_chars": ("n_chars", "n"), "quality": ("quality", "good")}, "unstated", digits=4)
