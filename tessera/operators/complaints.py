@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.extraction import plain_text
+from ..functions.text import masked
 from . import phrases
+from .durable import cut
 
 # Weights of the match, least score, days after a campaign's end, and words that name no campaign.
 BANK_WEIGHT, NAME_WEIGHT, UNIT_WEIGHT = 0.45, 0.35, 0.20
@@ -63,3 +65,17 @@ def match_campaigns(complaints: DataFrame, campaigns: DataFrame) -> DataFrame:
     out = complaints.select("complaint_id").join(best, "complaint_id", "left").join(ties, "complaint_id", "left")
     why = F.when(F.col("best").isNull() | (F.col("best") <= 0), "no_candidate").when(F.col("n") > 1, "tie").when(F.col("best") < LEAST_SCORE, "low_score").otherwise("matched")
     return out.select("complaint_id", F.when(why == "matched", F.col("campaign_id")).alias("campaign_id"), F.coalesce("best", F.lit(0.0)).alias("score"), why.alias("why"))
+
+
+def handled(rows: DataFrame, permits: DataFrame, campaigns: DataFrame, themes: dict[str, list[str]], today: Column) -> DataFrame:
+    """complaint_id, text, needs_person, theme, confidence, campaign_id, score, why of each complaint (complaint_id, source, text, day) whose source is permitted.
+
+    One flow: the permit comes first, so that nothing of other sources is read on; the text is masked, and theme and campaign are found in
+    what is left. The masked texts are written once, to the shared folder; what was said as it was never is. Repeated ids are complaints of one id.
+    """
+    allowed = permitted(rows, permits, "source", today)
+    clean = cut(allowed.select("complaint_id", "day", masked(F.col("text")).alias("_m")).select("complaint_id", "day", "_m.text", "_m.needs_person"))
+    met = match_campaigns(clean.select("complaint_id", "text", "day"), campaigns)
+    met = met.groupBy(F.col("complaint_id").alias("_id")).agg(F.max_by(F.struct("campaign_id", "score", "why"), F.struct("score", "campaign_id")).alias("_c"))
+    said = clean.withColumn("_t", theme(F.col("text"), themes)).join(met, F.col("complaint_id").eqNullSafe(F.col("_id")), "left")
+    return said.select("complaint_id", "text", "needs_person", F.col("_t.name").alias("theme"), F.col("_t.confidence").alias("confidence"), "_c.campaign_id", "_c.score", "_c.why")

@@ -103,6 +103,19 @@ def test_small_text_rules(spark):
     assert one(spark, T.json_body(F.lit("hiç"), "v string")) is None
 
 
+def test_complaints_in_one_flow(spark):
+    campaigns = spark.createDataFrame([(1, "Alfa Bank", "Bahar kampanyası", "Worldpuan", None, None), (2, "Beta", "Güz indirimi", None, None, None)], "campaign_id long, bank string, name string, unit string, start date, end date")
+    permits = spark.createDataFrame([("Site", "2026-01-01", None), ("Old", "2026-01-01", "2026-02-01")], "source string, approved string, expires string").selectExpr("source", "DATE(approved) approved", "DATE(expires) expires")
+    rows = spark.createDataFrame(
+        [(1, "site", "Alfa Bank bahar Worldpuan ödülüm yatmadı, a@b.com", None), (2, "old", "Beta güz", None), (3, "SITE", None, None), (4, "site", "0532 123 45 67 beni arayın", None), (5, None, "x", None)],
+        "complaint_id long, source string, text string, day date",
+    )
+    got = {r.complaint_id: r for r in complaints.handled(rows, permits, campaigns, {"reward": ["odul yatmadi"]}, F.lit("2026-06-01").cast("date")).collect()}
+    assert set(got) == {1, 3, 4}
+    assert (got[1].theme, got[1].campaign_id, got[1].why) == ("reward", 1, "matched") and got[1].text.endswith("[EPOSTA]")
+    assert (got[4].text, got[4].theme, got[4].campaign_id, got[4].why) == ("[TELEFON] beni arayın", None, None, "no_candidate") and got[3].text is None
+
+
 def test_hosts_of_one_site(spark):
     pairs = [
         ("www.banka.com.tr", "cdn.banka.com.tr", True), ("www.bank-a.com.tr", "bank-b.com.tr", False), ("banka.com.tr", "banka.com.tr", True), ("a.example.com", "b.example.com", True),
