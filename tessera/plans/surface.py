@@ -24,6 +24,12 @@ def _part(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct keys of orders, k, dealt to as many tasks as a shuffle has: few bytes, but much work each, so they aren't put together again."""
+    keys = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS k")
+    return keys.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "k").distinct()
+
+
 @add(f"SELECT * FROM ({_PART}) WHERE p_brand = 'Brand#1' OR p_brand = 'Brand#13'")
 def offers_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = _part(spark, sf_dir)
@@ -305,7 +311,7 @@ _OFFER = """concat('Özel kampanya. ', CASE WHEN k % 5 = 0 THEN 'Kâr paysız f
       CASE k % 5 WHEN 0 THEN 'Kâr paysız' WHEN 1 THEN concat('%', 1 + k % 3, ',', 10 + k % 80) WHEN 2 THEN concat('%', 1 + k % 9) WHEN 4 THEN 'Vade farksız' END AS rate_span,
       CASE k % 5 WHEN 0 THEN 0.85 WHEN 4 THEN 0.8 WHEN 3 THEN NULL ELSE 0.9 END::DOUBLE AS rate_confidence FROM t""")
 def extracted_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS k").distinct().withColumn("text", F.expr(_OFFER))
+    texts = _orders(spark, sf_dir).withColumn("text", F.expr(_OFFER))
     out = extraction.with_fields(texts, "text", "_")
     return out.select(
         "k", *[F.col(f"_{n}")["value"].alias(n) for n in ("rate", "amount", "term", "instalments", "deferral", "reward")], F.col("_reward")["unit"].alias("unit"),
@@ -318,7 +324,7 @@ def extracted_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT k, CASE WHEN k % 3 < 2 THEN k % 2 = 0 END AS rate_ok, CASE WHEN k % 4 > 0 THEN true END AS term_ok FROM t""")
 def verified_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = "concat('Kâr payı oranı %', 1 + k % 5, ',', 25 + k % 50, ' olarak uygulanır. Vade ', 12 + k % 48, ' aydır. Başka bir cümle 99,99 der.')"
-    claims = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS k").distinct().selectExpr(
+    claims = _orders(spark, sf_dir).selectExpr(
         "k", f"{text} AS text", "IF(k % 3 < 2, IF(k % 2 = 0, 1 + k % 5 + (25 + k % 50) / 100.0D, 99.99D), NULL) AS rate", "IF(k % 4 > 0, CAST(12 + k % 48 AS DOUBLE), NULL) AS term"
     )
     return claims.select("k", verification.confirmed(F.col("text"), F.col("rate"), "rate").alias("rate_ok"), verification.confirmed(F.col("text"), F.col("term"), "term").alias("term_ok"))
@@ -340,7 +346,7 @@ def masked_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     digits = "lpad(CAST(k % 10000 AS STRING), 4, '0')"
     kinds = f"""CASE k % 5 WHEN 0 THEN concat('ayşe.öz', k, '@çığ-banka.com.tr') WHEN 1 THEN concat('TR12 0001 0002 0003 0004 {'0'}', right({digits}, 1), '45 67') WHEN 2 THEN concat('4111-1111 1111-', {digits})
       WHEN 3 THEN concat('+90 532 123 ', right({digits}, 2), ' 45') ELSE '10000000146' END"""
-    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS k").distinct().selectExpr("k", f"concat('yaz ', {kinds}, ' ya da 12345678901 bitti') AS text")
+    rows = _orders(spark, sf_dir).selectExpr("k", f"concat('yaz ', {kinds}, ' ya da 12345678901 bitti') AS text")
     return rows.select("k", T.masked(F.col("text")).alias("m")).select("k", "m.text", "m.n_email", "m.n_identity")
 
 
@@ -350,7 +356,7 @@ def masked_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
       CASE WHEN k % 2 = 0 THEN k::DOUBLE + 0.5 END AS strict, CASE WHEN k % 3 = 0 THEN DATE '2026-02-28' END AS strict_day, CAST(greatest(0, 10 - k % 20) AS INT) AS gap,
       concat(1 + k % 9, '.500', CASE WHEN k % 2 = 0 THEN ',5' ELSE '' END) AS written FROM t""")
 def parsed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS k").distinct()
+    rows = _orders(spark, sf_dir)
     e = F.expr
     return rows.select(
         "k", numbers.percent(e("concat('%', 1 + k % 9, ',5')")).alias("percent"), numbers.amount(e("concat(1 + k % 900, ' bin TL')")).alias("amount"),
@@ -365,7 +371,7 @@ def parsed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 @add("""
     SELECT DISTINCT o_orderkey AS k, (1 + o_orderkey % 900) * 1000.0::DOUBLE AS principal, CASE WHEN o_orderkey % 2 = 0 THEN 1 + o_orderkey % 4 + 0.25::DOUBLE END AS rate_percent, CAST(6 + o_orderkey % 50 AS INT) AS months FROM orders""")
 def question_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS k").distinct()
+    rows = _orders(spark, sf_dir)
     asked = numbers.question_parameters(F.expr("concat(1 + k % 900, '.000 TL için ', IF(k % 2 = 0, concat('%', 1 + k % 4, ',25 oranla '), ''), 6 + k % 50, ' ay taksit ne olur?')"))
     return rows.select("k", *[c.alias(n) for n, c in asked.items()])
 
@@ -377,7 +383,7 @@ _THEMES = {"reward": ["odul yatmadi", "puan gecmedi"], "fee": ["ucret kesildi",
     SELECT DISTINCT o_orderkey AS k, CASE o_orderkey % 4 WHEN 0 THEN 'reward' WHEN 1 THEN 'fee' WHEN 2 THEN 'date' END AS name, CASE WHEN o_orderkey % 4 = 0 AND o_orderkey % 8 = 0 THEN 0.85 WHEN o_orderkey % 4 < 3 THEN 0.6 END::DOUBLE AS confidence FROM orders""")
 def complaint_themes(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = "CASE k % 4 WHEN 0 THEN concat('Ödül yatmadı', IF(k % 8 = 0, ' ve puan geçmedi', '')) WHEN 1 THEN 'ÜCRET KESİLDİ' WHEN 2 THEN 'Bitiş tarihi yanlış' ELSE 'teşekkürler' END"
-    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS k").distinct()
+    rows = _orders(spark, sf_dir)
     return rows.select("k", complaints.theme(F.expr(text), _THEMES).alias("t")).select("k", "t.name", "t.confidence")
 
 
@@ -442,7 +448,7 @@ def recall_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
 @add("""
     SELECT DISTINCT o_orderkey AS k, round(CASE o_orderkey % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 2 / 3.0::DOUBLE WHEN 2 THEN 0.5 ELSE 0.0 END::DOUBLE, 6) AS share, o_orderkey % 4 < 3 AS enough FROM orders""")
 def sufficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS k").distinct().selectExpr(
+    rows = _orders(spark, sf_dir).selectExpr(
         "k", "CASE k % 4 WHEN 0 THEN 'konut finansmanı vade' WHEN 1 THEN 'konut finansmanları bahçe' WHEN 2 THEN 'konut için ve bahçe' ELSE 'uzay mekiği nedir' END AS asked",
         "'Konut finansmanı 120 ay vade ile sunulur' AS said",
     )
@@ -470,7 +476,7 @@ def registrable_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
       CASE WHEN o_orderkey % 2 = 0 THEN concat('deger ', o_orderkey % 9) END AS json_value, concat('x', o_orderkey % 9) AS from_lines, '98/2' = '98/2' AND o_orderkey % 5 = 0 AS fraction,
       concat('Metin ', o_orderkey % 9, '.', chr(10), chr(10), 'son') AS tidy FROM orders""")
 def text_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS k").distinct()
+    rows = _orders(spark, sf_dir)
     e = F.expr
     return rows.select(
         "k", T.slug(e("concat('Kampanya ', k % 50, ': Özel Fırsat!')")).alias("slug"),
@@ -486,14 +492,14 @@ def text_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT DISTINCT o_orderkey AS k, CAST(CASE o_orderkey % 4 WHEN 0 THEN 1 WHEN 3 THEN 2 ELSE 0 END AS INT) AS n FROM orders""")
 def terminology_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = "CASE k % 4 WHEN 0 THEN 'Kredi başvurusu, açık kredi' WHEN 1 THEN 'kredi kartı ve kredisiz' WHEN 2 THEN 'finansman' ELSE 'Krediyle krediler' END"
-    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS k").distinct()
+    rows = _orders(spark, sf_dir)
     return rows.select("k", verification.leaks(F.expr(text), "kredi", ("siz",), ("kart", "limit"), ("acik", "veresiye")).alias("n"))
 
 
 @add("""
     SELECT DISTINCT o_orderkey AS k, CASE o_orderkey % 3 WHEN 0 THEN 'Cümle iki vade içerir!' ELSE '' END AS evidence, CASE WHEN o_orderkey % 2 = 0 THEN 'Uzun Bir Kampanya Adi Burada' ELSE 'Yeterince uzun bir ilk satır' END AS title FROM orders""")
 def evidence_and_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS k").distinct()
+    rows = _orders(spark, sf_dir)
     text = F.expr("IF(k % 3 = 0, 'Cümle bir. Cümle iki vade içerir! Son?', 'Hiçbiri yok. Son.')")
     title = T.title(F.expr("IF(k % 2 = 0, 'https://b.com/uzun-bir-kampanya-adi-burada', 'https://b.com/kisa')"), F.lit("ana sayfa\nab\nYeterince uzun bir ilk satır\ndevam"))
     return rows.select("k", F.concat_ws("|", T.evidence(text, "vade")).alias("evidence"), title.alias("title"))
@@ -524,7 +530,7 @@ def permitted_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def html_rate_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = """concat('<p>x</p><table><tr><th>', IF(k % 2 = 0, 'Vade', 'Tutar'), '</th><th>Kâr <b>Oranı</b></th></tr><tr><td> </td><td></td></tr><tr><td>12 ay</td><td>%', k % 5, '</td></tr></table>',
       '<TABLE border=1><tr><td>a</td></tr></TABLE>')"""
-    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS k").distinct().select("k", tables.html_tables(F.expr(html)).alias("t"))
+    rows = _orders(spark, sf_dir).select("k", tables.html_tables(F.expr(html)).alias("t"))
     found = tables.rate_tables(F.col("t"))
     return rows.select("k", F.size(found).alias("n_rate"), F.array_join(F.col("t")[0]["rows"][0], "|").alias("first_row"), F.size("t").alias("n_tables")).withColumn(
         "n_rate", F.when(F.col("k") % 2 == 0, F.col("n_rate"))
@@ -535,7 +541,7 @@ def html_rate_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT DISTINCT o_orderkey AS k, concat('http://b.com/l#baslik-', o_orderkey % 7) AS section_url, concat('Başlık ', o_orderkey % 7) AS title, 'metin' AS body FROM orders
     UNION ALL SELECT DISTINCT o_orderkey, 'http://b.com/l#son', 'Son', 'bitti' FROM orders""")
 def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS k").distinct().selectExpr("k", "'http://b.com/l' AS url", "concat('<div>önce</div><h2 class=x>Başlık ', k % 7, '</h2><p>metin</p><H3>Son</H3>bitti') AS html")
+    rows = _orders(spark, sf_dir).selectExpr("k", "'http://b.com/l' AS url", "concat('<div>önce</div><h2 class=x>Başlık ', k % 7, '</h2><p>metin</p><H3>Son</H3>bitti') AS html")
     return tables.sections(rows, "k", "url", "html")
 
 
@@ -543,13 +549,13 @@ def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT DISTINCT o_orderkey AS k, concat('http://b.com/kampanya/', o_orderkey % 7) AS link FROM orders UNION ALL SELECT DISTINCT o_orderkey, 'http://b.com/kampanya/x' FROM orders""")
 def own_host_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = "concat('<a href=\"/kampanya/', k % 7, '?q=1\">a</a><a class=y href=\"//b.com/kampanya/x#z\">b</a><a href=\"http://other.com/kampanya/1\">c</a><a href=\"/Kampanya/arsiv/2\">d</a><a href=\"/hakkimizda\">e</a><a href=\"/kampanya/{id}\">f</a>')"
-    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS k").distinct().selectExpr("k", "'http://b.com/liste?x' AS url", f"{html} AS html")
+    rows = _orders(spark, sf_dir).selectExpr("k", "'http://b.com/liste?x' AS url", f"{html} AS html")
     return tables.links(rows, "k", "url", "html", "/kampanya/", "arsiv")
 
 
 @add("""SELECT DISTINCT o_orderkey AS k, CASE WHEN o_orderkey % 2 = 0 THEN 'Metin' ELSE 'Metin yok' END AS text, o_orderkey % 2 = 0 AS changed FROM orders""")
 def scope_migration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS k").distinct().selectExpr("k", "IF(k % 2 = 0, 'Metin\\nDetaylı bilgi almak için: başka', 'Metin yok') AS text")
+    rows = _orders(spark, sf_dir).selectExpr("k", "IF(k % 2 = 0, 'Metin\\nDetaylı bilgi almak için: başka', 'Metin yok') AS text")
     return sinks.migrated(rows, "text", "\nDetaylı bilgi almak için:")
 
 
