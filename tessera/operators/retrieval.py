@@ -23,9 +23,11 @@ def tokens(text: Column) -> Column:
 
 def postings(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, term, tf: every token weighs 1; a long one's stem, marked by ~, weighs less besides. All weights of a text are summed where it is read."""
-    weights = F.transform(tokens(F.col(text)), lambda t: F.array(F.struct(t.alias("term"), F.lit(1.0).alias("w")), F.struct(F.concat(F.lit("~"), stem(t)).alias("term"), F.lit(STEM_WEIGHT).alias("w"))))
-    said = df.select(key, F.explode(F.flatten(weights)).alias("_t")).select(key, "_t.term", "_t.w").where("term IS NOT NULL")
-    return said.groupBy(key, "term").agg(F.round(F.sum("w"), 6).alias("tf"))
+    said = df.select(key, F.explode(tokens(F.col(text))).alias("_t")).select(key, "_t", F.explode(F.array(F.lit(False), F.lit(True))).alias("_stem"))
+    said = said.where(~F.col("_stem") | stem(F.col("_t")).isNotNull())
+    term = F.when(F.col("_stem"), F.concat(F.lit("~"), stem(F.col("_t")))).otherwise(F.col("_t"))
+    weight = F.when(F.col("_stem"), F.lit(STEM_WEIGHT)).otherwise(F.lit(1.0))
+    return said.select(key, term.alias("term"), weight.alias("_w")).groupBy(key, "term").agg(F.round(F.sum("_w"), 6).alias("tf"))
 
 
 def hashed_vectors(held: DataFrame, key: str, size: int = 16) -> DataFrame:
@@ -125,7 +127,7 @@ def sparse_search(queries: DataFrame, docs: DataFrame, query: str, doc: str, n_d
     queries and docs are postings; n_docs has the number of documents in n. idf = ln(1 + (N - n + 0.5) / (n + 0.5)). Only postings of terms
     asked for travel, in blocks by impact, and blocks that can't reach a query's k-th score are left out before they are opened.
     """
-    held = docs.join(queries.select("term").distinct(), "term", "left_semi")
+    held = cut(docs.join(queries.select("term").distinct(), "term", "left_semi"))
     blocks = cut(posting_blocks(held, doc))
     return top(_scored(pruned_pairs(queries, blocks, query, doc, n_docs, k), query, doc), query, doc, k)
 
