@@ -6,7 +6,7 @@ from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
-from tessera.operators import answers, matching
+from tessera.operators import answers, matching, phrases
 
 OFFERS = [
     ("Ay Katılım", 1, 1.9, 24, 100.0, 500.0, "TL"), ("Ay Katılım", 2, 2.1, 36, None, None, None), ("Güneş", 3, 1.7, 12, 300.0, 900.0, "TL"),
@@ -109,3 +109,16 @@ def test_snapshots_are_found_by_slug(spark):
         9: ("https://b.com/tekil-firsat", 1),
     }
     assert matching.by_slug(g.limit(0), r, "id").count() == 0 and {x.url for x in matching.by_slug(g, r.limit(0), "id").collect()} == {None}
+
+
+def test_names_are_broadcast_and_never_the_runs_of_all_texts(spark, monkeypatch):
+    texts = spark.range(60).selectExpr("id AS q", "concat('said of name', id, ' and name', id % 7, 'x') AS t")  # fewer than names, as Spark sees it
+    names = spark.range(3000).selectExpr("concat('name', id) AS n").union(spark.sql("SELECT 'id'"))
+    said = {r.q: r.t for r in texts.collect()}
+    want = {(q, n) for q, t in said.items() for n in [f"name{i}" for i in range(3000)] + ["id"] if n in t}
+    for most in (phrases.BROADCAST, 0):
+        monkeypatch.setattr(phrases, "BROADCAST", most)
+        found = phrases.named(texts, "q", "t", names, "n")
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "BuildLeft" not in plan and ("BuildRight" in plan) == (most > 0)
+        assert {tuple(r) for r in found.collect()} == want
