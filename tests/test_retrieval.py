@@ -90,3 +90,28 @@ def test_queries_beyond_one_broadcast(spark, monkeypatch):
     asked = held.limit(30).withColumnRenamed("d", "q")
     got = retrieval.dense_search(asked, held, "q", "d", 3)
     assert got.count() == 90 and got.where("position = 1 AND q != d").count() == 0
+
+
+def test_postings_travel_only_where_a_key_repeats(spark):
+    texts = [("a", "uzun kampanya kampanyalar"), ("b", "uzun yol"), ("b", "kampanyası yol"), ("c", None), (None, "yol")]
+    frame = lambda rows: spark.createDataFrame(rows, "d string, text string")
+    once = retrieval.postings(frame(texts[:2] + texts[3:]), "d", "text")
+    assert "Exchange" not in once._jdf.queryExecution().executedPlan().toString()
+    got = {(r.d, r.term): r.tf for r in retrieval.postings(frame(texts), "d", "text").collect()}
+    assert got == {
+        ("a", "uzun"): 1.0, ("a", "kampanya"): 1.0, ("a", "kampanyalar"): 1.0, ("a", "~kampa"): 0.8, ("b", "uzun"): 1.0, ("b", "yol"): 2.0, ("b", "kampanyası"): 1.0,
+        ("b", "~kampa"): 0.4, (None, "yol"): 1.0,
+    }
+
+
+def test_few_and_many_queries_find_the_same(spark, monkeypatch):
+    rng = random.Random(7)
+    docs = [(f"d{i:04d}", " ".join(skewed(rng, rng.choice([1, 4, 30])) if i % 3 else [WORDS[0], WORDS[i % 5]])) for i in range(400)]  # many equal scores
+    held = retrieval.postings(spark.createDataFrame(docs, "d string, text string"), "d", "text").cache()
+    queries = retrieval.postings(spark.createDataFrame([(i, " ".join(skewed(rng, 4))) for i in range(12)], "q long, text string"), "q", "text").cache()
+    n, found = spark.createDataFrame([(len(docs),)], "n long"), []
+    for asked, matrix in ((retrieval.ASKED, retrieval.MATRIX), (retrieval.ASKED, 60), (0, 1)):
+        monkeypatch.setattr(retrieval, "ASKED", asked)
+        monkeypatch.setattr(retrieval, "MATRIX", matrix)
+        found.append({(r.q, r.d, round(r.score, 6), r.position) for r in retrieval.sparse_search(queries, held, "q", "d", n, 5).collect()})
+    assert found[0] == found[1] == found[2] and len(found[0]) > 12
