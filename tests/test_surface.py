@@ -196,3 +196,13 @@ def test_sources_and_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "raw")).count() == 1
     sinks.write_manifest(docs.select("id"), str(tmp_path / "m"))
     assert spark.read.json(str(tmp_path / "m")).count() == 3
+
+
+def test_texts_without_numbers_or_addresses_meet_no_mask(spark):
+    texts = {
+        "TR330006100519786457841326": "[IBAN]", "5400 6100-5197 8645": "[KART]", "10000000146": "[TCKN]", "a@b.co": "[EPOSTA]", "(532)123-45 67": "[TELEFON]", "5321234567 a@b.co": "[TELEFON] [EPOSTA]",
+        "no 123456 and at": "no 123456 and at", "": "", None: None,
+    }
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.mask(F.col("t")).alias("m"))
+    assert {r.t: r.m for r in found.collect()} == texts
+    assert T.DIGITS in found._jdf.queryExecution().optimizedPlan().toString()
