@@ -32,12 +32,13 @@ def by_slug(gold: DataFrame, raw: DataFrame, key: str, one_page_banks: tuple[str
     pages = raw.select(F.col("bank").alias("_bank"), F.col("url").alias("_url"), first_word(F.substring_index(F.col("text"), "\n", 1)).alias("_first"))
     cut = F.flatten(F.array(*[F.when(F.length("_url") >= n, pieces(F.col("_url"), F.lit(n))).otherwise(F.array().cast("array<string>")) for n in sizes]))
     spread = pages.where("_url IS NOT NULL AND _bank IS NOT NULL").select("*", F.explode(cut if sizes else F.array().cast("array<string>")).alias("_piece"))
-    wanted = spread.join(parts.select("_bank", "_piece").distinct(), ["_bank", "_piece"], "left_semi")
+    # Spark doesn't count that an address has many pieces, so it would broadcast those of all; they are sorted instead, which memory doesn't bound
+    wanted = spread.join(parts.select("_bank", "_piece").distinct().hint("merge"), ["_bank", "_piece"], "left_semi")
     counts = wanted.groupBy("_bank", "_piece").agg(F.count(F.lit(1)).alias("_n"))
-    rarest = parts.join(counts, ["_bank", "_piece"], "left").groupBy("_key", "_bank", "_slug", "_word").agg(
+    rarest = parts.join(counts.hint("merge"), ["_bank", "_piece"], "left").groupBy("_key", "_bank", "_slug", "_word").agg(
         F.min_by("_piece", F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_piece")).alias("_piece")
     )
-    met = rarest.join(wanted, ["_bank", "_piece"]).where(F.contains("_url", "_slug"))
+    met = rarest.join(wanted.hint("merge"), ["_bank", "_piece"]).where(F.contains("_url", "_slug"))
     fits = F.col("_first") == F.col("_word")
     found = met.groupBy("_key", "_bank").agg(F.count(F.lit(1)).alias("_n"), F.min("_url").alias("_any"), F.min(F.when(fits, F.col("_url"))).alias("_named"))
     one_page = F.col("_bank").isin(*one_page_banks) & (F.col("_n") > 1) if one_page_banks else F.lit(False)

@@ -122,3 +122,11 @@ def test_names_are_broadcast_and_never_the_runs_of_all_texts(spark, monkeypatch)
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "BuildLeft" not in plan and ("BuildRight" in plan) == (most > 0)
         assert {tuple(r) for r in found.collect()} == want
+
+
+def test_pieces_of_addresses_are_never_broadcast(spark):
+    gold = spark.range(30).selectExpr("id AS k", "'b' AS bank", "concat('http://x/', id, '-firsati') AS url", "'Ad' AS name")
+    raw = spark.range(30).selectExpr("'b' AS bank", "concat('http://b/', id, '-firsati/detay') AS url", "'Metin' AS text")
+    found = matching.by_slug(gold, raw, "k")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("strategy=merge") == 4  # wanted pieces are read twice
+    assert {r.k: r.n_candidates for r in found.collect()} == {i: sum(f"{i}-firsati" in f"http://b/{j}-firsati/detay" for j in range(30)) for i in range(30)}
