@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.durable import cut, shared_dir  # noqa: F401 (for the operators)
@@ -16,6 +16,24 @@ WORD_SPACE = " \t\n\x0b\f\r"
 HOT, PARTS = 4096, 256
 
 
+#: Most rows and bytes of texts that Spark hands to a Python worker at once; a single longer row goes by itself.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower this session's limits of a batch for Python to those of BATCH: 10,000 texts of some KB are copied in the executor and in the worker."""
+    for key, most in BATCH.items():
+        now = _bytes(spark.conf.get(key))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
+
+
+def _bytes(size: str) -> int:
+    """A setting's number, maybe with a unit of bytes."""
+    n, unit = re.fullmatch(r"(-?[0-9]+)\s*([a-z]*)", size.strip().lower()).groups()
+    return int(n) << 10 * "bkmgt".index(unit[0] if unit else "b")
+
+
 def hot_keys(counts: DataFrame, n: str, rows: int, least: int = 10_000) -> DataFrame:
     """The rows of counts (one a key) whose n exceeds both least and 1 / HOT of rows: fewer than HOT, as all n sum to rows at most."""
     return counts.where(F.col(n) > max(least, rows // HOT))

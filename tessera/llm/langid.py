@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import id_fold, unit_hash
+from .common import bounded_batches, id_fold, unit_hash
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 16
@@ -143,6 +143,7 @@ class LanguageModel:
 
 def train(documents: DataFrame, learn: Column, per_lang: int = PER_LANG, most_langs: int = MOST_LANGS) -> LanguageModel:
     """Learn from documents (doc_id, text, lang) for which learn holds; about per_lang texts of each language."""
+    bounded_batches(documents.sparkSession)
     rows = documents.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(most_langs + 1).collect()}
     if len(sizes) > most_langs:
@@ -171,6 +172,7 @@ def train(documents: DataFrame, learn: Column, per_lang: int = PER_LANG, most_la
 
 def predictor(documents: DataFrame, model: LanguageModel):
     """A column function: text -> struct<lang_pred string, score double>."""
+    bounded_batches(documents.sparkSession)
     held = documents.sparkSession.sparkContext.broadcast(model)
 
     @pandas_udf("lang_pred string, score double")

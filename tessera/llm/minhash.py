@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, hot_keys, join_facts
+from .common import bounded_batches, cut, hot_keys, join_facts
 from .components import components
 
 SHINGLE = 5
@@ -49,6 +49,8 @@ SMALL = 16
 #: Members of a bucket that are compared with others as one block.
 CHUNK = 512
 BLOCK = 1 << 22
+#: Powers of the words' base that a worker keeps, enough for most texts (0.5 MB, where those of a whole block are 34).
+KEPT = 1 << 16
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
 #: Ids whose texts are looked up by a broadcast; beyond, by a shuffled join.
 BROADCAST_IDS = 1_000_000
@@ -66,10 +68,21 @@ def _constants() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.uin
 
 @functools.cache
 def _powers(inverse: bool) -> np.ndarray:
+    """The first KEPT powers of the words' base, or of its inverse: a worker keeps them."""
+    return _accumulated(inverse, 1, KEPT)
+
+
+def _accumulated(inverse: bool, step: int, n: int) -> np.ndarray:
     base = int(_constants()[4])
-    step = np.full(BLOCK + 1, pow(base, -1, 1 << 64) if inverse else base, np.uint64)
-    step[0] = 1
-    return np.multiply.accumulate(step)
+    out = np.full(n, pow(base, -step if inverse else step, 1 << 64), np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def _first_powers(inverse: bool, n: int) -> np.ndarray:
+    """The first n powers; those beyond KEPT are made for the block at hand."""
+    low = _powers(inverse)
+    return low[:n] if n <= KEPT else np.multiply.outer(_accumulated(inverse, KEPT, -(-n // KEPT)), low).ravel()[:n]
 
 
 def _word_hashes(block: bytes) -> np.ndarray:
@@ -80,8 +93,8 @@ def _word_hashes(block: bytes) -> np.ndarray:
     change = np.nonzero(inside[1:] != inside[:-1])[0]
     starts, ends = change[::2], change[1::2]
     sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_constants()[0][raw] * _powers(False)[: len(raw)], out=sums[1:])
-    return _mixed((sums[ends] - sums[starts]) * _powers(True)[starts] + (ends - starts).astype(np.uint64))
+    np.cumsum(_constants()[0][raw] * _first_powers(False, len(raw)), out=sums[1:])
+    return _mixed((sums[ends] - sums[starts]) * _first_powers(True, len(raw))[starts] + (ends - starts).astype(np.uint64))
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -95,7 +108,7 @@ def _long_word_hash(data: bytes, start: int, end: int) -> np.ndarray:
     base, total = int(_constants()[4]), 0
     for at in range(start, end, BLOCK):
         raw = np.frombuffer(data, np.uint8, min(BLOCK, end - at), at)
-        total += int((_constants()[0][raw] * _powers(False)[: len(raw)]).sum(dtype=np.uint64)) * pow(base, at - start, 1 << 64)
+        total += int((_constants()[0][raw] * _first_powers(False, len(raw))).sum(dtype=np.uint64)) * pow(base, at - start, 1 << 64)
     return _mixed(np.array([(total + end - start) % (1 << 64)], np.uint64))
 
 
@@ -329,6 +342,7 @@ def _in_large_buckets(state: DataFrame, signatures: DataFrame, texts: DataFrame)
 
 def near_copies(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
+    bounded_batches(documents.sparkSession)
     slim = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketches = cut(slim.mapInPandas(_sketch, _SKETCH))
     usable = sketches.where("digest IS NOT NULL AND doc_id IS NOT NULL")

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import bounded_batches, cut
 
 SIZE = 1024
 OPEN_WINDOWS = 128
@@ -203,6 +203,7 @@ def _merge(key: tuple, rests: pd.DataFrame) -> pd.DataFrame:
 
 def pack(documents: DataFrame, path: str | None = None, windows: int = OPEN_WINDOWS, group: int = GROUP) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    bounded_batches(documents.sparkSession)
     slim = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     first = cut(slim.mapInPandas(_packer(path or vocabulary(), windows), PIECES))
     rests = (

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import cut, id_fold, labelled_sample, whole_sentences
+from .common import bounded_batches, cut, id_fold, labelled_sample, whole_sentences
 
 FEATURES = 1 << 18
 PER_CLASS = 2000
@@ -287,6 +287,7 @@ def _namer(size: int, kept: np.ndarray):
 
 def train(documents: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_CLASS) -> ToxicityModel:
     """Fit to the bounded sample of labelled documents for which learn, over doc_id, holds."""
+    bounded_batches(documents.sparkSession)
     sample, size = labelled_sample(documents, labels, "toxic", per_class, MAX_CHARS, learn)
     sample = cut(sample)
     kind = sample.schema["doc_id"].dataType.simpleString()
@@ -302,6 +303,7 @@ def train(documents: DataFrame, labels: DataFrame, learn: Column, per_class: int
 
 def scorer(documents: DataFrame, model: ToxicityModel):
     """A column function: text -> score double."""
+    bounded_batches(documents.sparkSession)
     held = documents.sparkSession.sparkContext.broadcast(model)
 
     @pandas_udf("double")
@@ -314,6 +316,7 @@ def scorer(documents: DataFrame, model: ToxicityModel):
 
 def locator(documents: DataFrame, model: ToxicityModel, threshold: float = 0.5):
     """A column function: text -> array of the offending sentences' offsets and probabilities."""
+    bounded_batches(documents.sparkSession)
     held = documents.sparkSession.sparkContext.broadcast(model)
 
     @pandas_udf("array<struct<start:int,end:int,probability:double>>")

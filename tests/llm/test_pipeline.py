@@ -95,3 +95,40 @@ def test_folds_are_those_of_crc32(spark):
 
     got = {r.id: r.k for r in spark.range(50).select("id", id_fold(F.col("id"), 3).alias("k")).collect()}
     assert all(k == crc32(str(i).encode()) % 3 for i, k in got.items())
+
+
+def test_workers_keep_small_tables_and_get_small_batches(spark, folder):
+    import pandas as pd
+    from tessera.llm import minhash
+
+    minhash._powers.cache_clear()
+    assert len(minhash.shingle_set("a few words of one short text")) == 3
+    assert sum(minhash._powers(x).nbytes for x in (False, True)) <= 1 << 20
+    before = {key: spark.conf.get(key) for key in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")}
+    sizes = lambda batches: (pd.DataFrame({"n": [len(b)], "chars": [int(b["text"].str.len().sum())]}) for b in batches)
+    try:
+        for name, stage in pipeline.STAGES:
+            for key in before:
+                spark.conf.unset(key)
+            if name == "mixing":  # has no Python step
+                continue
+            stage(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+            texts = spark.range(0, 4000, 1, 1).selectExpr("repeat('x', IF(id = 3000, 6000000, 5000)) AS text")
+            got = texts.mapInPandas(sizes, "n long, chars long").collect()
+            assert sum(b.n for b in got) == 4000 and sum(b.chars for b in got) == 3999 * 5000 + 6000000
+            assert max(b.n for b in got) <= 1000 and all(b.chars <= 4_300_000 or b.chars - 6_000_000 <= 4_300_000 for b in got)
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def test_powers_beyond_those_kept_are_the_same(monkeypatch):
+    from tessera.llm import minhash
+
+    text = " ".join(f"w{k}" for k in range(3000))
+    minhash._powers.cache_clear()
+    whole = minhash.shingle_set(text)
+    monkeypatch.setattr(minhash, "KEPT", 64)
+    minhash._powers.cache_clear()
+    assert minhash.shingle_set(text).tolist() == whole.tolist() and len(whole) == 2996
+    minhash._powers.cache_clear()
