@@ -1,7 +1,8 @@
 """Fields of an offer from its text, each with the words it was read from and a confidence.
 
 Rules about numbers read the text's numbers (functions.numerals), found in one pass with the words around them; the others read the folded
-lower-case text. Both are as long as the text itself, so that a span is cut from it as it was written. A field is struct(value, span, confidence), null where no rule finds it: missing, never zero.
+lower-case text. Both are as long as the text itself, so that a span is cut from it as it was written. Numbers are dealt once by the sign that
+stands beside them, and a pattern is tried only where a word stands without which it can't match: most of the time went into such patterns. A field is struct(value, span, confidence), null where no rule finds it: missing, never zero.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ class Folded:
     """
 
     def __init__(self, name: str) -> None:
-        self.c, self.name, self.levels = F.col(name), name, ({}, {}, {})
+        self.c, self.name, self.levels = F.col(name), name, ({}, {}, {}, {})
 
     def keep(self, column: Column, level: int) -> Column:
         name = f"{self.name}_{level}_{len(self.levels[level])}"
@@ -49,9 +50,11 @@ class Folded:
         return F.col(name)
 
 
-def part(plain: Folded, pattern: str, group: int = 1, text: Column | None = None) -> Column:
-    """The group of the first match in the folded text (or in one made from it), null without one."""
-    return plain.keep(F.nullif(F.regexp_extract(plain.c if text is None else text, pattern, group), F.lit("")), 0)
+def part(plain: Folded, pattern: str, group: int = 1, text: Column | None = None, words: tuple[str, ...] = (), level: int = 0) -> Column:
+    """The group of the first match in the folded text (or in one made from it), null without one; words: what every match holds one of."""
+    text = plain.c if text is None else text
+    found = F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    return plain.keep(F.when(holds(text, *words), found) if words else found, level)
 
 
 def cut_out(text: Column, plain: Folded, found: Column) -> Column:
@@ -85,8 +88,13 @@ def has_any(c: Column, words: tuple[str, ...]) -> Column:
     return F.regexp_like(c, F.lit("|".join(rf"\Q{w}\E" for w in words)))
 
 
+def holds(c: Column, *words: str) -> Column:
+    """has_any without a pattern, for texts that are there already."""
+    return reduce(lambda a, b: a | b, [F.contains(c, F.lit(w)) for w in words])
+
+
 def field(plain: Folded, value: Column, span: Column, confidence: float, **more: Column) -> Column:
-    value = plain.keep(value, 2)
+    value = plain.keep(value, 3)
     return F.when(value.isNotNull(), F.struct(value.alias("value"), *[c.alias(n) for n, c in more.items()], span.alias("span"), F.lit(confidence).alias("confidence")))
 
 
@@ -105,10 +113,25 @@ class Numbers:
     def __init__(self, text: Column, plain: Folded) -> None:
         self.text, self.plain = text, plain
         self.all = plain.keep(numerals.numerals(F.regexp_replace(plain.c, "(?<=[0-9])[.](?=[0-9])", numerals.POINT)), 0)
-
-    def first(self, takes, lead: str = "$", tail: str = "^") -> tuple[Column, Column]:
-        """The first number that takes() accepts, null without one, and its span: from where lead matches before it to where tail matches after it."""
-        x = self.plain.keep(F.try_element_at(F.filter(self.all, lambda x: takes(x)), F.lit(1)), 1)
+        self.dealt: dict[tuple[str, ...], Column] = {}
+        # signs behind which a line may end, too
+        percent = lambda x: F.contains(x["before"], F.lit("%")) & F.endswith(F.rtrim(x["before"], F.lit(numerals.SPACE + "\x85\u2028\u2029")), F.lit("%")) & _precedes(x, "%")
+        self.percents = plain.keep(F.when(holds(plain.c, "%"), F.filter(self.all, lambda x: percent(x) & numerals.decimal(x).isNotNull())), 1)
+
+    def before(self, *signs: str) -> Column:
+        """The numbers behind which one of the words may follow, by their first two characters; null if the text has none of the words."""
+        if signs not in self.dealt:
+            starts = lambda x: reduce(lambda a, b: a | b, [F.startswith(x["sign"], F.lit(w[:2])) for w in signs])
+            self.dealt[signs] = self.plain.keep(F.when(holds(self.plain.c, *signs), F.filter(self.all, starts)), 1)
+        return self.dealt[signs]
+
+    def first(self, among: Column, takes, lead: str = "$", tail: str = "^", words: tuple[str, ...] = ()) -> tuple[Column, Column]:
+        """The first of the numbers that takes() accepts, null without one, and its span: from where lead matches before it to where tail matches after it.
+
+        words: one of them stands in every text that has such a number.
+        """
+        found = F.try_element_at(F.filter(among, lambda x: takes(x)), F.lit(1))
+        x = self.plain.keep(F.when(holds(self.plain.c, *words), found) if words else found, 2)
         return x, self.span(x, lead, tail)
 
     def span(self, x: Column, lead: str = "$", tail: str = "^") -> Column:
@@ -133,7 +156,7 @@ def _precedes(x: Column, pattern: str) -> Column:
     return F.regexp_like(x["before"], F.lit(f"(?:{pattern})\\s*$"))
 
 
-_LIRA = "(?:tl|₺)(?![a-z])"
+_LIRA, _LIRAS = "(?:tl|₺)(?![a-z])", ("tl", "₺")
 _TO = r"['’]?\s*(?:[yae]{1,2}\s*)?"
 _UP_TO = r"(?:a|e|ya|ye)?\s*(?:kadar|varan)?\s*"
 _PROFIT = r"kar\s*(?:pay|oran)"
@@ -141,73 +164,79 @@ _PROFIT = r"kar\s*(?:pay|oran)"
 
 def rate(text: Column, plain: Folded, numbers: Numbers) -> Column:
     """The rate in percent: beside the words for it, else a phrase that means zero, else any percentage away from fees and rewards."""
-    percent = lambda x: _precedes(x, "%") & numerals.decimal(x).isNotNull()
     named = (
-        lambda x: F.regexp_like(F.left(x["after"], F.lit(40)), F.lit(rf"^[^%\n]{{0,25}}{_PROFIT}")),
-        lambda x: F.regexp_like(x["before"], F.lit(rf"{_PROFIT}[a-z]*[^%\n]{{0,25}}%\s*$")),
+        lambda x: holds(x["after"], "kar") & F.regexp_like(F.left(x["after"], F.lit(40)), F.lit(rf"^[^%\n]{{0,25}}{_PROFIT}")),
+        lambda x: holds(x["before"], "kar") & F.regexp_like(x["before"], F.lit(rf"{_PROFIT}[a-z]*[^%\n]{{0,25}}%\s*$")),
     )
     rules = []
     for beside in named:
-        x, span = numbers.first(lambda x, beside=beside: percent(x) & beside(x), r"%\s*$")
+        x, span = numbers.first(numbers.percents, beside, r"%\s*$", words=("kar",))
         rules.append(field(plain, plausible(numerals.decimal(x)), span, 0.9))
-    own = F.regexp_replace(plain.c, r"(?s)kar\s*paysiz.{0,60}?yedek hesap", "")  # another product's rate
-    none, none_span = numbers.first(lambda x: (x["written"] == "0") & _follows(x, r"kar\s*pay") & ~F.regexp_like(x["before"], F.lit("[a-z_]$")), "$", r"^\s*kar\s*pay[a-z]*")
-    free, vade = part(plain, r"(kar\s*paysiz)", text=own), part(plain, r"(vade\s*farksiz)", text=own)
+    own = F.when(holds(plain.c, "yedek hesap"), F.regexp_replace(plain.c, r"(?s)kar\s*paysiz.{0,60}?yedek hesap", "")).otherwise(plain.c)  # another product's rate
+    none, none_span = numbers.first(numbers.before("kar"), lambda x: (x["written"] == "0") & _follows(x, r"kar\s*pay") & ~F.regexp_like(x["before"], F.lit("[a-z_]$")), "$", r"^\s*kar\s*pay[a-z]*", ("0",))
+    free, vade = part(plain, r"(kar\s*paysiz)", text=own, words=("paysiz",)), part(plain, r"(vade\s*farksiz)", text=own, words=("farksiz",))
     zero = lambda found: F.when(found.isNotNull(), F.lit(0.0))
     rules += [field(plain, zero(free), cut_out(text, plain, free), 0.85), field(plain, zero(none), none_span, 0.85), field(plain, zero(vade), cut_out(text, plain, vade), 0.8)]
-    x, span = numbers.first(lambda x: percent(x) & plausible(numerals.decimal(x)).isNotNull() & ~has_any(_near(x, RATE_REACH), FEE_WORDS), r"%\s*$")
+    x, span = numbers.first(numbers.percents, lambda x: plausible(numerals.decimal(x)).isNotNull() & ~has_any(_near(x, RATE_REACH), FEE_WORDS), r"%\s*$")
     return F.coalesce(*rules, field(plain, numerals.decimal(x), span, 0.6))
 
 
 def financed_amount(text: Column, plain: Folded, numbers: Numbers) -> Column:
     """The upper end of a range, else the first cap that is no spending or reward."""
-    upper, upper_span = numbers.first(lambda x: _follows(x, rf"{_LIRA}\s*aras") & _precedes(x, rf"[0-9]\s*(?:bin|milyon|milyar)?\s*(?:tl|₺)?\s*(?:-|–|ile)"))
-    cap, cap_span = numbers.first(lambda x: _follows(x, rf"{_LIRA}{_TO}kadar") & ~has_any(_near(x, CAP_REACH, True), REWARD_WORDS + SPEND_WORDS), "$", rf"^\s*{_LIRA}{_TO}kadar")
+    upper, upper_span = numbers.first(numbers.before(*_LIRAS), lambda x: holds(x["rest"], "aras") & _follows(x, rf"{_LIRA}\s*aras") & _precedes(x, rf"[0-9]\s*(?:bin|milyon|milyar)?\s*(?:tl|₺)?\s*(?:-|–|ile)"), words=("aras",))
+    cap, cap_span = numbers.first(numbers.before(*_LIRAS), lambda x: holds(x["rest"], "kadar") & _follows(x, rf"{_LIRA}{_TO}kadar") & ~has_any(_near(x, CAP_REACH, True), REWARD_WORDS + SPEND_WORDS), "$", rf"^\s*{_LIRA}{_TO}kadar", ("kadar",))
     return F.coalesce(field(plain, numerals.value(upper), upper_span, 0.85), field(plain, numerals.value(cap), cap_span, 0.75))
 
 
 def _whole(plain: Folded, numbers: Numbers, rules: list[tuple], confidence: float = 0.85) -> Column:
-    """An integer times a factor by the first rule (digits, lead, tail, factor) that takes a number; the find holds both contexts."""
+    """An integer times a factor by the first rule that takes a number; the find holds both contexts.
+
+    A rule is (digits, lead, tail, factor, among, *words): among holds the numbers that it may take, and one of words follows
+    each that it takes. Every lead begins with "vade".
+    """
     out = []
-    for digits, lead, tail, times in rules:
-        fits = lambda x, digits=digits, lead=lead, tail=tail: F.regexp_like(x["written"], F.lit(f"^[0-9]{{1,{digits}}}$")) & (x["scale"] == "") & _follows(x, tail) & (_precedes(x, lead) if lead else F.lit(True))
-        x, span = numbers.first(fits, f"(?:{lead})\\s*$" if lead else "$", f"^\\s*(?:{tail})")
+    for digits, lead, tail, times, among, *words in rules:
+        short = lambda x, digits=digits: (x["n"] <= digits) & (x["scale"] == "") & F.regexp_like(x["written"], F.lit(f"^[0-9]{{1,{digits}}}$"))
+        fits = lambda x, short=short, words=words, lead=lead, tail=tail: holds(x["rest"], *words) & short(x) & (holds(x["before"], "vade") & _precedes(x, lead) if lead else F.lit(True)) & _follows(x, tail)
+        x, span = numbers.first(among, fits, f"(?:{lead})\\s*$" if lead else "$", f"^\\s*(?:{tail})", tuple(words))
         out.append(field(plain, x["written"].try_cast("int") * times, span, confidence))
     return F.coalesce(*out)
 
 
 def term(text: Column, plain: Folded, numbers: Numbers) -> Column:
     """Months; instalments are no term."""
-    lead = r"vade[a-z]*[^0-9.\n]{0,20}"
+    lead, month, year = r"vade[a-z]*[^0-9.\n]{0,20}", numbers.before("ay"), numbers.before("yil")
     return _whole(plain, numbers, [
-        (3, "", rf"ay{_UP_TO}(?:sabit\s*)?vade", 1), (3, "", r"aylik\s*vade", 1), (3, "", r"aya?\s*(?:kadar|varan)\s*(?:konut|arac|tasit|ihtiyac)?\s*finansman[a-z]*", 1),
-        (3, lead, r"ay(?!a?\s*(?:kadar|varan)?\s*taksit)", 1), (2, "", rf"yil{_UP_TO}vade", 12), (2, lead, "yil", 12),
+        (3, "", rf"ay{_UP_TO}(?:sabit\s*)?vade", 1, month, "vade"), (3, "", r"aylik\s*vade", 1, month, "aylik"),
+        (3, "", r"aya?\s*(?:kadar|varan)\s*(?:konut|arac|tasit|ihtiyac)?\s*finansman[a-z]*", 1, month, "finansman"),
+        (3, lead, r"ay(?!a?\s*(?:kadar|varan)?\s*taksit)", 1, month, "ay"), (2, "", rf"yil{_UP_TO}vade", 12, year, "vade"), (2, lead, "yil", 12, year, "yil"),
     ])
 
 
 def deferral(text: Column, plain: Folded, numbers: Numbers) -> Column:
-    return _whole(plain, numbers, [(2, "", r"ay[a-z]*\s*(?:varan|kadar)?\s*(?:ertele|otele|odemesiz)[a-z]*", 1)])
+    return _whole(plain, numbers, [(2, "", r"ay[a-z]*\s*(?:varan|kadar)?\s*(?:ertele|otele|odemesiz)[a-z]*", 1, numbers.before("ay"), "ertele", "otele", "odemesiz")])
 
 
 def instalments(text: Column, plain: Folded, numbers: Numbers) -> Column:
-    return _whole(plain, numbers, [(3, "", r"(?:aya?|['’]?[ae])?\s*(?:varan|kadar)?\s*taksit[a-z]*", 1)])
+    return _whole(plain, numbers, [(3, "", r"(?:aya?|['’]?[ae])?\s*(?:varan|kadar)?\s*taksit[a-z]*", 1, numbers.all, "taksit")])
 
 
 def reward(text: Column, plain: Folded, numbers: Numbers) -> Column:
     """struct(value, unit, span, confidence): miles, then grams, then money and points, then the largest capped amount of a reward's sentence."""
     unit = lambda found: reduce(lambda a, k: F.when(found.contains(k), UNITS[k]).otherwise(a), UNITS, F.lit("TL"))
     rules = []
-    for name, tail in (("Mil", "mil(?![a-z])"), ("Gram", "(?:gram|gr)(?![a-z])")):
-        x, span = numbers.first(lambda x, tail=tail: _follows(x, tail), "$", rf"^\s*{tail}")
+    for name, word, tail in (("Mil", "mil", "mil(?![a-z])"), ("Gram", "gr", "(?:gram|gr)(?![a-z])")):
+        x, span = numbers.first(numbers.before(word), lambda x, tail=tail: _follows(x, tail), "$", rf"^\s*{tail}")
         rules.append(field(plain, numerals.value(x), span, 0.8, unit=F.lit(name)))
     points = "|".join(UNITS)
     gift = rf"{_LIRA}{_TO}(?:degerinde|varan|kadar|lik)?\s*(?:nakit\s*|alisveris\s*)?(?:{'|'.join(REWARD_WORDS)})"
-    x, span = numbers.first(lambda x: _follows(x, f"{points}|{gift}"), "$", rf"^\s*(?:{points}|{gift})")
+    x, span = numbers.first(numbers.before(*_LIRAS, *UNITS), lambda x: holds(x["rest"], *UNITS, *REWARD_WORDS) & _follows(x, f"{points}|{gift}"), "$", rf"^\s*(?:{points}|{gift})", (*UNITS, *REWARD_WORDS))
     rules.append(field(plain, numerals.value(x), span, 0.8, unit=unit(F.regexp_extract(x["rest"], rf"^\s*(?:{points}|{gift})", 0))))
     most = r"(?:en fazla|maksimum)\s+(?:[^\s]+\s+){0,4}"
-    limits = F.filter(numbers.all, lambda x: (_precedes(x, "en fazla|maksimum") & _follows(x, _LIRA) | F.regexp_like(x["before"], F.lit(most + "$")) & _follows(x, _LIRA) | _follows(x, rf"{_LIRA}['’]?\s*(?:ile\s*)?sinirli")) & has_any(_near(x, LIMIT_REACH, True), REWARD_WORDS))
+    capped = lambda x: holds(x["before"], "en fazla", "maksimum") & (_precedes(x, "en fazla|maksimum") | F.regexp_like(x["before"], F.lit(most + "$"))) & _follows(x, _LIRA)
+    limits = F.filter(numbers.before(*_LIRAS), lambda x: (capped(x) | holds(x["rest"], "sinirli") & _follows(x, rf"{_LIRA}['’]?\s*(?:ile\s*)?sinirli")) & has_any(_near(x, LIMIT_REACH, True), REWARD_WORDS))
     largest = F.array_max(F.transform(limits, lambda x: F.struct(numerals.value(x).alias("v"), (-x["at"]).alias("back"), x.alias("x"))))
-    top = plain.keep(largest, 1)
+    top = plain.keep(F.when(holds(plain.c, "en fazla", "maksimum", "sinirli"), largest), 2)
     end = rf"^\s*{_LIRA}(?:['’]?\s*(?:ile\s*)?sinirli)?"
     rules.append(field(plain, top["v"], numbers.span(top["x"], r"(?:en fazla|maksimum)\s*$", end), 0.7, unit=F.lit("TL")))
     return F.coalesce(*rules)
@@ -217,19 +246,22 @@ def reward(text: Column, plain: Folded, numbers: Numbers) -> Column:
 _NO_FEE = r"(?:(?:masraf|komisyon|tahsis ucret|ekspertiz ucret)[a-z]*[^.\n]{0,40}(?:alinm|karsilan|yok)[a-z]*|(?:dosya|tahsis|ekspertiz)\s*(?:masraf|ucret)siz[a-z]*|masrafsizlik[a-z]*|sifir\s*komisyon[a-z]*|aidatsiz)"
 
 
+_FEES = ("masraf", "komisyon", "tahsis", "ekspertiz", "dosya", "aidatsiz")
+
+
 def fee(text: Column, plain: Folded, numbers: Numbers) -> Column:
     """An allocation fee in money, else 0 where the text says that none is taken."""
     named = r"(?:dosya masraf[a-z]*|tahsis(?:\s*ucret)?[a-z]*|ekspertiz[a-z]*(?:\s*ucret[a-z]*)?)[^0-9%\n]{0,20}"
-    x, span = numbers.first(lambda x: _follows(x, _LIRA) & _precedes(x, named), rf"{named}$", rf"^\s*{_LIRA}")
-    free = part(plain, f"({_NO_FEE})")
+    x, span = numbers.first(numbers.before(*_LIRAS), lambda x: holds(x["before"], *_FEES) & _follows(x, _LIRA) & _precedes(x, named), rf"{named}$", rf"^\s*{_LIRA}", _FEES)
+    free = part(plain, f"({_NO_FEE})", words=_FEES)
     return F.coalesce(field(plain, numerals.value(x), span, 0.85), field(plain, F.when(free.isNotNull(), F.lit(0.0)), cut_out(text, plain, free), 0.8))
 
 
 def fee_text(text: Column, plain: Folded, numbers: Numbers) -> Column:
     """How a fee is described: a share of the amount, else that there is none, else a bare mention."""
     share = r"(?:tahsis|masraf)[^.\n]{0,60}(?:%|binde|yuzde)\s*"
-    x, span = numbers.first(lambda x: F.regexp_like(x["before"], F.lit(f"{share}$")), f"{share}$")
-    free, bare = part(plain, f"({_NO_FEE})"), part(plain, r"(masraf[a-z]*|tahsis ucret[a-z]*)")
+    x, span = numbers.first(numbers.all, lambda x: holds(x["before"], "tahsis", "masraf") & F.regexp_like(x["before"], F.lit(f"{share}$")), f"{share}$", words=("tahsis", "masraf"))
+    free, bare = part(plain, f"({_NO_FEE})", words=_FEES), part(plain, r"(masraf[a-z]*|tahsis ucret[a-z]*)", words=_FEES)
     told = lambda found: cut_out(text, plain, found)
     return F.coalesce(field(plain, F.when(x.isNotNull(), span), span, 0.8), field(plain, told(free), told(free), 0.8), field(plain, told(bare), told(bare), 0.5))
 
@@ -237,9 +269,11 @@ def fee_text(text: Column, plain: Folded, numbers: Numbers) -> Column:
 def period(text: Column, plain: Folded) -> tuple[Column, Column]:
     """Start and end from a range of dates; a single date is the end."""
     both = rf"({DATE})\s*(?:-|–|ile|ve)\s*({DATE})"
-    whole, one = part(plain, both, 0), part(plain, rf"({DATE})")
-    start = field(plain, iso_date(part(plain, both)), cut_out(text, plain, whole), 0.9)
-    end = F.coalesce(field(plain, iso_date(part(plain, both, 2)), cut_out(text, plain, whole), 0.9), field(plain, iso_date(one), cut_out(text, plain, one), 0.85))
+    whole = part(plain, both, 0)
+    first, last = (part(plain, both, group, whole, level=1) for group in (1, 2))
+    one = part(plain, rf"({DATE})", text=F.when(whole.isNull(), plain.c), level=1)  # a range's end is always a date
+    start = field(plain, iso_date(first), cut_out(text, plain, whole), 0.9)
+    end = F.coalesce(field(plain, iso_date(last), cut_out(text, plain, whole), 0.9), field(plain, iso_date(one), cut_out(text, plain, one), 0.85))
     return start, end
 
 

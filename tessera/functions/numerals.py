@@ -17,6 +17,8 @@ POINT, REACH, DIGITS = "․", 80, 40
 #: Characters of a text that one row of the table of numbers covers while it is made.
 BLOCK = 8192
 _TOKEN = rf"[0-9]++(?:[{POINT},][0-9]++)*+"
+#: What \s stands for in patterns.
+SPACE = " \t\n\x0b\f\r"
 
 
 def marked(text: Column) -> Column:
@@ -25,39 +27,41 @@ def marked(text: Column) -> Column:
 
 
 def numerals(plain: Column) -> Column:
-    """array<struct<at, n, written, before, after, scale, rest>> of a marked text, in order.
+    """array<struct<at, n, written, before, after, scale, rest, sign>> of a marked text, in order.
 
     at (from 1) and n are the number's place and length; before and after up to REACH characters beside it; scale a word that
-    multiplies it, or empty, and rest what follows that word (or the number).
+    multiplies it, or empty, rest what follows that word (or the number), and sign the first two characters of rest behind white space.
     """
     # an array of one holds the text while its numbers are looked at, else it would be made again for each
     return F.transform(F.array(plain), _numerals_of)[0]
 
 
 def _numerals_of(plain: Column) -> Column:
-    none = F.struct(F.lit(1).alias("next"), F.expr("cast(array() as array<struct<at:int,n:int,written:string>>)").alias("met"))
+    kind = "array<struct<at:int,n:int,written:string,before:string,after:string>>"
+    none = F.struct(F.lit(1).alias("next"), F.expr(f"cast(array() as {kind})").alias("met"))
 
-    def add(acc: Column, piece: Column) -> Column:
-        token = F.regexp_extract(piece, f"{_TOKEN}$", 0)
-        end, n = acc["next"] + F.length(piece), F.length(token)
-        more = F.array_append(acc["met"], F.struct((end - n).alias("at"), n.alias("n"), token.alias("written")))
-        return F.when(n > 0, F.struct(end.alias("next"), more.alias("met"))).otherwise(acc)
+    def add(acc: Column, x: Column) -> Column:
+        end, n = acc["next"] + F.length(x["piece"]), F.length(x["written"])
+        start = F.greatest(F.lit(1), end - n - REACH)
+        before, after = F.substr(plain, start, end - n - start), F.substr(plain, end, F.lit(REACH))
+        one = F.struct((end - n).alias("at"), n.alias("n"), x["written"], before.alias("before"), after.alias("after"))
+        return F.when(n > 0, F.struct(end.alias("next"), F.array_append(acc["met"], one).alias("met"))).otherwise(acc)
 
     # a piece ends with a number; the last one, behind all numbers, is taken too, else it would be tried from each of its places
-    found = F.aggregate(F.regexp_extract_all(plain, F.lit(f"[^0-9]*+(?:{_TOKEN}|$)"), F.lit(0)), none, add, lambda acc: acc["met"])
-
-    def beside(x: Column) -> Column:
-        start = F.greatest(F.lit(1), x["at"] - REACH)
-        return F.struct(x["at"], x["n"], x["written"], F.substr(plain, start, x["at"] - start).alias("before"), F.substr(plain, x["at"] + x["n"], F.lit(REACH)).alias("after"))
-
+    pieces, tokens = (F.regexp_extract_all(plain, F.lit(f"[^0-9]*+({_TOKEN}|$)"), F.lit(group)) for group in (0, 1))
+    both = F.zip_with(pieces, tokens, lambda piece, written: F.struct(piece.alias("piece"), written.alias("written")))
+    found = F.aggregate(both, none, add, lambda acc: acc["met"])
     words = "|".join(MULTIPLIERS)
 
     def scaled(x: Column) -> Column:
+        # what is named twice here is made twice, so the pattern is tried only where one of the words may follow
+        sign = lambda c: F.left(F.ltrim(c, F.lit(SPACE)), F.lit(2))
         taken = F.regexp_extract(x["after"], rf"^\s*(?:{words})(?![\p{{L}}\p{{N}}_])", 0)
         rest = F.substr(x["after"], F.length(taken) + 1)
-        return F.struct(x["at"], x["n"], x["written"], x["before"], x["after"], F.trim(taken).alias("scale"), rest.alias("rest"))
+        with_scale = lambda scale, rest: F.struct(*[x[c] for c in ("at", "n", "written", "before", "after")], scale.alias("scale"), rest.alias("rest"), sign(rest).alias("sign"))
+        return F.when(sign(x["after"]).isin(*{w[:2] for w in MULTIPLIERS}), with_scale(F.trim(taken), rest)).otherwise(with_scale(F.lit(""), x["after"]))
 
-    return F.transform(F.transform(found, beside), scaled)
+    return F.transform(found, scaled)
 
 
 def value(x: Column) -> Column:

@@ -6,7 +6,7 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
-from tessera.functions import extraction, numbers
+from tessera.functions import extraction, numbers, numerals
 from tessera.functions import text as T
 from tessera.operators import compare, complaints, phrases, retrieval, verification
 from tessera.sources import tables
@@ -60,6 +60,20 @@ def test_fields_are_read_with_their_spans(spark):
     assert one.select(extraction.overall_confidence({n: F.col(f"x_{n}") for n in names})).first()[0] == 0.875
 
 
+def test_numbers_are_dealt_by_what_follows_them(spark):
+    text = "12 ay, 5 bin TL, 3 milyonluk, %4\u2028 5₺, 50 gr ve 7"
+    rows = spark.createDataFrame([(text,), ("",), (None,)], "text string")
+    numbers = numerals.numerals(numerals.marked(F.col("text")))
+    got = [r.n for r in rows.select(numbers.alias("n")).collect()]
+    assert [(x["written"], x["scale"], x["sign"]) for x in got[0]] == [("12", "", "ay"), ("5", "bin", "tl"), ("3", "", "mi"), ("4", "", "\u2028 "), ("5", "", "₺,"), ("50", "", "gr"), ("7", "", "")]
+    assert got[1] == [] and got[2] is None
+    # a number's own pattern isn't tried again for each of its columns: two passes over the text, one pattern for the word that multiplies
+    plan = rows.select(numbers.alias("n"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 2 and plan.count("regexp_extract(") <= 4
+    read = extraction.with_fields(rows.where("text > ''"), "text").first()
+    assert (read["reward"]["value"], read["reward"]["unit"], read["reward"]["span"]) == (50.0, "Gram", "50 gr")
+
+
 def one(spark, column):
     return spark.range(1).select(column.alias("x")).first().x
 
