@@ -5,10 +5,13 @@ them to the nearest point of the E8 lattice, the vector's own cell. Besides, a v
 ``PROBES`` neighbouring cells that lie nearest. Two vectors are compared if they share an own cell, or if
 one probes the other's; the cosine decides in double precision.
 
-Equal vectors are merged first and counted by their number. Vectors of small buckets are paired by joins;
-a bucket of over ``LARGE`` vectors is dealt out in chunks, and pairs of chunks are compared as matrices,
-which return numbers of links and a spanning forest instead of pairs. A pair counts once, at the first place
-at which it meets: the first table in which both have one own cell, or one probes the other's.
+Equal vectors are merged first and counted by their number. Cells of some tables at a time are shuffled, each entry
+with a sketch of its vector: its part in a subspace, which lies no further from another's than the vectors do, so
+a pair whose sketches differ by more than any near pair's isn't near. Pairs of small cells that may be near by
+their sketches are stored, and their vectors travel once to each star of pairs; a cell of over ``LARGE`` vectors
+is dealt out in chunks, and pairs of chunks are compared as matrices. Both return numbers of links and a spanning
+forest instead of pairs. A pair counts once, at the first place at which it meets: the first table in which both
+have one own cell, or one probes the other's; cells are hashed again from the vectors to find it.
 
 The projections' scale grows with the number of vectors so that a cell holds few unrelated ones. As
 smaller cells part more of the near vectors too, the number of tables grows with the scale, which keeps
@@ -23,13 +26,17 @@ from __future__ import annotations
 
 import functools
 import itertools
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.durable import freed, stored
 from .common import cut, hot_keys, join_facts
 from .components import components
 
@@ -39,6 +46,8 @@ LARGE = 64
 CHUNK = 1024
 SCALE_50K = 1.2
 LEAST_SCALE, MOST_SCALE = 0.9, 1.6
+#: Entries of cells (own and probed) that are shuffled at once, as whole tables; pairs compared at once; bytes of a sketch.
+ENTRIES, PAIRS, SKETCH = 8_000_000, 65_536, 16
 
 
 def tables_at(scale: float) -> int:
@@ -88,57 +97,202 @@ def _cell_keys(points: np.ndarray, table: int, length: int) -> np.ndarray:
         return h * m[0] ^ (h >> 32)
 
 
-def _indexer(scale: float):
-    def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            lengths = batch["embedding"].map(len).to_numpy()
-            for length in np.unique(lengths):
-                rows = batch[lengths == length]
-                unit = np.array(rows["embedding"].tolist(), float)
-                unit /= np.abs(unit).max(axis=1, keepdims=True)
-                unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-                own, probed = [], []
-                for t in range(tables_at(scale)):
-                    matrix, offset = _projection(t, length)
-                    y = scale * (unit @ matrix) + offset
-                    cell = nearest_e8(y)
-                    near = np.argpartition(-((y - cell) @ roots().T), PROBES, axis=1)[:, :PROBES]
-                    own.append(_cell_keys(cell, t, length))
-                    probed.append(_cell_keys(cell[:, None, :] + roots()[near], t, length))
-                own, probed = np.stack(own, 1), np.concatenate(probed, 1)
-                yield pd.DataFrame({"node": rows["node"], "copies": rows["copies"], "unit": list(unit), "own": list(own), "probed": list(probed)})
+def _units(vectors: np.ndarray) -> np.ndarray:
+    unit = vectors.astype(float)
+    unit /= np.abs(unit).max(axis=1, keepdims=True)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    return unit
 
-    return index
 
+def _cells(unit: np.ndarray, table: int, scale: float) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of each vector's own cell in a table and of the cells it probes there."""
+    length = unit.shape[1]
+    matrix, offset = _projection(table, length)
+    y = scale * (unit @ matrix) + offset
+    cell = nearest_e8(y)
+    near = np.argpartition(-((y - cell) @ roots().T), PROBES, axis=1)[:, :PROBES]
+    return _cell_keys(cell, table, length), _cell_keys(cell[:, None, :] + roots()[near], table, length)
 
-def _places(own_a: np.ndarray, probed_a: np.ndarray, own_b: np.ndarray, probed_b: np.ndarray) -> np.ndarray:
-    """For rows of pairs (a's node below b's) the first place at which they meet.
 
-    4 * table for a shared own cell, 1 more for a's cell that b probes, 2 more for b's cell that a probes.
-    """
-    n, tables = own_a.shape
-    place = np.full(n, 4 * tables)
-    for t in reversed(range(tables)):
-        at = slice(t * PROBES, (t + 1) * PROBES)
-        place[(probed_a[:, at] == own_b[:, t, None]).any(axis=1)] = 4 * t + 2
-        place[(probed_b[:, at] == own_a[:, t, None]).any(axis=1)] = 4 * t + 1
-        place[own_a[:, t] == own_b[:, t]] = 4 * t
-    return place
+@functools.cache
+def _sketcher(length: int) -> np.ndarray:
+    q, r = np.linalg.qr(np.random.default_rng([length]).normal(size=(length, min(SKETCH, length))))
+    return q * np.sign(np.diag(r))
+
+
+def _sketches(unit: np.ndarray) -> np.ndarray:
+    """The vectors' parts in a subspace of ``SKETCH`` dimensions, a byte each, as two numbers of eight bytes."""
+    near = np.zeros((len(unit), SKETCH), np.int8)
+    part = np.rint(127 * (unit @ _sketcher(unit.shape[1])))
+    near[:, : part.shape[1]] = np.clip(part, -127, 127)
+    return near.view(np.int64)
+
 
+def _sketch_bound(limit: float) -> float:
+    """The most by which sketches of vectors at cosine limit differ (squared): no more than the vectors, and half a step a side."""
+    return (127 * math.sqrt(max(0.0, 2 - 2 * limit)) + math.sqrt(SKETCH)) ** 2 + 1e-3
 
-def _stacked(column: pd.Series) -> np.ndarray:
-    return np.array(column.tolist())
+
+def _by_length(column: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of a column of lists without nulls by their lengths: places and matrix."""
+    lengths = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    for length in np.unique(lengths):
+        at = np.nonzero(lengths == length)[0]
+        yield at, column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(-1, length)
+
+
+def _indexer(tables: range, scale: float):
+    """Entries of cells: each vector's own cell and those it probes; what is 2 * table, and 1 more for its own."""
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (whole.slice(i, CHUNK) for whole in batches for i in range(0, whole.num_rows, CHUNK)):
+            for at, vectors in _by_length(batch.column("embedding")):
+                unit = _units(vectors)
+                node = batch.column("node").to_numpy()[at].repeat(PROBES + 1)
+                low, high = _sketches(unit).repeat(PROBES + 1, axis=0).T
+                for table in tables:
+                    own, probed = _cells(unit, table, scale)
+                    what = np.tile(np.array([2 * table + 1] + PROBES * [2 * table], np.int32), len(at))
+                    columns = [np.column_stack([own, probed]).ravel(), node, what, low, high]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["key", "node", "what", "low", "high"])
+
+    return index
 
 
-def _check_pairs(limit: float):
+def _cell_pairs(limit: float, large: int):
+    """From entries sorted by key: pairs that meet in cells of at most large entries and may be near by their sketches; larger cells as they are."""
+    bound = _sketch_bound(limit)
+
+    def out(key: np.ndarray, a: np.ndarray, b: np.ndarray, place: np.ndarray, is_pair: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(key), pa.array(a), pa.array(b), pa.array(place.astype(np.int32)), pa.array(np.full(len(a), is_pair))], ["key", "a", "b", "place", "is_pair"]
+        )
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, hot = None, None  # entries of a cell that may go on in the next batch; a large cell that began before
+        for batch in itertools.chain(batches, [None]):
+            rows = held
+            if batch is not None:
+                rows = np.column_stack([batch.column(c).to_numpy().astype(np.int64) for c in ("key", "node", "what", "low", "high")])
+                rows = rows if held is None else np.concatenate([held, rows])
+            if rows is None or not len(rows):
+                continue
+            starts = np.concatenate([[0], np.nonzero(np.diff(rows[:, 0]))[0] + 1])
+            sizes = np.diff(np.append(starts, len(rows)))
+            size, start = sizes.repeat(sizes), starts.repeat(sizes)
+            key, node, what = rows[:, 0], rows[:, 1], rows[:, 2]
+            many = size > large
+            if hot is not None:
+                many |= key == hot
+            held = None
+            if batch is not None and not many[-1]:
+                held, last = rows[starts[-1] :], starts[-1]
+            else:
+                hot, last = key[-1], len(rows)
+            if many.any():
+                yield out(key[many], node[many], np.zeros(many.sum(), np.int64), what[many], False)
+            owners = np.nonzero((what[:last] % 2 == 1) & (size[:last] > 1) & ~many[:last])[0]
+            ends = size[owners].cumsum()
+            sketch = np.ascontiguousarray(rows[:, 3:]).view(np.int8).reshape(len(rows), SKETCH)
+            begin = 0
+            while begin < len(owners):
+                done = ends[begin - 1] if begin else 0
+                end = max(begin + 1, int(np.searchsorted(ends, done + PAIRS, "right")))
+                some = owners[begin:end]
+                begin = end
+                x = some.repeat(size[some])
+                y = np.arange(len(x)) - (size[some].cumsum() - size[some]).repeat(size[some]) + start[x]
+                both = what[y] % 2 == 1
+                meets = (node[x] < node[y]) | ((node[x] != node[y]) & ~both)
+                x, y, both = x[meets], y[meets], both[meets]
+                differ = sketch[x].astype(np.float32) - sketch[y]
+                near = np.einsum("ij,ij->i", differ, differ) <= bound
+                x, y, both = x[near], y[near], both[near]
+                swap = node[x] > node[y]
+                place = 4 * (what[x] // 2) + np.where(both, 0, np.where(swap, 2, 1))
+                if len(x):
+                    yield out(np.zeros(len(x), np.int64), np.where(swap, node[y], node[x]), np.where(swap, node[x], node[y]), place, True)
+
+    return meet
+
+
+def _met_here(cells: Callable[[int, np.ndarray], tuple[np.ndarray, np.ndarray]], a: np.ndarray, b: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """For pairs of rows (a's node below b's) whether place is the first at which they meet; cells(table, rows) are keys of cells.
+
+    A place is 4 * table for a shared own cell, 1 more for a's cell that b probes, 2 more for b's cell that a probes.
+    """
+    here, table, left = np.zeros(len(a), bool), place // 4, np.arange(len(a))
+    for t in range(int(table.max(initial=-1)) + 1):
+        left = left[table[left] >= t]
+        if not len(left):
+            break
+        rows, at = np.unique(np.concatenate([a[left], b[left]]), return_inverse=True)
+        own, probed = cells(t, rows)
+        x, y = at[: len(left)], at[len(left) :]
+        met = np.full(len(left), -1)
+        met[(probed[x] == own[y, None]).any(axis=1)] = 4 * t + 2
+        met[(probed[y] == own[x, None]).any(axis=1)] = 4 * t + 1
+        met[own[x] == own[y]] = 4 * t
+        here[left] = met == place[left]
+        left = left[met < 0]
+    return here
+
+
+def _tree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the links (a, b) connect what all of them connect."""
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        return x
+
+    needed = np.zeros(len(a), bool)
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+        x, y = top(x), top(y)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            needed[k] = True
+    return needed
+
+
+KINDS = "kind string, a long, b long"
+
+
+def _check_pairs(limit: float, scale: float):
+    """From rows sorted by star, vectors before pairs: numbers of links, and links that connect, of the pairs that count here."""
+
+    def found(vectors: pd.DataFrame, pairs: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        row = vectors[["star", "a"]].assign(row=np.arange(len(vectors)))
+        i = pairs[["star", "a"]].merge(row, "left", ["star", "a"])["row"].to_numpy()
+        j = pairs[["star", "b"]].rename(columns={"b": "a"}).merge(row, "left", ["star", "a"])["row"].to_numpy()
+        lengths, place = vectors["embedding"].map(len).to_numpy(), pairs["place"].to_numpy()
+        for length in np.unique(lengths):
+            at = np.nonzero(lengths == length)[0]
+            unit, local = _units(np.stack(vectors["embedding"].to_numpy()[at])), np.zeros(len(vectors), np.int64)
+            local[at] = np.arange(len(at))
+            same = np.nonzero((lengths[i] == length) & (lengths[j] == length))[0]
+            for part in (same[k : k + PAIRS] for k in range(0, len(same), PAIRS)):
+                x, y, places = local[i[part]], local[j[part]], place[part]
+                near = (unit[x] * unit[y]).sum(axis=1) >= limit
+                x, y, places = x[near], y[near], places[near]
+                here = _met_here(lambda t, rows: _cells(unit[rows], t, scale), x, y, places)  # noqa: B023
+                x, y = at[x[here]], at[y[here]]
+                node, copies, linked_to = vectors["a"].to_numpy(), vectors["b"].to_numpy(), np.zeros(len(vectors), np.int64)
+                np.add.at(linked_to, x, copies[y])
+                np.add.at(linked_to, y, copies[x])
+                counted, needed = np.nonzero(linked_to)[0], _tree(node[x], node[y])
+                yield pd.DataFrame({"kind": "count", "a": node[counted], "b": linked_to[counted]})
+                yield pd.DataFrame({"kind": "tie", "a": node[x[needed]], "b": node[y[needed]]})
+
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None  # vectors of a star whose pairs may go on in the next batch
         for batch in batches:
-            if len(batch):
-                near = (_stacked(batch["unit_a"]) * _stacked(batch["unit_b"])).sum(axis=1) >= limit
-                batch = batch[near]
-            if len(batch):
-                found = _places(*(_stacked(batch[c]) for c in ("own_a", "probed_a", "own_b", "probed_b")))
-                yield batch.loc[found == batch["place"].to_numpy(), ["a", "b", "copies_a", "copies_b"]]
+            is_pair = batch["place"].to_numpy() >= 0
+            vectors = batch[~is_pair] if held is None else pd.concat([held, batch[~is_pair]])
+            if is_pair.any():
+                yield from found(vectors, batch[is_pair])
+            held = vectors[vectors["star"].to_numpy() == batch["star"].iloc[-1]] if len(batch) else held
 
     return check
 
@@ -161,28 +315,34 @@ def _forest(links: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int,
     return out
 
 
-def _blocks(limit: float):
+def _blocks(limit: float, scale: float):
     def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         table, low, high = int(key[1]), int(key[2]), int(key[3])
-        unit, own, probed = (_stacked(rows[c]) for c in ("unit", "own", "probed"))
+        lengths = rows["embedding"].map(len)
+        rows = rows[lengths == lengths.iloc[0]]  # one cell, one length
+        unit = _units(np.stack(rows["embedding"].to_numpy()))
         node, copies, mine, chunk = (rows[c].to_numpy() for c in ("node", "copies", "is_own", "chunk"))
         linked_to = np.zeros(len(rows), np.int64)
         ties: list[tuple[int, int]] = []
         left, right = np.nonzero(chunk == low)[0], np.nonzero(chunk == high)[0]
+        all_cells = functools.cache(lambda t: _cells(unit, t, scale))
+
+        def cells(t: int, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            own, probed = all_cells(t)
+            return own[some], probed[some]
 
         def meet(i: np.ndarray, j: np.ndarray, both_own: bool, twice: bool) -> None:
             """Count the links between rows i, which own the cell, and j, that meet here first; twice if i and j are the same rows."""
             links = unit[i] @ unit[j].T >= limit
             x, y = np.nonzero(links)
-            for part in range(0, len(x), CHUNK * PROBES):
-                p, q = i[x[part : part + CHUNK * PROBES]], j[y[part : part + CHUNK * PROBES]]
+            for part in range(0, len(x), PAIRS):
+                p, q = i[x[part : part + PAIRS]], j[y[part : part + PAIRS]]
                 swap = node[p] > node[q]
-                a, b = np.where(swap, q, p), np.where(swap, p, q)
-                place = 4 * table + (0 if both_own else np.where(swap, 2, 1))
-                here = (_places(own[a], probed[a], own[b], probed[b]) == place) & (node[p] != node[q])
+                place = 4 * table + (np.zeros(len(p), int) if both_own else np.where(swap, 2, 1))
+                here = _met_here(cells, np.where(swap, q, p), np.where(swap, p, q), place) & (node[p] != node[q])
                 if twice:  # every pair is there both ways
                     here &= ~swap
-                links[x[part : part + CHUNK * PROBES], y[part : part + CHUNK * PROBES]] = here
+                links[x[part : part + PAIRS], y[part : part + PAIRS]] = here
             np.add.at(linked_to, i, links @ copies[j])
             np.add.at(linked_to, j, links.T @ copies[i])
             ties.extend(_forest(links, node[i], node[j]))
@@ -198,56 +358,71 @@ def _blocks(limit: float):
     return compare
 
 
+def _rounds(rows: dict[int, int], most: int) -> list[list[int]]:
+    """Tables in order, dealt to rounds of at most so many rows (or one table)."""
+    out, held = [], 0
+    for table in sorted(rows):
+        if not out or held + rows[table] > most:
+            out, held = [*out, []], 0
+        out[-1].append(table)
+        held += rows[table]
+    return out
+
+
 def link(nodes: DataFrame, limit: float = COSINE, scale: float = SCALE_50K) -> tuple[DataFrame, DataFrame]:
     """From distinct vectors (node, copies, embedding): numbers of linked vectors (node, n), and links (u, v) that connect them."""
-    index = cut(
-        nodes.mapInPandas(_indexer(scale), "node long, copies long, unit array<double>, own array<long>, probed array<long>")
-    )
-    own = index.select("node", F.posexplode("own").alias("tab", "key")).withColumn("is_own", F.lit(True))
-    probed = index.select("node", F.posexplode("probed").alias("at", "key")).select(
-        "node", F.floor(F.col("at") / PROBES).cast("int").alias("tab"), "key"
-    ).withColumn("is_own", F.lit(False))
-    entries = own.unionByName(probed)
-    sizes = entries.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.count_if("is_own").alias("owners")).where("owners > 0 AND size > 1")
-    entries = cut(entries.join(sizes, "key").select("key", "tab", "node", "is_own", "size"))
-
-    small = entries.where(F.col("size") <= LARGE)
-    mine = small.where("is_own").select("key", "tab", F.col("node").alias("x"))
-    met = mine.join(small.select("key", F.col("node").alias("y"), "is_own"), "key").where("x != y AND (NOT is_own OR x < y)")
-    place = 4 * F.col("tab") + F.when(F.col("is_own"), 0).when(F.col("x") < F.col("y"), 1).otherwise(2)
-    pairs = met.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.min(place).alias("place"))
-    side = lambda x: index.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("copies", "unit", "own", "probed")])
-    by_pair = cut(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_check_pairs(limit), "a long, b long, copies_a long, copies_b long"))
-
-    chunks = F.ceil(F.col("size") / CHUNK).cast("int")
-    dealt = entries.where(F.col("size") > LARGE).withColumn("chunk", F.pmod(F.xxhash64("node"), chunks).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    dealt = dealt.withColumn("low", F.least("chunk", "other")).withColumn("high", F.greatest("chunk", "other"))
-    by_block = cut(
-        dealt.join(index, "node").groupBy("key", "tab", "low", "high").applyInPandas(_blocks(limit), "kind string, a long, b long")
-    )
-    counts = (
-        by_pair.select(F.col("a").alias("node"), F.col("copies_b").alias("n"))
-        .unionByName(by_pair.select(F.col("b").alias("node"), F.col("copies_a").alias("n")))
-        .unionByName(by_block.where("kind = 'count'").select(F.col("a").alias("node"), F.col("b").alias("n")))
-        .groupBy("node").agg(F.sum("n").alias("n"))
-    )
-    ties = by_pair.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
-        by_block.where("kind = 'tie'").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    )
-    return counts, ties
+    nodes = stored(nodes.select("node", "copies", "embedding"))
+    n = nodes.count()
+
+    met = []
+    for tables in _rounds({t: n * (PROBES + 1) for t in range(tables_at(scale))}, ENTRIES):
+        entries = nodes.select("node", "embedding").mapInArrow(_indexer(tables, scale), "key long, node long, what int, low long, high long")
+        in_cells = entries.repartition("key").sortWithinPartitions("key")
+        met.append(stored(in_cells.mapInArrow(_cell_pairs(limit, LARGE), "key long, a long, b long, place int, is_pair boolean")))
+    met = functools.reduce(DataFrame.unionByName, met)
+
+    # a star is a node and the nodes above it: vectors go to the stars of their pairs, once to each
+    pairs = stored(met.where("is_pair").groupBy("a", "b").agg(F.min("place").alias("place")))
+    below = pairs.groupBy(F.col("b").alias("a")).agg(F.min("a").alias("star"))
+    pairs = stored(pairs.join(below, "a", "left").select(F.coalesce("star", "a").alias("star"), "a", "b", "place"))
+    members = pairs.select("star", F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node")
+    vectors = members.select("star", F.col("node").alias("a"), F.col("copies").alias("b"), F.lit(-1).alias("place"), "embedding")
+    told = vectors.unionByName(pairs.withColumn("embedding", F.lit(None).cast(nodes.schema["embedding"].dataType)))
+    in_stars = told.repartition("star").sortWithinPartitions("star", F.col("place") >= 0)
+    results = [stored(in_stars.mapInPandas(_check_pairs(limit, scale), KINDS))]
+
+    large = met.where("NOT is_pair").select("key", F.col("a").alias("node"), F.floor(F.col("place") / 2).cast("int").alias("tab"), (F.col("place") % 2 == 1).alias("is_own"))
+    sizes = large.groupBy("key", "tab").agg(F.count(F.lit(1)).alias("size"), F.count_if("is_own").alias("owners")).where("owners > 0")
+    sizes = stored(sizes.withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int")))
+    by_table = dict(sizes.groupBy("tab").agg(F.sum(F.col("size") * F.col("chunks"))).collect())
+    for tables in _rounds(by_table, max(n, ENTRIES // (PROBES + 1))):
+        some = large.where(F.col("tab").isin(tables)).join(sizes.where(F.col("tab").isin(tables)).select("key", "chunks"), "key")
+        dealt = some.withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        dealt = dealt.withColumn("low", F.least("chunk", "other")).withColumn("high", F.greatest("chunk", "other")).drop("chunks", "other")
+        results.append(stored(dealt.join(nodes, "node").groupBy("key", "tab", "low", "high").applyInPandas(_blocks(limit, scale), KINDS)))
+    results = functools.reduce(DataFrame.unionByName, results)
+    counts = results.where("kind = 'count'").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("n"))
+    return counts, results.where("kind = 'tie'").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
 def near_copies(embeddings: DataFrame, limit: float = COSINE, scale: float | None = None) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
-    slim = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    with freed(embeddings.sparkSession):
+        return _near_copies(embeddings, limit, scale)
+
+
+def _near_copies(embeddings: DataFrame, limit: float, scale: float | None) -> DataFrame:
+    kind = "float" if embeddings.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
+    slim = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     sound = slim.where(F.col("vec_id").isNotNull() & F.coalesce(finite, F.lit(False)))
     # a vector goes by its 64-bit hash; one id with several vectors: a node for each vector, but one component
-    ids = cut(sound.select("vec_id", F.xxhash64("embedding").alias("node")).distinct())
+    node = F.xxhash64(F.col("embedding").cast("array<double>")).alias("node")
+    ids = cut(sound.select("vec_id", node).distinct())
     sizes = cut(ids.groupBy("node").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies")))
     hot = hot_keys(sizes, "copies", ids.count()).select("node")
-    vectors = sound.select(F.xxhash64("embedding").alias("node"), "embedding").dropDuplicates(["node"])
+    vectors = sound.select(node, "embedding").dropDuplicates(["node"])
     nodes = sizes.join(vectors, "node")
     if scale is None:
         scale = float(np.clip(SCALE_50K * (max(1, sizes.count()) / 50_000) ** 0.125, LEAST_SCALE, MOST_SCALE))
